@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from popspark.llm import line_dedup
+from popspark.llm import binary_output, line_dedup, packing
 
-QUERIES = {"op1_line_dedup": line_dedup.op1_line_dedup}
+QUERIES = {
+    "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op5_packing": packing.op5_packing,
+    "op10_binary_output": binary_output.op10_binary_output,
+}
 SQL = {"op1_line_dedup": line_dedup.SQL}
