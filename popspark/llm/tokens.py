@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,8 +12,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once, so that memory does not grow with a batch or a text.
 SLICE = 8 << 20
-#: Words that the cache of a worker holds at most; then it starts anew.
-WORDS = 600_000
+#: When the cache of a worker holds more runs than this, it starts anew.
+WORDS = 1_000_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = r"!-&(-/:;=?-@\[-`{-~"
 PLAIN = rf"^(?P<w>[{LETTERS}]*)(?P<p>[{SIGNS}]*)$"
@@ -26,7 +27,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 class WordTokens:
-    """Each white-space chunk of a text has ids of its own, so chunks are looked up in a cache and tokenized once."""
+    """Each white-space chunk of a text has ids of its own, and so has each run of letters or signs in it: runs are looked up in a cache and tokenized once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -39,47 +40,51 @@ class WordTokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[str, int] = {}
-        self.parts: dict[str, list[int]] = {"": []}
+        self.place: dict[str, int] = {"": 0}
         self.flat = np.empty(1 << 20, np.uint32)
-        self.begin = np.empty(1 << 18, np.int64)
-        self.length = np.empty(1 << 18, np.int64)
+        self.begin = np.zeros(1 << 18, np.int64)
+        self.length = np.zeros(1 << 18, np.int64)
         self.used = 0
 
-    def _part(self, part: str) -> list[int]:
-        """The ids of one run of letters or of signs."""
-        if (ids := self.parts.get(part)) is None:
-            mapped = part if part.isascii() else part.translate(self.to_bytes)
-            ids = self.parts[part] = [t.id for t in self.model.tokenize(mapped)]
-        return ids
-
-    def _learn(self, words: list[str]) -> None:
-        """Put new chunks into the cache; those with digits, apostrophes, < or rarer letters go through the whole tokenizer."""
-        found = pc.extract_regex(pa.array(words, pa.string()), PLAIN)
-        part = self._part
-        ids: list[list[int] | None] = [None] * len(words)
-        odd = []
-        lowered = pc.utf8_lower(found.field("w")).to_pylist()
-        for i, (ok, w, p) in enumerate(zip(found.is_valid().to_pylist(), lowered, found.field("p").to_pylist(), strict=True)):
-            if ok:
-                ids[i] = part(w) + part(p)
-            else:
-                odd.append(i)
-        for i, e in zip(odd, self.tokenizer.encode_batch([words[i] for i in odd], add_special_tokens=False), strict=True):
-            ids[i] = e.ids
+    def _learn(self, keys: list[str], ids: list[list[int]]) -> None:
         n = len(self.place)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while n + len(words) > len(self.begin):
+        while n + len(keys) > len(self.begin):
             self.begin = np.concatenate([self.begin, np.empty_like(self.begin)])
             self.length = np.concatenate([self.length, np.empty_like(self.length)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.uint32, total)
-        self.begin[n : n + len(words)] = self.used + np.cumsum(lengths) - lengths
-        self.length[n : n + len(words)] = lengths
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.begin[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
+        self.length[n : n + len(keys)] = lengths
         self.used += total
-        self.place.update(zip(words, range(n, n + len(words)), strict=True))
+        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+
+    def _runs(self, column: pa.Array) -> np.ndarray:
+        """The places of runs of letters or of signs; new ones are tokenized by the model alone. Null has place 0."""
+        coded = column.dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        new = [x for x in runs if x not in self.place]
+        tokenize, to_bytes = self.model.tokenize, self.to_bytes
+        self._learn(new, [[t.id for t in tokenize(x if x.isascii() else x.translate(to_bytes))] for x in new])
+        places = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
+        return np.append(places, 0)[np.asarray(pc.fill_null(coded.indices, len(runs)))]
+
+    def _chunks(self, chunks: pa.Array) -> np.ndarray:
+        """Two places for each chunk. Chunks with digits, apostrophes, < or rarer letters go through the whole tokenizer."""
+        found = pc.extract_regex(chunks, PLAIN)
+        letters, signs = pc.utf8_lower(pc.struct_field(found, "w")), pc.struct_field(found, "p")
+        places = np.stack([self._runs(letters), self._runs(signs)], 1)
+        odd = np.flatnonzero(~np.asarray(found.is_valid()))
+        if len(odd):
+            words = chunks.take(pa.array(odd)).to_pylist()
+            keys = ["\0" + w for w in words]
+            new = [(k, w) for k, w in zip(keys, words, strict=True) if k not in self.place]
+            self._learn([k for k, _ in new], [e.ids for e in self.tokenizer.encode_batch([w for _, w in new], add_special_tokens=False)])
+            places[odd, 0] = [self.place[k] for k in keys]
+            places[odd, 1] = 0
+        return places
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         for c in "\t\n\x0b\x0c\r":
@@ -87,17 +92,13 @@ class WordTokens:
         chunks = pc.split_pattern(texts, " ")
         ends = np.asarray(chunks.offsets).astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.place) + len(words) > WORDS:
+        if len(self.place) > WORDS:
             self._reset()
-        new = [w for w in words if w not in self.place]
-        if new:
-            self._learn(new)
-        codes = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))[np.asarray(coded.indices)]
-        lengths = self.length[codes]
+        places = self._chunks(coded.dictionary)[np.asarray(coded.indices)].ravel()
+        lengths = self.length[places]
         stops = np.concatenate([[0], np.cumsum(lengths)])
-        where = np.repeat(self.begin[codes] - stops[:-1], lengths) + np.arange(stops[-1])
-        stops = stops[ends - ends[0]]
+        where = np.repeat(self.begin[places] - stops[:-1], lengths) + np.arange(stops[-1])
+        stops = stops[2 * (ends - ends[0])]
         return self.flat[where], stops[1:] - stops[:-1]
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
