@@ -23,7 +23,8 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
     A document whose lines all go keeps an empty text. An empty table gives an empty result.
 
     Keys travel as 128-bit hashes. Each document sends a key once, so one shuffle counts documents, with partial counts
-    before it; only the keys above the threshold meet the lines again, in a join whose hot keys Spark can split.
+    before it; only the keys above the threshold meet the lines again, in a join whose hot keys Spark can split. (That is
+    why it joins by half of the hash: the counts, dealt by the whole hash, then get an exchange of their own.)
     """
     clean = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
@@ -47,12 +48,13 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b"))
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
         .where(F.col("n") >= min_docs)
-        .select("a", "b", "keeper")
+        .select("a", F.col("b").alias("other"), "keeper")
     )
     drops = (
         keys.select("doc_id", F.explode("keys").alias("k"))
         .select("doc_id", F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.col("k.pos").alias("pos"))
-        .join(shared, ["a", "b"])
+        .join(shared, "a")
+        .where(F.col("b").bitwiseXOR(F.col("other")) == 0)
         .where(F.col("doc_id") < F.col("keeper"))
         .groupBy("doc_id")
         .agg(F.collect_set("pos").alias("drops"))
