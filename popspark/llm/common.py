@@ -40,3 +40,15 @@ def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
     shared_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """left joined with right by one 64-bit key, where right comes out of an aggregate by that key.
+
+    Dealt by the aggregate, its partitions could not be split where left has a hot key. Joining by half of the key, and
+    comparing the rest apart, gives right an exchange of its own; then Spark splits hot partitions at run time.
+    """
+    half = F.shiftrightunsigned(key, 1)
+    a = left.withColumn("_half", half)
+    b = right.withColumn("_half", half).withColumnRenamed(key, "_key")
+    return a.join(b, (a["_half"] == b["_half"]) & (a[key].bitwiseXOR(b["_key"]) == 0), how).drop("_half", "_key")

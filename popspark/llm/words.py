@@ -32,7 +32,7 @@ def powers(n: int) -> np.ndarray:
     """The first n powers of an odd number, modulo 2**64."""
     global _POWERS
     if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([[1], np.full(max(n, 64) * 2, _ODD, np.uint64)]).astype(np.uint64))
+        _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 64) * 2, _ODD)]), dtype=np.uint64)
     return _POWERS[:n]
 
 
