@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from popspark.llm import binary_output, line_dedup, near_dedup, packing
+from popspark.llm import binary_output, line_dedup, near_dedup, packing, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op5_packing": packing.op5_packing,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_binary_output": binary_output.op10_binary_output,
 }
