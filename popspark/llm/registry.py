@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from popspark.llm import binary_output, line_dedup, near_dedup, packing, substring_dedup
+from popspark.llm import binary_output, line_dedup, near_dedup, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op9_near_dedup": near_dedup.op9_near_dedup,
