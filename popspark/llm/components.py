@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from popspark.llm.common import cut
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the smallest node that can be reached.
 
+    With ``rounds``, it stops after so many: component is then some node that can be reached, the smallest in small groups.
+
     Each round hangs the larger neighbours of every node, and then the smaller ones, under the smallest of them, until
     every node hangs under its component: as many rounds as the logarithm of the longest path. Only a sum leaves the cluster
     after each round. Groups are aggregated to their minimum and joined, so a node with many links makes no large group.
@@ -18,17 +20,20 @@ def components(links: DataFrame) -> DataFrame:
     """
     spark = links.sparkSession
     edges = cut(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    before, done = None, 0
+    while done != rounds:
+        done += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = cut(spark, small.select("e.u", "e.v").where("u <> v").distinct())
+        if rounds:
+            continue
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    nodes = edges.unionByName(edges.select(F.col("v").alias("u"), "v"))
+    return nodes.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

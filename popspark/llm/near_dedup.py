@@ -181,25 +181,30 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
 
 def _open_pairs(group: pa.Table, bands: Bands, least: float) -> Iterator[tuple[int, np.ndarray]]:
     """(i, all later j) of a block whose documents are in different components, near enough by their sketches, and share
-    no key before the block's own, so that each pair is met in one bucket only."""
-    part = group.column("component").to_numpy()
-    side = group.column("side").to_numpy()
-    regs = _sketches(group.column("regs"))
-    n = group.column("n").to_numpy()
+    no key below the block's own, so that each pair is met in one bucket only."""
+    part, side = group.column("component").to_numpy(), group.column("side").to_numpy()
+    regs, n = _sketches(group.column("regs")), group.column("n").to_numpy()
     key = group.column("key")[0].as_py()
     diagonal = bool((side == 2).all())
-    keys = None
+    below: dict[int, np.ndarray] = {}
+
+    def lower(k: int) -> np.ndarray:
+        if k not in below:
+            keys = bands.keys(regs[k], int(n[k])).view(np.int64)
+            below[k] = keys[keys < key]
+        return below[k]
+
     for i in range(len(part)):
         later = np.arange(i + 1, len(part)) if diagonal else np.flatnonzero(side != side[i]) if side[i] == 0 else np.empty(0, int)
         later = later[part[later] != part[i]]
-        if not len(later):
-            continue
-        later = later[estimate(regs[i], regs[later]) >= least]
         if len(later):
-            keys = keys or [bands.keys(regs[k], int(n[k])).view(np.int64) for k in range(len(part))]
-            own = [j for j in later if keys[i][np.isin(keys[i], keys[j])][0] == key]
-            if own:
-                yield i, np.array(own)
+            later = later[estimate(regs[i], regs[later]) >= least]
+        if len(later):
+            theirs = [lower(j) for j in later.tolist()]
+            shared = np.isin(np.concatenate(theirs), lower(i))
+            met_before = np.bincount(np.repeat(np.arange(len(later)), [len(t) for t in theirs]), shared, len(later)) > 0
+            if not met_before.all():
+                yield i, later[~met_before]
 
 
 def _needed(num: int, den: int) -> Callable:
@@ -255,12 +260,13 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     2. Classes that share a key meet through the bucket's centre, the member whose keys are the most common: a group of
        near copies then costs one pair for each copy. Pairs pass by their estimate, then by their full sets.
     3. Buckets that still hold several components are gone through in blocks; each pair in different components is met
-       once, under its first common key. Sketches travel first; full sets follow only for documents that have such a pair.
+       once, under its least common key. Sketches travel first; full sets follow only for documents that have such a pair.
     """
     spark = docs.sparkSession
     sketches = cut(spark, docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs binary, keys array<long>"))
-    classes = sketches.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
-    reps = sketches.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").where("n > 0").dropDuplicates(["doc_id"])
+    # Equal sets have equal sketches, so any row of a class will do.
+    same = [F.any_value(c).alias(c) for c in ("n", "regs", "keys")]
+    reps = cut(spark, sketches.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), *same).where("doc_id is not null"))
     entries = reps.select(F.explode("keys").alias("key"), "doc_id")
     common = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = cut(spark, spread_join(entries, common, "key"))
@@ -271,23 +277,25 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     both = stars.join(regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("regs_a")), "a").join(regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("regs_b")), "b")
     pairs = cut(spark, both.mapInArrow(_promising(floor_of(num, den)), "a long, b long"))
     links = cut(spark, _checked(docs, pairs, ngram, num, den))
-    first = cut(spark, components(links))
+    first = cut(spark, components(links, rounds=1))
 
     parts = met.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "size")
+    # Comparing takes more time than its bytes tell, so the number of partitions is not left to Spark.
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks.cast("long")).cast("int")
     rows = spread_join(parts, mixed, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "doc_id", "component")
     # A block off the diagonal needs the members of both sides; the diagonal block only its own.
-    placed = rows.join(reps.select("doc_id", "n", "regs"), "doc_id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
+    placed = rows.join(reps.select("doc_id", "n", "regs"), "doc_id").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
     kinds = "doc_id long, key long, low int, high int, side int, component long, n long, regs binary"
     needed = cut(spark, placed.select("doc_id", "key", "low", "high", "side", "component", "n", "regs").mapInArrow(_needed(num, den), kinds))
     sets = _full_sets(docs, needed.select("doc_id").distinct(), ngram)
-    more = needed.join(sets, "doc_id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(_linked(num, den), "a long, b long")
+    more = needed.join(sets, "doc_id").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(_linked(num, den), "a long, b long")
     nodes = components(links.unionByName(more))
 
-    named = classes.join(nodes.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("a").alias("x"), F.col("b").alias("y"), F.coalesce("component", "rep").alias("component"))
+    named = reps.select("a", "b", "doc_id").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("a").alias("x"), F.col("b").alias("y"), F.coalesce("component", "doc_id").alias("component"))
     kept = sketches.select("doc_id", "n", "a", "b").join(named, (F.col("a") == F.col("x")) & (F.col("b").bitwiseXOR(F.col("y")) == 0), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return kept.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
