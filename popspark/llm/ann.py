@@ -88,25 +88,18 @@ def fitted(sample: np.ndarray, longest: float, lists: int, degree: int = 24, rou
 
 
 def _posted(model: Centroids, ratio: float, copies: int) -> Callable:
-    """Each vector in its nearest list, and in others whose centroids are hardly farther and lie in other directions."""
+    """Each vector in its nearest list, and in the next ones whose centroids are hardly farther."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        between = model.distances(model.points)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = pa.Table.from_batches([batch.slice(at, 4096)])
                 away = model.distances(model.lifted(matrix(part.column("vector"))))
-                order = np.argpartition(away, min(copies * 2, away.shape[1] - 1), 1)[:, : copies * 2]
-                order = np.take_along_axis(order, np.argsort(np.take_along_axis(away, order, 1), 1, kind="stable"), 1)
-                where, rows = [], []
-                for i, choice in enumerate(order):
-                    chosen: list[int] = []
-                    for c in choice:
-                        if len(chosen) < copies and away[i, c] <= ratio * away[i, choice[0]] and all(between[c, x] >= away[i, c] * 0.6 for x in chosen):
-                            chosen.append(int(c))
-                    where += chosen
-                    rows += [i] * len(chosen)
-                out = part.take(pa.array(rows, pa.int64())).append_column("list", pa.array(where, pa.int32()))
+                order = np.argsort(away, 1, kind="stable")[:, :copies]
+                near = np.take_along_axis(away, order, 1)
+                rows, which = np.nonzero(near <= ratio * near[:, :1])
+                where = order[rows, which]
+                out = part.take(pa.array(rows, pa.int64())).append_column("list", pa.array(where.astype(np.int32)))
                 yield from out.combine_chunks().to_batches()
 
     return run
@@ -182,7 +175,7 @@ def _scored(k: int) -> Callable:
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int = 20_000, lists: int | None = None, max_lists: int = 1024, post_ratio: float = 1.1, copies: int = 3, probe_ratio: float = 1.4, probe_share: float = 0.3, min_probes: int = 24) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int = 20_000, lists: int | None = None, max_lists: int = 1024, post_ratio: float = 1.2, copies: int = 4, probe_ratio: float = 1.4, probe_share: float = 0.4, min_probes: int = 8) -> DataFrame:
     """query_id, rank, vec_id, score: for each query about the k candidates with the largest inner product (score, in
     double precision), ties to the smaller vec_id. Candidates are all rows with another vec_id.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from popspark.llm import ann, binary_output, exact_topk, line_dedup, near_dedup, packing, quality, substring_dedup
+from popspark.llm import ann, binary_output, chat, exact_topk, line_dedup, near_dedup, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -10,8 +10,9 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_chat": chat.op7_chat,
     "op8_ann": ann.op8_ann,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_binary_output": binary_output.op10_binary_output,
 }
-SQL = {"op1_line_dedup": line_dedup.SQL, "op2_exact_topk": exact_topk.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op2_exact_topk": exact_topk.SQL, "op7_chat": chat.SQL}
