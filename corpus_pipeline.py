@@ -1 +1,68 @@
-STAGES = []
+"""From raw documents to packed sequences: each stage reads what the one before it wrote."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from popspark.llm.common import shared_dir, table
+from popspark.llm.line_dedup import line_dedup
+from popspark.llm.mixing import mix
+from popspark.llm.near_dedup import near_dedup
+from popspark.llm.packing import retrieval_pack
+from popspark.llm.quality import quality_scores
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, trained on the labels, does not reject."""
+    return quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that others keep; n_chars follows the text."""
+    return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    return near_dedup(docs, ngram=5, num=80, den=100).select(*COLUMNS)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Four fifths of the tokens, in target weights and one epoch; a document that its leaf's prefix reaches stays whole."""
+    return mix(docs, per_mille=800, epochs=1).select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document in its sequence."""
+    return retrieval_pack(docs, with_ids=False)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("line_dedup", lines),
+    ("near_dedup", near_duplicates),
+    ("mixing", mixture),
+    ("packing", packing),
+]
+
+#: SQL can express neither the classifier nor the packing.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each gives is written to the shared checkpoint folder and read again."""
+    shared_dir(spark)
+    where = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{where}/{k}-{name}")
+            docs = spark.read.parquet(f"{where}/{k}-{name}")
+    return docs

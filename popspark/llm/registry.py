@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from popspark.llm import ann, binary_output, chat, exact_topk, line_dedup, near_dedup, packing, quality, substring_dedup
+import corpus_pipeline
+from popspark.llm import ann, binary_output, chat, exact_topk, line_dedup, mixing, near_dedup, packing, quality, substring_dedup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_exact_topk": exact_topk.op2_exact_topk,
+    "op3_mixing": mixing.op3_mixing,
     "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_chat": chat.op7_chat,
     "op8_ann": ann.op8_ann,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "pipeline": corpus_pipeline.run,
     "op10_binary_output": binary_output.op10_binary_output,
 }
-SQL = {"op1_line_dedup": line_dedup.SQL, "op2_exact_topk": exact_topk.SQL, "op7_chat": chat.SQL}
+SQL = {"op1_line_dedup": line_dedup.SQL, "op2_exact_topk": exact_topk.SQL, "op3_mixing": mixing.SQL, "op7_chat": chat.SQL}
