@@ -9,15 +9,23 @@ import numpy as np
 
 @dataclass(frozen=True)
 class Tables:
-    """initial[s], stay[s] (no recombination), move[s, d] (recombination), emit[s, b, a]: natural logarithms.
+    """initial[s], stay[s] (no recombination), move[s, d] (recombination), emit[s, b, a]: natural logarithms; deme[s].
 
-    For each state, stay and the row of move add up to one. b is the trunk's allele, a the additional haplotype's.
+    For each state, stay and the row of move add up to one. b is the trunk's allele, a the additional haplotype's. A state
+    is an interval of time and a present deme, from which the haplotype that is joined comes.
     """
 
     initial: np.ndarray
     stay: np.ndarray
     move: np.ndarray
     emit: np.ndarray
+    deme: np.ndarray
+
+    def shares(self, demes: list[int]) -> np.ndarray:
+        """ln of each trunk haplotype's share of a state's deme [s, h]; minus infinity in other demes."""
+        own = self.deme[:, None] == np.asarray(demes)[None]
+        with np.errstate(divide="ignore"):
+            return np.where(own, -np.log(np.maximum(own.sum(1, keepdims=True), 1)), -np.inf)
 
 
 def log_sum(x: np.ndarray, axis: int | tuple[int, ...] | None = None) -> np.ndarray:
@@ -32,10 +40,9 @@ def emissions(counts: np.ndarray, tables: Tables) -> np.ndarray:
     return np.einsum("thab,sba->tsh", counts, np.maximum(tables.emit, -1e300))
 
 
-def forward(counts: np.ndarray, tables: Tables, shares: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+def forward(counts: np.ndarray, tables: Tables, share: np.ndarray) -> tuple[np.ndarray, float]:
     """(F[t, s, h], ln likelihood). A step costs S*S + S*H: haplotypes are summed out before states are crossed."""
     e = emissions(counts, tables)
-    share = np.log(shares) if shares is not None else np.full(counts.shape[1], -np.log(counts.shape[1]))
     out = np.empty_like(e)
     out[0] = tables.initial[:, None] + share + e[0]
     for t in range(1, len(e)):
@@ -44,10 +51,9 @@ def forward(counts: np.ndarray, tables: Tables, shares: np.ndarray | None = None
     return out, float(log_sum(out[-1]))
 
 
-def backward(counts: np.ndarray, tables: Tables, shares: np.ndarray | None = None) -> np.ndarray:
+def backward(counts: np.ndarray, tables: Tables, share: np.ndarray) -> np.ndarray:
     """B[t, s, h]: ln probability of what follows step t."""
     e = emissions(counts, tables)
-    share = np.log(shares) if shares is not None else np.full(counts.shape[1], -np.log(counts.shape[1]))
     out = np.zeros_like(e)
     for t in range(len(e) - 2, -1, -1):
         ahead = out[t + 1] + e[t + 1]
@@ -55,12 +61,11 @@ def backward(counts: np.ndarray, tables: Tables, shares: np.ndarray | None = Non
     return out
 
 
-def backward_stats(counts: np.ndarray, tables: Tables, shares: np.ndarray | None = None) -> tuple[float, tuple[np.ndarray, ...]]:
+def expected(counts: np.ndarray, tables: Tables, share: np.ndarray) -> tuple[float, tuple[np.ndarray, ...]]:
     """(ln likelihood, (initial[s], stay[s], move[s, d], emit[s, b, a])), expected counts over the whole chunk."""
-    f, total = forward(counts, tables, shares)
-    b = backward(counts, tables, shares)
+    f, total = forward(counts, tables, share)
+    b = backward(counts, tables, share)
     e = emissions(counts, tables)
-    share = np.log(shares) if shares is not None else np.full(counts.shape[1], -np.log(counts.shape[1]))
     posterior = np.exp(f + b - total)
     ahead = (b + e)[1:]
     stay = np.exp(f[:-1] + tables.stay[:, None] + ahead - total).sum((0, 2))
@@ -68,3 +73,9 @@ def backward_stats(counts: np.ndarray, tables: Tables, shares: np.ndarray | None
     move = np.exp(out_of[:, :, None] + tables.move + into[:, None, :] - total).sum(0)
     emit = np.einsum("tsh,thab->sba", posterior, counts)
     return total, (posterior[0].sum(1), stay, move, emit)
+
+
+def gain(stats: tuple[np.ndarray, ...], tables: Tables) -> float:
+    """The expected log-likelihood of the counts under other tables, but for what does not depend on them."""
+    parts = (tables.initial, tables.stay, tables.move, tables.emit)
+    return float(sum((s * np.maximum(t, -1e6)).sum() for s, t in zip(stats, parts, strict=True)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_sum_exp
-from popspark.model.hmm import Tables, backward_stats, forward
+from popspark.model.hmm import Tables, expected, forward
 
 
 def absorption(haps: DataFrame) -> DataFrame:
@@ -37,47 +37,73 @@ def chunk_likelihood(csds: DataFrame) -> DataFrame:
 def step_tensors(counts: DataFrame, csds: DataFrame) -> DataFrame:
     """One row for each CSD and chunk: (chunk, perm, csd, add, trunk, factor, cells), cells being its pair counts, packed.
 
-    counts: (chunk, step, add, trunk, a, b, n). A CSD takes the pairs of its own haplotype and its trunk's.
+    counts: (chunk, step, add, trunk, a, b, n). A CSD takes the pairs of its own haplotype and its trunk's. Those with an
+    empty trunk have no pairs, and no row.
     """
     pairs = csds.select("perm", "csd", "factor", "add", "trunk", F.explode("trunk").alias("other"))
     cells = counts.withColumnRenamed("trunk", "other")
     slot = (F.array_position("trunk", F.col("other")) - 1).cast("int")
-    packed = F.struct(F.col("step").cast("int").alias("step"), slot.alias("slot"), "a", "b", F.col("n").cast("int").alias("n"))
+    packed = F.struct(F.col("step").cast("int").alias("step"), slot.alias("slot"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("n").cast("int").alias("n"))
     joined = pairs.join(cells, ["add", "other"]).select("chunk", "perm", "csd", "add", "trunk", "factor", packed.alias("cell"))
     return joined.groupBy("chunk", "perm", "csd", "add", "trunk", "factor").agg(F.collect_list("cell").alias("cells"))
 
 
+Key = tuple[tuple[int, ...], int]
+
+
+def table_key(add: int, trunk: list[int], demes: dict[int, int], n_demes: int) -> Key:
+    """CSDs whose trunks have as many haplotypes of each deme, and whose own haplotypes have one deme, share their tables."""
+    counts = [0] * n_demes
+    for h in trunk:
+        counts[demes[h]] += 1
+    return tuple(counts), demes[add]
+
+
 def _dense(cells: pa.Scalar, n_trunk: int, n_alleles: int, n_steps: int | None) -> np.ndarray:
     """counts[step, slot, a, b]."""
-    flat = cells.values.flatten()
-    step, slot, a, b, n = (np.asarray(x) for x in flat)
+    step, slot, a, b, n = (np.asarray(x) for x in cells.values.flatten())
     out = np.zeros((n_steps or int(step.max()) + 1, n_trunk, n_alleles, n_alleles))
     np.add.at(out, (step, slot, a, b), n)
     return out
 
 
-def evaluated(tensors: DataFrame, tables: Tables, n_alleles: int, with_stats: bool = False, n_steps: int | None = None) -> DataFrame:
-    """ln likelihood of each CSD, and with ``with_stats`` its expected counts (flat arrays: initial, stay, move, emit).
+def evaluated(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, n_steps: int | None = None) -> DataFrame:
+    """(chunk, perm, csd, factor, loglik) of each CSD, and with ``with_stats`` its key and expected counts, as flat arrays.
 
-    A row holds one CSD's packed counts, so tasks are CSDs and chunks; tables are a few dense matrices of fixed size.
+    A row holds one CSD's packed counts, so tasks are CSDs and chunks; tables are a few dense matrices for each kind of CSD.
     """
+    names = ["chunk", "perm", "csd", "factor", "loglik"] + ["key", "initial", "stay", "move", "emit"] * with_stats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            loglik, stats = [], [[], [], [], []]
-            for cells, trunk in zip(batch.column("cells"), batch.column("trunk").to_pylist(), strict=True):
+            loglik, keys, stats = [], [], [[], [], [], []]
+            for cells, add, trunk in zip(batch.column("cells"), batch.column("add").to_pylist(), batch.column("trunk").to_pylist(), strict=True):
+                key = table_key(add, trunk, demes, n_demes)
+                share = tables[key].shares([demes[h] for h in trunk])
                 counts = _dense(cells, len(trunk), n_alleles, n_steps)
                 if with_stats:
-                    value, found = backward_stats(counts, tables)
+                    value, found = expected(counts, tables[key], share)
+                    keys.append(repr(key))
                     for column, x in zip(stats, found, strict=True):
                         column.append(x.ravel().tolist())
                 else:
-                    value = forward(counts, tables)[1]
+                    value = forward(counts, tables[key], share)[1]
                 loglik.append(value)
-            columns = [*(batch.column(c) for c in ("chunk", "perm", "csd", "factor")), pa.array(loglik, pa.float64())]
-            columns += [pa.array(c, pa.list_(pa.float64())) for c in stats] if with_stats else []
+            columns = [batch.column("chunk").cast(pa.int32()), batch.column("perm").cast(pa.int32()), batch.column("csd").cast(pa.int32()), batch.column("factor"), pa.array(loglik, pa.float64())]
+            if with_stats:
+                columns += [pa.array(keys, pa.string())] + [pa.array(c, pa.list_(pa.float64())) for c in stats]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    names = ["chunk", "perm", "csd", "factor", "loglik"] + ["initial", "stay", "move", "emit"] * with_stats
-    kinds = "chunk int, perm int, csd int, factor double, loglik double" + ", initial array<double>, stay array<double>, move array<double>, emit array<double>" * with_stats
+    kinds = "chunk int, perm int, csd int, factor double, loglik double" + ", key string, initial array<double>, stay array<double>, move array<double>, emit array<double>" * with_stats
     return tensors.mapInArrow(run, kinds)
+
+
+def summed_stats(found: DataFrame) -> DataFrame:
+    """Expected counts by key, kind and place, each CSD weighted by its factor and its permutation's share of the chunk."""
+    perms = found.groupBy("chunk", "perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("total"))
+    chunks = log_sum_exp(perms, ["chunk"], "total", "whole")
+    weights = perms.join(chunks, "chunk").select("chunk", "perm", F.exp(F.col("total") - F.col("whole")).alias("weight"))
+    rows = found.join(weights, ["chunk", "perm"]).withColumn("w", F.col("factor") * F.col("weight"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in ("initial", "stay", "move", "emit")]))
+    flat = rows.select("key", "w", kinds.alias("x")).select("key", "w", "x.kind", F.posexplode("x.values").alias("place", "value"))
+    return flat.groupBy("key", "kind", "place").agg(F.sum(F.col("w") * F.col("value")).alias("value"))

@@ -1 +1 @@
-
+"""Readers of variant, reference, mask, layout and model files."""
