@@ -15,7 +15,7 @@ SOURCE_WEIGHTS: dict[str, int] = {}
 OTHER = 100
 LEVELS = ("domain", "lang", "source")
 #: Documents of a leaf that one range of the seeded order holds, about.
-RANGE = 20_000
+RANGE = 2000
 
 
 def domain_of(source: Column) -> Column:
@@ -102,7 +102,7 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     leaf = [*LEVELS, "epoch"]
     sums = turns.groupBy(*leaf, "range").agg(F.sum("tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*leaf).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # One row for each range: about a twenty-thousandth of the documents.
+    # One row for each range: as many as there are documents by RANGE.
     starts = sums.withColumn("before", before).select(*leaf, "range", "before")
     inside = Window.partitionBy(*leaf, "range").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = turns.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(starts, [*leaf, "range"])
