@@ -13,7 +13,7 @@ def log_uniform(numbers: list[float]) -> list[float]:
     counts, points = [int(x) for x in numbers[:m]], numbers[m:]
     if len(points) != m + 1:
         raise ValueError("m counts need m + 1 points")
-    inner = [np.exp(np.log(a) + np.arange(n) / n * (np.log(b) - np.log(a))).tolist() for n, a, b in zip(counts, points[:-1], points[1:], strict=True)]
+    inner = [(a * (b / a) ** (np.arange(n) / n)).tolist() for n, a, b in zip(counts, points[:-1], points[1:], strict=True)]
     return [0.0, *(x for part in inner for x in part), points[-1], INF]
 
 

@@ -89,11 +89,11 @@ def ingest(
     loci = bases.select("chunk", "start", F.posexplode(F.split("bases", "")).alias("i", "base")).where("base <> ''").select("chunk", (F.col("start") + F.col("i")).alias("pos"), base_code.cast("int").alias("allele"))
     if regions is not None:
         open_loci = V.unmasked(loci.select("chunk", "pos"), regions).withColumn("open", F.lit(True))
-        loci = loci.join(open_loci, ["chunk", "pos"], "left").select("chunk", "pos", F.when("open", F.col("allele")).alias("allele"))
+        loci = loci.join(open_loci, ["chunk", "pos"], "left").select("chunk", "pos", F.when(F.col("open"), F.col("allele")).alias("allele"))
     blank = lines.where("status in ('filter_failed', 'too_many_alleles')").select("chunk", "pos", F.lit(None).cast("int").alias("new"))
     seen = still.select("chunk", "pos", F.col("allele").alias("new")).unionByName(blank).withColumn("seen", F.lit(True))
     folded = loci.join(segregating.select("chunk", "pos"), ["chunk", "pos"], "left_anti").join(seen, ["chunk", "pos"], "left")
-    return Ingested(segregating, folded.select("chunk", "pos", F.when("seen", F.col("new")).otherwise(F.col("allele")).alias("allele")), lines.select("chunk", "line_no", "pos", "ref", "status"))
+    return Ingested(segregating, folded.select("chunk", "pos", F.when(F.col("seen"), F.col("new")).otherwise(F.col("allele")).alias("allele")), lines.select("chunk", "line_no", "pos", "ref", "status"))
 
 
 def sequences(spark: SparkSession, paths: list[str], layout: Layout, alleles: list[str] | None = None) -> DataFrame:
