@@ -85,3 +85,46 @@ def em_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (forward_two_state, csd_likelihoods, expected_counts, grid_likelihoods, em_path)}
 SQL = {"forward_two_state": FORWARD_SQL}
+
+
+def posterior_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior probability of each hidden state at every second block of each leave-one-out CSD."""
+    data, model = _data(spark, sf_dir, "lol", TWO, {0: 0, 1: 0, 2: 1, 3: 1})
+    found = model.tables([0.3, 1.0, 0.8, 0.5, 1.2], data.keys)
+    return likelihood.posteriors(data.tensors, found, model.demes, model.n_demes, 2, every=2, n_steps=data.n_steps)
+
+
+def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair counts of contigs that arrive as files of a stream."""
+    import uuid
+
+    from popspark.jobs.table_queries import genotypes
+    from popspark.streaming.contigs import count_arrivals
+
+    where = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    rows = genotypes(spark, sf_dir)
+    # A folder for each contig, as a sequencing run would leave them.
+    rows.repartition("chunk").write.parquet(f"{where}/in")
+    count_arrivals(spark, f"{where}/in", rows.schema, HAPS, LOCI, f"{where}/out", f"{where}/state").awaitTermination()
+    return spark.read.parquet(f"{where}/out").drop("batch")
+
+
+def _shared(spark: SparkSession) -> str:
+    if not spark.sparkContext.getCheckpointDir():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="popspark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def contigs_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutations summed once over all contigs."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 5).alias("perm"), (1 + F.col("o_orderkey") % 3).alias("factor"), (-F.col("o_totalprice") / 1e7).alias("loglik"))
+    return likelihood.across_contigs(rows).select(F.round("loglik", 6).alias("loglik"))
+
+
+QUERIES |= {f.__name__: f for f in (posterior_decoding, streamed_counts, contigs_together)}
+SQL |= {
+    "streamed_counts": f"with {PAIRS} select * from pairs",
+    "contigs_together": "with p as (select o_orderkey % 5 as perm, sum((1 + o_orderkey % 3) * -o_totalprice / 1e7) as l from orders group by 1) select round(max(m) + ln(sum(exp(l - m))), 6) as loglik from (select l, max(l) over () as m from p)",
+}

@@ -79,3 +79,28 @@ def gain(stats: tuple[np.ndarray, ...], tables: Tables) -> float:
     """The expected log-likelihood of the counts under other tables, but for what does not depend on them."""
     parts = (tables.initial, tables.stay, tables.move, tables.emit)
     return float(sum((s * np.maximum(t, -1e6)).sum() for s, t in zip(stats, parts, strict=True)))
+
+
+def doubled(tables: Tables, between: np.ndarray) -> Tables:
+    """Tables of two steps at once, where between[s] is the ln emission of the step in the middle, equal for all haplotypes.
+
+    What neither step moves has stayed; all else has moved, as a haplotype is drawn anew with every move.
+    """
+    stay, move = tables.stay, tables.move
+    through = log_sum(move[:, :, None] + between[None, :, None] + move[None], 1)
+    once = np.logaddexp((stay + between)[:, None] + move, move + (between + stay)[None])
+    return Tables(tables.initial, stay + between + stay, np.logaddexp(once, through), tables.emit, tables.deme)
+
+
+def jump_tables(tables: Tables, between: np.ndarray, highest: int) -> list[Tables]:
+    """Tables of 1, 2, 4, ... steps, so that a run of steps without segregating sites takes as many jumps as its length has bits."""
+    out = [tables]
+    for _ in range(highest):
+        out.append(doubled(out[-1], between))
+    return out
+
+
+def decoded(counts: np.ndarray, tables: Tables, share: np.ndarray) -> np.ndarray:
+    """The posterior probability of each state at each step, summed over haplotypes: [t, s]."""
+    f, total = forward(counts, tables, share)
+    return np.exp(f + backward(counts, tables, share) - total).sum(2)

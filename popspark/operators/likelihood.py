@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_sum_exp
-from popspark.model.hmm import Tables, expected, forward
+from popspark.model.hmm import Tables, decoded, expected, forward
 
 
 def absorption(haps: DataFrame) -> DataFrame:
@@ -107,3 +107,26 @@ def summed_stats(found: DataFrame) -> DataFrame:
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in ("initial", "stay", "move", "emit")]))
     flat = rows.select("key", "w", kinds.alias("x")).select("key", "w", "x.kind", F.posexplode("x.values").alias("place", "value"))
     return flat.groupBy("key", "kind", "place").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+
+
+def across_contigs(csds: DataFrame) -> DataFrame:
+    """The likelihood in which permutations are summed once over all contigs, instead of contig by contig."""
+    perms = csds.groupBy("perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("total"))
+    return log_sum_exp(perms.withColumn("all", F.lit(0)), ["all"], "total", "loglik").drop("all")
+
+
+def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, every: int = 1, n_steps: int | None = None) -> DataFrame:
+    """(chunk, perm, csd, step, state, probability) at every ``every``-th step of each CSD."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "add", "trunk")), batch.column("cells"), strict=True)
+            for chunk, perm, number, add, trunk, cells in rows:
+                key = table_key(add, trunk, demes, n_demes)
+                p = decoded(_dense(cells, len(trunk), n_alleles, n_steps), tables[key], tables[key].shares([demes[h] for h in trunk]))[::every]
+                steps, states = p.shape
+                same = [pa.array(np.full(p.size, x, np.int32)) for x in (chunk, perm, number)]
+                places = [pa.array(np.repeat(np.arange(steps, dtype=np.int32) * every, states)), pa.array(np.tile(np.arange(states, dtype=np.int32), steps))]
+                yield pa.RecordBatch.from_arrays([*same, *places, pa.array(p.ravel())], ["chunk", "perm", "csd", "step", "state", "probability"])
+
+    return tensors.mapInArrow(run, "chunk int, perm int, csd int, step int, state int, probability double")

@@ -113,3 +113,33 @@ def sequences(spark: SparkSession, paths: list[str], layout: Layout, alleles: li
     code = F.array_position(F.array(*map(F.lit, letters)), F.upper("letter")) - 1
     picked = rows.select("chunk", F.col("pos").cast("long").alias("pos"), places[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele")).where("hap is not null")
     return S.site_table(picked, len(layout.used))
+
+
+def line_counters(ingested: Ingested) -> DataFrame:
+    """How many lines each contig has of each status; the counts add up to its lines."""
+    return ingested.lines.groupBy("chunk", "status").agg(F.count("*").alias("n"))
+
+
+SECTIONS = ("NUM LOCI", "REFERENCE", "SEGREGATING SITES", "HAPLOTYPES")
+
+
+def compressed_sequences(spark: SparkSession, path: str, layout: Layout, alleles: list[str] | None = None) -> DataFrame:
+    """A file of sections (NUM LOCI; REFERENCE, where x marks a segregating site, or SEGREGATING SITES, a list of positions;
+    HAPLOTYPES, a line of letters at those sites for each) as sites (chunk, pos, alleles) of the used haplotypes."""
+    from pyspark.sql import Window
+
+    letters = alleles or list(V.ALLELES)
+    lines = chunked_lines(spark, [path]).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
+    # The lines before the haplotypes are few; a section's name holds for the lines after it.
+    order = Window.partitionBy("chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    name = F.when(F.upper(F.trim("value")).isin(*SECTIONS), F.upper(F.trim("value")))
+    parts = lines.withColumn("title", name).withColumn("section", F.last("title", ignorenulls=True).over(order)).where("title is null")
+    marked = parts.where("section = 'REFERENCE'").select("chunk", F.posexplode(F.split(F.trim("value"), "")).alias("pos", "c")).where("lower(c) = 'x'").select("chunk", F.col("pos").cast("long").alias("pos"))
+    named = parts.where("section = 'SEGREGATING SITES'").select("chunk", F.explode(F.split(F.trim("value"), r"\s+")).alias("p")).select("chunk", F.col("p").cast("long").alias("pos"))
+    places = marked.unionByName(named).withColumn("i", F.row_number().over(Window.partitionBy("chunk").orderBy("pos")) - 1)
+    rows = parts.where("section = 'HAPLOTYPES'").withColumn("row", F.row_number().over(Window.partitionBy("chunk").orderBy("line_no")) - 1)
+    cells = rows.select("chunk", "row", F.posexplode(F.split(F.trim("value"), "")).alias("i", "letter")).where("letter <> ''")
+    haps = F.create_map(*[F.lit(x) for k, h in enumerate(layout.used) for x in (h, k)])
+    code = F.array_position(F.array(*map(F.lit, letters)), F.upper("letter")) - 1
+    picked = cells.join(places, ["chunk", "i"]).select("chunk", "pos", haps[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele")).where("hap is not null")
+    return S.site_table(picked, len(layout.used))

@@ -1 +1 @@
-
+"""Contigs that arrive over time."""

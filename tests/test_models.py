@@ -123,3 +123,23 @@ def test_em_and_search(spark):
     best = [max(r["loglik"] for r in rows if r["generation"] == g) for g in (0, 1)]
     assert best[1] >= best[0] and likelihoods(data, model, {0: [9.0, 9.0]}).count() == 0
     assert m_step({}, model, [1.0, 1.0], 3) == [1.0, 1.0]
+
+
+def test_doubling():
+    """Jumping over blocks without segregating sites gives what going through them gives."""
+    t = random_tables(3, 1, 4)
+    share = t.shares([0, 0])
+    counts = np.zeros((9, 2, 2, 2))
+    counts[:, :, 0, 0] = 2.0
+    counts[[0, 8], 0, 0, 1] = 1.0
+    _, plain = hmm.forward(counts, t, share)
+    between = t.emit[:, 0, 0] * 2
+    jump = hmm.jump_tables(t, between, 3)[3]
+    _, skipped = hmm.forward(counts[[0, 8]], hmm.Tables(t.initial, jump.stay, jump.move, t.emit, t.deme), share)
+    assert np.isclose(plain, skipped)
+
+
+def test_decoding():
+    t = random_tables(3, 1, 6)
+    counts = np.random.default_rng(1).integers(0, 3, (6, 2, 2, 2)).astype(float)
+    assert np.allclose(hmm.decoded(counts, t, t.shares([0, 0])).sum(1), 1)

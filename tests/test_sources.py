@@ -148,3 +148,30 @@ def test_demographies():
     params = M.parse_params("0.0005\n0.0005\n0 2\n2 0\n")
     raised = M.with_least_migration(M.parse_demography(DEMOGRAPHY.replace("?6", "0").replace("?5", "1")), params)
     assert raised.epochs[0].migration[0][1] == 0.005 * 0.0005
+
+
+def test_compressed(spark, study):
+    layout = L.parse_layout("6 4 1\n1\n1\n0\n")
+    one = study("c.txt", "NUM LOCI\n6\nREFERENCE\nAxCGxA\nHAPLOTYPES\nAC\nTN\nGG\n")
+    other = study("d.txt", "NUM LOCI\n6\nSEGREGATING SITES\n1 4\nHAPLOTYPES\nAC\nTN\nGG\n")
+    for path in (one, other):
+        got = VCF.compressed_sequences(spark, path, layout)
+        assert [(r.pos, r.alleles) for r in got.orderBy("pos").collect()] == [(1, [0, 3]), (4, [1, None])]
+
+
+def test_whole_study(spark, study, tmp_path):
+    from popspark.jobs.cli import main
+
+    args = {"vcf": study("a.vcf", VARIANTS), "reference": study("a.fa", BASES), "layout": study("a.config", EIGHT), "params": study("a.param", "0.01\n0.01\n0 1\n1 0\n"), "demography": study("a.demo", "[0.2]\n{{0}}\n?0\nnull\n0\n{{0}}\n1\nnull\n0\n")}
+    flat = [y for k, v in args.items() for y in (f"--{k}", v)]
+    more = ["--filter-pass", ".", "--loci-per-step", "3", "--interval-params", "2,0.1,1", "--likelihood", "lol"]
+    main(spark, [*flat, *more, "--start", "1", "--em-iterations", "1", "--m-iterations", "3", "--out", str(tmp_path / "em")])
+    path = spark.read.parquet(str(tmp_path / "em")).orderBy("em_step").collect()
+    assert len(path) == 2 and path[1].loglik >= path[0].loglik
+    main(spark, [*flat, *more, "--bounds", "0.5,2", "--grid", "2", "--out", str(tmp_path / "grid")])
+    assert spark.read.parquet(str(tmp_path / "grid")).count() == 2
+
+
+def test_counters(spark, study):
+    got = ingest(spark, study, VARIANTS.replace("98 .", "98 low"))
+    assert {r.status: r.n for r in VCF.line_counters(got).collect()} == {"usable": 3, "filter_failed": 1}
