@@ -61,7 +61,9 @@ class ByteTokens:
         self.bytes += [START.encode(), END.encode()]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of each text; a few texts at a time, as the library's own results are many times as large as the ids."""
+        parts = (self.tokenizer.encode_batch(texts[i : i + 128], add_special_tokens=False) for i in range(0, len(texts), 128))
+        return [e.ids for part in parts for e in part]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()
@@ -107,7 +109,7 @@ def _tokenized(path: str) -> Callable:
             stop = [x + len(b) if r == ASSISTANT else x for x, b, r in zip(begin, bodies, roles, strict=True)]
             raw = pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
             numbers = [pa.array(x, pa.int32()) for x in ([len(x) for x in ids], begin, stop)]
-            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("depth"), raw, *numbers], ["path", "depth", "ids", "n_tokens", "loss_start", "loss_stop"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "depth", "conv")), raw, *numbers], ["path", "depth", "conv", "ids", "n_tokens", "loss_start", "loss_stop"])
 
     return run
 
@@ -131,22 +133,29 @@ def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     steps = whole.mapInArrow(_paths, "conv_id long, depth int, path binary, role string, text string")
-    distinct = steps.groupBy("path").agg(*[F.any_value(c).alias(c) for c in ("depth", "role", "text")])
-    tokens = distinct.mapInArrow(_tokenized(tokenizer or default_tokenizer()), "path binary, depth int, ids binary, n_tokens int, loss_start int, loss_stop int")
-    # Paths sort depth first: a beginning comes before what goes on from it, and its subtree stands together.
+    node = F.expr(f"substring(path, length(path) - {ID - 1}, {ID})")
+    conv = F.coalesce("conv_id", F.lit(-(2**63)))
+    # Each node has one conversation of those that go through it, whose earlier turns are its ancestors.
+    distinct = steps.groupBy("path").agg(F.min(conv).alias("conv"), *[F.any_value(c).alias(c) for c in ("depth", "role", "text")])
+    # Paths sort depth first: a beginning comes before what goes on from it, and its subtree stands together. Texts are made
+    # tokens where they stand then, so that finding the ranges does not tokenize them.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut(spark, tokens.repartitionByRange(parts, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
+    sorted_ = distinct.repartitionByRange(parts, "path").sortWithinPartitions("path")
+    kinds = "path binary, depth int, conv long, ids binary, n_tokens int, loss_start int, loss_stop int"
+    ranged = cut(spark, sorted_.mapInArrow(_tokenized(tokenizer or default_tokenizer()), kinds).withColumn("part", F.spark_partition_id()))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each partition.
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(totals.select("part", "before")), "part")
-    placed = cut(spark, placed.withColumn("start", F.col("within") + F.col("before")).withColumn("node", F.expr(f"substring(path, length(path) - {ID - 1}, {ID})")).drop("within", "before", "part"))
-
-    above = placed.where("depth > 1").select("node", "path", F.explode(F.expr("sequence(1, depth - 1)")).alias("level"))
-    above = above.select("node", "level", F.expr(f"substring(path, (level - 1) * {ID} + 1, {ID})").alias("ancestor"))
-    spans = placed.select(F.col("node").alias("ancestor"), "start", "n_tokens")
-    attends = above.join(spans, "ancestor").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start", (F.col("start") + F.col("n_tokens")).alias("stop")))).alias("attends"), F.sum("n_tokens").alias("position"))
+    placed = cut(spark, placed.withColumn("start", F.col("within") + F.col("before")).withColumn("node", node).drop("within", "before", "part"))
+
+    walks = steps.select(conv.alias("conv"), "depth", node.alias("node")).join(placed.select("node", "start", "n_tokens"), "node")
+    step = F.struct("depth", "start", (F.col("start") + F.col("n_tokens")).alias("stop"))
+    walks = walks.groupBy("conv").agg(F.sort_array(F.collect_list(step)).alias("walk"))
+    span = F.transform(F.slice("walk", 1, F.col("depth") - 1), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
+    attends = placed.where("depth > 1").select("node", "conv", "depth").join(walks, "conv").select("node", span.alias("attends"))
+    attends = attends.withColumn("position", F.aggregate("attends", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]))
     nodes = placed.join(attends, "node", "left").select(
         "node",
         F.expr(f"if(depth > 1, substring(path, length(path) - {2 * ID - 1}, {ID}), null)").alias("parent"),
@@ -154,9 +163,8 @@ def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple
         F.coalesce("attends", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("attends"),
         "ids", "loss_start", "loss_stop",
     )
-    ends = steps.groupBy("conv_id").agg(F.max(F.struct("depth", "path")).alias("last"))
-    ends = ends.select("conv_id", F.col("last.depth").alias("n_turns"), F.expr(f"substring(last.path, length(last.path) - {ID - 1}, {ID})").alias("node"))
-    leaves = ends.join(placed.select("node", "start"), "node").select("conv_id", "start", "n_turns")
+    last = F.element_at("walk", -1)
+    leaves = walks.select(F.when(F.col("conv") != -(2**63), F.col("conv")).alias("conv_id"), last["start"].alias("start"), F.size("walk").alias("n_turns"))
     return nodes, leaves
 
 
