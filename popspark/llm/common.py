@@ -17,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by their whole names, dots and all."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else; a string of ASCII alone takes the faster built-in."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm.common import SPACE, ascii_lower, hash128, table
+from popspark.llm.common import SPACE, ascii_lower, hash128, named, table
 
 
 def line_keys(lines: Column) -> Column:
@@ -31,19 +31,19 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
 
     def keyed(key: Column, i: Column) -> Column:
         a, b = hash128(key)
-        return F.when(F.length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b"), i.alias("pos")))
+        return F.when(F.length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b"), i.cast("long").alias("pos")))
 
-    keys = docs.select("doc_id", F.filter(F.transform(line_keys(lines), keyed), lambda x: x.isNotNull()).alias("keys"))
-    ordered = F.array_sort("keys")
-    first = F.transform(
-        ordered,
-        lambda x, i: F.struct(
-            x["a"].alias("a"),
-            x["b"].alias("b"),
-            ((i > 0) & (ordered[i - 1]["a"] == x["a"]) & (ordered[i - 1]["b"] == x["b"])).alias("again"),
-        ),
-    )
-    once = keys.select("doc_id", F.explode(F.filter(first, lambda x: ~F.coalesce(x["again"], F.lit(False)))).alias("k"))
+    # A place is the line's number and, below it, 32 bits of the text's hash, so that rows that repeat a doc_id stay apart.
+    low = F.lit(0xFFFFFFFF).cast("long")
+    version = F.xxhash64("text").bitwiseAND(low)
+    keys = docs.select("doc_id", version.alias("version"), F.transform(line_keys(lines), keyed).alias("all"))
+    placed = F.transform(F.filter("all", lambda x: x.isNotNull()), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.shiftleft(x["pos"], 32).bitwiseOR(F.col("version")).alias("pos")))
+    keys = keys.select("doc_id", placed.alias("keys"))
+    # Sorted in a projection of its own: a lambda that holds the sort would sort anew for every element.
+    ordered = keys.select("doc_id", F.array_sort("keys").alias("sorted"))
+    before = lambda i, c: F.col("sorted")[i - 1][c]
+    new = F.filter("sorted", lambda x, i: F.when(i == 0, True).otherwise((before(i, "a") != x["a"]) | (before(i, "b") != x["b"])))
+    once = ordered.select("doc_id", F.explode(new).alias("k"))
     shared = (
         once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b"))
         .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
@@ -57,18 +57,20 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataF
         .where(F.col("b").bitwiseXOR(F.col("other")) == 0)
         .where(F.col("doc_id") < F.col("keeper"))
         .groupBy("doc_id")
-        .agg(F.collect_set("pos").alias("drops"))
+        .agg(F.collect_set("pos").alias("_dropped"))
     )
-    none = F.array().cast("array<int>")
-    joined = docs.select(*clean, "text").join(drops, "doc_id", "left")
-    gone = F.coalesce("drops", none)
-    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
-    kept = F.array_join(F.transform(places, lambda i: lines[i]), "\n")
-    return joined.select(
-        *clean,
-        F.when(F.size(gone) > 0, kept).otherwise(F.coalesce("text", F.lit(""))).alias("text"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.size(gone).cast("long").alias("n_dropped"),
+    none = F.array().cast("array<bigint>")
+    own = F.filter(F.coalesce("_dropped", none), lambda x: x.bitwiseAND(low) == version)
+    joined = docs.select(*named(clean), "text").join(drops, "doc_id", "left")
+    # The text is split in a projection of its own, for the same reason.
+    parts = joined.select(*named(clean), F.coalesce("text", F.lit("")).alias("text"), lines.alias("_lines"), F.transform(own, lambda x: F.shiftrightunsigned(x, 32).cast("int")).alias("_gone"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
+    kept = F.array_join(F.transform(places, lambda i: F.col("_lines")[i]), "\n")
+    return parts.select(
+        *named(clean),
+        F.when(F.size("_gone") > 0, kept).otherwise(F.col("text")).alias("text"),
+        F.size("_lines").cast("long").alias("n_lines"),
+        F.size("_gone").cast("long").alias("n_dropped"),
     )
 
 
