@@ -100,13 +100,15 @@ def _posted(model: Centroids, ratio: float, copies: int) -> Callable:
                 rows, which = np.nonzero(near <= ratio * near[:, :1])
                 where = order[rows, which]
                 out = part.take(pa.array(rows, pa.int64())).append_column("list", pa.array(where.astype(np.int32)))
-                yield from out.combine_chunks().to_batches()
+                yield from out.append_column("first", pa.array(which == 0)).combine_chunks().to_batches()
 
     return run
 
 
-def _routed(model: Centroids, ratio: float, probes: int) -> Callable:
-    """The lists that a query visits: those whose centroids are at most ``ratio`` times as far as the nearest."""
+def _routed(model: Centroids, ratio: float, probes: int, firsts: np.ndarray, least: int) -> Callable:
+    """The lists that a query visits: those whose centroids are at most ``ratio`` times as far as the nearest, and then the
+    next ones until the rows that have them as their first list are ``least`` or all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,6 +120,9 @@ def _routed(model: Centroids, ratio: float, probes: int) -> Callable:
             for i, query in enumerate(rows):
                 found = model.nearest(query, probes)
                 chosen = [c for d, c in found if d <= ratio * found[0][0] + 1e-12]
+                if firsts[chosen].sum() < least:
+                    order = np.linalg.norm(model.points - query, axis=1).argsort(kind="stable")
+                    chosen = order[: int(np.searchsorted(np.cumsum(firsts[order]), least)) + 1].tolist()
                 where += chosen
                 own += [i] * len(chosen)
             out = pa.Table.from_batches([batch]).take(pa.array(own, pa.int64())).append_column("list", pa.array(where, pa.int32()))
@@ -198,11 +203,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int
     model = fitted(matrix(sample.column("vector")), common["longest"], lists or min(max_lists, round(math.sqrt(common["n"]))))
     probes = max(min_probes, math.ceil(probe_share * len(model.points)))
 
-    postings = cut(spark, rows.mapInArrow(_posted(model, post_ratio, copies), kinds))
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    routed = cut(spark, queries.mapInArrow(_routed(model, probe_ratio, probes), kinds))
+    postings = cut(spark, rows.mapInArrow(_posted(model, post_ratio, copies), kinds + ", first boolean"))
     # One row for each list, max_lists at most.
-    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    counts = postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("first").alias("firsts")).collect()
+    sizes, firsts = {r["list"]: r["n"] for r in counts}, np.zeros(len(model.points), np.int64)
+    for r in counts:
+        firsts[r["list"]] = r["firsts"]
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    routed = cut(spark, queries.mapInArrow(_routed(model, probe_ratio, probes, firsts, k + 1), kinds))
     total, loads = sum(sizes.values()), []
     tasks = max(12, -(-total // ROWS))
     heapq.heapify(heap := [(0, t) for t in range(tasks)])

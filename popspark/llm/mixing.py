@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from popspark.llm.common import WORD, table
+from popspark.llm.common import WORD, named, table
 
 #: A node's share among its siblings, in thousandths; names that are not listed have OTHER.
 DOMAIN_WEIGHTS = {"d0": 400, "d1": 300, "d2": 200, "d3": 100}
@@ -90,12 +90,12 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     added = {"domain", "epoch", "tokens", "taken", "leaf_start", "lang", "source"}
     clean = [c for c in docs.columns if c.lower() not in added]
     name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    known = docs.select(*clean, name("lang"), name("source"), domain_of(F.col("source")).alias("domain"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")).where("tokens > 0")
+    known = docs.select(*named(clean), name("lang"), name("source"), domain_of(F.col("source")).alias("domain"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")).where("tokens > 0")
     same = Window.partitionBy("doc_id").orderBy(*LEVELS, "tokens")
-    numbered = known.withColumn("_n", F.row_number().over(same)) if with_rows else known.withColumn("_n", F.lit(1))
+    numbered = known.withColumn("_mix_n", F.row_number().over(same)) if with_rows else known.withColumn("_mix_n", F.lit(1))
     leaves = known.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     goals = budgets(leaves, per_mille, epochs).select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.greatest(F.lit(1).cast("long"), F.expr(f"docs div {RANGE}")).alias("ranges"), "target")
-    lives = numbered.select(*LEVELS, "doc_id", "tokens", "_n").join(goals, list(LEVELS)).where("target > 0")
+    lives = numbered.select(*LEVELS, "doc_id", "tokens", "_mix_n").join(goals, list(LEVELS)).where("target > 0")
     turns = lives.withColumn("epoch", F.explode(F.expr(f"sequence(0, cast(least({epochs - 1}, (target - 1) div leaf_tokens) as int))")))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     turns = turns.withColumn("order", digest).withColumn("range", F.expr("(cast(conv(substring(`order`, 1, 8), 16, 10) as bigint) * ranges) div 4294967296"))
@@ -107,12 +107,12 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     inside = Window.partitionBy(*leaf, "range").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = turns.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(starts, [*leaf, "range"])
     placed = placed.withColumn("leaf_start", F.col("epoch") * F.col("leaf_tokens") + F.col("before") + F.col("within")).where("leaf_start < target")
-    taken = placed.withColumn("taken", F.least("tokens", F.col("target") - F.col("leaf_start"))).select(*LEVELS, "doc_id", "tokens", "epoch", "taken", "leaf_start", "_n")
+    taken = placed.withColumn("taken", F.least("tokens", F.col("target") - F.col("leaf_start"))).select(*LEVELS, "doc_id", "tokens", "epoch", "taken", "leaf_start", "_mix_n")
     if not with_rows:
-        return taken.drop("_n")
+        return taken.drop("_mix_n")
     # One shuffle of the texts, by doc_id alone; rows that repeat it are told apart by their number.
-    b = taken.select(F.col("doc_id").alias("_id"), F.col("_n").alias("_m"), "epoch", "taken", "leaf_start")
-    return numbered.join(b, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") - F.col("_m") == 0)).drop("_n", "_m", "_id")
+    b = taken.select(F.col("doc_id").alias("_mix_id"), F.col("_mix_n").alias("_mix_m"), "epoch", "taken", "leaf_start")
+    return numbered.join(b, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_n") - F.col("_mix_m") == 0)).drop("_mix_n", "_mix_m", "_mix_id")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

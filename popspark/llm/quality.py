@@ -160,6 +160,7 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int) -> Model:
     sample = known.where(remainder(F.col("doc_id")) != 0).select("doc_id", "quality", pick.alias("pick")).orderBy("pick", "doc_id").limit(fit_rows)
     # The sample has at most fit_rows rows of three numbers, so it can be broadcast whatever the corpus.
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("pick", "doc_id", "quality", "text")
+    found = found.groupBy("pick", "doc_id", "quality").agg(F.min("text").alias("text"))
     bits = found.mapInArrow(_featured, "pick long, doc_id long, quality int, bits binary").toArrow()
     order = sorted(zip(*(bits.column(c).to_pylist() for c in ("pick", "doc_id", "bits", "quality")), strict=True))[:fit_rows]
     rows = [np.flatnonzero(np.unpackbits(np.frombuffer(x[2], np.uint8))) for x in order]
@@ -180,7 +181,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thr
 
     Only the text makes the score. An n-gram counts as there or not there, scaled by its class log-count ratio, and each
     text's vector is brought to length 1; null and empty texts have the bias alone. Labels other than 0 and 1 and those of
-    the held-out fifth are not learned from; where a doc_id has both labels, 0 counts. Without labels every score is 0.5,
+    the held-out fifth are not learned from; where a doc_id has both labels, 0 counts, and where
+    it has several texts, the least one. Without labels every score is 0.5,
     with one label only all lean to it. An empty table gives no rows; other columns stay, but for score and predicted.
 
     ``fit_rows`` bounds the labelled sample, and each of its rows takes 16 KB, so what the driver gets has a bound; the

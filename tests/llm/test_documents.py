@@ -52,6 +52,11 @@ class TestLineDedup:
         assert (got[3].text, got[3].n_lines) == ("", 1) and (got[4].text, got[4].n_lines) == ("", 1)
         assert got[5].n_dropped == 0 and got[8].n_dropped == 0
 
+    def test_rows_of_one_id(self, spark):
+        docs = frame(spark, [f"{self.SHARED}\nx", f"y\n{self.SHARED}", self.SHARED, "z"], [1, 1, 2, 1]).withColumnRenamed("lang", "drops").withColumnRenamed("source", "a.b")
+        out = line_dedup(docs)
+        assert sorted(r.text for r in out.collect()) == sorted(["x", "y", self.SHARED, "z"]) and set(docs.columns) < set(out.columns)
+
     def test_repeated_rows_and_null_ids(self, spark):
         got = line_dedup(frame(spark, [self.SHARED] * 4, [7, 7, 7, None])).collect()
         assert all(r.text == self.SHARED for r in got)

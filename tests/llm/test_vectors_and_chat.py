@@ -94,7 +94,7 @@ class TestChat:
         talks[60] = [("a\nb\\", None), (None, "x")]
         rows = [(c, t, role, text, "x") for c, turns in talks.items() for t, (role, text) in enumerate(turns)]
         r.shuffle(rows)
-        rows += [(None, None, None, None, "x"), (61, 1, "user", "same turn"), (61, 1, "assistant", "same turn")]
+        rows += [(None, None, None, None, "x"), (61, 1, "user", "same turn", "x"), (61, 1, "assistant", "same turn", "x")]
         talks |= {None: [("", "")], 61: [("assistant", "same turn"), ("user", "same turn")]}
         df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, node string")
         nodes, leaves = prefix_tree(df)
