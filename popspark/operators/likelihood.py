@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_sum_exp
 from popspark.model.hmm import Tables, decoded, expected, forward
+from popspark.shipping import ship
 
 
 def absorption(haps: DataFrame) -> DataFrame:
@@ -72,6 +73,7 @@ def evaluated(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, in
 
     A row holds one CSD's packed counts, so tasks are CSDs and chunks; tables are a few dense matrices for each kind of CSD.
     """
+    ship(tensors.sparkSession)
     names = ["chunk", "perm", "csd", "factor", "loglik"] + ["key", "initial", "stay", "move", "emit"] * with_stats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +119,7 @@ def across_contigs(csds: DataFrame) -> DataFrame:
 
 def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, every: int = 1, n_steps: int | None = None) -> DataFrame:
     """(chunk, perm, csd, step, state, probability) at every ``every``-th step of each CSD."""
+    ship(tensors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
