@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import cut, table
 from popspark.llm.vectors import best, matrix, usable
+from popspark.shipping import ship
 
 #: Rows of a task at most, and queries of a task at most.
 ROWS, QUERIES = 65_536, 65_536
@@ -192,6 +193,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int
     lists. Lists are dealt to tasks of about ROWS rows; a list that is longer is split.
     """
     spark = vectors.sparkSession
+    ship(spark)
     rows = vectors.where("vec_id is not null").select("vec_id", "vector", F.size("vector").alias("dims"))
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x))
     common = rows.groupBy("dims").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).orderBy(F.desc("n"), "dims").first()

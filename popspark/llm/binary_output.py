@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from popspark.llm.common import table
 from popspark.llm.packing import Piece, tokenized
 from popspark.llm.tokens import default_tokenizer
+from popspark.shipping import ship
 
 
 class CapacityTree:
@@ -126,6 +127,7 @@ def pack_matrices(docs: DataFrame, tokenizer: str | None = None, window: int = 2
 
     Best-fit-decreasing runs over shards of about ``shard_tokens`` tokens, inside the task that read them: no shuffle.
     """
+    ship(docs.sparkSession)
     run = _packer(tokenizer or default_tokenizer(), window, end_id, pad_id, shard_tokens, with_ids)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids binary, positions binary" * with_ids)
 

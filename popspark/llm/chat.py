@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from popspark.llm.common import cut, table
+from popspark.shipping import ship
 
 START, END = "<|im_start|>", "<|im_end|>"
 #: The ids of the two control strings, after those of the vocabulary (50,257).
@@ -130,6 +131,7 @@ def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple
     before it is shuffled; the emission's offsets are sums within and over ranges of paths, in order.
     """
     spark = conversations.sparkSession
+    ship(spark)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     steps = whole.mapInArrow(_paths, "conv_id long, depth int, path binary, role string, text string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import table
 from popspark.llm.vectors import best, matrix, usable
+from popspark.shipping import ship
 
 #: Dimensions that are added up before candidates are judged again.
 DIMS = 8
@@ -98,6 +99,7 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     passes on k rows a query. The bounds are on rows, so a task's memory does not grow with the table, and it makes no
     difference how often a vector occurs.
     """
+    ship(vectors.sparkSession)
     rows = vectors.where("vec_id is not null").select("vec_id", "vector", F.size("vector").alias("dims"))
     queries = rows.where(is_query).groupBy("vec_id", "dims").agg(F.min("vector").alias("vector"))
     n, m = (x or 0 for x in rows.agg(F.count("*"), F.count_if(is_query)).first())

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from popspark.llm.common import cut, spread_join, table
 from popspark.llm.components import components
 from popspark.llm.words import mix, shingles, word_hashes
+from popspark.shipping import ship
 
 #: Registers of a sketch, mantissa bits of a register, and bands at most.
 REGISTERS, MANTISSA, BANDS = 96, 10, 24
@@ -263,6 +264,7 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
        once, under its least common key. Sketches travel first; full sets follow only for documents that have such a pair.
     """
     spark = docs.sparkSession
+    ship(spark)
     sketches = cut(spark, docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs binary, keys array<long>"))
     # Equal sets have equal sketches, so any row of a class will do.
     same = [F.any_value(c).alias(c) for c in ("n", "regs", "keys")]

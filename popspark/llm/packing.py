@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from popspark.llm.common import table
 from popspark.llm.tokens import default_tokenizer, word_tokens
+from popspark.shipping import ship
 
 K1, B = 1.2, 0.75
 #: Of a seed, as many of its rarest terms make the query.
@@ -195,6 +196,7 @@ def retrieval_pack(docs: DataFrame, tokenizer: str | None = None, window: int =
     BM25 index over about ``shard_tokens`` tokens. A shard lives in the task that read its documents, so nothing is
     shuffled, memory is bounded by the shard, and a lost task is simply run again with the same result.
     """
+    ship(docs.sparkSession)
     run = _packer(tokenizer or default_tokenizer(), window, end_id, shard_tokens, with_ids)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import table
 from popspark.llm.words import mix, windows, word_hashes
+from popspark.shipping import ship
 
 #: Indicators are hashed into so many bits; the last place is that of the bias.
 BITS = 17
@@ -188,6 +189,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thr
     ``fit_rows`` bounds the labelled sample, and each of its rows takes 16 KB, so what the driver gets has a bound; the
     weights have a fixed size. Scoring is one pass without a shuffle.
     """
+    ship(docs.sparkSession)
     model = trained(docs, labels, fit_rows)
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
     fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import cut, spread_join, table
 from popspark.llm.words import mix, windows, word_hashes
+from popspark.shipping import ship
 
 #: Words of a k-mer, the part of a window by which equal windows find each other.
 KMER = 12
@@ -156,6 +157,7 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
     Counts are partly made before each shuffle, and what repeats meets the anchors again in joins that Spark can split.
     Texts are shuffled once, for the unfolding and for the result.
     """
+    ship(docs.sparkSession)
     least = -(2**63)
     texts = docs.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), "text")
     edges = texts.mapInArrow(_edges(size, kmer), EDGES)
