@@ -162,10 +162,25 @@ def trained(docs: DataFrame, labels: DataFrame, fit_rows: int) -> Model:
     # The sample has at most fit_rows rows of three numbers, so it can be broadcast whatever the corpus.
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("pick", "doc_id", "quality", "text")
     found = found.groupBy("pick", "doc_id", "quality").agg(F.min("text").alias("text"))
-    bits = found.mapInArrow(_featured, "pick long, doc_id long, quality int, bits binary").toArrow()
-    order = sorted(zip(*(bits.column(c).to_pylist() for c in ("pick", "doc_id", "bits", "quality")), strict=True))[:fit_rows]
-    rows = [np.flatnonzero(np.unpackbits(np.frombuffer(x[2], np.uint8))) for x in order]
-    return fit(rows, np.array([x[3] for x in order], np.int64))
+    bits = found.mapInArrow(_featured, "pick long, doc_id long, quality int, bits binary")
+    # The sample meets in one task, whose memory its bound bounds; the driver gets the weights alone, 1 MB.
+    got = bits.repartition(1).mapInArrow(_fitted(fit_rows), "weight binary, square binary, bias double, slope double, offset double").first()
+    return Model(np.frombuffer(got["weight"], np.float32), np.frombuffer(got["square"], np.float32), got["bias"], got["slope"], got["offset"])
+
+
+def _fitted(fit_rows: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = []
+        for batch in batches:
+            for pick, doc_id, bits, y in zip(*(batch.column(c).to_pylist() for c in ("pick", "doc_id", "bits", "quality")), strict=True):
+                order.append((pick, doc_id, np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8))).astype(np.int32), y))
+        order = sorted(order, key=lambda x: x[:2])[:fit_rows]
+        m = fit([x[2] for x in order], np.array([x[3] for x in order], np.int64))
+        raw = [pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (m.weight, m.square)]
+        numbers = [pa.array([float(x)]) for x in (m.bias, m.slope, m.offset)]
+        yield pa.RecordBatch.from_arrays([*raw, *numbers], ["weight", "square", "bias", "slope", "offset"])
+
+    return run
 
 
 def _scored(model: Model) -> Callable:
@@ -186,7 +201,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thr
     it has several texts, the least one. Without labels every score is 0.5,
     with one label only all lean to it. An empty table gives no rows; other columns stay, but for score and predicted.
 
-    ``fit_rows`` bounds the labelled sample, and each of its rows takes 16 KB, so what the driver gets has a bound; the
+    ``fit_rows`` bounds the labelled sample, and each of its rows takes 16 KB, so the task that fits has a bound; the
     weights have a fixed size. Scoring is one pass without a shuffle.
     """
     ship(docs.sparkSession)
