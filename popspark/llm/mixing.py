@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from popspark.llm.common import WORD, named, table
+from popspark.llm.common import SPACE, WORD, cut, named, table
 
 #: A node's share among its siblings, in thousandths; names that are not listed have OTHER.
 DOMAIN_WEIGHTS = {"d0": 400, "d1": 300, "d2": 200, "d3": 100}
@@ -90,8 +90,12 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     added = {"domain", "epoch", "tokens", "taken", "leaf_start", "lang", "source"}
     clean = [c for c in docs.columns if c.lower() not in added]
     name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    known = docs.select(*named(clean), name("lang"), name("source"), domain_of(F.col("source")).alias("domain"), F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")).where("tokens > 0")
-    same = Window.partitionBy("doc_id").orderBy(*LEVELS, "tokens")
+    leaf_of = [name("lang"), name("source"), domain_of(F.col("source")).alias("domain"), F.xxhash64("text").alias("_mix_text")]
+    wordy = F.length(F.btrim("text", F.lit(SPACE))) > 0
+    # Words are counted once; after that only a few numbers for each document are read.
+    count = F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")
+    known = cut(docs.sparkSession, docs.where(wordy).select("doc_id", *leaf_of, count))
+    same = Window.partitionBy("doc_id").orderBy(*LEVELS, "_mix_text")
     numbered = known.withColumn("_mix_n", F.row_number().over(same)) if with_rows else known.withColumn("_mix_n", F.lit(1))
     leaves = known.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     goals = budgets(leaves, per_mille, epochs).select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.greatest(F.lit(1).cast("long"), F.expr(f"docs div {RANGE}")).alias("ranges"), "target")
@@ -111,8 +115,10 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     if not with_rows:
         return taken.drop("_mix_n")
     # One shuffle of the texts, by doc_id alone; rows that repeat it are told apart by their number.
-    b = taken.select(F.col("doc_id").alias("_mix_id"), F.col("_mix_n").alias("_mix_m"), "epoch", "taken", "leaf_start")
-    return numbered.join(b, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_n") - F.col("_mix_m") == 0)).drop("_mix_n", "_mix_m", "_mix_id")
+    rows = docs.where(wordy).select(*named(clean), *leaf_of).withColumn("_mix_m", F.row_number().over(same))
+    picks = taken.select(F.col("doc_id").alias("_mix_id"), "_mix_n", "tokens", "epoch", "taken", "leaf_start")
+    met = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_m") - F.col("_mix_n") == 0)
+    return rows.join(picks, met).drop("_mix_n", "_mix_m", "_mix_id", "_mix_text")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
