@@ -99,7 +99,10 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     numbered = known.withColumn("_mix_n", F.row_number().over(same)) if with_rows else known.withColumn("_mix_n", F.lit(1))
     leaves = known.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     goals = budgets(leaves, per_mille, epochs).select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.greatest(F.lit(1).cast("long"), F.expr(f"docs div {RANGE}")).alias("ranges"), "target")
-    lives = numbered.select(*LEVELS, "doc_id", "tokens", "_mix_n").join(goals, list(LEVELS)).where("target > 0")
+    # A key of its own beside the leaf's names: dealt by the names alone, the ranges below would stay where their leaf is.
+    digest_of_leaf = F.xxhash64(*LEVELS)
+    lives = numbered.select(*LEVELS, "doc_id", "tokens", "_mix_n", digest_of_leaf.alias("_mix_leaf"))
+    lives = lives.join(goals.withColumn("_mix_leaf", digest_of_leaf), ["_mix_leaf", *LEVELS]).drop("_mix_leaf").where("target > 0")
     turns = lives.withColumn("epoch", F.explode(F.expr(f"sequence(0, cast(least({epochs - 1}, (target - 1) div leaf_tokens) as int))")))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     turns = turns.withColumn("order", digest).withColumn("range", F.expr("(cast(conv(substring(`order`, 1, 8), 16, 10) as bigint) * ranges) div 4294967296"))
