@@ -78,7 +78,13 @@ def ingest(
 
     digits = haplotypes(F.col("gts"), phased_only)
     used = F.array(*map(F.lit, layout.used))
-    usable = lines.where("status = 'usable'").withColumn("digits", digits).withColumn("codes", V.allele_codes(F.col("ref"), F.col("alt"), layout.n_alleles))
+    blocks = bases.select("chunk", "block", F.col("start").alias("_start"), "bases")
+    usable = lines.where("status = 'usable'").withColumn("block", F.expr(f"pos div {V.BIN}")).join(blocks, ["chunk", "block"], "left")
+    base = F.substring("bases", (F.col("pos") - F.col("_start") + 1).cast("int"), F.lit(1))
+    same = F.coalesce(base == F.upper("ref"), F.lit(False))
+    # In a filter, as a column that nothing reads would be left out, and the check with it.
+    usable = usable.where(F.when(same, True).otherwise(F.raise_error(F.lit("REF is not the reference's base")).cast("boolean")))
+    usable = usable.withColumn("digits", digits).withColumn("codes", V.allele_codes(F.col("ref"), F.col("alt"), layout.n_alleles))
     counted = F.when(F.size("digits") == len(layout.multiplicity), F.col("digits")).otherwise(F.raise_error(F.lit("the layout has another number of haplotypes")).cast("array<string>"))
     code = lambda d: F.when(d != ".", F.get("codes", d.try_cast("int") if hasattr(d, "try_cast") else d.cast("int")))
     alleles = F.transform(used, lambda h: code(F.col("digits")[h]))
