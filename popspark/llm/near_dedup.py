@@ -52,18 +52,23 @@ class Bands:
 
     Sets of up to ``small`` shingles are banded by size class, with so many bands that the shingles in which two such sets
     may differ cannot reach them all; each set has the keys of its class and the next, so similar sets share a class.
-    Larger sets have BANDS bands of REGISTERS / BANDS registers. A band without shingles makes no key.
+    Larger sets have BANDS bands of REGISTERS / BANDS registers. A band without shingles makes no key; a small set that has
+    no more bands with shingles than it may differ in has its least shingles as keys besides.
     """
 
     def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
         self.threshold = num / den
         self.differ = (den - num) / num
         self.log = math.log(den / num) * 1.0001
         self.small = math.ceil(BANDS / self.differ)
 
+    def _full(self, regs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(regs != EMPTY, starts, dtype=np.int64) > 0
+
     def _keys(self, regs: np.ndarray, bands: int, salt: int) -> np.ndarray:
-        starts = -(-np.arange(bands) * REGISTERS // bands)
-        full = np.add.reduceat(regs != EMPTY, starts, dtype=np.int64) > 0
+        starts = _starts(bands)
+        full = self._full(regs, starts)
         sums = np.add.reduceat((regs.astype(np.uint64) + np.uint64(1)) * _ODD, starts)
         return mix(sums + np.uint64(salt * 1000) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[full]
 
@@ -80,6 +85,22 @@ class Bands:
     def keys(self, regs: np.ndarray, n: int) -> np.ndarray:
         return np.concatenate([self._keys(regs, *x) for x in self.labels(n)] or [np.empty(0, np.uint64)])
 
+    def least(self, regs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        """Further keys of a small set, for the classes in which every band with shingles may differ from a similar set's.
+
+        Two similar sets of a class that share no band's key are both of this kind: each band with shingles is touched by
+        one in which they differ. The least shingle that both have is then among the first of either, since a set of n has
+        at most n * (den - num) / den shingles that a similar one has not.
+        """
+        n = len(hashes)
+        risky = [salt for bands, salt in self.labels(n) if salt and self._full(regs, _starts(bands)).sum() <= n * (self.den - self.num) // self.num]
+        first = hashes[: n * (self.den - self.num) // self.den + 1]
+        return np.concatenate([mix(first ^ mix(np.array([salt], np.uint64))) for salt in risky] or [np.empty(0, np.uint64)])
+
+
+def _starts(bands: int) -> np.ndarray:
+    return -(-np.arange(bands) * REGISTERS // bands)
+
 
 def estimate(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """The Jaccard similarity of one sketch to each of many, corrected for registers that agree by chance."""
@@ -99,22 +120,27 @@ def _sketched(ngram: int, num: int, den: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, name, regs, keys = [], [], [], []
+            n, name, regs, keys, least = [], [], [], [], []
             for words in word_hashes(batch.column("text"), lower=True):
                 found = shingles(words, ngram)
                 n.append(len(found))
                 name.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 regs.append((r := registers(found)).tobytes())
-                keys.append(bands.keys(r, len(found)).view(np.int64))
+                least.append(bands.least(r, found).view(np.int64))
+                keys.append(np.concatenate([bands.keys(r, len(found)).view(np.int64), least[-1]]))
             a = np.frombuffer(b"".join(name), np.int64)
-            flat = np.concatenate(keys) if keys else np.empty(0, np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a[::2]), pa.array(a[1::2]), pa.array(regs, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b", "regs", "keys"])
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a[::2]), pa.array(a[1::2]), pa.array(regs, pa.binary()), _lists(keys), _lists(least)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b", "regs", "keys", "least"])
 
     return run
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+
+
 def _sets(ngram: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,14 +210,14 @@ def _open_pairs(group: pa.Table, bands: Bands, least: float) -> Iterator[tuple[i
     """(i, all later j) of a block whose documents are in different components, near enough by their sketches, and share
     no key below the block's own, so that each pair is met in one bucket only."""
     part, side = group.column("component").to_numpy(), group.column("side").to_numpy()
-    regs, n = _sketches(group.column("regs")), group.column("n").to_numpy()
+    regs, n, least_keys = _sketches(group.column("regs")), group.column("n").to_numpy(), group.column("least")
     key = group.column("key")[0].as_py()
     diagonal = bool((side == 2).all())
     below: dict[int, np.ndarray] = {}
 
     def lower(k: int) -> np.ndarray:
         if k not in below:
-            keys = bands.keys(regs[k], int(n[k])).view(np.int64)
+            keys = np.concatenate([bands.keys(regs[k], int(n[k])).view(np.int64), np.array(least_keys[k].as_py(), np.int64)])
             below[k] = keys[keys < key]
         return below[k]
 
@@ -265,9 +291,9 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     """
     spark = docs.sparkSession
     ship(spark)
-    sketches = cut(spark, docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs binary, keys array<long>"))
+    sketches = cut(spark, docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs binary, keys array<long>, least array<long>"))
     # Equal sets have equal sketches, so any row of a class will do.
-    same = [F.any_value(c).alias(c) for c in ("n", "regs", "keys")]
+    same = [F.any_value(c).alias(c) for c in ("n", "regs", "keys", "least")]
     reps = cut(spark, sketches.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), *same).where("doc_id is not null"))
     entries = reps.select(F.explode("keys").alias("key"), "doc_id")
     common = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -290,9 +316,9 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     rows = spread_join(parts, mixed, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "doc_id", "component")
     # A block off the diagonal needs the members of both sides; the diagonal block only its own.
-    placed = rows.join(reps.select("doc_id", "n", "regs"), "doc_id").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
-    kinds = "doc_id long, key long, low int, high int, side int, component long, n long, regs binary"
-    needed = cut(spark, placed.select("doc_id", "key", "low", "high", "side", "component", "n", "regs").mapInArrow(_needed(num, den), kinds))
+    placed = rows.join(reps.select("doc_id", "n", "regs", "least"), "doc_id").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
+    kinds = "doc_id long, key long, low int, high int, side int, component long, n long, regs binary, least array<long>"
+    needed = cut(spark, placed.select("doc_id", "key", "low", "high", "side", "component", "n", "regs", "least").mapInArrow(_needed(num, den), kinds))
     sets = _full_sets(docs, needed.select("doc_id").distinct(), ngram)
     more = needed.join(sets, "doc_id").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(_linked(num, den), "a long, b long")
     nodes = components(links.unionByName(more))

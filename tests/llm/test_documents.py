@@ -155,6 +155,23 @@ class TestNearDedup:
                 if len(np.intersect1d(x, y)) * 100 >= 85 * len(np.union1d(x, y)):
                     assert len(np.intersect1d(bands.keys(registers(x), len(x)), bands.keys(registers(y), len(y))))
 
+    @pytest.mark.parametrize(("num", "small", "large"), [(80, 4, 5), (80, 8, 10), (80, 12, 15), (85, 6, 7), (85, 7, 8), (85, 12, 13), (85, 12, 14), (85, 17, 20)])
+    def test_short_sets_always_share_a_key(self, num, small, large):
+        bands, r = Bands(num, 100), np.random.default_rng(small)
+
+        def keys(hashes):
+            regs = registers(hashes)
+            return np.concatenate([bands.keys(regs, len(hashes)), bands.least(regs, hashes)])
+
+        for hashes in r.integers(0, 1 << 64, (4000, large), dtype=np.uint64):
+            assert np.isin(keys(np.sort(hashes[:small])), keys(np.sort(hashes))).any()
+
+    def test_short_texts_are_linked(self, spark):
+        """Each text once more with a word appended: 4 of 5 runs of 5 words are the same."""
+        texts = [" ".join(f"w{i}x{j}" for j in range(8)) for i in range(300)]
+        got = {r.doc_id: r.component_id for r in near_groups(frame(spark, texts + [t + " more" for t in texts])).collect()}
+        assert [got[i + 300] for i in range(300)] == list(range(300))
+
     def test_components(self, spark):
         r = random.Random(3)
         links = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(200, k) for k in range(201, 260)]
