@@ -63,7 +63,7 @@ def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int) -
 
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="popspark-"))
     tensors = step_tensors(counts, csds).checkpoint()
-    kinds = tensors.select("add", "trunk").distinct()
+    kinds = tensors.where(F.size("trunk") > 0).select("add", "trunk").distinct()
     # A row for each CSD of the likelihood, none for each locus or contig.
     keys = sorted({table_key(r["add"], r["trunk"], model.demes, model.n_demes) for r in kinds.toLocalIterator()})
     n_steps = counts.agg(F.max("step")).first()[0]
@@ -79,7 +79,7 @@ def likelihoods(data: Data, model: Model, points: dict[int, list[float]]) -> Dat
     for particle, point in points.items():
         found = model.tables(point, data.keys)
         if found is not None:
-            rows = evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, n_steps=data.n_steps)
+            rows = evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, n_steps=data.n_steps, stationary=hmm.stationary(model.params.matrix))
             parts.append(chunk_likelihood(rows).groupBy().agg(F.sum("loglik").alias("loglik")).select(F.lit(particle).alias("particle_id"), "loglik"))
     if not parts:
         return data.tensors.sparkSession.createDataFrame([], "particle_id int, loglik double")
@@ -95,7 +95,7 @@ def e_step(data: Data, model: Model, point: list[float]) -> tuple[float, dict[Ke
     found = model.tables(point, data.keys)
     if found is None:
         return float("-inf"), {}
-    rows = evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=True, n_steps=data.n_steps).persist()
+    rows = evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=True, n_steps=data.n_steps, stationary=hmm.stationary(model.params.matrix)).persist()
     loglik = chunk_likelihood(rows).agg(F.sum("loglik")).first()[0]
     by: dict[str, dict[str, dict[int, float]]] = {}
     for r in summed_stats(rows).collect():

@@ -28,6 +28,14 @@ class Tables:
             return np.where(own, -np.log(np.maximum(own.sum(1, keepdims=True), 1)), -np.inf)
 
 
+def stationary(matrix: np.ndarray) -> np.ndarray | None:
+    """The distribution that a mutation matrix leaves as it is; None where there are several."""
+    n = len(matrix)
+    system = np.concatenate([matrix.T - np.eye(n), np.ones((1, n))])
+    found, _, rank, _ = np.linalg.lstsq(system, np.append(np.zeros(n), 1.0), rcond=None)
+    return np.maximum(found, 0.0) if rank == n else None
+
+
 def log_sum(x: np.ndarray, axis: int | tuple[int, ...] | None = None) -> np.ndarray:
     top = np.max(x, axis=axis, keepdims=True)
     top = np.where(np.isfinite(top), top, 0.0)

@@ -38,15 +38,21 @@ def chunk_likelihood(csds: DataFrame) -> DataFrame:
 def step_tensors(counts: DataFrame, csds: DataFrame) -> DataFrame:
     """One row for each CSD and chunk: (chunk, perm, csd, add, trunk, factor, cells), cells being its pair counts, packed.
 
-    counts: (chunk, step, add, trunk, a, b, n). A CSD takes the pairs of its own haplotype and its trunk's. Those with an
-    empty trunk have no pairs, and no row.
+    counts: (chunk, step, add, trunk, a, b, n). A CSD takes the pairs of its own haplotype and its trunk's. One with an
+    empty trunk takes its own haplotype's alleles, at the loci of its pairs with any one other, in slot -1 with b = a.
     """
     pairs = csds.select("perm", "csd", "factor", "add", "trunk", F.explode("trunk").alias("other"))
     cells = counts.withColumnRenamed("trunk", "other")
     slot = (F.array_position("trunk", F.col("other")) - 1).cast("int")
     packed = F.struct(F.col("step").cast("int").alias("step"), slot.alias("slot"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("n").cast("int").alias("n"))
     joined = pairs.join(cells, ["add", "other"]).select("chunk", "perm", "csd", "add", "trunk", "factor", packed.alias("cell"))
-    return joined.groupBy("chunk", "perm", "csd", "add", "trunk", "factor").agg(F.collect_list("cell").alias("cells"))
+    keys = ["chunk", "perm", "csd", "add", "trunk", "factor"]
+    one = counts.groupBy("chunk", "add").agg(F.min("trunk").alias("other"))
+    single = cells.join(one, ["chunk", "add", "other"]).groupBy("chunk", "step", "add", "a").agg(F.sum("n").alias("n"))
+    own = F.struct(F.col("step").cast("int").alias("step"), F.lit(-1).alias("slot"), F.col("a").cast("int").alias("a"), F.col("a").cast("int").alias("b"), F.col("n").cast("int").alias("n"))
+    first = csds.where(F.size("trunk") == 0).select("perm", "csd", "factor", "add", "trunk")
+    joined = joined.unionByName(first.join(single, "add").select(*keys, own.alias("cell")))
+    return joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells"))
 
 
 Key = tuple[tuple[int, ...], int]
@@ -68,9 +74,19 @@ def _dense(cells: pa.Scalar, n_trunk: int, n_alleles: int, n_steps: int | None)
     return out
 
 
-def evaluated(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, n_steps: int | None = None) -> DataFrame:
+def _alone(cells: pa.Scalar, stationary: np.ndarray | None) -> float:
+    """ln of the stationary probability of a haplotype's alleles."""
+    if stationary is None:
+        raise ValueError("a CSD with an empty trunk needs the mutation matrix's stationary distribution")
+    _, _, a, _, n = (np.asarray(x) for x in cells.values.flatten())
+    with np.errstate(divide="ignore"):
+        return float((n * np.log(np.asarray(stationary)[a])).sum())
+
+
+def evaluated(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, n_steps: int | None = None, stationary: np.ndarray | None = None) -> DataFrame:
     """(chunk, perm, csd, factor, loglik) of each CSD, and with ``with_stats`` its key and expected counts, as flat arrays.
 
+    One with an empty trunk has the ``stationary`` probability of its haplotype, and no hidden states to count.
     A row holds one CSD's packed counts, so tasks are CSDs and chunks; tables are a few dense matrices for each kind of CSD.
     """
     ship(tensors.sparkSession)
@@ -81,6 +97,12 @@ def evaluated(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, in
             loglik, keys, stats = [], [], [[], [], [], []]
             for cells, add, trunk in zip(batch.column("cells"), batch.column("add").to_pylist(), batch.column("trunk").to_pylist(), strict=True):
                 key = table_key(add, trunk, demes, n_demes)
+                if not trunk:
+                    loglik.append(_alone(cells, stationary))
+                    keys.append(repr(key))
+                    for column in stats:
+                        column.append([])
+                    continue
                 share = tables[key].shares([demes[h] for h in trunk])
                 counts = _dense(cells, len(trunk), n_alleles, n_steps)
                 if with_stats:
@@ -118,7 +140,7 @@ def across_contigs(csds: DataFrame) -> DataFrame:
 
 
 def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, every: int = 1, n_steps: int | None = None) -> DataFrame:
-    """(chunk, perm, csd, step, state, probability) at every ``every``-th step of each CSD."""
+    """(chunk, perm, csd, step, state, probability) at every ``every``-th step of each CSD with a trunk; others have no states."""
     ship(tensors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,4 +154,4 @@ def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, i
                 places = [pa.array(np.repeat(np.arange(steps, dtype=np.int32) * every, states)), pa.array(np.tile(np.arange(states, dtype=np.int32), steps))]
                 yield pa.RecordBatch.from_arrays([*same, *places, pa.array(p.ravel())], ["chunk", "perm", "csd", "step", "state", "probability"])
 
-    return tensors.mapInArrow(run, "chunk int, perm int, csd int, step int, state int, probability double")
+    return tensors.where(F.size("trunk") > 0).mapInArrow(run, "chunk int, perm int, csd int, step int, state int, probability double")

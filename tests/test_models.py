@@ -5,12 +5,13 @@ import itertools
 import numpy as np
 import pytest
 
-from popspark.jobs.inference import em, genetic, likelihoods, m_step, nelder_mead, offspring
+from popspark.jobs.inference import Model, csds_of, e_step, em, genetic, likelihoods, m_step, nelder_mead, offspring, prepared
 from popspark.jobs.model_queries import ONE, TWO, _data
 from popspark.model import hmm
 from popspark.model.coalescent import expm, tables
 from popspark.model.intervals import boundaries
 from popspark.operators.csd import trunk_sizes
+from popspark.operators.likelihood import evaluated, posteriors
 from popspark.sources.models import bound, parse_demography, parse_params
 
 PARAMS = parse_params("0.01\n0.02\n0 1\n1 0\n")
@@ -125,6 +126,31 @@ def test_em_and_search(spark):
     assert m_step({}, model, [1.0, 1.0], 3) == [1.0, 1.0]
 
 
+def test_pac_of_two_haplotypes(spark):
+    """Each permutation is the first haplotype's stationary probability times the second's, given the first."""
+    model = Model(parse_demography(ONE), parse_params("0.01\n0.01\n0.9 0.1\n0.3 0.7\n"), {0: 0, 1: 0}, 1, loci=10, interval_params=[3, 0.1, 2])
+    cells = [(0, 0, 0, 7), (0, 0, 1, 2), (0, 1, 1, 1), (1, 0, 0, 8), (1, 1, 1, 2)]
+    pairs = [(0, step, 0, 1, x, y, n) for step, x, y, n in cells] + [(0, step, 1, 0, y, x, n) for step, x, y, n in cells]
+    counts = spark.createDataFrame(pairs, "chunk int, step int, add int, trunk int, a int, b int, n long")
+    perms = spark.createDataFrame([(0, [0, 1]), (1, [1, 0])], "perm int, ord array<int>")
+    haps = spark.createDataFrame([(0,), (1,)], "hap int")
+    # The stationary distribution is (3/4, 1/4); haplotype 0 has 17 and 3 loci of each allele, haplotype 1 has 15 and 5.
+    first = {0: 17 * np.log(0.75) + 3 * np.log(0.25), 1: 15 * np.log(0.75) + 5 * np.log(0.25)}
+    pair = csds_of("pcl", haps)
+    data = prepared(counts, pair, model, 2)
+    found = model.tables([1.0, 1.0], data.keys)
+    second = {r.csd // 2: r.loglik for r in evaluated(data.tensors, found, model.demes, 1, 2, n_steps=data.n_steps).collect()}
+    both = [first[1] + second[0], first[0] + second[1]]
+    pac = prepared(counts, csds_of("pac", haps, perms), model, 2)
+    assert likelihoods(pac, model, {0: [1.0, 1.0]}).first().loglik == pytest.approx(np.logaddexp(*both))
+    value, stats = e_step(pac, model, [1.0, 1.0])
+    assert value == pytest.approx(np.logaddexp(*both)) and list(stats) == [((1,), 0)]
+    superpac = prepared(counts, csds_of("superpac", haps, perms), model, 2)
+    assert likelihoods(superpac, model, {0: [1.0, 1.0]}).first().loglik == pytest.approx(sum(both))
+    states = posteriors(pac.tensors, found, model.demes, 1, 2)
+    assert states.select("perm", "csd").distinct().count() == 2
+
+
 def test_doubling():
     """Jumping over blocks without segregating sites gives what going through them gives."""
     t = random_tables(3, 1, 4)
