@@ -15,6 +15,7 @@ from popspark.model.coalescent import tables
 from popspark.model.intervals import boundaries
 from popspark.operators import csd as C
 from popspark.operators.likelihood import Key, chunk_likelihood, evaluated, step_tensors, summed_stats, table_key
+from popspark.shared import cut
 from popspark.sources.models import Params, Template, bound, with_least_migration
 
 Limits = list[tuple[float, float]]
@@ -57,12 +58,7 @@ class Data:
 
 def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int) -> Data:
     """The counts are joined to their CSDs once and written to the shared checkpoint folder; each evaluation reads them there."""
-    spark = counts.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="popspark-"))
-    tensors = step_tensors(counts, csds).checkpoint()
+    tensors = cut(step_tensors(counts, csds))
     kinds = tensors.where(F.size("trunk") > 0).select("add", "trunk").distinct()
     # A row for each CSD of the likelihood, none for each locus or contig.
     keys = sorted({table_key(r["add"], r["trunk"], model.demes, model.n_demes) for r in kinds.toLocalIterator()})

@@ -9,6 +9,7 @@ from popspark.jobs.inference import Data, Model, csds_of, em, likelihoods, prepa
 from popspark.jobs.table_queries import HAPS, LOCI, PAIRS, _sites
 from popspark.model.hmm import Tables
 from popspark.operators import blocks, csd, likelihood
+from popspark.shared import fresh
 from popspark.sources.models import parse_demography, parse_params
 
 PARAMS = "0.01\n0.01\n0 1\n1 0\n"
@@ -96,12 +97,10 @@ def posterior_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pair counts of contigs that arrive as files of a stream."""
-    import uuid
-
     from popspark.jobs.table_queries import genotypes
     from popspark.streaming.contigs import count_arrivals
 
-    where = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    where = fresh(spark, "stream")
     rows = genotypes(spark, sf_dir)
     # A folder for each contig, as a sequencing run would leave them.
     rows.repartition("chunk").write.parquet(f"{where}/in")
@@ -109,14 +108,6 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").drop("batch")
 
 
-def _shared(spark: SparkSession) -> str:
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="popspark-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
 def contigs_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutations summed once over all contigs."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 5).alias("perm"), (1 + F.col("o_orderkey") % 3).alias("factor"), (-F.col("o_totalprice") / 1e7).alias("loglik"))
