@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from popspark.llm.common import cut, table
+from popspark.llm.common import table
+from popspark.shared import cut
 from popspark.shipping import ship
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -144,13 +145,13 @@ def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = distinct.repartitionByRange(parts, "path").sortWithinPartitions("path")
     kinds = "path binary, depth int, conv long, ids binary, n_tokens int, loss_start int, loss_stop int"
-    ranged = cut(spark, sorted_.mapInArrow(_tokenized(tokenizer or default_tokenizer()), kinds).withColumn("part", F.spark_partition_id()))
+    ranged = cut(sorted_.mapInArrow(_tokenized(tokenizer or default_tokenizer()), kinds).withColumn("part", F.spark_partition_id()))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each partition.
     totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
     inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(totals.select("part", "before")), "part")
-    placed = cut(spark, placed.withColumn("start", F.col("within") + F.col("before")).withColumn("node", node).drop("within", "before", "part"))
+    placed = cut(placed.withColumn("start", F.col("within") + F.col("before")).withColumn("node", node).drop("within", "before", "part"))
 
     walks = steps.select(conv.alias("conv"), "depth", node.alias("node")).join(placed.select("node", "start", "n_tokens"), "node")
     step = F.struct("depth", "start", (F.col("start") + F.col("n_tokens")).alias("stop"))
@@ -209,7 +210,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, ASSISTANT, said)], "conv_id long, turn long, role string, text string")
     nodes, leaves = prefix_tree(rows.unionByName(own))
-    return read_back(cut(spark, nodes), leaves)
+    return read_back(cut(nodes), leaves)
 
 
 SQL = r"""

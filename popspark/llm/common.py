@@ -32,21 +32,6 @@ def hash128(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit(0x5EED), c)
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make sure that there is a checkpoint folder; the cluster's own setting stays as it is."""
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(where or tempfile.mkdtemp(prefix="popspark-checkpoint-"))
-
-
-def cut(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared checkpoint folder, so that a lost executor loses nothing."""
-    shared_dir(spark)
-    return df.checkpoint(eager=True)
-
-
 def spread_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """left joined with right by one 64-bit key, where right comes out of an aggregate by that key.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from popspark.llm.common import cut
+from popspark.shared import cut
 
 
 def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -18,8 +18,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     after each round. Groups are aggregated to their minimum and joined, so a node with many links makes no large group.
     No links give no rows.
     """
-    spark = links.sparkSession
-    edges = cut(spark, links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before, done = None, 0
     while done != rounds:
         done += 1
@@ -28,7 +27,7 @@ def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(spark, small.select("e.u", "e.v").where("u <> v").distinct())
+        edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         if rounds:
             continue
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

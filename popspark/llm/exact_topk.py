@@ -16,7 +16,9 @@ from popspark.shipping import ship
 #: Dimensions that are added up before candidates are judged again.
 DIMS = 8
 #: Candidates of a block at most, and at least; queries of a block at most.
-LARGEST, SMALLEST, QUERIES = 65_536, 4096, 8192
+LARGEST, SMALLEST, QUERIES = 65_536, 4096, 131_072
+#: Components of a block at most, which bounds its rows where they have many dimensions; queries that are made dense at once.
+CELLS, SLICE = 1 << 23, 8192
 
 
 class VerticalBlock:
@@ -76,11 +78,15 @@ def _searched(k: int) -> Callable:
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
         if not len(queries) or not len(candidates):
             return RESULT.empty_table()
-        q, c = matrix(queries.column("vector"), np.int64), matrix(candidates.column("vector"), np.int64)
-        most = float(abs(q).max()) * float(abs(c).max()) * q.shape[1]
+        c = matrix(candidates.column("vector"), np.int64)
+        slices = [queries.slice(at, SLICE) for at in range(0, len(queries), SLICE)]
+        most = float(abs(c).max()) * c.shape[1] * max(float(abs(matrix(q.column("vector"), np.int64)).max()) for q in slices)
         kind = np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64
         block = VerticalBlock(candidates.column("vec_id").to_numpy(), c.astype(kind))
-        out = [(own, *block.search(own, row, k)) for own, row in zip(queries.column("vec_id").to_pylist(), q.astype(kind), strict=True)]
+        out = []
+        for q in slices:
+            rows = matrix(q.column("vector"), np.int64).astype(kind)
+            out += [(own, *block.search(own, row, k)) for own, row in zip(q.column("vec_id").to_pylist(), rows, strict=True)]
         ids = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
         return pa.table([ids.astype(np.int64), np.concatenate([x[1] for x in out]), np.concatenate([x[2] for x in out]).astype(np.int64)], schema=RESULT)
 
@@ -95,19 +101,23 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     vec_id repeats, each of its rows is a candidate, and as a query it is asked once, with its least vector. Sums are exact
     while they stay below 2**63. Other columns are not read; an empty table gives no rows.
 
-    Candidates are dealt evenly into blocks, and each block of queries meets each block of candidates in one task, which
-    passes on k rows a query. The bounds are on rows, so a task's memory does not grow with the table, and it makes no
-    difference how often a vector occurs.
+    Rows are dealt into blocks by a hash of their content, so a task that is run again gets the same rows; equal rows are
+    counted first, and no more than k of them are told apart, so that they cannot fill one block. Each block of queries
+    meets each block of candidates in one task, which passes on k rows a query. A block has a bound on its rows and on its
+    components, so a task's memory grows neither with the table nor with the dimensions.
     """
     ship(vectors.sparkSession)
-    rows = vectors.where("vec_id is not null").select("vec_id", "vector", F.size("vector").alias("dims"))
-    queries = rows.where(is_query).groupBy("vec_id", "dims").agg(F.min("vector").alias("vector"))
-    n, m = (x or 0 for x in rows.agg(F.count("*"), F.count_if(is_query)).first())
-    blocks = max(1, -(-n // min(LARGEST, max(SMALLEST, -(-n // 12)))))
-    query_blocks = max(1, -(-m // QUERIES))
-    number = F.monotonically_increasing_id()
-    dealt = rows.withColumn("block", F.pmod(number, F.lit(blocks))).withColumn("query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    known = vectors.where("vec_id is not null").select("vec_id", "vector", F.coalesce(is_query, F.lit(False)).alias("asked"))
+    n, m, dims = (x or 0 for x in known.agg(F.count("*"), F.count_if("asked"), F.max(F.size("vector"))).first())
+    rows = known.groupBy("vec_id", "vector").agg(F.least(F.count("*"), F.lit(k)).alias("copies"), F.max("asked").alias("asked")).withColumn("dims", F.size("vector"))
+    queries = rows.where("asked").groupBy("vec_id", "dims").agg(F.min("vector").alias("vector"))
+    most = max(1, CELLS // max(dims, 1))
+    blocks = max(1, -(-n // min(LARGEST, most, max(SMALLEST, -(-n // 12)))))
+    query_blocks = max(1, -(-m // min(QUERIES, 2 * most)))
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    single = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    dealt = single.withColumn("block", F.pmod(F.xxhash64("vec_id", "vector", "copy"), F.lit(blocks)).cast("int")).withColumn("query_block", every(query_blocks))
+    asked = queries.withColumn("query_block", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("block", every(blocks))
     keys = ["block", "query_block", "dims"]
     found = asked.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInArrow(_searched(k), "query_id long, vec_id long, score long")
     return best(found, k)

@@ -14,64 +14,52 @@ def line_keys(lines: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with columns text (rewritten), n_lines, n_dropped; other columns stay as they are.
+    """docs with columns text (rewritten), n_lines, n_dropped; other columns stay as they are, whatever their names.
 
     A text is split at line feeds; null counts as empty, which is one empty line. Keys of at least ``min_chars`` code
     points that occur in at least ``min_docs`` documents lose their lines except in the largest doc_id that holds them,
-    where all of them stay. Each row is a document: rows that repeat a doc_id count one by one, and all rows with the
-    largest doc_id keep the line. Rows without doc_id count as documents and never are the largest, unless all are.
-    A document whose lines all go keeps an empty text. An empty table gives an empty result.
+    where all of them stay. Rows that repeat a doc_id are one document, and each of them keeps or loses its lines by that
+    rule. Rows without doc_id count for no line and keep all of theirs. A document whose lines all go keeps an empty text.
+    Texts of any length are read whole; the lines of one text are together in one row. An empty table gives no rows.
 
-    Keys travel as 128-bit hashes. Each document sends a key once, so one shuffle counts documents, with partial counts
-    before it; only the keys above the threshold meet the lines again, in a join whose hot keys Spark can split. (That is
-    why it joins by half of the hash: the counts, dealt by the whole hash, then get an exchange of their own.)
+    Keys travel as 128-bit hashes, once a document: a shuffle by key and document makes them distinct, whatever a line's
+    share of the documents, and partial counts go on to the keys. Only the keys above the threshold meet the lines again,
+    in a join whose hot keys Spark can split. (That is why it joins by half of the hash: the counts, dealt by the whole
+    hash, then get an exchange of their own.)
     """
     clean = [c for c in docs.columns if c.lower() not in ("text", "n_lines", "n_dropped")]
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    # Only names of this function's own beside the row that holds the columns.
+    rows = docs.select(F.struct(*named(clean)).alias("row"), F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body"))
+    # With the text's hash, rows that repeat an id stay apart.
+    rows = rows.withColumn("version", F.xxhash64("body"))
+    lines = F.split("body", "\n", -1)
 
     def keyed(key: Column, i: Column) -> Column:
         a, b = hash128(key)
-        return F.when(F.length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b"), i.cast("long").alias("pos")))
+        return F.when(F.length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b"), i.cast("int").alias("pos")))
 
-    # A place is the line's number and, below it, 32 bits of the text's hash, so that rows that repeat a doc_id stay apart.
-    low = F.lit(0xFFFFFFFF).cast("long")
-    version = F.xxhash64("text").bitwiseAND(low)
-    keys = docs.select("doc_id", version.alias("version"), F.transform(line_keys(lines), keyed).alias("all"))
-    placed = F.transform(F.filter("all", lambda x: x.isNotNull()), lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.shiftleft(x["pos"], 32).bitwiseOR(F.col("version")).alias("pos")))
-    keys = keys.select("doc_id", placed.alias("keys"))
-    # Sorted in a projection of its own: a lambda that holds the sort would sort anew for every element.
-    ordered = keys.select("doc_id", F.array_sort("keys").alias("sorted"))
-    before = lambda i, c: F.col("sorted")[i - 1][c]
-    new = F.filter("sorted", lambda x, i: F.when(i == 0, True).otherwise((before(i, "a") != x["a"]) | (before(i, "b") != x["b"])))
-    once = ordered.select("doc_id", F.explode(new).alias("k"))
-    shared = (
-        once.groupBy(F.col("k.a").alias("a"), F.col("k.b").alias("b"))
-        .agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-        .where(F.col("n") >= min_docs)
-        .select("a", F.col("b").alias("other"), "keeper")
-    )
+    all_keys = rows.where("id is not null").select("id", "version", F.transform(line_keys(lines), keyed).alias("k"))
+    keys = all_keys.select("id", "version", F.explode(F.filter("k", lambda x: x.isNotNull())).alias("k"))
+    once = keys.select("id", "k.a", "k.b").distinct()
+    shared = once.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("id").alias("keeper")).where(F.col("n") >= min_docs).select("a", F.col("b").alias("other"), "keeper")
     drops = (
-        keys.select("doc_id", F.explode("keys").alias("k"))
-        .select("doc_id", F.col("k.a").alias("a"), F.col("k.b").alias("b"), F.col("k.pos").alias("pos"))
+        keys.select("id", "version", "k.a", "k.b", "k.pos")
         .join(shared, "a")
         .where(F.col("b").bitwiseXOR(F.col("other")) == 0)
-        .where(F.col("doc_id") < F.col("keeper"))
-        .groupBy("doc_id")
-        .agg(F.collect_set("pos").alias("_dropped"))
+        .where(F.col("id") < F.col("keeper"))
+        .groupBy("id", "version")
+        .agg(F.collect_set("pos").alias("gone"))
     )
-    none = F.array().cast("array<bigint>")
-    own = F.filter(F.coalesce("_dropped", none), lambda x: x.bitwiseAND(low) == version)
-    joined = docs.select(*named(clean), "text").join(drops, "doc_id", "left")
-    # The text is split in a projection of its own, for the same reason.
-    parts = joined.select(*named(clean), F.coalesce("text", F.lit("")).alias("text"), lines.alias("_lines"), F.transform(own, lambda x: F.shiftrightunsigned(x, 32).cast("int")).alias("_gone"))
-    places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
-    kept = F.array_join(F.transform(places, lambda i: F.col("_lines")[i]), "\n")
-    return parts.select(
-        *named(clean),
-        F.when(F.size("_gone") > 0, kept).otherwise(F.col("text")).alias("text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_dropped"),
+    # The text is split in a projection of its own: a lambda that holds the split would split anew for every line.
+    parts = rows.join(drops, ["id", "version"], "left").select("row", "body", lines.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    kept = F.array_join(F.transform(places, lambda i: F.col("lines")[i]), "\n")
+    new = F.struct(
+        F.when(F.size("gone") > 0, kept).otherwise(F.col("body")).alias("text"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_dropped"),
     )
+    return parts.select("row", new.alias("new")).select("row.*", "new.*")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from popspark.llm.common import SPACE, WORD, cut, named, table
+from popspark.llm.common import SPACE, WORD, named, table
+from popspark.shared import cut
 
 #: A node's share among its siblings, in thousandths; names that are not listed have OTHER.
 DOMAIN_WEIGHTS = {"d0": 400, "d1": 300, "d2": 200, "d3": 100}
@@ -94,7 +95,7 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     wordy = F.length(F.btrim("text", F.lit(SPACE))) > 0
     # Words are counted once; after that only a few numbers for each document are read.
     count = F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")
-    known = cut(docs.sparkSession, docs.where(wordy).select("doc_id", *leaf_of, count))
+    known = cut(docs.where(wordy).select("doc_id", *leaf_of, count))
     same = Window.partitionBy("doc_id").orderBy(*LEVELS, "_mix_text")
     numbered = known.withColumn("_mix_n", F.row_number().over(same)) if with_rows else known.withColumn("_mix_n", F.lit(1))
     leaves = known.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))

@@ -11,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm.common import cut, spread_join, table
+from popspark.llm.common import named, spread_join, table
 from popspark.llm.components import components
 from popspark.llm.words import mix, shingles, word_hashes
+from popspark.shared import cut
 from popspark.shipping import ship
 
 #: Registers of a sketch, mantissa bits of a register, and bands at most.
@@ -23,6 +24,8 @@ EMPTY = 0xFFFF
 CHANCE = 0.169919487159739 / 2**MANTISSA
 #: Standard errors by which an estimate may fall short of the threshold before a pair is given up.
 ERRORS = 5
+#: What a pair of nodes carries: where each one's text is, and its set's digest.
+PAIR = ["x", "x_doc", "x_a", "x_b", "y", "y_doc", "y_a", "y_b"]
 #: Documents of a bucket that one task compares with as many others.
 BLOCK = 1024
 
@@ -48,7 +51,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
 
 
 class Bands:
-    """Keys of a sketch, so that sets as similar as num/den share one, but for a chance of about a millionth at most.
+    """Keys of a sketch, so that sets as similar as num/den share one, but for a chance of 3 in a million at most (at 0.8).
 
     Sets of up to ``small`` shingles are banded by size class, with so many bands that the shingles in which two such sets
     may differ cannot reach them all; each set has the keys of its class and the next, so similar sets share a class.
@@ -124,7 +127,7 @@ def _sketched(ngram: int, num: int, den: int) -> Callable:
             for words in word_hashes(batch.column("text"), lower=True):
                 found = shingles(words, ngram)
                 n.append(len(found))
-                name.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                name.append(_digest(found))
                 regs.append((r := registers(found)).tobytes())
                 least.append(bands.least(r, found).view(np.int64))
                 keys.append(np.concatenate([bands.keys(r, len(found)).view(np.int64), least[-1]]))
@@ -141,11 +144,18 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
 
 
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
 def _sets(ngram: int) -> Callable:
+    """The full set of each text, under its digest."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(words, ngram).tobytes() for words in word_hashes(batch.column("text"), lower=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
+            sets = [shingles(words, ngram) for words in word_hashes(batch.column("text"), lower=True)]
+            name = np.frombuffer(b"".join(map(_digest, sets)), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(name[::2]), pa.array(name[1::2]), pa.array([x.tobytes() for x in sets], pa.binary())], ["a", "b", "shingles"])
 
     return run
 
@@ -159,9 +169,8 @@ def _promising(least: float) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            one, other = _sketches(batch.column("regs_a")), _sketches(batch.column("regs_b"))
-            keep = pa.array(estimate(one, other) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            keep = pa.array(estimate(_sketches(batch.column("x_regs")), _sketches(batch.column("y_regs"))) >= least)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in PAIR], PAIR)
 
     return run
 
@@ -180,9 +189,9 @@ def similar(one: np.ndarray, other: np.ndarray, num: int, den: int) -> bool:
 def _verified(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)
+            pairs = zip(batch.column("x_set").to_pylist(), batch.column("y_set").to_pylist(), strict=True)
             keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], ["a", "b"])
 
     return run
 
@@ -251,7 +260,7 @@ def _linked(num: int, den: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, ("key", "low", "high")):
-            ids, part = group.column("doc_id").to_pylist(), group.column("component").to_pylist()
+            ids, part = group.column("node").to_pylist(), group.column("component").to_pylist()
             sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
             root = {c: c for c in part}
 
@@ -280,73 +289,95 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     A document's set holds its distinct runs of ``ngram`` words (split at white space, A-Z lower-cased); one with fewer
     words has their sequence as its only member; one without words, or with a null text, has none and is linked with
     nothing. Documents are linked where den * |both| >= num * |either|, counted on the full sets. Rows that repeat a doc_id
-    are one node of the graph if their sets agree, and are best made distinct before; a null doc_id is linked with nothing.
-    Other columns are not read. An empty table gives no rows.
+    are one document: each of their texts may link it, and all of them have one component. A row with a null doc_id is
+    linked with nothing, has a null component and is kept. Texts of any length are read whole, a slice at a time. Other
+    columns are not read. An empty table gives no rows.
 
-    1. Each text becomes a sketch, a digest of its set and band keys, once; equal sets become one class.
-    2. Classes that share a key meet through the bucket's centre, the member whose keys are the most common: a group of
+    1. Each text becomes a sketch, a digest of its set and band keys, once; equal sets become one node.
+    2. Nodes that share a key meet through the bucket's centre, the member whose keys are the most common: a group of
        near copies then costs one pair for each copy. Pairs pass by their estimate, then by their full sets.
     3. Buckets that still hold several components are gone through in blocks; each pair in different components is met
-       once, under its least common key. Sketches travel first; full sets follow only for documents that have such a pair.
+       once, under its least common key. Sketches travel first; full sets follow only for nodes that have such a pair.
     """
     spark = docs.sparkSession
     ship(spark)
-    sketches = cut(spark, docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs binary, keys array<long>, least array<long>"))
-    # Equal sets have equal sketches, so any row of a class will do.
+    sketches = cut(docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs binary, keys array<long>, least array<long>"))
+    known = sketches.where("n > 0 and doc_id is not null")
+    # Equal sets have equal sketches, so any row of a class will do. Numbers are given once, before the checkpoint is read.
     same = [F.any_value(c).alias(c) for c in ("n", "regs", "keys", "least")]
-    reps = cut(spark, sketches.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), *same).where("doc_id is not null"))
-    entries = reps.select(F.explode("keys").alias("key"), "doc_id")
+    reps = cut(known.groupBy("a", "b").agg(F.min("doc_id").alias("doc_id"), *same).withColumn("node", F.monotonically_increasing_id()))
+    entries = reps.select(F.explode("keys").alias("key"), "node")
     common = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    met = cut(spark, spread_join(entries, common, "key"))
-    weights = met.groupBy("doc_id").agg(F.sum("size").alias("weight"))
-    centres = met.join(weights, "doc_id").groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("least"))).alias("c")).select("key", (-F.col("c.least")).alias("centre"))
-    stars = spread_join(met.select("key", "doc_id"), centres, "key").where("doc_id <> centre").select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-    regs = reps.select("doc_id", "regs")
-    both = stars.join(regs.select(F.col("doc_id").alias("a"), F.col("regs").alias("regs_a")), "a").join(regs.select(F.col("doc_id").alias("b"), F.col("regs").alias("regs_b")), "b")
-    pairs = cut(spark, both.mapInArrow(_promising(floor_of(num, den)), "a long, b long"))
-    links = cut(spark, _checked(docs, pairs, ngram, num, den))
-    first = cut(spark, components(links, rounds=1))
-
-    parts = met.select("key", "doc_id").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    met = cut(spread_join(entries, common, "key"))
+    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
+    centres = met.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("c")).select("key", (-F.col("c.least")).alias("centre"))
+    stars = spread_join(met.select("key", "node"), centres, "key").where("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")).distinct()
+    side = lambda s: reps.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{k}") for k, c in (("doc", "doc_id"), ("a", "a"), ("b", "b"), ("regs", "regs"))])
+    both = stars.join(side("x"), "x").join(side("y"), "y")
+    pairs = cut(both.mapInArrow(_promising(floor_of(num, den)), ", ".join(f"{c} long" for c in PAIR)))
+    links = cut(_checked(docs, pairs, ngram, num, den).unionByName(_same_id(known, reps)))
+    first = cut(components(links, rounds=1))
+
+    parts = met.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "size")
     # Comparing takes more time than its bytes tell, so the number of partitions is not left to Spark.
     spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks.cast("long")).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks.cast("long")).cast("int")
     rows = spread_join(parts, mixed, "key").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "doc_id", "component")
+    rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "node", "component")
     # A block off the diagonal needs the members of both sides; the diagonal block only its own.
-    placed = rows.join(reps.select("doc_id", "n", "regs", "least"), "doc_id").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id")
-    kinds = "doc_id long, key long, low int, high int, side int, component long, n long, regs binary, least array<long>"
-    needed = cut(spark, placed.select("doc_id", "key", "low", "high", "side", "component", "n", "regs", "least").mapInArrow(_needed(num, den), kinds))
-    sets = _full_sets(docs, needed.select("doc_id").distinct(), ngram)
-    more = needed.join(sets, "doc_id").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "doc_id").mapInArrow(_linked(num, den), "a long, b long")
+    placed = rows.join(reps.select("node", "doc_id", "a", "b", "n", "regs", "least"), "node").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
+    kinds = "node long, doc_id long, a long, b long, key long, low int, high int, side int, component long, n long, regs binary, least array<long>"
+    needed = cut(placed.select(*[x.split()[0] for x in kinds.split(", ")]).mapInArrow(_needed(num, den), kinds))
+    sets = _full_sets(docs, needed.select("doc_id"), needed.select("a", "b"), ngram)
+    more = needed.join(sets, ["a", "b"]).repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(_linked(num, den), "a long, b long")
     nodes = components(links.unionByName(more))
 
-    named = reps.select("a", "b", "doc_id").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("a").alias("x"), F.col("b").alias("y"), F.coalesce("component", "doc_id").alias("component"))
-    kept = sketches.select("doc_id", "n", "a", "b").join(named, (F.col("a") == F.col("x")) & (F.col("b").bitwiseXOR(F.col("y")) == 0), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return kept.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    placed = reps.select("a", "b", "node", "doc_id").join(nodes, "node", "left").select("a", "b", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    found = spread_join(placed.select("a", "b", "component"), least, "component").select(F.col("a").alias("x"), F.col("b").alias("y"), "component_id")
+    out = sketches.select("doc_id", "n", "a", "b").join(found, (F.col("a") == F.col("x")) & (F.col("b").bitwiseXOR(F.col("y")) == 0), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
 
+def _same_id(known: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the nodes of doc_ids that have several: to the least of them. Without such ids, hardly any work."""
+    several = known.groupBy("doc_id").agg(F.min("a").alias("x"), F.max("a").alias("y")).where("x <> y").select("doc_id")
+    own = known.select("doc_id", "a", "b").join(several, "doc_id", "left_semi").join(reps.select("a", "b", "node"), ["a", "b"]).select("doc_id", "node")
+    least = own.groupBy("doc_id").agg(F.min("node").alias("m"))
+    return own.join(least, "doc_id").where("node <> m").select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, ngram: int) -> DataFrame:
-    """The full sets of some documents, from their texts; rows that repeat a doc_id count once."""
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets(ngram), "doc_id long, shingles binary").dropDuplicates(["doc_id"])
+
+def _full_sets(docs: DataFrame, ids: DataFrame, digests: DataFrame, ngram: int) -> DataFrame:
+    """(a, b, shingles) of the wanted digests, from the texts of some doc_ids; each set once."""
+    found = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(ngram), "a long, b long, shingles binary")
+    return found.groupBy("a", "b").agg(F.any_value("shingles").alias("shingles")).join(digests.distinct(), ["a", "b"], "left_semi")
 
 
 def _checked(docs: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = _full_sets(docs, wanted, ngram)
-    one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    other = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(one, "a").join(other, "b").mapInArrow(_verified(num, den), "a long, b long")
+    """The pairs whose full sets reach the threshold.
+
+    Members meet their sets first; then those of one centre may be very many, so its set comes in an exchange of its own
+    and Spark can split them.
+    """
+    x, y = pairs.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")), pairs.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"))
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("x_doc", "y_doc")).alias("doc_id")), x.unionByName(y), ngram)
+    members = pairs.select("x", "y", F.col("x_a").alias("a"), F.col("x_b").alias("b"), F.col("y_a").alias("k"), F.col("y_b").alias("l")).join(sets, ["a", "b"])
+    members = members.select("x", "y", "k", "l", F.col("shingles").alias("x_set"))
+    centres = sets.join(y.distinct(), ["a", "b"], "left_semi").select(F.col("a").alias("k"), F.col("b").alias("other"), F.col("shingles").alias("y_set"))
+    both = spread_join(members, centres, "k").where(F.col("l").bitwiseXOR(F.col("other")) == 0)
+    return both.select("x", "y", "x_set", "y_set").mapInArrow(_verified(num, den), "a long, b long")
 
 
 def near_dedup(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without the documents that are near copies of one with a smaller doc_id in their group."""
-    keep = near_groups(docs, ngram, num, den).where("kept").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    """One row of each group of near copies, the one with the smallest doc_id; where that id repeats, the row whose text has
+    the least hash. Rows without doc_id all stay. Columns are those of docs, whatever their names."""
+    keep = near_groups(docs, ngram, num, den).where("kept and doc_id is not null").select("doc_id").distinct()
+    # Rows that repeat an id are brought together before the shuffle, however many they are.
+    one = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min_by(F.struct(*named(docs.columns)), F.xxhash64("text")).alias("_row"))
+    return one.join(keep, "doc_id", "left_semi").select("_row.*").unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

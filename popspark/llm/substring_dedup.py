@@ -12,7 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.llm.common import cut, spread_join, table
+from popspark.llm.common import spread_join, table
+from popspark.shared import cut
 from popspark.llm.words import mix, windows, word_hashes
 from popspark.shipping import ship
 
@@ -162,7 +163,7 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
     texts = docs.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), "text")
     edges = texts.mapInArrow(_edges(size, kmer), EDGES)
     grams = edges.groupBy("gram").agg(F.sum("copies").alias("n"), F.min("span").alias("x"), F.max("span").alias("y")).where("n > 1")
-    hits = cut(docs.sparkSession, spread_join(edges, grams.select("gram", (F.col("x") != F.col("y")).alias("forks")), "gram"))
+    hits = cut(spread_join(edges, grams.select("gram", (F.col("x") != F.col("y")).alias("forks")), "gram"))
     forks = hits.where("forks")
     paths = forks.groupBy("gram", "span").agg(F.sum("copies").alias("n"), F.min("doc").alias("at"), F.min_by("place", "doc").alias("place"), F.min_by("version", "doc").alias("version"))
     again = paths.where("n > 1").select("span", F.col("gram").alias("of"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -121,12 +122,16 @@ class WordTokens:
             at = stop
 
 
+#: Where ids do not depend on what stands on the other side: before white space, and behind a digit that a letter or digit follows.
+BREAK = re.compile(r"(?=[ \t\n])|(?<=[0-9])(?=[0-9A-Za-z])")
+
+
 def cut_text(text: str, size: int = SLICE // 4) -> Iterator[str]:
-    """A long text in parts that end before a space, a tab or a line feed, as far as it has any."""
+    """A long text in parts that are tokenized each for itself. A run of letters or signs without any break stays whole."""
     at = 0
     while at < len(text):
-        ends = [e for c in " \t\n" if (e := text.find(c, at + size)) >= 0]
-        stop = min(ends, default=len(text))
+        found = BREAK.search(text, at + size)
+        stop = found.start() if found else len(text)
         yield text[at:stop]
         at = stop
 

@@ -15,7 +15,8 @@ _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1, np.uint64)
+#: Powers that are kept; higher ones are products of two.
+LOW = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,12 +29,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> np.ndarray:
-    """The first n powers of an odd number, modulo 2**64."""
-    global _POWERS
-    if len(_POWERS) < n:
-        _POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 64) * 2, _ODD)]), dtype=np.uint64)
-    return _POWERS[:n]
+def _chain(factor: int, n: int) -> np.ndarray:
+    """The first n powers of a number, modulo 2**64."""
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, factor, np.uint64)]), dtype=np.uint64)
+
+
+_POWERS = _chain(int(_ODD), LOW)
+
+
+def powers(places: np.ndarray, first: int = 0) -> np.ndarray:
+    """Powers of an odd number, modulo 2**64, for places from ``first`` on; what is kept does not grow with a word."""
+    if not first and (not len(places) or int(places.max()) < LOW):
+        return _POWERS[places]
+    high = _chain(pow(int(_ODD), LOW, 1 << 64), (int(places.max()) >> 12) + 1)
+    return _POWERS[places & (LOW - 1)] * high[places >> 12] * np.uint64(pow(int(_ODD), first, 1 << 64))
 
 
 def _hashed(data: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +63,7 @@ def _hashed(data: np.ndarray, ends: np.ndarray, lower: bool) -> tuple[np.ndarray
     if lower:
         letters = _LOWER[letters]
     place = np.arange(len(letters), dtype=np.int64) - np.repeat(first, lengths)
-    value = (letters.astype(np.uint64) + np.uint64(1)) * powers(int(lengths.max()))[place]
+    value = (letters.astype(np.uint64) + np.uint64(1)) * powers(place)
     return mix(np.add.reduceat(value, first) ^ (lengths.astype(np.uint64) << np.uint64(40))), counts
 
 
@@ -75,14 +84,25 @@ def word_hashes(texts: pa.Array, lower: bool = False) -> Iterator[np.ndarray]:
 
 
 def _long(data: np.ndarray, lower: bool) -> Iterator[np.ndarray]:
-    """A long text in parts that end at white space."""
+    """A long text in parts that end with white space; a word that is longer than a part is added up part by part."""
     at = 0
     while at < len(data):
         stop = min(at + SLICE, len(data))
-        while stop < len(data) and not _SPACE[data[stop]]:
-            stop += 1
-        yield _hashed(data[at:stop], np.array([stop - at]), lower)[0]
-        at = stop
+        spaces = np.flatnonzero(_SPACE[data[at:stop]]) if stop < len(data) else np.array([stop - at - 1])
+        if len(spaces):
+            stop = at + int(spaces[-1]) + 1
+            yield _hashed(data[at:stop], np.array([stop - at]), lower)[0]
+            at = stop
+            continue
+        total, first = np.uint64(0), at
+        while at < len(data) and not _SPACE[data[at]]:
+            letters = data[at : at + SLICE]
+            spaces = np.flatnonzero(_SPACE[letters])
+            letters = letters[: spaces[0]] if len(spaces) else letters
+            value = (_LOWER[letters] if lower else letters).astype(np.uint64) + np.uint64(1)
+            total = np.add(total, (value * powers(np.arange(len(letters)), at - first)).sum(dtype=np.uint64), dtype=np.uint64)
+            at += len(letters)
+        yield mix(np.array([total ^ np.uint64((at - first) << 40 & 0xFFFFFFFFFFFFFFFF)]))
 
 
 def windows(words: np.ndarray, size: int, salt: int) -> np.ndarray:

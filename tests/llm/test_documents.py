@@ -18,7 +18,8 @@ from popspark.llm.packing import retrieval_pack
 from popspark.llm.quality import quality_scores
 from popspark.llm.substring_dedup import substring_dedup
 from popspark.llm.tokens import default_tokenizer
-from popspark.llm.words import shingles
+from popspark.llm import words as W
+from popspark.llm.words import shingles, word_hashes
 
 KINDS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -53,9 +54,39 @@ class TestLineDedup:
         assert got[5].n_dropped == 0 and got[8].n_dropped == 0
 
     def test_rows_of_one_id(self, spark):
-        docs = frame(spark, [f"{self.SHARED}\nx", f"y\n{self.SHARED}", self.SHARED, "z"], [1, 1, 2, 1]).withColumnRenamed("lang", "drops").withColumnRenamed("source", "a.b")
+        """Rows that repeat a doc_id are one document: here three documents hold the line, and then two."""
+        texts = [f"{self.SHARED}\nx", f"y\n{self.SHARED}", self.SHARED, "z", self.SHARED]
+        docs = frame(spark, texts, [1, 1, 2, 1, 3]).withColumnRenamed("lang", "drops").withColumnRenamed("source", "a.b")
         out = line_dedup(docs)
-        assert sorted(r.text for r in out.collect()) == sorted(["x", "y", self.SHARED, "z"]) and set(docs.columns) < set(out.columns)
+        assert sorted(r.text for r in out.collect()) == sorted(["x", "y", "", "z", self.SHARED]) and set(docs.columns) < set(out.columns)
+        assert sorted(r.text for r in line_dedup(docs.where("doc_id < 3")).collect()) == sorted(texts[:4])
+
+    def test_names_that_clash(self, spark):
+        docs = frame(spark, [self.SHARED, self.SHARED + "\nx", self.SHARED])
+        for name in ("_dropped", "_lines", "_gone", "row", "body", "version", "lines", "gone", "keeper", "k"):
+            got = line_dedup(docs.withColumnRenamed("lang", name)).collect()
+            assert sorted(r.text for r in got) == sorted(["", "x", self.SHARED]) and all(r[name] in (None, "en") for r in got)
+
+    def test_against_sql_with_repeated_rows(self, spark, tmp_path):
+        import duckdb
+
+        from popspark.llm.line_dedup import SQL
+
+        r = random.Random(4)
+        pool = [f"line number {i} of the pool of lines" for i in range(6)]
+        texts = ["\n".join(r.choice([*pool, "", "mine"]) for _ in range(r.randint(1, 5))) for _ in range(40)]
+        frame(spark, texts).where("doc_id is not null").write.parquet(str(tmp_path / "d"))
+        once = spark.read.parquet(str(tmp_path / "d"))
+        con = duckdb.connect()
+        con.sql(f"create view documents as select * from read_parquet('{tmp_path}/d/*.parquet')")
+        want = {(x[0], x[3]) for x in con.sql(SQL).fetchall()}
+        twice = line_dedup(once.unionByName(once)).collect()
+        assert len(twice) == 80 and {(x.doc_id, hashlib.sha256(x.text.encode()).hexdigest()) for x in twice} == want
+
+    def test_very_long_text(self, spark):
+        long = "\n".join([self.SHARED, *(f"line {i}" for i in range(200_000)), self.SHARED])
+        got = {r.doc_id: r for r in line_dedup(frame(spark, [long, self.SHARED, self.SHARED])).collect()}
+        assert (got[0].n_lines, got[0].n_dropped) == (200_002, 2) and got[0].text == long[len(self.SHARED) + 1 : -len(self.SHARED) - 1]
 
     def test_repeated_rows_and_null_ids(self, spark):
         got = line_dedup(frame(spark, [self.SHARED] * 4, [7, 7, 7, None])).collect()
@@ -129,11 +160,21 @@ class TestNearDedup:
     def test_rows_that_repeat_and_nulls(self, spark):
         docs = frame(spark, ["a b c d", "a b c d", "A B C D", None], [3, 3, None, None])
         got = near_groups(docs).collect()
-        assert [r.component_id for r in got if r.doc_id == 3] == [3, 3] and all(r.kept for r in got if r.doc_id is None and r.n_shingles == 0)
+        assert [r.component_id for r in got if r.doc_id == 3] == [3, 3]
+        assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
         assert near_groups(docs.limit(0)).count() == 0
+        assert sorted(r.text or "" for r in near_dedup(docs).collect()) == ["", "A B C D", "a b c d"]
+
+    def test_ids_with_several_texts(self, spark):
+        """Each text of document 2 is near to another document's, so all three are one group; 9 repeats itself only."""
+        t, u = (" ".join(f"{k}{i}" for i in range(40)) for k in "tu")
+        docs = frame(spark, [t, t + " z", u, u + " y", "lone text of nine", "another text of nine"], [1, 2, 2, 3, 9, 9])
+        got = near_groups(docs).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 1), (9, 9)} and len(got) == 6
+        assert sorted(r.doc_id for r in near_dedup(docs).collect()) == [1, 9]
 
     def test_columns_stay(self, spark):
-        docs = frame(spark, ["a b c d e f"] * 3).withColumnRenamed("lang", "key").withColumnRenamed("source", "n")
+        docs = frame(spark, ["a b c d e f"] * 3).withColumnRenamed("lang", "key").withColumnRenamed("source", "_row").withColumnRenamed("n_chars", "a.b")
         out = near_dedup(docs)
         assert out.columns == docs.columns and [r.doc_id for r in out.collect()] == [0]
 
@@ -190,6 +231,23 @@ class TestNearDedup:
         assert got == {i: find(i) for a, b in links if a != b for i in (a, b)}
 
 
+class TestLongTexts:
+    def test_words_are_hashed_alike_in_slices(self, monkeypatch):
+        import pyarrow as pa
+
+        texts = ["A" * 30_000 + " b " + "c" * 9000, "x" * 10_001, "one two", "", " ", "é" * 6000 + "\t" + "z" * 4095]
+        whole = [x.tolist() for x in word_hashes(pa.array(texts), lower=True)]
+        for size in (64, 4096, 10_000):
+            monkeypatch.setattr(W, "SLICE", size)
+            assert [x.tolist() for x in word_hashes(pa.array(texts), lower=True)] == whole
+        assert [len(x) for x in whole] == [3, 1, 2, 0, 0, 2] and len({h for x in whole for h in x}) == 8
+
+    def test_groups_beyond_a_slice(self, spark, monkeypatch):
+        long = " ".join(f"w{i}" for i in range(600_000))
+        got = near_groups(frame(spark, [long, long + " more", "x " * 10])).collect()
+        assert len(long) > W.SLICE and sorted((r.doc_id, r.component_id) for r in got) == [(0, 0), (1, 0), (2, 2)]
+
+
 class TestSubstringDedup:
     def test_against_brute_force(self, spark):
         r = random.Random(2)

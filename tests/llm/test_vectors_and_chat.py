@@ -48,6 +48,12 @@ class TestExactTopk:
         large = spark.createDataFrame([(0, [2**30, 1]), (1, [2**30, 2]), (2, [2**30, 3])], kinds)
         assert [r.score for r in exact_topk(large, F.col("vec_id") == 0).orderBy("rank").collect()] == [2**60 + 3, 2**60 + 2]
 
+    def test_repeated_rows(self, spark):
+        rows = integer_rows(40, 6, 3) + [(7, [60] * 6)] * 30
+        df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+        got = sorted(map(tuple, exact_topk(df, F.col("vec_id") % 20 == 0).collect()))
+        assert got == brute(rows, [r for r in rows[:40] if r[0] % 20 == 0], 20)
+
     def test_usable(self, spark):
         df = spark.createDataFrame([(None,), ([],), ([1.0, None],), ([float("nan")],), ([float("inf")],), ([0.0],)], "e array<float>")
         assert [r[0] for r in df.select(usable(F.col("e"))).collect()] == [False] * 5 + [True]
@@ -72,6 +78,24 @@ class TestNearest:
             hits += sum(x.score >= bar - 1e-9 for x in own)
         assert hits / 1500 >= 0.9
 
+    def test_other_dimensions_and_repeated_ids(self, spark):
+        """The few vectors of 3 dimensions are searched too; ids that repeat count once, with their best vector."""
+        r = np.random.default_rng(2)
+        rows = [(i, r.normal(size=8).tolist()) for i in range(60)] + [(1000 + i, r.normal(size=3).tolist()) for i in range(30)]
+        again = [(5, r.normal(size=8).tolist()) for _ in range(25)] + rows[:10] * 25
+        got = nearest(spark.createDataFrame(rows + again, "vec_id long, vector array<double>"), F.col("vec_id") % 20 == 0).collect()
+        for q, v in rows:
+            if q % 20 == 0:
+                best = {}
+                for i, w in rows + again:
+                    if i != q and len(w) == len(v):
+                        best[i] = max(best.get(i, -9e9), float(np.dot(v, w)))
+                want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:20]
+                own = sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)
+                assert len(own) == 20 and len({x.vec_id for x in own}) == 20
+                assert all(abs(x.score - best[x.vec_id]) < 1e-9 for x in own)
+                assert q < 1000 or [x.vec_id for x in own] == [i for i, _ in want]
+
     def test_few_rows(self, spark):
         df = spark.createDataFrame([(0, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0])], "vec_id long, vector array<double>")
         got = sorted(map(tuple, nearest(df, F.col("vec_id") % 20 == 0).collect()))
