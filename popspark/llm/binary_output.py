@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from popspark.llm.common import table
 from popspark.llm.packing import Piece, tokenized
 from popspark.llm.tokens import default_tokenizer
+from popspark.shared import fresh
 from popspark.shipping import ship
 
 
@@ -134,9 +135,18 @@ def pack_matrices(docs: DataFrame, tokenizer: str | None = None, window: int = 2
 
 def write_matrices(packed: DataFrame, path: str, window: int = 2048) -> None:
     """Parquet files of matrix rows; every row holds exactly window ids and positions."""
-    packed.withColumn("window", F.lit(window)).write.parquet(path)
+    packed.withColumn("window", F.lit(window)).write.option("compression", "zstd").parquet(path)
+
+
+def read_matrices(spark: SparkSession, path: str) -> DataFrame:
+    """Written matrix rows, with digests of the ids and positions as the files hold them."""
+    rows = spark.read.parquet(path)
+    return rows.select("sequence_id", "n_tokens", "doc_ids", "starts", "cu_seqlens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"), "ids", "positions", "window")
 
 
 def op10_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as id matrices of 2048 columns: what each row holds, with digests of its ids and positions."""
-    return pack_matrices(table(spark, sf_dir, "documents"), with_ids=False)
+    """All documents as id matrices of 2048 columns, written to the shared folder and read back: what each row holds, with
+    digests of its ids and positions as they stand in the files."""
+    path = fresh(spark, "matrices")
+    write_matrices(pack_matrices(table(spark, sf_dir, "documents")), path)
+    return read_matrices(spark, path).select(*[x.split()[0] for x in SCHEMA.split(", ")])

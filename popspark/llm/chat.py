@@ -9,11 +9,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from popspark.llm.common import table
+from popspark.llm.common import spread_join, table
 from popspark.shared import cut
 from popspark.shipping import ship
 
@@ -22,6 +23,8 @@ START, END = "<|im_start|>", "<|im_end|>"
 START_ID, END_ID = 50_257, 50_258
 ASSISTANT = "assistant"
 ID = 16
+#: Stands for a missing conv_id.
+NONE = -(2**63)
 
 
 def escape(text: str) -> str:
@@ -80,100 +83,133 @@ def byte_tokens(path: str) -> ByteTokens:
     return _LOADED[path]
 
 
-def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each turn of each conversation; its path is the digests of the turns up to it, one after another."""
+def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each turn of each conversation: the digest of all turns up to it."""
     for batch in batches:
-        columns: list[list] = [[] for _ in range(5)]
-        for conv, turns in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
-            path, digest = b"", b""
-            for depth, t in enumerate(turns, 1):
-                role, text = t["role"] or "", t["text"] or ""
-                digest = hashlib.blake2b(digest + repr((role, text)).encode("utf-8", "backslashreplace"), digest_size=ID).digest()
-                path += digest
-                for c, x in zip(columns, (conv, depth, path, role, text), strict=True):
-                    c.append(x)
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "depth", "path", "role", "text"])
+        sizes, names = [], []
+        for turns in batch.column("turns").to_pylist():
+            digest = b""
+            for t in turns:
+                digest = hashlib.blake2b(digest + repr((t["role"], t["text"])).encode("utf-8", "backslashreplace"), digest_size=ID).digest()
+                names.append(digest)
+            sizes.append(len(turns))
+        digest = np.frombuffer(b"".join(names), np.int64)
+        depth = np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes] or [np.empty(0, np.int32)])
+        conv = np.repeat(np.asarray(batch.column("conv")), sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (conv, depth, digest[::2], digest[1::2])], ["conv", "depth", "a", "b"])
+
+
+RUNS = "conv long, key array<long>, first int, n_tokens int, ids binary, ends array<int>, loss array<struct<start:int,stop:int>>"
 
 
 def _tokenized(path: str) -> Callable:
-    """The tokens of each node, and which of them an assistant's text makes."""
+    """The tokens of each conversation's own turns, where each turn ends, and which tokens an assistant's text makes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_tokens(path)
-        line = tokens.encode(["\n"])[0]
+        tail = [END_ID, *tokens.encode(["\n"])[0]]
+        heads: dict[str, list[int]] = {}
         for batch in batches:
-            roles, texts = batch.column("role").to_pylist(), batch.column("text").to_pylist()
-            heads = tokens.encode([escape_role(r) + "\n" for r in roles])
-            bodies = tokens.encode([escape(t) for t in texts])
-            ids = [[START_ID, *h, *b, END_ID, *line] for h, b in zip(heads, bodies, strict=True)]
-            begin = [1 + len(h) for h in heads]
-            stop = [x + len(b) if r == ASSISTANT else x for x, b, r in zip(begin, bodies, roles, strict=True)]
-            raw = pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
-            numbers = [pa.array(x, pa.int32()) for x in ([len(x) for x in ids], begin, stop)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("path", "depth", "conv")), raw, *numbers], ["path", "depth", "conv", "ids", "n_tokens", "loss_start", "loss_stop"])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [turns[first - 1 :] for turns, first in zip(part.column("turns").to_pylist(), part.column("first").to_pylist(), strict=True)]
+                bodies = iter(tokens.encode([escape(t["text"]) for turns in own for t in turns]))
+                ids, ends, loss = [], [], []
+                for turns in own:
+                    line: list[int] = []
+                    stops, masked = [], []
+                    for t in turns:
+                        role = t["role"]
+                        if role not in heads:
+                            heads = heads if len(heads) < 10_000 else {}
+                            heads[role] = [START_ID, *tokens.encode([escape_role(role) + "\n"])[0]]
+                        line += heads[role]
+                        start = len(line)
+                        line += next(bodies)
+                        if role == ASSISTANT:
+                            masked.append({"start": start, "stop": len(line)})
+                        line += tail
+                        stops.append(len(line))
+                    ids.append(np.array(line, "<u4").tobytes())
+                    ends.append(stops)
+                    loss.append(masked)
+                columns = [part.column("conv"), part.column("key"), part.column("first"), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(ids, pa.binary()), pa.array(ends, pa.list_(pa.int32()))]
+                columns.append(pa.array(loss, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))))
+                yield pa.RecordBatch.from_arrays(columns, ["conv", "key", "first", "n_tokens", "ids", "ends", "loss"])
 
     return run
 
 
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where each run stands among those of its range, which come in order."""
+    part, total = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = np.asarray(batch.column("n_tokens")).astype(np.int64)
+        stops = np.cumsum(n) + total
+        yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(np.full(len(n), part, np.int32)), pa.array(stops - n), pa.array(n)], ["run", "part", "within", "n"])
+        total = int(stops[-1]) if len(n) else total
+
+
 def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves) of conversations (conv_id, turn, role, text).
+    """(runs, leaves) of conversations (conv_id, turn, role, text).
+
+    Conversations that begin alike share these turns. A beginning belongs to the least conv_id that has it, so the turns
+    that belong to one conversation are its last ones: a run, which stands together in the depth-first emission of all
+    trees, as a node's first child is the one that goes on with its run, and the others follow by conv_id, the deeper
+    branchings first.
 
-    nodes, a row for each distinct beginning of a conversation: node and parent (digests), depth, start (where its tokens
-    stand in the depth-first emission of all trees), n_tokens, position (of its first token in a conversation), attends (the
-    emission's intervals of its ancestors, which its tokens attend to beside those before them in the node), ids (32 bits
-    each, little-endian), loss_start and loss_stop (which of its tokens an assistant's text makes; none if equal).
-    leaves, a row for each conversation: conv_id, start (of its last turn's node), n_turns.
+    runs: run (the conversation's number), start (where its tokens stand in the emission), n_tokens, position (of its first
+    token in its conversation; the others follow), attends (the emission's intervals of its ancestors' tokens, one for each
+    ancestor run, which its tokens attend to beside those before them in the run), ids (32 bits each, little-endian), ends
+    (where each of its turns ends in it), loss (intervals of the run that assistants' texts make).
+    leaves, a row for each conversation: conv_id, n_turns, spans (the emission's intervals that it is read from, in order).
 
     Turns go by turn, then role, then text (nulls first); null roles and texts count as empty. Rows without conv_id make
-    one conversation. Equal conversations share all nodes. Other columns are not read; an empty table gives no rows.
+    one conversation. Equal conversations have one run. Texts of any length are tokenized whole. Other columns are not read;
+    an empty table gives no rows.
 
-    Only one conversation at a time is held together. A beginning that very many conversations share is one node, counted
-    before it is shuffled; the emission's offsets are sums within and over ranges of paths, in order.
+    Only one conversation at a time is held together, and all rows that are made number as the turns do, however deep a
+    conversation is. What very many conversations share meets them in joins that Spark can split.
     """
     spark = conversations.sparkSession
     ship(spark)
+    conv = F.coalesce("conv_id", F.lit(NONE)).alias("conv")
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    steps = whole.mapInArrow(_paths, "conv_id long, depth int, path binary, role string, text string")
-    node = F.expr(f"substring(path, length(path) - {ID - 1}, {ID})")
-    conv = F.coalesce("conv_id", F.lit(-(2**63)))
-    # Each node has one conversation of those that go through it, whose earlier turns are its ancestors.
-    distinct = steps.groupBy("path").agg(F.min(conv).alias("conv"), *[F.any_value(c).alias(c) for c in ("depth", "role", "text")])
-    # Paths sort depth first: a beginning comes before what goes on from it, and its subtree stands together. Texts are made
-    # tokens where they stand then, so that finding the ranges does not tokenize them.
+    whole = conversations.groupBy(conv).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    walks = whole.mapInArrow(_walk, "conv long, depth int, a long, b long")
+    owners = walks.groupBy("a", F.col("b").alias("other")).agg(F.min("conv").alias("run"))
+    steps = spread_join(walks, owners, "a").where(F.col("b").bitwiseXOR(F.col("other")) == 0)
+    spans = cut(steps.groupBy("conv", "run").agg(F.min("depth").alias("first"), F.max("depth").alias("last")))
+
+    # Arrays compare element by element: a run before those that leave it, the last to leave it first.
+    ways = spans.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("first", "last", "run"))).alias("way"))
+    own = F.element_at("way", -1)
+    key = F.flatten(F.transform("way", lambda x: F.array(x["run"], -x["last"].cast("long"))))
+    heads = ways.where(own["run"] == F.col("conv")).select("conv", key.alias("key"), own["first"].alias("first"))
+    runs = cut(whole.join(heads, "conv").mapInArrow(_tokenized(tokenizer or default_tokenizer()), RUNS)).withColumnRenamed("conv", "run")
+
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = distinct.repartitionByRange(parts, "path").sortWithinPartitions("path")
-    kinds = "path binary, depth int, conv long, ids binary, n_tokens int, loss_start int, loss_stop int"
-    ranged = cut(sorted_.mapInArrow(_tokenized(tokenizer or default_tokenizer()), kinds).withColumn("part", F.spark_partition_id()))
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    line = runs.select("run", "key", "n_tokens").repartitionByRange(parts, "key").sortWithinPartitions("key")
+    line = cut(line.mapInArrow(_running, "run long, part int, within long, n long"))
     # One row for each partition.
-    totals = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    inside = Window.partitionBy("part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("within", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(F.broadcast(totals.select("part", "before")), "part")
-    placed = cut(placed.withColumn("start", F.col("within") + F.col("before")).withColumn("node", node).drop("within", "before", "part"))
-
-    walks = steps.select(conv.alias("conv"), "depth", node.alias("node")).join(placed.select("node", "start", "n_tokens"), "node")
-    step = F.struct("depth", "start", (F.col("start") + F.col("n_tokens")).alias("stop"))
-    walks = walks.groupBy("conv").agg(F.sort_array(F.collect_list(step)).alias("walk"))
-    span = F.transform(F.slice("walk", 1, F.col("depth") - 1), lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
-    attends = placed.where("depth > 1").select("node", "conv", "depth").join(walks, "conv").select("node", span.alias("attends"))
-    attends = attends.withColumn("position", F.aggregate("attends", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]))
-    nodes = placed.join(attends, "node", "left").select(
-        "node",
-        F.expr(f"if(depth > 1, substring(path, length(path) - {2 * ID - 1}, {ID}), null)").alias("parent"),
-        "depth", "start", "n_tokens", F.coalesce("position", F.lit(0)).alias("position"),
-        F.coalesce("attends", F.array().cast("array<struct<start:bigint,stop:bigint>>")).alias("attends"),
-        "ids", "loss_start", "loss_stop",
-    )
-    last = F.element_at("walk", -1)
-    leaves = walks.select(F.when(F.col("conv") != -(2**63), F.col("conv")).alias("conv_id"), last["start"].alias("start"), F.size("walk").alias("n_turns"))
-    return nodes, leaves
+    totals = line.groupBy("part").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    starts = line.join(F.broadcast(totals.select("part", "before")), "part").select("run", (F.col("within") + F.col("before")).alias("start"))
+    marks = runs.select("run", F.col("first").alias("head"), F.posexplode("ends").alias("i", "end")).join(starts, "run").select("run", (F.col("head") + F.col("i")).alias("last"), "start", (F.col("start") + F.col("end")).alias("stop"))
+    met = spans.join(marks, ["run", "last"])
+    reads = cut(met.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("first", "run", "start", "stop"))).alias("way"), F.max("last").alias("n_turns")))
+
+    span = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))
+    leaves = reads.select(F.when(F.col("conv") != NONE, F.col("conv")).alias("conv_id"), "n_turns", F.transform("way", span).alias("spans"))
+    mine = F.element_at("way", -1)
+    places = reads.where(mine["run"] == F.col("conv")).select(F.col("conv").alias("run"), mine["start"].alias("start"), F.transform(F.slice("way", 1, F.size("way") - 1), span).alias("attends"))
+    position = F.aggregate("attends", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"])
+    out = runs.select("run", "n_tokens", "ids", "ends", "loss").join(places, "run")
+    return out.select("run", "start", "n_tokens", position.alias("position"), "attends", "ids", "ends", "loss"), leaves
 
 
 def _read(path: str) -> Callable:
     """Conversations as their tokens say them."""
-    turn = re.compile(f"{re.escape(START)}([^\n]*)\n((?:(?!<\\|).)*){re.escape(END)}\n", re.S)
+    turn = re.compile(rf"{re.escape(START)}([^\n]*)\n([^<]*(?:<(?!\|)[^<]*)*){re.escape(END)}\n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = byte_tokens(path)
@@ -184,7 +220,7 @@ def _read(path: str) -> Callable:
                 text = tokens.decode(np.concatenate(ids))
                 turns = [(unescape(m[1]), unescape(m[2])) for m in turn.finditer(text)]
                 said = "".join(f"{role}\n{x}\n" for role, x in turns)
-                loss = "".join(unescape(tokens.decode(x[p["loss_start"] : p["loss_stop"]])) for x, p in zip(ids, parts, strict=True))
+                loss = "".join(unescape(tokens.decode(x[m["start"] : m["stop"]])) for x, p in zip(ids, parts, strict=True) for m in p["loss"])
                 rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
@@ -194,12 +230,14 @@ def _read(path: str) -> Callable:
     return run
 
 
-def read_back(nodes: DataFrame, leaves: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Each conversation from the emission: the intervals that its last node attends to, and that node itself."""
-    ends = leaves.join(nodes.select("start", "attends"), "start")
-    steps = ends.select("conv_id", F.explode(F.concat(F.transform("attends", lambda x: x["start"]), F.array("start"))).alias("start"))
-    parts = steps.join(nodes.select("start", "ids", "loss_start", "loss_stop"), "start")
-    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss_start", "loss_stop"))).alias("parts"))
+def read_back(runs: DataFrame, leaves: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """Each conversation from the emission: the tokens of its intervals, and which of them are under the loss mask."""
+    spans = leaves.select("conv_id", F.explode("spans").alias("s")).select("conv_id", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"))
+    size = (F.col("stop") - F.col("start")).cast("int")
+    ids = F.when(size < F.col("n_tokens"), F.substring("ids", F.lit(1), size * 4)).otherwise(F.col("ids"))
+    # A span begins with a run and ends with one of its turns.
+    parts = spans.join(runs.select("start", "n_tokens", "ids", "loss"), "start").select("conv_id", "start", ids.alias("ids"), F.filter("loss", lambda x: x["stop"] <= size).alias("loss"))
+    whole = parts.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids", "loss"))).alias("parts"))
     kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     return whole.mapInArrow(_read(tokenizer or default_tokenizer()), kinds)
 
@@ -209,8 +247,7 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = f"{END}{START}assistant ok"
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, ASSISTANT, said)], "conv_id long, turn long, role string, text string")
-    nodes, leaves = prefix_tree(rows.unionByName(own))
-    return read_back(cut(nodes), leaves)
+    return read_back(*prefix_tree(rows.unionByName(own)))
 
 
 SQL = r"""

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -9,11 +12,6 @@ from pyspark.sql import Window
 from popspark.llm.common import SPACE, WORD, named, table
 from popspark.shared import cut
 
-#: A node's share among its siblings, in thousandths; names that are not listed have OTHER.
-DOMAIN_WEIGHTS = {"d0": 400, "d1": 300, "d2": 200, "d3": 100}
-LANG_WEIGHTS = {"en": 600, "de": 150, "fr": 150, "es": 100}
-SOURCE_WEIGHTS: dict[str, int] = {}
-OTHER = 100
 LEVELS = ("domain", "lang", "source")
 #: Documents of a leaf that one range of the seeded order holds, about.
 RANGE = 2000
@@ -25,8 +23,23 @@ def domain_of(source: Column) -> Column:
     return F.concat(F.lit("d"), F.coalesce(F.when(number != "", number.cast("long") % 4), F.lit(0)).cast("string"))
 
 
-def _weight(name: Column, weights: dict[str, int]) -> Column:
-    out = F.lit(OTHER)
+@dataclass(frozen=True)
+class Weights:
+    """A node's share among its siblings, in thousandths; names that are not listed have ``other``. ``domain_of`` maps a
+    source to its domain."""
+
+    domain: Mapping[str, int] = field(default_factory=dict)
+    lang: Mapping[str, int] = field(default_factory=dict)
+    source: Mapping[str, int] = field(default_factory=dict)
+    other: int = 100
+    domain_of: Callable[[Column], Column] = domain_of
+
+
+WEIGHTS = Weights({"d0": 400, "d1": 300, "d2": 200, "d3": 100}, {"en": 600, "de": 150, "fr": 150, "es": 100})
+
+
+def _weight(name: Column, weights: Mapping[str, int], other: int) -> Column:
+    out = F.lit(other)
     for k, w in weights.items():
         out = F.when(name == k, w).otherwise(out)
     return out.cast("long")
@@ -55,7 +68,7 @@ def _fill(nodes: DataFrame, parent: list[str], budget: str) -> DataFrame:
     return nodes.withColumn("granted", F.when(F.coalesce(F.col("_place") < F.col("_first"), F.lit(True)), F.col("capacity")).otherwise(share)).drop("_left", "_after", "_full", "_place", "_first", "_a", "_b")
 
 
-def budgets(leaves: DataFrame, per_mille: int, epochs: int) -> DataFrame:
+def budgets(leaves: DataFrame, per_mille: int, epochs: int, weights: Weights = WEIGHTS) -> DataFrame:
     """leaves (domain, lang, source, tokens, docs) with target, the tokens that each is to give.
 
     The root has per_mille thousandths of all tokens. A node can give what its leaves hold, times epochs. What a node cannot
@@ -66,15 +79,15 @@ def budgets(leaves: DataFrame, per_mille: int, epochs: int) -> DataFrame:
     langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
     domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
     root = F.expr(f"(sum(capacity) over () * {per_mille}) div {1000 * epochs}")
-    top = domains.select("domain", F.col("domain").alias("name"), "capacity", _weight(F.col("domain"), DOMAIN_WEIGHTS).alias("weight"), root.alias("budget"), F.lit(0).alias("root"))
+    top = domains.select("domain", F.col("domain").alias("name"), "capacity", _weight(F.col("domain"), weights.domain, weights.other).alias("weight"), root.alias("budget"), F.lit(0).alias("root"))
     top = _fill(top, ["root"], "budget").select("domain", F.col("granted").alias("budget"))
-    middle = langs.join(top, "domain").withColumn("name", F.col("lang")).withColumn("weight", _weight(F.col("lang"), LANG_WEIGHTS))
+    middle = langs.join(top, "domain").withColumn("name", F.col("lang")).withColumn("weight", _weight(F.col("lang"), weights.lang, weights.other))
     middle = _fill(middle, ["domain"], "budget").select("domain", "lang", F.col("granted").alias("budget"))
-    low = leaves.join(middle, ["domain", "lang"]).withColumn("name", F.col("source")).withColumn("weight", _weight(F.col("source"), SOURCE_WEIGHTS))
+    low = leaves.join(middle, ["domain", "lang"]).withColumn("name", F.col("source")).withColumn("weight", _weight(F.col("source"), weights.source, weights.other))
     return _fill(low, ["domain", "lang"], "budget").select("domain", "lang", "source", "tokens", "docs", F.col("granted").alias("target"))
 
 
-def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17, with_rows: bool = True) -> DataFrame:
+def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17, with_rows: bool = True, weights: Weights = WEIGHTS) -> DataFrame:
     """A row for each document and epoch that the mixture takes: docs' columns, domain, epoch, tokens (words of its text),
     taken (how many of them, from its start) and leaf_start (the tokens that its leaf gives before it).
 
@@ -82,7 +95,7 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     stand in the order of a seeded digest of epoch and doc_id; the epochs follow one another, and the leaf gives the
     prefix of its target's length, so that its last document is cut. Documents without words (null or empty texts) give
     nothing and are left out. Ties, as of rows that repeat a doc_id, go by tokens; equal rows are interchangeable. Columns of
-    docs that have the names of added ones are replaced; without ``with_rows``, only doc_id and the added columns come,
+    docs that have the names of added ones are replaced; texts of any length are counted whole; without ``with_rows``, only doc_id and the added columns come,
     and the texts are not shuffled. An empty table gives no rows.
 
     A leaf's order is dealt into ranges of about RANGE documents by the digest's value, summed range by range, so that a
@@ -91,7 +104,7 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     added = {"domain", "epoch", "tokens", "taken", "leaf_start", "lang", "source"}
     clean = [c for c in docs.columns if c.lower() not in added]
     name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
-    leaf_of = [name("lang"), name("source"), domain_of(F.col("source")).alias("domain"), F.xxhash64("text").alias("_mix_text")]
+    leaf_of = [name("lang"), name("source"), weights.domain_of(F.col("source")).alias("domain"), F.xxhash64("text").alias("_mix_text")]
     wordy = F.length(F.btrim("text", F.lit(SPACE))) > 0
     # Words are counted once; after that only a few numbers for each document are read.
     count = F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")
@@ -99,7 +112,7 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     same = Window.partitionBy("doc_id").orderBy(*LEVELS, "_mix_text")
     numbered = known.withColumn("_mix_n", F.row_number().over(same)) if with_rows else known.withColumn("_mix_n", F.lit(1))
     leaves = known.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    goals = budgets(leaves, per_mille, epochs).select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.greatest(F.lit(1).cast("long"), F.expr(f"docs div {RANGE}")).alias("ranges"), "target")
+    goals = budgets(leaves, per_mille, epochs, weights).select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.greatest(F.lit(1).cast("long"), F.expr(f"docs div {RANGE}")).alias("ranges"), "target")
     # A key of its own beside the leaf's names: dealt by the names alone, the ranges below would stay where their leaf is.
     digest_of_leaf = F.xxhash64(*LEVELS)
     lives = numbered.select(*LEVELS, "doc_id", "tokens", "_mix_n", digest_of_leaf.alias("_mix_leaf"))
@@ -130,11 +143,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), with_rows=False).select("doc_id", "domain", "lang", "source", "epoch", "tokens", "taken", "leaf_start")
 
 
-def _cases(column: str, weights: dict[str, int]) -> str:
-    return f"cast(case {column} " + " ".join(f"when '{k}' then {w}" for k, w in weights.items()) + f" else {OTHER} end as bigint)" if weights else f"cast({OTHER} as bigint)"
+def _cases(column: str, weights: Mapping[str, int]) -> str:
+    return f"cast(case {column} " + " ".join(f"when '{k}' then {w}" for k, w in weights.items()) + f" else {WEIGHTS.other} end as bigint)" if weights else f"cast({WEIGHTS.other} as bigint)"
 
 
-def _filled(name: str, source: str, columns: str, parent: str, label: str, weights: dict[str, int]) -> str:
+def _filled(name: str, source: str, columns: str, parent: str, label: str, weights: Mapping[str, int]) -> str:
     """The common table expressions that grant budgets to the nodes of one level."""
     return f"""
 {name}_a as (select *, {_cases(label, weights)} as weight from {source}),
@@ -157,11 +170,11 @@ with known as (
   select domain, lang, source, cast(sum(tokens) as bigint) as tokens, cast(sum(tokens) * 2 as bigint) as capacity from known where tokens > 0 group by all
 ), lang_caps as (select domain, lang, cast(sum(capacity) as bigint) as capacity from leaves group by all),
 domain_caps as (select domain, 0 as root, cast(sum(capacity) as bigint) as capacity, cast((sum(sum(capacity)) over () * 500) // 2000 as bigint) as budget from lang_caps group by domain),
-{_filled("top", "domain_caps", "domain", "root", "domain", DOMAIN_WEIGHTS)},
+{_filled("top", "domain_caps", "domain", "root", "domain", WEIGHTS.domain)},
 lang_in as (select c.*, t.granted as budget from lang_caps c join top t using (domain)),
-{_filled("middle", "lang_in", "domain, lang", "domain", "lang", LANG_WEIGHTS)},
+{_filled("middle", "lang_in", "domain, lang", "domain", "lang", WEIGHTS.lang)},
 leaf_in as (select l.*, m.granted as budget from leaves l join middle m using (domain, lang)),
-{_filled("low", "leaf_in", "domain, lang, source, tokens as leaf_tokens", "domain, lang", "source", SOURCE_WEIGHTS)},
+{_filled("low", "leaf_in", "domain, lang, source, tokens as leaf_tokens", "domain, lang", "source", WEIGHTS.source)},
 turns as (
   select k.*, l.leaf_tokens, l.granted as target, e.epoch, md5('17:' || e.epoch || ':' || k.doc_id) as seeded
   from known k join low l using (domain, lang, source) cross join (values (0), (1)) e(epoch)

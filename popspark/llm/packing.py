@@ -10,14 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from popspark.llm.common import table
-from popspark.llm.tokens import default_tokenizer, word_tokens
+from popspark.llm.tokens import default_tokenizer, id_type, word_tokens
+from popspark.shared import cut
 from popspark.shipping import ship
 
 K1, B = 1.2, 0.75
-#: Of a seed, as many of its rarest terms make the query.
-TERMS = 24
 
 
 @dataclass
@@ -40,41 +40,59 @@ def tokenized(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iter
             yield Piece(doc_id, 0, np.concatenate([ids, end]), len(ids) + 1)
 
 
-class Bm25:
-    """An inverted index over the pieces of one shard."""
+@dataclass(frozen=True)
+class Corpus:
+    """What BM25 needs to know of all pieces: how many have each term, how many there are, and their mean length.
 
-    def __init__(self, pieces: list[Piece]):
-        self.n = len(pieces)
+    It has a number for each token id of the tokenizer, so its size does not grow with the documents.
+    """
+
+    df: np.ndarray
+    n: int
+    mean: float
+
+    def weights(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, term, weight) of each term of each piece, in order of pieces."""
         sizes = np.array([len(p.ids) for p in pieces], np.int64)
         ids = np.concatenate([p.ids for p in pieces]).astype(np.int64)
-        pairs, tf = np.unique(np.repeat(np.arange(self.n), sizes) << 32 | ids, return_counts=True)
+        pairs, tf = np.unique(np.repeat(np.arange(len(pieces)), sizes) << 32 | ids, return_counts=True)
         docs, terms = pairs >> 32, pairs & 0xFFFFFFFF
-        _, local, df = np.unique(terms, return_inverse=True, return_counts=True)
+        df = self.df[terms]
         idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        weight = idf[local] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / sizes.mean()))
+        return docs, terms, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / self.mean))
+
+
+class Bm25:
+    """An inverted index over the pieces of one shard, with the weights that all pieces of the corpus give."""
+
+    def __init__(self, pieces: list[Piece], corpus: Corpus):
+        self.n = len(pieces)
+        docs, terms, weight = corpus.weights(pieces)
+        _, local, df = np.unique(terms, return_inverse=True, return_counts=True)
         order = np.argsort(local, kind="stable")
         self.docs, self.weights = docs[order], weight[order]
         self.ends = np.concatenate([[0], np.cumsum(df)])
         self.df, self.local = df, local
         self.own = np.searchsorted(docs, np.arange(self.n + 1))
 
-    def neighbours(self, piece: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces that share one of the seed's rarest shared terms, best first; ties to the earlier piece."""
+    def scores(self, piece: int) -> np.ndarray:
+        """The score of each piece of the shard for all different terms of one of them."""
         terms = self.local[self.own[piece] : self.own[piece + 1]]
-        df = self.df[terms]
-        terms = terms[(df > 1) & (df <= max(2, self.n // 2))]
-        if len(terms) > TERMS:
-            terms = terms[np.argpartition(self.df[terms], TERMS)[:TERMS]]
+        terms = terms[self.df[terms] > 1]
         if not len(terms):
-            return terms
-        where = np.concatenate([np.arange(self.ends[t], self.ends[t + 1]) for t in terms])
-        scores = np.bincount(self.docs[where], self.weights[where], self.n)
-        scores[~unused] = 0
+            return np.zeros(self.n)
+        begin, sizes = self.ends[terms], self.df[terms]
+        where = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.bincount(self.docs[where], self.weights[where], self.n)
+
+    def neighbours(self, piece: int, unused: np.ndarray) -> np.ndarray:
+        """Unused pieces that share a term with the seed, best first; ties to the earlier piece."""
+        scores = np.where(unused, self.scores(piece), 0)
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")]
 
 
-def pack_shard(pieces: list[Piece], window: int) -> tuple[list[list[Piece]], list[Piece]]:
+def pack_shard(pieces: list[Piece], window: int, corpus: Corpus) -> tuple[list[list[Piece]], list[Piece]]:
     """Full windows, and the pieces left over, which fill no window.
 
     Seeds come in order. A seed's neighbours enter its window by score; the first that does not fit is cut, and its rest
@@ -82,7 +100,7 @@ def pack_shard(pieces: list[Piece], window: int) -> tuple[list[list[Piece]], lis
     """
     if sum(len(p.ids) for p in pieces) < window:
         return [], pieces
-    index, rest, windows = Bm25(pieces), list(pieces), []
+    index, rest, windows = Bm25(pieces, corpus), list(pieces), []
     unused = np.ones(len(pieces), bool)
     left = sum(len(p.ids) for p in pieces)
     first = 0
@@ -135,6 +153,14 @@ def powers(pieces: list[Piece]) -> list[list[Piece]]:
 
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+TOKENS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, ids binary"
+
+
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
 def numbered(sequences: list[list[Piece]], first: int, with_ids: bool) -> pa.RecordBatch:
@@ -144,42 +170,94 @@ def numbered(sequences: list[list[Piece]], first: int, with_ids: bool) -> pa.Rec
         offset = 0
         for p in sequence:
             raw = p.ids.astype("<u4").tobytes()
-            rows.append((p.doc_id, p.start, len(p.ids), zlib.crc32(raw), p.doc_tokens, first + k, offset, *([raw] * with_ids)))
+            rows.append((p.doc_id, p.start, len(p.ids), zlib.crc32(raw), p.doc_tokens, 2 * (first + k), offset, *([raw] * with_ids)))
             offset += len(p.ids)
-    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
-    kinds = [pa.int64()] * 7 + [pa.binary()] * with_ids
-    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
+    return _columns(rows, SCHEMA + ", ids binary" * with_ids)
+
 
+def _cut_up(path: str, kind: str, window: int, end_id: int, with_ids: bool) -> Callable:
+    """Full windows of a document, each a sequence of its own, with an odd number; then what is left of it, without one."""
 
-def _packer(path: str, window: int, end_id: int, shard_tokens: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
-        whole: list[list[Piece]] = []
-        pool: list[Piece] = []
-        size = 0
-
-        def give(sequences: list[list[Piece]]) -> pa.RecordBatch:
-            nonlocal number
-            number += len(sequences)
-            return numbered(sequences, number - len(sequences), with_ids)
-
+        rows: list[tuple] = []
         for piece in tokenized(batches, path, end_id):
             while len(piece.ids) >= window:
                 full, piece = piece.split(window)
-                whole.append([full])
-                if len(whole) >= 1000:
-                    yield give(whole)
-                    whole = []
+                raw = full.ids.astype("<u4").tobytes()
+                rows.append((full.doc_id, full.start, window, zlib.crc32(raw), full.doc_tokens, 2 * number + 1, raw if with_ids else None))
+                number += 1
             if len(piece.ids):
-                pool.append(piece)
-                size += len(piece.ids)
+                rows.append((piece.doc_id, piece.start, len(piece.ids), None, piece.doc_tokens, None, piece.ids.astype(kind).tobytes()))
+            if len(rows) >= 4096:
+                yield _columns(rows, TOKENS)
+                rows = []
+        yield _columns(rows, TOKENS)
+
+    return run
+
+
+def _pieces(batch: pa.RecordBatch, kind: str) -> list[Piece]:
+    doc_id, start, doc_tokens, ids = (batch.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens", "ids"))
+    return [Piece(d, s, np.frombuffer(x, kind).astype(np.uint32), n) for d, s, n, x in zip(doc_id, start, doc_tokens, ids, strict=True)]
+
+
+def _frequencies(kind: str) -> Callable:
+    """How many pieces of a task have each term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(1, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                pieces = _pieces(batch, kind)
+                pairs = np.unique(np.repeat(np.arange(len(pieces)), [len(p.ids) for p in pieces]) << 32 | np.concatenate([p.ids for p in pieces]))
+                found = np.bincount(pairs & 0xFFFFFFFF)
+                df = np.pad(df, (0, max(0, len(found) - len(df))))
+                df[: len(found)] += found
+        terms = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int64()), pa.array(df[terms], pa.int64())], ["term", "df"])
+
+    return run
+
+
+def _placed(kind: str, corpus: Corpus) -> Callable:
+    """Pieces with the two terms that weigh most in them, of those that other pieces have too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                docs, terms, weight = corpus.weights(_pieces(batch, kind))
+                weight = np.where(corpus.df[terms] > 1, weight, 0)
+                order = np.lexsort((terms, -weight, docs))
+                first = np.searchsorted(docs, np.arange(batch.num_rows))
+                second = np.minimum(first + 1, np.append(first[1:], len(docs)) - 1)
+                columns = [pa.array(terms[order[x]].astype(np.int32)) for x in (first, second)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "t1", "t2"])
+
+    return run
+
+
+def _packer(kind: str, window: int, shard_tokens: int, corpus: Corpus, with_ids: bool) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        pool: list[Piece] = []
+        size = 0
+
+        def give(sequences: list[list[Piece]]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            for at in range(0, len(sequences), 512):
+                part = sequences[at : at + 512]
+                yield numbered(part, number, with_ids)
+                number += len(part)
+
+        for batch in batches:
+            pool += _pieces(batch, kind)
+            size = sum(len(p.ids) for p in pool)
             if size >= shard_tokens:
-                windows, pool = pack_shard(pool, window)
-                size = sum(len(p.ids) for p in pool)
-                yield give(windows)
-        windows, pool = pack_shard(pool, window)
-        yield give(whole + windows + powers(pool))
+                windows, pool = pack_shard(pool, window, corpus)
+                yield from give(windows)
+        windows, pool = pack_shard(pool, window, corpus)
+        yield from give(windows + powers(pool))
 
     return run
 
@@ -188,17 +266,37 @@ def retrieval_pack(docs: DataFrame, tokenizer: str | None = None, window: int =
     """A row for each piece of each document: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with
     ``with_ids``, the ids (little-endian, 32 bits each).
 
-    Sequences have exactly ``window`` tokens, but for a partition's last ones, whose lengths are powers of two; so no
-    token is padding. Null and empty texts are documents of the end id alone. A null doc_id stays null; rows that repeat a
-    doc_id are packed each for itself. Other columns are not read. An empty table gives no rows.
-
-    Documents are cut into windows as they come; only what is shorter than a window goes into the shards, each with a
-    BM25 index over about ``shard_tokens`` tokens. A shard lives in the task that read its documents, so nothing is
-    shuffled, memory is bounded by the shard, and a lost task is simply run again with the same result.
+    Sequences have exactly ``window`` tokens, but for a shard's last ones, whose lengths are powers of two; so no token is
+    padding. Null and empty texts are documents of the end id alone; texts of any length are cut without loss. A null
+    doc_id stays null; rows that repeat a doc_id are packed each for itself. Other columns are not read. An empty table
+    gives no rows.
+
+    Full windows of long documents are sequences at once; the rest is packed by retrieval. Document frequencies, the number
+    of pieces and their mean length are counted over all of them. The index is sharded: pieces stand in the order of the two
+    shared terms that weigh most in them, and ranges of that order of about ``shard_tokens`` tokens are the shards, so
+    pieces that share their weightiest terms meet, wherever they were read; a range that holds more is several shards.
+    Each shard is an inverted index with BM25 weights of the whole corpus; a seed's query has all its different terms.
+    Token ids travel once, 16 bits each where the vocabulary allows it.
     """
-    ship(docs.sparkSession)
-    run = _packer(tokenizer or default_tokenizer(), window, end_id, shard_tokens, with_ids)
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids binary" * with_ids)
+    spark = docs.sparkSession
+    ship(spark)
+    path = tokenizer or default_tokenizer()
+    kind = id_type(path)
+    tokens = cut(docs.select("doc_id", "text").mapInArrow(_cut_up(path, kind, window, end_id, with_ids), TOKENS))
+    whole = tokens.where("sequence_id is not null").withColumn("offset", F.lit(0).cast("long"))
+    rest = tokens.where("sequence_id is null").select("doc_id", "start", "doc_tokens", "ids", "length")
+    n, total = (x or 0 for x in rest.agg(F.count("*"), F.sum("length")).first())
+    # A row for each token id of the vocabulary at most.
+    counts = rest.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(_frequencies(kind), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    df = np.zeros(max([end_id, *counts.column("term").to_pylist()]) + 1, np.int64)
+    df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()
+    corpus = Corpus(df, n, total / max(n, 1))
+    placed = rest.drop("length").mapInArrow(_placed(kind, corpus), "doc_id long, start long, doc_tokens long, ids binary, t1 int, t2 int")
+    order = ["t1", "t2", F.xxhash64("doc_id", "start"), "ids"]
+    ranged = placed.repartitionByRange(max(1, -(-total // shard_tokens)), *order).sortWithinPartitions(*order)
+    names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
+    packed = ranged.drop("t1", "t2").mapInArrow(_packer(kind, window, 2 * shard_tokens, corpus, with_ids), SCHEMA + ", ids binary" * with_ids)
+    return whole.select(*names).unionByName(packed)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,17 @@
-"""Substring dedup: a sparse de Bruijn graph over word k-mers finds passages that repeat; source coordinates verify them."""
+"""Substring dedup: a de Bruijn graph whose edges are the windows; repeated nonbranching paths are compacted by joins, and
+the words at their source coordinates verify them."""
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Callable, Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from popspark.llm.common import spread_join, table
 from popspark.shared import cut
@@ -57,53 +58,74 @@ def spans(words: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndar
     return mix(np.add.reduceat(mixed, begin) ^ mix((lengths * 4096 + place - first).astype(np.uint64)))
 
 
-def _version(text: str | None) -> int:
-    return zlib.crc32((text or "").encode()) & 0x7FFFFFFF
+EDGES = "doc long, version long, gram long, span long, place long, copies int"
+#: Where windows stand: the first and the last of them in a text of a document.
+PLACE = ("doc", "version", "first", "last")
 
 
-EDGES = "doc long, gram long, span long, place long, version int, copies int"
+def _hashes(batch: pa.RecordBatch, bits: int) -> Iterator[np.ndarray]:
+    """Hashes of the words of each text, of which ``bits`` bits are kept."""
+    for words in word_hashes(batch.column("text")):
+        yield words if bits == 64 else words & np.uint64((1 << bits) - 1)
 
 
-def _edges(size: int, kmer: int) -> Callable:
-    """A row for each anchor of each document. Equal neighbours, as in a word said over and over, make one row."""
+def _edges(size: int, kmer: int, bits: int) -> Callable:
+    """A row for each run of edges with one anchor. Equal neighbours, as in a word said over and over, make one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: list[tuple] = []
-            for row, words in enumerate(word_hashes(batch.column("text"))):
+            for row, words in enumerate(_hashes(batch, bits)):
                 gram, place, first, last = anchors(words, size, kmer)
                 if len(gram):
                     span = spans(words, first, last, place, size)
-                    new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (span[1:] != span[:-1])]))
+                    new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (span[1:] != span[:-1]) | (np.diff(last - first) != 0)]))
                     stop = np.concatenate([new[1:], [len(gram)]])
-                    version = np.full(len(new), _version(batch.column("text")[row].as_py()), np.int32)
-                    parts.append((np.full(len(new), row), gram[new].view(np.int64), span[new].view(np.int64), first[new] << 32 | last[stop - 1], version, (stop - new).astype(np.int32)))
+                    parts.append((np.full(len(new), row), gram[new].view(np.int64), span[new].view(np.int64), first[new] << 32 | last[stop - 1], (stop - new).astype(np.int32)))
             if parts:
                 row, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
-                columns = [batch.column("doc").take(pa.array(row)), *map(pa.array, rest)]
+                columns = [batch.column(c).take(pa.array(row)) for c in ("doc", "version")] + [*map(pa.array, rest)]
                 for at in range(0, len(row), 1 << 17):
-                    yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 17) for c in columns], ["doc", "gram", "span", "place", "version", "copies"])
+                    yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 17) for c in columns], [x.split()[0] for x in EDGES.split(", ")])
 
     return run
 
 
-def _unfolded(size: int) -> Callable:
-    """The windows of each span at a branching, one row each, from the words at its source coordinates."""
+def _unfolded(size: int, bits: int) -> Callable:
+    """The windows of each path at a branching, one row each, from the words at its source coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["doc", "gram", "hash", "place", "version", "single"]
+            names = ["doc", "version", "gram", "hash", "first", "single"]
             out: list[list] = [[] for _ in names]
-            for doc, text, found, words in zip(batch.column("doc").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), word_hashes(batch.column("text")), strict=True):
-                version, hashes = _version(text.as_py()), windows(words, size, 11).view(np.int64)
+            for doc, version, found, words in zip(batch.column("doc").to_pylist(), batch.column("version").to_pylist(), batch.column("paths").to_pylist(), _hashes(batch, bits), strict=True):
+                hashes = windows(words, size, 11).view(np.int64)
                 for x in found:
-                    if x["version"] == version:
-                        first, last = x["place"] >> 32, x["place"] & 0xFFFFFFFF
-                        n = last - first + 1
-                        for column, values in zip(out, ([doc] * n, [x["gram"]] * n, hashes[first : last + 1], [k << 32 | k for k in range(first, last + 1)], [version] * n, [x["n"] == 1] * n), strict=True):
-                            column.extend(values)
-            kinds = [pa.int64()] * 4 + [pa.int32(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
+                    first, last = x["place"] >> 32, x["place"] & 0xFFFFFFFF
+                    n = last - first + 1
+                    for column, values in zip(out, ([doc] * n, [version] * n, [x["gram"]] * n, hashes[first : last + 1], range(first, last + 1), [x["n"] == 1] * n), strict=True):
+                        column.extend(values)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64()] * 5 + [pa.bool_()], strict=True)], names)
+
+    return run
+
+
+def _read(size: int, each: bool) -> Callable:
+    """128 bits of a digest of the words themselves at each of the places, or with ``each`` at each window of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            names: list[bytes] = []
+            for doc, version, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text", "places")), strict=True):
+                words = (text or "").encode().split()
+                for x in found:
+                    for first, last in [(k, k) for k in range(x["first"], x["last"] + 1)] if each else [(x["first"], x["last"])]:
+                        rows.append((doc, version, first, last))
+                        names.append(hashlib.blake2b(b" ".join(words[first : last + size]), digest_size=16).digest())
+            digest = np.frombuffer(b"".join(names), np.int64)
+            columns = zip(*rows, strict=True) if rows else [[]] * len(PLACE)
+            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns), pa.array(digest[::2]), pa.array(digest[1::2])], [*PLACE, "d", "e"])
 
     return run
 
@@ -112,20 +134,17 @@ def _cleaned(size: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, digest, kept_text = [], [], [], []
-            for text, found in zip(batch.column("text"), batch.column("covered"), strict=True):
-                text = text.as_py() or ""
-                words, removed = text.encode().split(), 0
+            for text, found in zip(batch.column("text"), batch.column("places"), strict=True):
+                words, removed = (text.as_py() or "").encode().split(), 0
+                words_left = words
                 if found.is_valid:
-                    version = _version(text)
-                    places = np.array([x["place"] for x in found.as_py() if x["version"] == version], np.int64)
+                    places = found.as_py()
                     turns = np.zeros(len(words) + size + 1, np.int64)
-                    np.add.at(turns, places >> 32, 1)
-                    np.add.at(turns, (places & 0xFFFFFFFF) + size, -1)
+                    np.add.at(turns, [x["first"] for x in places], 1)
+                    np.add.at(turns, [x["last"] + size for x in places], -1)
                     keep = np.cumsum(turns)[: len(words)] == 0
                     removed = len(words) - int(keep.sum())
                     words_left = list(compress(words, keep.tolist()))
-                else:
-                    words_left = words
                 joined = b" ".join(words_left)
                 n_words.append(len(words))
                 n_removed.append(removed)
@@ -141,43 +160,122 @@ def _cleaned(size: int, with_text: bool) -> Callable:
     return run
 
 
-def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text: bool = True) -> DataFrame:
+def _gathered(places: DataFrame) -> DataFrame:
+    """(doc, version, places): what belongs to one text in one row."""
+    return places.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("places"))
+
+
+def _other(at: Column, low: str, high: str) -> Column:
+    """Of two occurrences, the one that is not this one; if there is one only, that."""
+    return F.when(F.col(low) == at, F.col(high)).otherwise(F.col(low))
+
+
+def _repeated(texts: DataFrame, hits: DataFrame, size: int, bits: int) -> DataFrame:
+    """Pieces of paths that repeat: where they stand, what they are (piece), and where else that is (w_doc, w_version, w_first).
+
+    Where an anchor has the same words around it everywhere, its whole path repeats. Where paths branch, those that occur
+    again do; each of the others is unfolded into its windows once, and these are counted.
+    """
+    forks = hits.where("forks")
+    paths = forks.groupBy("gram", "span").agg(F.sum("copies").alias("n"), F.min(F.struct("doc", "version", "place")).alias("at"))
+    again = paths.where("n > 1").select("span", F.col("gram").alias("of"))
+    repeated = spread_join(forks, again, "span").where(F.col("gram").bitwiseXOR(F.col("of")) == 0).drop("of")
+    whole = hits.where("not forks").unionByName(repeated).select("doc", "version", "gram", "span", "copies", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("last"))
+    at = F.struct("doc", "version", "first")
+    ends = whole.groupBy(F.col("gram").alias("of"), "span").agg(F.min(at).alias("low"), F.max(at).alias("high"))
+    whole = spread_join(whole, ends, "span").where(F.col("gram").bitwiseXOR(F.col("of")) == 0).withColumn("w", _other(at, "low", "high"))
+    # What repeats within itself is found again one period on, and at its end one period before.
+    period = F.expr("(last - first + 1) div copies")
+    part = lambda first, last, doc, version, to, k: F.struct(first.alias("first"), last.alias("last"), doc.alias("w_doc"), version.alias("w_version"), to.alias("w_first"), F.lit(k).alias("k"))
+    first, last = F.col("first"), F.col("last")
+    once = F.array(part(first, last, F.col("w.doc"), F.col("w.version"), F.col("w.first"), 0))
+    own = F.array(part(first, last - period, F.col("doc"), F.col("version"), first + period, 1), part(last - period + 1, last, F.col("doc"), F.col("version"), last - 2 * period + 1, 2))
+    parts = whole.select("doc", "version", "gram", "span", "copies", F.explode(F.when(F.col("copies") > 1, own).otherwise(once)).alias("p"))
+    parts = parts.select("doc", "version", "p.first", "p.last", F.xxhash64("gram", "span", "copies", "p.k").alias("piece"), "p.w_doc", "p.w_version", "p.w_first")
+
+    sources = paths.select("at.doc", "at.version", F.struct("gram", "at.place", "n").alias("s")).groupBy("doc", "version").agg(F.collect_list("s").alias("paths"))
+    unfolded = texts.join(sources, ["doc", "version"]).mapInArrow(_unfolded(size, bits), "doc long, version long, gram long, hash long, first long, single boolean")
+    twice = unfolded.groupBy(F.col("gram").alias("of"), "hash").agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).where("n > 1")
+    singles = spread_join(unfolded.where("single"), twice, "hash").where(F.col("gram").bitwiseXOR(F.col("of")) == 0).withColumn("w", _other(at, "low", "high"))
+    singles = singles.select("doc", "version", "first", F.col("first").alias("last"), F.xxhash64("gram", "hash").alias("piece"), F.col("w.doc").alias("w_doc"), F.col("w.version").alias("w_version"), F.col("w.first").alias("w_first"))
+    return parts.unionByName(singles).distinct()
+
+
+def _compacted(pieces: DataFrame) -> DataFrame:
+    """Runs of pieces as one: PLACE, w_doc, w_version and w_first.
+
+    A piece's out-degree counts what follows it in the texts, its in-degree what goes before it; the end of what repeats
+    counts as one such thing. Where a piece has one successor only and is that one's only predecessor, the path goes on
+    without a branching: a join of the pieces' degrees finds these, and a join with all occurrences cuts them into runs.
+    """
+    order = Window.partitionBy("doc", "version").orderBy("first")
+    near = lambda f, gap: F.when(gap, f("piece").over(order)).otherwise(F.lit(0).cast("long"))
+    after = F.coalesce(F.lead("first").over(order) == F.col("last") + 1, F.lit(False))
+    before = F.coalesce(F.lag("last").over(order) == F.col("first") - 1, F.lit(False))
+    steps = pieces.withColumn("next", near(F.lead, after)).withColumn("previous", near(F.lag, before))
+    # The other occurrence has to go on in the same place, too.
+    same = [F.lag(c).over(order) == F.col(c) for c in ("w_doc", "w_version")] + [F.lag("w_first").over(order) - F.lag("first").over(order) == F.col("w_first") - F.col("first")]
+    steps = steps.withColumn("along", F.coalesce(same[0] & same[1] & same[2], F.lit(False)))
+    degrees = steps.groupBy("piece").agg(F.min("next").alias("n"), F.max("next").alias("m"), F.min("previous").alias("o"), F.max("previous").alias("p"))
+    out = degrees.where("n = m and n <> 0").select(F.col("piece").alias("from"), F.col("n").alias("to"))
+    into = degrees.where("o = p and o <> 0").select("piece", F.col("o").alias("source"))
+    through = out.join(into, (F.col("to") == F.col("piece")) & (F.col("from") == F.col("source"))).select("piece", F.lit(True).alias("through"))
+    marked = spread_join(steps, through, "piece", "left")
+    starts = F.when(F.col("through") & F.col("along"), 0).otherwise(1)
+    runs = marked.withColumn("run", F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min(F.struct("first", "w_doc", "w_version", "w_first")).alias("s")
+    return runs.groupBy("doc", "version", "run").agg(first, F.max("last").alias("last")).select("doc", "version", "s.first", "last", "s.w_doc", "s.w_version", "s.w_first")
+
+
+def _verified(texts: DataFrame, hits: DataFrame, runs: DataFrame, size: int) -> DataFrame:
+    """PLACE of the windows that repeat, by the words themselves.
+
+    A run and its other occurrence are read at their source coordinates. Should their words differ, which takes a collision
+    of hashes, all windows that have an anchor of such a run are read and counted one by one; else that part has no rows.
+    """
+    reads = lambda places, each: texts.join(_gathered(places), ["doc", "version"]).mapInArrow(_read(size, each), ", ".join(f"{c} long" for c in (*PLACE, "d", "e")))
+    runs = runs.withColumn("w_last", F.col("w_first") + F.col("last") - F.col("first"))
+    there = runs.select(*[F.col(f"w_{c}").alias(c) for c in PLACE])
+    read = reads(runs.select(*PLACE).unionByName(there).distinct(), False)
+    other = read.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], F.col("d").alias("w_d"), F.col("e").alias("w_e"))
+    checked = runs.join(read, list(PLACE)).join(other, [f"w_{c}" for c in PLACE]).withColumn("same", (F.col("d") == F.col("w_d")) & (F.col("e") == F.col("w_e")))
+    failed = checked.where("not same").select("doc", "version", F.col("first").alias("f"), F.col("last").alias("l"))
+    inside = (F.shiftright("place", 32) <= F.col("l")) & (F.col("place").bitwiseAND(0xFFFFFFFF) >= F.col("f"))
+    wrong = hits.join(failed, ["doc", "version"]).where(inside).select("gram").distinct()
+    again = hits.join(wrong, "gram", "left_semi").select("doc", "version", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("last"))
+    windows_ = reads(again, True)
+    twice = windows_.groupBy("d", "e").agg(F.count("*").alias("n")).where("n > 1").select("d", F.col("e").alias("x"))
+    exact = spread_join(windows_, twice, "d").where(F.col("e").bitwiseXOR(F.col("x")) == 0)
+    return checked.where("same").select(*PLACE).unionByName(exact.select(*PLACE))
+
+
+def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text: bool = True, bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, with ``with_text``, text: the words that stay, joined by one space.
 
     Words are runs of anything but white space; a null text has none. A word goes if it stands in a window of ``size``
     consecutive words whose sequence also starts anywhere else, in this document or another; windows are judged on the
     input. Rows that repeat a doc_id are documents of their own (told apart by their texts); a null doc_id stays null.
-    Other columns are not read. An empty table gives no rows.
+    Texts of any length are read whole, a slice at a time. Other columns are not read. An empty table gives no rows.
 
-    The graph's edges are word k-mers, of which each window is represented by its least one, its anchor, so that about a
-    tenth of all k-mers travel. An anchor that is followed and preceded by the same words wherever it stands is a
-    nonbranching path: its whole span repeats, or none of it. Only where paths branch are windows unfolded, once for
-    each different span, from the words at the span's source coordinates, and counted. Equality is always that of an
-    anchor and a second hash over all words, 128 bits in all.
+    The graph: a window of ``size`` words is an edge between its first and its last size - 1 words. Edges travel as runs of
+    consecutive ones that share an anchor, the least word k-mer (``kmer`` words) of each of them, so a twelfth of the words
+    makes rows. Anchors that occur once are dropped; of the others, paths that repeat are compacted where they do not
+    branch, and each compacted path is verified on the words at its source coordinates and at another occurrence's. So the
+    result is exact whatever the hashes do (``bits`` narrows the words' hashes, to test that).
 
-    Counts are partly made before each shuffle, and what repeats meets the anchors again in joins that Spark can split.
-    Texts are shuffled once, for the unfolding and for the result.
+    Counts are partly made before each shuffle, and what repeats meets the edges again in joins that Spark can split.
+    Texts are shuffled once, for unfolding, verification and the result.
     """
     ship(docs.sparkSession)
     least = -(2**63)
-    texts = docs.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), "text")
-    edges = texts.mapInArrow(_edges(size, kmer), EDGES)
+    texts = docs.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("version"), "text")
+    edges = texts.mapInArrow(_edges(size, kmer, bits), EDGES)
     grams = edges.groupBy("gram").agg(F.sum("copies").alias("n"), F.min("span").alias("x"), F.max("span").alias("y")).where("n > 1")
     hits = cut(spread_join(edges, grams.select("gram", (F.col("x") != F.col("y")).alias("forks")), "gram"))
-    forks = hits.where("forks")
-    paths = forks.groupBy("gram", "span").agg(F.sum("copies").alias("n"), F.min("doc").alias("at"), F.min_by("place", "doc").alias("place"), F.min_by("version", "doc").alias("version"))
-    again = paths.where("n > 1").select("span", F.col("gram").alias("of"))
-    repeated = spread_join(forks, again, "span").where(F.col("gram").bitwiseXOR(F.col("of")) == 0)
-
-    sources = paths.select(F.col("at").alias("doc"), F.struct("gram", "place", "version", "n").alias("s")).groupBy("doc").agg(F.collect_list("s").alias("spans"))
-    unfolded = texts.join(sources, "doc").mapInArrow(_unfolded(size), "doc long, gram long, hash long, place long, version int, single boolean")
-    twice = unfolded.groupBy("gram", "hash").agg(F.count("*").alias("n")).where("n > 1").select("hash", F.col("gram").alias("of"))
-    singles = spread_join(unfolded.where("single"), twice, "hash").where(F.col("gram").bitwiseXOR(F.col("of")) == 0)
-
-    found = [x.select("doc", "place", "version") for x in (hits.where("not forks"), repeated, singles)]
-    covered = found[0].unionByName(found[1]).unionByName(found[2]).groupBy("doc").agg(F.collect_list(F.struct("place", "version")).alias("covered"))
+    runs = cut(_compacted(_repeated(texts, hits, size, bits)))
+    covered = _gathered(_verified(texts, hits, runs, size))
     kinds = "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    out = texts.join(covered, "doc", "left").mapInArrow(_cleaned(size, with_text), kinds)
+    out = texts.join(covered, ["doc", "version"], "left").mapInArrow(_cleaned(size, with_text), kinds)
     return out.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), *[c for c in out.columns if c != "doc"])
 
 

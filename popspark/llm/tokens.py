@@ -146,6 +146,11 @@ def word_tokens(path: str) -> WordTokens:
     return _LOADED[path]
 
 
+def id_type(path: str) -> str:
+    """The least little-endian number that holds every id of a tokenizer."""
+    return "<u2" if max(word_tokens(path).tokenizer.get_vocab(with_added_tokens=True).values()) < 1 << 16 else "<u4"
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

@@ -249,11 +249,13 @@ class TestLongTexts:
 
 
 class TestSubstringDedup:
-    def test_against_brute_force(self, spark):
+    @pytest.mark.parametrize("bits", [64, 9, 3])
+    def test_against_brute_force(self, spark, bits):
+        """With few bits, different words, windows and paths have equal hashes; the words decide all the same."""
         r = random.Random(2)
         passages = [" ".join(f"p{k}w{i}" for i in range(r.randint(30, 60))) for k in range(6)]
-        texts = [None, "", "again " * 80, "again " * 34, "x y " * 40, "x y " * 40, "\x1cone\xa0two " * 20]
-        for t in prose(60, 9):
+        texts = [None, "", "again " * 80, "again " * 34, "x y " * 40, "x y " * 40, "again " * 36, "\x1cone\xa0two " * 20, "q " * 70 + passages[0] + " q" * 50]
+        for t in prose(60 if bits == 64 else 25, 9):
             words = t.split(" ")
             for _ in range(r.randint(0, 2)):
                 words.insert(r.randrange(len(words) + 1), r.choice(passages))
@@ -261,12 +263,23 @@ class TestSubstringDedup:
         texts += texts[-5:]
         split = [re.findall(WORD, t or "") for t in texts]
         count = collections.Counter(tuple(w[k : k + 35]) for w in split for k in range(len(w) - 34))
-        got = {x.doc_id: x for x in substring_dedup(frame(spark, texts)).collect()}
+        got = {x.doc_id: x for x in substring_dedup(frame(spark, texts), bits=bits).collect()}
         for i, w in enumerate(split):
             gone = {q for k in range(len(w) - 34) if count[tuple(w[k : k + 35])] > 1 for q in range(k, k + 35)}
             kept = " ".join(x for k, x in enumerate(w) if k not in gone)
             assert (got[i].n_words, got[i].n_removed, got[i].text, got[i].kept_sha256) == (len(w), len(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
 
+    def test_paths_are_compacted(self, spark):
+        """A passage of 300 words in three texts is one run in each of them, until one of the texts leaves it."""
+        from popspark.llm.substring_dedup import _compacted
+
+        w = [f"w{i}" for i in range(300)]
+        a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+        pieces = [(d, 0, p * 10 + at, p * 10 + at + 9, p + 1, (d + 1) % 3, 0, p * 10 + (7 if d == 2 else 0)) for d, at in ((0, 0), (1, 0), (2, 7)) for p in range(20) if not (d == 1 and p >= 12)]
+        kinds = "doc long, version long, first long, last long, piece long, w_doc long, w_version long, w_first long"
+        got = sorted((r.doc, r["first"], r["last"]) for r in _compacted(spark.createDataFrame(pieces, kinds)).collect())
+        assert got == [(0, 0, 119), (0, 120, 199), (1, 0, 119), (2, 7, 126), (2, 127, 206)] and w and a != b
+
     def test_repeated_ids(self, spark):
         long = " ".join(map(str, range(50)))
         got = substring_dedup(frame(spark, [long, "other", long, None], [1, 1, 1, None])).collect()

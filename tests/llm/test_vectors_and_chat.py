@@ -134,14 +134,59 @@ class TestChat:
 
     def test_tree(self, spark):
         rows = [(1, 0, "user", "q"), (1, 1, "assistant", "x"), (2, 0, "user", "q"), (2, 1, "assistant", "y"), (3, 0, "user", "q")]
-        nodes = {x.node: x for x in prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))[0].collect()}
-        assert len(nodes) == 3
-        root = next(x for x in nodes.values() if x.parent is None)
-        assert root.start == 0 and root.position == 0
-        at = root.n_tokens
-        for x in sorted((x for x in nodes.values() if x.parent is not None), key=lambda x: x.start):
-            assert x.start == at and x.position == root.n_tokens and [tuple(a) for a in x.attends] == [(0, root.n_tokens)]
-            at += x.n_tokens
+        runs, leaves = prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        runs, leaves = {x.run: x for x in runs.collect()}, {x.conv_id: [tuple(s) for s in x.spans] for x in leaves.collect()}
+        q, x = runs[1].ends
+        assert set(runs) == {1, 2} and (runs[1].start, runs[1].position, runs[1].attends) == (0, 0, [])
+        assert (runs[2].start, runs[2].position) == (x, q) and [tuple(s) for s in runs[2].attends] == [(0, q)]
+        assert leaves == {1: [(0, x)], 2: [(0, q), (x, x + runs[2].n_tokens)], 3: [(0, q)]}
+        assert [tuple(s) for s in runs[2].loss] == [(runs[2].loss[0].start, runs[2].n_tokens - 2)]
+
+    def test_emission_is_depth_first(self, spark):
+        """Against a tree built by hand: each token once, in the order of a walk over it; attention is to all ancestors."""
+        r = random.Random(5)
+        talks = {c: [("user" if k % 2 == 0 else "assistant", r.choice("abc")) for k in range(r.randint(1, 7))] for c in range(120)}
+        rows = [(c, k, role, text) for c, turns in talks.items() for k, (role, text) in enumerate(turns)]
+        runs, leaves = (x.collect() for x in prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+        first: dict = {}
+        for c in sorted(talks):
+            for k in range(1, len(talks[c]) + 1):
+                first.setdefault(tuple(talks[c][:k]), c)
+        order: list = []
+
+        def visit(node):
+            order.append(node)
+            for child in sorted((n for n in first if n[:-1] == node), key=first.get):
+                visit(child)
+
+        for root in sorted((n for n in first if len(n) == 1), key=first.get):
+            visit(root)
+        at, place = 0, {}
+        for run in sorted(runs, key=lambda x: x.start):
+            assert run.start == at
+            depth = len(talks[run.run]) - len(run.ends)
+            for k, end in enumerate(run.ends, depth + 1):
+                place[tuple(talks[run.run][:k])] = (at + (run.ends[k - depth - 2] if k > depth + 1 else 0), at + end)
+            at += run.n_tokens
+        assert sorted(place, key=lambda n: place[n]) == order
+
+        def tokens(intervals):
+            return {t for a, b in intervals for t in range(a, b)}
+
+        for run in runs:
+            depth = len(talks[run.run]) - len(run.ends)
+            ancestors = tokens(place[tuple(talks[run.run][:k])] for k in range(1, depth + 1))
+            assert tokens(run.attends) == ancestors and run.position == len(ancestors)
+        for leaf in leaves:
+            assert tokens(leaf.spans) == tokens(place[tuple(talks[leaf.conv_id][:k])] for k in range(1, leaf.n_turns + 1))
+
+    def test_one_very_long_conversation(self, spark):
+        rows = [(0, k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(20_000)] + [(1, k, "user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(15_000)] + [(2, 0, "user", "turn 0")]
+        runs, leaves = prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        got = {x.conv_id: x for x in read_back(runs, leaves).collect()}
+        assert [got[c].n_turns for c in (0, 1, 2)] == [20_000, 15_000, 1] and runs.count() == 1
+        loss = "".join(f"turn {k}" for k in range(1, 15_000, 2))
+        assert (got[1].loss_chars, got[1].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
     def test_empty(self, spark):
         nodes, leaves = prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
