@@ -366,7 +366,8 @@ def _checked(docs: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int)
     sets = _full_sets(docs, pairs.select(F.explode(F.array("x_doc", "y_doc")).alias("doc_id")), x.unionByName(y), ngram)
     members = pairs.select("x", "y", F.col("x_a").alias("a"), F.col("x_b").alias("b"), F.col("y_a").alias("k"), F.col("y_b").alias("l")).join(sets, ["a", "b"])
     members = members.select("x", "y", "k", "l", F.col("shingles").alias("x_set"))
-    centres = sets.join(y.distinct(), ["a", "b"], "left_semi").select(F.col("a").alias("k"), F.col("b").alias("other"), F.col("shingles").alias("y_set"))
+    # Not a semi-join, which Spark would move below the aggregate, so that the sets would be made twice.
+    centres = sets.join(y.distinct(), ["a", "b"]).select(F.col("a").alias("k"), F.col("b").alias("other"), F.col("shingles").alias("y_set"))
     both = spread_join(members, centres, "k").where(F.col("l").bitwiseXOR(F.col("other")) == 0)
     return both.select("x", "y", "x_set", "y_set").mapInArrow(_verified(num, den), "a long, b long")
 

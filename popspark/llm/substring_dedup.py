@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from popspark.llm.common import spread_join, table
-from popspark.shared import cut
+from popspark.shared import written
 from popspark.llm.words import mix, windows, word_hashes
 from popspark.shipping import ship
 
@@ -58,11 +58,16 @@ def spans(words: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndar
     return mix(np.add.reduceat(mixed, begin) ^ mix((lengths * 4096 + place - first).astype(np.uint64)))
 
 
-EDGES = "doc long, version long, gram long, span long, place long, copies int"
-#: Where windows stand: the first and the last of them in a text of a document.
+EDGES = "doc long, version long, gram long, span int, place long, copies int"
+#: Where windows stand: the first and the last of them in a text of a document; edges have both in one number.
 PLACE = ("doc", "version", "first", "last")
 
 
+def _ends() -> tuple[Column, Column]:
+    return F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("last")
+
+
+
 def _hashes(batch: pa.RecordBatch, bits: int) -> Iterator[np.ndarray]:
     """Hashes of the words of each text, of which ``bits`` bits are kept."""
     for words in word_hashes(batch.column("text")):
@@ -81,7 +86,7 @@ def _edges(size: int, kmer: int, bits: int) -> Callable:
                     span = spans(words, first, last, place, size)
                     new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (span[1:] != span[:-1]) | (np.diff(last - first) != 0)]))
                     stop = np.concatenate([new[1:], [len(gram)]])
-                    parts.append((np.full(len(new), row), gram[new].view(np.int64), span[new].view(np.int64), first[new] << 32 | last[stop - 1], (stop - new).astype(np.int32)))
+                    parts.append((np.full(len(new), row), gram[new].view(np.int64), (span[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), first[new] << 32 | last[stop - 1], (stop - new).astype(np.int32)))
             if parts:
                 row, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
                 columns = [batch.column(c).take(pa.array(row)) for c in ("doc", "version")] + [*map(pa.array, rest)]
@@ -91,41 +96,51 @@ def _edges(size: int, kmer: int, bits: int) -> Callable:
     return run
 
 
-def _unfolded(size: int, bits: int) -> Callable:
-    """The windows of each path at a branching, one row each, from the words at its source coordinates."""
+def _names(words: list[bytes], size: int, first: np.ndarray | range) -> list[bytes]:
+    """128 bits of a digest of the words themselves of each window."""
+    return [hashlib.blake2b(b" ".join(words[k : k + size]), digest_size=16).digest() for k in first]
+
+
+def _unfolded(size: int) -> Callable:
+    """The windows of each path, one row each, from the words at its source coordinates; ``single`` where the path occurs once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = ["doc", "version", "gram", "hash", "first", "single"]
-            out: list[list] = [[] for _ in names]
-            for doc, version, found, words in zip(batch.column("doc").to_pylist(), batch.column("version").to_pylist(), batch.column("paths").to_pylist(), _hashes(batch, bits), strict=True):
-                hashes = windows(words, size, 11).view(np.int64)
+            names: list[bytes] = []
+            out: list[list] = [[], [], [], []]
+            for doc, version, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text", "paths")), strict=True):
+                words = (text or "").encode().split()
                 for x in found:
-                    first, last = x["place"] >> 32, x["place"] & 0xFFFFFFFF
-                    n = last - first + 1
-                    for column, values in zip(out, ([doc] * n, [version] * n, [x["gram"]] * n, hashes[first : last + 1], range(first, last + 1), [x["n"] == 1] * n), strict=True):
+                    first = range(x["place"] >> 32, (x["place"] & 0xFFFFFFFF) + 1)
+                    names += _names(words, size, first)
+                    for column, values in zip(out, ([doc] * len(first), [version] * len(first), first, [x["n"] == 1] * len(first)), strict=True):
                         column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, [pa.int64()] * 5 + [pa.bool_()], strict=True)], names)
+            digest = np.frombuffer(b"".join(names), np.int64)
+            columns = [pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(digest[::2]), pa.array(digest[1::2])], ["doc", "version", "first", "single", "d", "e"])
 
     return run
 
 
-def _read(size: int, each: bool) -> Callable:
-    """128 bits of a digest of the words themselves at each of the places, or with ``each`` at each window of them."""
+def _read(size: int) -> Callable:
+    """A digest of the words of each run, and how often it is there: once in each equal text, or as often as its words
+    come again one after another."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            names: list[bytes] = []
-            for doc, version, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "version", "text", "places")), strict=True):
+            uid, names, weight = [], [], []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 for x in found:
-                    for first, last in [(k, k) for k in range(x["first"], x["last"] + 1)] if each else [(x["first"], x["last"])]:
-                        rows.append((doc, version, first, last))
-                        names.append(hashlib.blake2b(b" ".join(words[first : last + size]), digest_size=16).digest())
+                    first, last, copies = x["first"], x["last"], x["copies"]
+                    period = (last - first + 1) // copies
+                    if copies > 1 and words[first : last + size - period] != words[first + period : last + size]:
+                        period, copies = last - first + 1, 1
+                    names.append(hashlib.blake2b(b" ".join(words[first : first + period - 1 + size]), digest_size=16).digest())
+                    uid.append(x["uid"])
+                    weight.append(copies)
             digest = np.frombuffer(b"".join(names), np.int64)
-            columns = zip(*rows, strict=True) if rows else [[]] * len(PLACE)
-            yield pa.RecordBatch.from_arrays([*(pa.array(list(c), pa.int64()) for c in columns), pa.array(digest[::2]), pa.array(digest[1::2])], [*PLACE, "d", "e"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(weight, pa.int64())], ["uid", "d", "e", "weight"])
 
     return run
 
@@ -160,93 +175,73 @@ def _cleaned(size: int, with_text: bool) -> Callable:
     return run
 
 
-def _gathered(places: DataFrame) -> DataFrame:
-    """(doc, version, places): what belongs to one text in one row."""
-    return places.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("places"))
+WINDOWS = "doc long, version long, first long, single boolean, d long, e long"
 
 
-def _other(at: Column, low: str, high: str) -> Column:
-    """Of two occurrences, the one that is not this one; if there is one only, that."""
-    return F.when(F.col(low) == at, F.col(high)).otherwise(F.col(low))
+def _twice(windows: DataFrame, wanted: Column) -> DataFrame:
+    """PLACE of the wanted ones of the windows whose words are there more than once."""
+    twice = windows.groupBy("d", F.col("e").alias("x")).agg(F.count("*").alias("n")).where("n > 1").select("d", "x")
+    found = spread_join(windows.where(wanted), twice, "d").where(F.col("e").bitwiseXOR(F.col("x")) == 0)
+    return found.select("doc", "version", "first", F.col("first").alias("last"))
 
 
-def _repeated(texts: DataFrame, hits: DataFrame, size: int, bits: int) -> DataFrame:
-    """Pieces of paths that repeat: where they stand, what they are (piece), and where else that is (w_doc, w_version, w_first).
+def _branching(texts: DataFrame, forks: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Where paths branch: the edges whose path occurs again, and PLACE of the windows of the other ones that do.
 
-    Where an anchor has the same words around it everywhere, its whole path repeats. Where paths branch, those that occur
-    again do; each of the others is unfolded into its windows once, and these are counted.
+    Each different path is unfolded into its windows once, from its source coordinates.
     """
-    forks = hits.where("forks")
     paths = forks.groupBy("gram", "span").agg(F.sum("copies").alias("n"), F.min(F.struct("doc", "version", "place")).alias("at"))
-    again = paths.where("n > 1").select("span", F.col("gram").alias("of"))
-    repeated = spread_join(forks, again, "span").where(F.col("gram").bitwiseXOR(F.col("of")) == 0).drop("of")
-    whole = hits.where("not forks").unionByName(repeated).select("doc", "version", "gram", "span", "copies", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("last"))
-    at = F.struct("doc", "version", "first")
-    ends = whole.groupBy(F.col("gram").alias("of"), "span").agg(F.min(at).alias("low"), F.max(at).alias("high"))
-    whole = spread_join(whole, ends, "span").where(F.col("gram").bitwiseXOR(F.col("of")) == 0).withColumn("w", _other(at, "low", "high"))
-    # What repeats within itself is found again one period on, and at its end one period before.
-    period = F.expr("(last - first + 1) div copies")
-    part = lambda first, last, doc, version, to, k: F.struct(first.alias("first"), last.alias("last"), doc.alias("w_doc"), version.alias("w_version"), to.alias("w_first"), F.lit(k).alias("k"))
-    first, last = F.col("first"), F.col("last")
-    once = F.array(part(first, last, F.col("w.doc"), F.col("w.version"), F.col("w.first"), 0))
-    own = F.array(part(first, last - period, F.col("doc"), F.col("version"), first + period, 1), part(last - period + 1, last, F.col("doc"), F.col("version"), last - 2 * period + 1, 2))
-    parts = whole.select("doc", "version", "gram", "span", "copies", F.explode(F.when(F.col("copies") > 1, own).otherwise(once)).alias("p"))
-    parts = parts.select("doc", "version", "p.first", "p.last", F.xxhash64("gram", "span", "copies", "p.k").alias("piece"), "p.w_doc", "p.w_version", "p.w_first")
-
-    sources = paths.select("at.doc", "at.version", F.struct("gram", "at.place", "n").alias("s")).groupBy("doc", "version").agg(F.collect_list("s").alias("paths"))
-    unfolded = texts.join(sources, ["doc", "version"]).mapInArrow(_unfolded(size, bits), "doc long, version long, gram long, hash long, first long, single boolean")
-    twice = unfolded.groupBy(F.col("gram").alias("of"), "hash").agg(F.count("*").alias("n"), F.min(at).alias("low"), F.max(at).alias("high")).where("n > 1")
-    singles = spread_join(unfolded.where("single"), twice, "hash").where(F.col("gram").bitwiseXOR(F.col("of")) == 0).withColumn("w", _other(at, "low", "high"))
-    singles = singles.select("doc", "version", "first", F.col("first").alias("last"), F.xxhash64("gram", "hash").alias("piece"), F.col("w.doc").alias("w_doc"), F.col("w.version").alias("w_version"), F.col("w.first").alias("w_first"))
-    return parts.unionByName(singles).distinct()
-
-
-def _compacted(pieces: DataFrame) -> DataFrame:
-    """Runs of pieces as one: PLACE, w_doc, w_version and w_first.
-
-    A piece's out-degree counts what follows it in the texts, its in-degree what goes before it; the end of what repeats
-    counts as one such thing. Where a piece has one successor only and is that one's only predecessor, the path goes on
-    without a branching: a join of the pieces' degrees finds these, and a join with all occurrences cuts them into runs.
+    again = paths.where("n > 1").select(F.col("gram").alias("of"), F.xxhash64("gram", "span").alias("path"))
+    repeated = spread_join(forks.withColumn("path", F.xxhash64("gram", "span")), again, "path").where(F.col("gram") == F.col("of")).drop("of", "path")
+    sources = paths.select("at.doc", "at.version", F.struct("at.place", "n").alias("s")).groupBy("doc", "version").agg(F.collect_list("s").alias("paths"))
+    unfolded = texts.join(sources, ["doc", "version"]).mapInArrow(_unfolded(size), WINDOWS)
+    return repeated, _twice(unfolded, F.col("single"))
+
+
+def _compacted(edges: DataFrame) -> DataFrame:
+    """Repeated edges (doc, version, first, last, piece, copies) as runs: the same columns, and uid, alike wherever a run occurs.
+
+    An edge's out-degree counts what follows it in the texts, its in-degree what goes before it; the end of what repeats
+    counts as one such thing, and so does a word said over and over. Where an edge has one successor only, and is the only
+    predecessor of that one, the path goes on without a branching: a join of degrees finds these, and a join with all
+    occurrences cuts them into runs, so that all occurrences of a run are the same edges.
     """
     order = Window.partitionBy("doc", "version").orderBy("first")
+    # Equal texts of one doc_id are there once.
+    once = edges.repartition("doc", "version").distinct()
+    single = F.col("copies") == 1
+    follows = F.coalesce((F.lead("first").over(order) == F.col("last") + 1) & single, F.lit(False))
+    preceded = F.coalesce((F.lag("last").over(order) == F.col("first") - 1) & single, F.lit(False))
     near = lambda f, gap: F.when(gap, f("piece").over(order)).otherwise(F.lit(0).cast("long"))
-    after = F.coalesce(F.lead("first").over(order) == F.col("last") + 1, F.lit(False))
-    before = F.coalesce(F.lag("last").over(order) == F.col("first") - 1, F.lit(False))
-    steps = pieces.withColumn("next", near(F.lead, after)).withColumn("previous", near(F.lag, before))
-    # The other occurrence has to go on in the same place, too.
-    same = [F.lag(c).over(order) == F.col(c) for c in ("w_doc", "w_version")] + [F.lag("w_first").over(order) - F.lag("first").over(order) == F.col("w_first") - F.col("first")]
-    steps = steps.withColumn("along", F.coalesce(same[0] & same[1] & same[2], F.lit(False)))
+    steps = once.withColumn("next", near(F.lead, follows)).withColumn("previous", near(F.lag, preceded))
     degrees = steps.groupBy("piece").agg(F.min("next").alias("n"), F.max("next").alias("m"), F.min("previous").alias("o"), F.max("previous").alias("p"))
     out = degrees.where("n = m and n <> 0").select(F.col("piece").alias("from"), F.col("n").alias("to"))
     into = degrees.where("o = p and o <> 0").select("piece", F.col("o").alias("source"))
     through = out.join(into, (F.col("to") == F.col("piece")) & (F.col("from") == F.col("source"))).select("piece", F.lit(True).alias("through"))
-    marked = spread_join(steps, through, "piece", "left")
-    starts = F.when(F.col("through") & F.col("along"), 0).otherwise(1)
-    runs = marked.withColumn("run", F.sum(starts).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min(F.struct("first", "w_doc", "w_version", "w_first")).alias("s")
-    return runs.groupBy("doc", "version", "run").agg(first, F.max("last").alias("last")).select("doc", "version", "s.first", "last", "s.w_doc", "s.w_version", "s.w_first")
+    marked = spread_join(steps.drop("next", "previous"), through, "piece", "left")
+    runs = marked.withColumn("run", F.sum(F.when(F.col("through"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("doc", "version", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("piece", "first").alias("head"), F.max_by("piece", "first").alias("tail"), F.count("*").alias("n"), F.max("copies").alias("copies"))
+    return runs.select("doc", "version", "first", "last", "copies", F.xxhash64("head", "tail", "n").alias("uid"))
 
 
 def _verified(texts: DataFrame, hits: DataFrame, runs: DataFrame, size: int) -> DataFrame:
-    """PLACE of the windows that repeat, by the words themselves.
+    """PLACE of what repeats, by the words themselves, which are read at the source coordinates of each run.
 
-    A run and its other occurrence are read at their source coordinates. Should their words differ, which takes a collision
+    If all occurrences of a run have the same words, and are more than one, the run repeats. If not, which takes a collision
     of hashes, all windows that have an anchor of such a run are read and counted one by one; else that part has no rows.
     """
-    reads = lambda places, each: texts.join(_gathered(places), ["doc", "version"]).mapInArrow(_read(size, each), ", ".join(f"{c} long" for c in (*PLACE, "d", "e")))
-    runs = runs.withColumn("w_last", F.col("w_first") + F.col("last") - F.col("first"))
-    there = runs.select(*[F.col(f"w_{c}").alias(c) for c in PLACE])
-    read = reads(runs.select(*PLACE).unionByName(there).distinct(), False)
-    other = read.select(*[F.col(c).alias(f"w_{c}") for c in PLACE], F.col("d").alias("w_d"), F.col("e").alias("w_e"))
-    checked = runs.join(read, list(PLACE)).join(other, [f"w_{c}" for c in PLACE]).withColumn("same", (F.col("d") == F.col("w_d")) & (F.col("e") == F.col("w_e")))
-    failed = checked.where("not same").select("doc", "version", F.col("first").alias("f"), F.col("last").alias("l"))
-    inside = (F.shiftright("place", 32) <= F.col("l")) & (F.col("place").bitwiseAND(0xFFFFFFFF) >= F.col("f"))
+    asked = runs.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last", "copies", "uid")).alias("runs"))
+    read = texts.join(asked, ["doc", "version"]).mapInArrow(_read(size), "uid long, d long, e long, weight long")
+    words = read.groupBy("uid", "d", "e").agg(F.sum("weight").alias("n"))
+    fine = words.groupBy("uid").agg(((F.count("*") == 1) & (F.min("n") > 1)).alias("fine"))
+    checked = spread_join(runs.select(*PLACE, "uid"), fine, "uid")
+    failed = checked.where("not fine").select("doc", "version", F.col("first").alias("f"), F.col("last").alias("l"))
+    first, last = _ends()
+    inside = (first <= F.col("l")) & (last >= F.col("f"))
     wrong = hits.join(failed, ["doc", "version"]).where(inside).select("gram").distinct()
-    again = hits.join(wrong, "gram", "left_semi").select("doc", "version", F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("last"))
-    windows_ = reads(again, True)
-    twice = windows_.groupBy("d", "e").agg(F.count("*").alias("n")).where("n > 1").select("d", F.col("e").alias("x"))
-    exact = spread_join(windows_, twice, "d").where(F.col("e").bitwiseXOR(F.col("x")) == 0)
-    return checked.where("same").select(*PLACE).unionByName(exact.select(*PLACE))
+    again = hits.join(wrong, "gram", "left_semi").groupBy("doc", "version").agg(F.collect_set(F.struct("place", F.lit(2).alias("n"))).alias("paths"))
+    windows = texts.join(again, ["doc", "version"]).mapInArrow(_unfolded(size), WINDOWS)
+    return checked.where("fine").select(*PLACE).unionByName(_twice(windows, F.lit(True)))
 
 
 def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text: bool = True, bits: int = 64) -> DataFrame:
@@ -260,7 +255,7 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
     The graph: a window of ``size`` words is an edge between its first and its last size - 1 words. Edges travel as runs of
     consecutive ones that share an anchor, the least word k-mer (``kmer`` words) of each of them, so a twelfth of the words
     makes rows. Anchors that occur once are dropped; of the others, paths that repeat are compacted where they do not
-    branch, and each compacted path is verified on the words at its source coordinates and at another occurrence's. So the
+    branch, and each compacted path is verified on the words at the source coordinates of all its occurrences. So the
     result is exact whatever the hashes do (``bits`` narrows the words' hashes, to test that).
 
     Counts are partly made before each shuffle, and what repeats meets the edges again in joins that Spark can split.
@@ -271,9 +266,11 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
     texts = docs.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("version"), "text")
     edges = texts.mapInArrow(_edges(size, kmer, bits), EDGES)
     grams = edges.groupBy("gram").agg(F.sum("copies").alias("n"), F.min("span").alias("x"), F.max("span").alias("y")).where("n > 1")
-    hits = cut(spread_join(edges, grams.select("gram", (F.col("x") != F.col("y")).alias("forks")), "gram"))
-    runs = cut(_compacted(_repeated(texts, hits, size, bits)))
-    covered = _gathered(_verified(texts, hits, runs, size))
+    hits = written(spread_join(edges, grams.select("gram", (F.col("x") != F.col("y")).alias("forks")), "gram"), "edges")
+    repeated, windows = _branching(texts, hits.where("forks"), size)
+    whole = hits.where("not forks").unionByName(repeated)
+    runs = _compacted(whole.select("doc", "version", *_ends(), F.xxhash64("gram", "span").alias("piece"), "copies"))
+    covered = _verified(texts, hits, runs, size).unionByName(windows).groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("places"))
     kinds = "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     out = texts.join(covered, ["doc", "version"], "left").mapInArrow(_cleaned(size, with_text), kinds)
     return out.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), *[c for c in out.columns if c != "doc"])

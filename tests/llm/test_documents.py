@@ -270,15 +270,15 @@ class TestSubstringDedup:
             assert (got[i].n_words, got[i].n_removed, got[i].text, got[i].kept_sha256) == (len(w), len(gone), kept, hashlib.sha256(kept.encode()).hexdigest())
 
     def test_paths_are_compacted(self, spark):
-        """A passage of 300 words in three texts is one run in each of them, until one of the texts leaves it."""
+        """A path of 20 edges in three texts is one run in each of them, up to where one of the texts leaves it; an edge that
+        comes again and again ends a run."""
         from popspark.llm.substring_dedup import _compacted
 
-        w = [f"w{i}" for i in range(300)]
-        a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
-        pieces = [(d, 0, p * 10 + at, p * 10 + at + 9, p + 1, (d + 1) % 3, 0, p * 10 + (7 if d == 2 else 0)) for d, at in ((0, 0), (1, 0), (2, 7)) for p in range(20) if not (d == 1 and p >= 12)]
-        kinds = "doc long, version long, first long, last long, piece long, w_doc long, w_version long, w_first long"
-        got = sorted((r.doc, r["first"], r["last"]) for r in _compacted(spark.createDataFrame(pieces, kinds)).collect())
-        assert got == [(0, 0, 119), (0, 120, 199), (1, 0, 119), (2, 7, 126), (2, 127, 206)] and w and a != b
+        edges = [(d, 0, p * 10 + at, p * 10 + at + 9, p + 1, 1) for d, at in ((0, 0), (1, 0), (2, 7)) for p in range(20) if not (d == 1 and p >= 12)]
+        edges += [(3, 0, 0, 9, 13, 1), (3, 0, 10, 49, 14, 4)]
+        got = sorted((r.doc, r["first"], r["last"], r.uid) for r in _compacted(spark.createDataFrame(edges + edges[:9], "doc long, version long, first long, last long, piece long, copies int")).collect())
+        want = [(0, 0, 119), (0, 120, 129), (0, 130, 139), (0, 140, 199), (1, 0, 119), (2, 7, 126), (2, 127, 136), (2, 137, 146), (2, 147, 206), (3, 0, 9), (3, 10, 49)]
+        assert [x[:3] for x in got] == want and len({x[3] for x in got}) == 4
 
     def test_repeated_ids(self, spark):
         long = " ".join(map(str, range(50)))
