@@ -51,39 +51,49 @@ class Corpus:
     n: int
     mean: float
 
-    def weights(self, pieces: list[Piece]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(piece, term, weight) of each term of each piece, in order of pieces."""
-        sizes = np.array([len(p.ids) for p in pieces], np.int64)
-        ids = np.concatenate([p.ids for p in pieces]).astype(np.int64)
-        pairs, tf = np.unique(np.repeat(np.arange(len(pieces)), sizes) << 32 | ids, return_counts=True)
+    def weights(self, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, term, weight) of each term of each piece, in order of pieces; ids are those of all pieces together."""
+        pairs, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) << 32 | ids, return_counts=True)
         docs, terms = pairs >> 32, pairs & 0xFFFFFFFF
-        df = self.df[terms]
-        idf = np.log1p((self.n - df + 0.5) / (df + 0.5))
-        return docs, terms, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[docs] / self.mean))
+        idf = np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+        scale = K1 * (1 - B + B * sizes / self.mean)
+        return docs, terms, idf[terms] * (tf * (K1 + 1) / (tf + scale[docs]))
 
 
 class Bm25:
-    """An inverted index over the pieces of one shard, with the weights that all pieces of the corpus give."""
+    """An inverted index over the pieces of one shard, with the weights that all pieces of the corpus give.
+
+    Terms that an eighth of the pieces have are kept as rows with a weight for every piece, as many as take 32 MB; the
+    others as postings.
+    """
 
     def __init__(self, pieces: list[Piece], corpus: Corpus):
         self.n = len(pieces)
-        docs, terms, weight = corpus.weights(pieces)
+        docs, terms, weight = corpus.weights(np.array([len(p.ids) for p in pieces], np.int64), np.concatenate([p.ids for p in pieces]).astype(np.int64))
         _, local, df = np.unique(terms, return_inverse=True, return_counts=True)
         order = np.argsort(local, kind="stable")
-        self.docs, self.weights = docs[order], weight[order]
+        self.docs, self.weights = docs[order].astype(np.int32), weight[order]
         self.ends = np.concatenate([[0], np.cumsum(df)])
         self.df, self.local = df, local
         self.own = np.searchsorted(docs, np.arange(self.n + 1))
+        common = np.flatnonzero(df >= max(2, self.n // 8))
+        common = common[np.argsort(-df[common], kind="stable")][: max(1, (32 << 20) // (8 * self.n))]
+        self.row = np.full(len(df), -1)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.n))
+        for i, t in enumerate(common.tolist()):
+            at = slice(self.ends[t], self.ends[t + 1])
+            self.rows[i, self.docs[at]] = self.weights[at]
 
     def scores(self, piece: int) -> np.ndarray:
         """The score of each piece of the shard for all different terms of one of them."""
         terms = self.local[self.own[piece] : self.own[piece + 1]]
-        terms = terms[self.df[terms] > 1]
-        if not len(terms):
-            return np.zeros(self.n)
-        begin, sizes = self.ends[terms], self.df[terms]
-        where = np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-        return np.bincount(self.docs[where], self.weights[where], self.n)
+        row = self.row[terms]
+        out = self.rows[row[row >= 0]].sum(0)
+        few = terms[(row < 0) & (self.df[terms] > 1)]
+        for low, high in zip(self.ends[few].tolist(), self.ends[few + 1].tolist(), strict=True):
+            out[self.docs[low:high]] += self.weights[low:high]
+        return out
 
     def neighbours(self, piece: int, unused: np.ndarray) -> np.ndarray:
         """Unused pieces that share a term with the seed, best first; ties to the earlier piece."""
@@ -202,16 +212,27 @@ def _pieces(batch: pa.RecordBatch, kind: str) -> list[Piece]:
     return [Piece(d, s, np.frombuffer(x, kind).astype(np.uint32), n) for d, s, n, x in zip(doc_id, start, doc_tokens, ids, strict=True)]
 
 
+def _flat(batch: pa.RecordBatch, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """How many ids each row has, and all of them."""
+    ids = batch.column("ids")
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1]
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(ids.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    return np.diff(ends).astype(np.int64) // size, raw.view(kind).astype(np.int64)
+
+
 def _frequencies(kind: str) -> Callable:
     """How many pieces of a task have each term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df = np.zeros(1, np.int64)
+        df = np.zeros(1 << 17, np.int64)
         for batch in batches:
             if batch.num_rows:
-                pieces = _pieces(batch, kind)
-                pairs = np.unique(np.repeat(np.arange(len(pieces)), [len(p.ids) for p in pieces]) << 32 | np.concatenate([p.ids for p in pieces]))
-                found = np.bincount(pairs & 0xFFFFFFFF)
+                sizes, ids = _flat(batch, kind)
+                order = np.argsort(ids, kind="stable")
+                docs, terms = np.repeat(np.arange(len(sizes)), sizes)[order], ids[order]
+                first = np.concatenate([[True], (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])])
+                found = np.bincount(terms[first])
                 df = np.pad(df, (0, max(0, len(found) - len(df))))
                 df[: len(found)] += found
         terms = np.flatnonzero(df)
@@ -222,17 +243,22 @@ def _frequencies(kind: str) -> Callable:
 
 def _placed(kind: str, corpus: Corpus) -> Callable:
     """Pieces with the two terms that weigh most in them, of those that other pieces have too."""
+    shared = corpus.df > 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                docs, terms, weight = corpus.weights(_pieces(batch, kind))
-                weight = np.where(corpus.df[terms] > 1, weight, 0)
-                order = np.lexsort((terms, -weight, docs))
+                docs, terms, weight = corpus.weights(*_flat(batch, kind))
                 first = np.searchsorted(docs, np.arange(batch.num_rows))
-                second = np.minimum(first + 1, np.append(first[1:], len(docs)) - 1)
-                columns = [pa.array(terms[order[x]].astype(np.int32)) for x in (first, second)]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "t1", "t2"])
+                best = []
+                weight = np.where(shared[terms], weight, 0)
+                for _ in range(2):
+                    top = np.maximum.reduceat(weight, first)
+                    # The least term of those that weigh most.
+                    at = np.where(weight == top[docs], terms, 1 << 40)
+                    best.append(np.minimum.reduceat(at, first))
+                    weight = np.where(terms == best[-1][docs], -1, weight)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x.astype(np.int32)) for x in best)], [*batch.schema.names, "t1", "t2"])
 
     return run
 
@@ -292,10 +318,11 @@ def retrieval_pack(docs: DataFrame, tokenizer: str | None = None, window: int =
     df[counts.column("term").to_numpy()] = counts.column("df").to_numpy()
     corpus = Corpus(df, n, total / max(n, 1))
     placed = rest.drop("length").mapInArrow(_placed(kind, corpus), "doc_id long, start long, doc_tokens long, ids binary, t1 int, t2 int")
-    order = ["t1", "t2", F.xxhash64("doc_id", "start"), "ids"]
+    placed = placed.withColumn("h", F.xxhash64("doc_id", "start", "ids"))
+    order = ["t1", "t2", "h"]
     ranged = placed.repartitionByRange(max(1, -(-total // shard_tokens)), *order).sortWithinPartitions(*order)
     names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
-    packed = ranged.drop("t1", "t2").mapInArrow(_packer(kind, window, 2 * shard_tokens, corpus, with_ids), SCHEMA + ", ids binary" * with_ids)
+    packed = ranged.drop(*order).mapInArrow(_packer(kind, window, 2 * shard_tokens, corpus, with_ids), SCHEMA + ", ids binary" * with_ids)
     return whole.select(*names).unionByName(packed)
 
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from popspark.llm.binary_output import best_fit, pack_matrices, write_matrices
 from popspark.llm.components import components
@@ -329,6 +330,34 @@ class TestPacking:
         pure = [max(x.count(0), x.count(1)) / len(x) for x in by.values() if len(x) > 2]
         assert sum(pure) / len(pure) > 0.8
 
+    def test_scores(self):
+        """Against BM25 written out, with the frequencies of a corpus that is larger than the shard."""
+        from popspark.llm.packing import B, K1, Bm25, Corpus, Piece
+
+        r = np.random.default_rng(0)
+        pieces = [Piece(i, 0, r.integers(0, 40, r.integers(1, 30)).astype(np.uint32), 0) for i in range(60)]
+        df = np.array([sum(t in p.ids for p in pieces) for t in range(40)]) * 3
+        corpus = Corpus(df, 200, 17.0)
+        index = Bm25(pieces, corpus)
+        for k in range(0, 60, 7):
+            want = []
+            for p in pieces:
+                score = 0.0
+                for t in set(pieces[k].ids.tolist()):
+                    if (tf := int((p.ids == t).sum())) and df[t] > 3:
+                        score += np.log(1 + (200 - df[t] + 0.5) / (df[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(p.ids) / 17.0))
+                want.append(score)
+            assert np.allclose(index.scores(k), want)
+
+    def test_copies_far_apart_meet(self, spark):
+        """Two texts on each of many subjects, read in different partitions, stand in one window."""
+        r = random.Random(3)
+        words = [["".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(12)] for _ in range(40)]
+        texts = [" ".join(r.choice(words[i]) if k % 2 else "common words" for k in range(100)) for i in range(40)]
+        docs = frame(spark, texts + [t + " end" for t in texts]).repartition(7, "text")
+        of = {p.doc_id: p.sequence_id for p in retrieval_pack(docs, shard_tokens=30_000).orderBy("length").collect()}
+        assert sum(of[i] == of[i + 40] for i in range(40)) >= 30
+
     def test_empty(self, spark):
         assert retrieval_pack(frame(spark, []).limit(0)).count() == 0
         assert pack_matrices(frame(spark, []).limit(0)).count() == 0
@@ -383,6 +412,56 @@ class TestQuality:
         assert quality_scores(docs.limit(0), one).count() == 0
 
 
+class TestClassifier:
+    """The parts of the classifier against their definitions."""
+
+    def sample(self, n=80, terms=30, seed=0):
+        r = np.random.default_rng(seed)
+        rows = [np.flatnonzero(r.random(terms) < np.where(np.arange(terms) < 15, 0.3 + 0.2 * (i % 2), 0.3)) for i in range(n)]
+        return [x if len(x) else np.array([0]) for x in rows], np.arange(n) % 2
+
+    def test_ratios(self):
+        from popspark.llm.quality import SIZE, ratios
+
+        rows, labels = self.sample()
+        got = ratios(rows, labels)
+        for t in range(30):
+            count = [sum(t in x for x, y in zip(rows, labels, strict=True) if y == k) + 1 for k in (0, 1)]
+            total = [sum(len(x) for x, y in zip(rows, labels, strict=True) if y == k) + SIZE for k in (0, 1)]
+            assert np.isclose(got[t], np.log(count[1] / total[1]) - np.log(count[0] / total[0]))
+
+    def test_descent_reaches_the_optimum(self):
+        """The primal value is that of the best of many subgradient steps, and no lower bound is passed: the gap closes."""
+        from popspark.llm.quality import descend
+
+        rows, labels = self.sample()
+        y = labels * 2.0 - 1
+        values = [np.ones(len(x)) / len(x) ** 0.5 for x in rows]
+        x = np.zeros((len(rows), 31))
+        for i, (places, v) in enumerate(zip(rows, values, strict=True)):
+            x[i, places] = v
+        x[:, 30] = 1
+        w, bias = descend(rows, values, y, 1.0, 2000, 0)
+        primal = lambda u: 0.5 * u @ u + np.maximum(0, 1 - y * (x @ u)).sum()
+        got = primal(np.append(w[:30], bias))
+        u, best = np.zeros(31), np.inf
+        for k in range(1, 20_001):
+            u -= (u - x.T @ (y * (y * (x @ u) < 1))) / k
+            best = min(best, primal(u))
+        assert got <= best + 1e-3 * abs(best)
+
+    def test_held_out_rows_do_not_matter(self, spark):
+        """Labels of the held-out fifth, other columns and the order of rows change no score."""
+        texts = [f"{'fine words here' if i % 2 else 'buy now cheap'} {i % 7} {i}" for i in range(120)]
+        labels = [(i, i % 2, 0) for i in range(120)]
+        held = [zlib.crc32(str(i).encode()) % 5 == 0 for i in range(120)]
+        kinds = "doc_id long, quality int, toxic int"
+        one = quality_scores(frame(spark, texts), spark.createDataFrame(labels, kinds)).collect()
+        turned = [(i, 1 - q if held[i] else q, 1) for i, q, _ in labels][::-1]
+        other = quality_scores(frame(spark, texts).repartition(3).withColumn("lang", F.lit("x")), spark.createDataFrame(turned, kinds)).collect()
+        assert {r.doc_id: r.score for r in one} == {r.doc_id: r.score for r in other}
+
+
 class TestMixing:
     def test_shortage_goes_to_siblings(self, spark):
         """src0 to src3 are the four domains; d3's only leaf is small, so the other domains give what it cannot."""
@@ -407,6 +486,21 @@ class TestMixing:
                 at += r.taken
             assert [r.epoch for r in taken] == sorted(r.epoch for r in taken)
 
+    def test_weights_are_parameters(self, spark):
+        """Uneven weights of sources, other domains: shares against hand-made water filling."""
+        from popspark.llm.mixing import Weights
+
+        sizes = {"web": 50, "books": 30, "code": 20, "rest": 10}
+        rows = [(k, i, s) for k, (s, i) in enumerate((s, i) for s, n in sizes.items() for i in range(n))]
+        docs = spark.createDataFrame([(k, "w " * 10, "en", s, 0) for k, _, s in rows], KINDS)
+        weights = Weights(source={"web": 100, "books": 500, "code": 300}, other=100, domain_of=lambda s: F.lit("all"))
+        got = {r.source: r["sum(taken)"] for r in mix(docs, per_mille=500, epochs=1, weights=weights).groupBy("source").sum("taken").collect()}
+        # 550 tokens: books would get 275, code 165, web and rest 55; all fit.
+        assert got == {"books": 275, "code": 165, "web": 55, "rest": 55}
+        more = {r.source: r["sum(taken)"] for r in mix(docs, per_mille=900, epochs=1, weights=weights).groupBy("source").sum("taken").collect()}
+        # 990 tokens: books and code are full at 300 and 200, rest at 100; web gives what is left.
+        assert more == {"books": 300, "code": 200, "rest": 100, "web": 390}
+
     def test_repeated_rows(self, spark):
         docs = frame(spark, ["a b", "a b", "c d e"], [1, 1, 1])
         out = mix(docs, per_mille=1000, epochs=1).collect()
