@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -14,7 +14,7 @@ from popspark.model import hmm
 from popspark.model.coalescent import tables
 from popspark.model.intervals import boundaries
 from popspark.operators import csd as C
-from popspark.operators.likelihood import Key, chunk_likelihood, evaluated, step_tensors, summed_stats, table_key
+from popspark.operators.likelihood import Key, across_contigs, chunk_likelihood, evaluated, step_tensors, summed_stats, table_key
 from popspark.shared import cut
 from popspark.sources.models import Params, Template, bound, with_least_migration
 
@@ -23,7 +23,12 @@ Limits = list[tuple[float, float]]
 
 @dataclass
 class Model:
-    """What a likelihood needs beside the data: a template, rates, hidden intervals, and where haplotypes live."""
+    """What a likelihood needs beside the data: a template, rates, hidden intervals, and where the sample's members live.
+
+    demes: the deme of each member of the sample. haps: which haplotype each member is, where they are not numbered alike
+    (copies of a haplotype, or one in several demes, are members of their own). A point has the template's coordinates and,
+    with ``scale_recombination`` and ``estimate_theta``, the factor of the recombination rate and the mutation rate after them.
+    """
 
     template: Template
     params: Params
@@ -31,82 +36,132 @@ class Model:
     n_demes: int
     loci: int = 1
     interval_type: str = "loguniform"
-    interval_params: list[float] = field(default_factory=lambda: [8, 0.01, 4])
+    interval_params: list[float] | str = field(default_factory=lambda: [8, 0.01, 4])
     style: str = "migratingethan"
     least_migration: float = 0.005
     limits: Limits | None = None
     per_piece: int = 12
+    haps: dict[int, int] | None = None
+    scale_recombination: bool = False
+    estimate_theta: bool = False
+    objective: str = "lineage"
+    cake: str = "average"
+
+    def at(self, point: list[float]) -> tuple[list[float], Params]:
+        """The demography's part of a point, and the rates there."""
+        rest, params = list(point), self.params
+        if self.estimate_theta:
+            params = replace(params, theta=rest.pop())
+        if self.scale_recombination:
+            params = replace(params, rho=params.rho * rest.pop())
+        return rest, params
 
     def tables(self, point: list[float], keys: list[Key]) -> dict[Key, hmm.Tables] | None:
         """Tables of each kind of CSD at a point; None where the point makes no demography."""
-        epochs = bound(with_least_migration(self.template, self.params, self.least_migration), point, self.limits, halve_migration=self.style != "simple")
-        if epochs is None:
+        if self.limits and any(not low <= x <= high for x, (low, high) in zip(point, self.limits, strict=True)):
+            return None
+        rest, params = self.at(point)
+        epochs = bound(with_least_migration(self.template, params, self.least_migration), rest, halve_migration=self.style != "simple")
+        if epochs is None or params.theta <= 0 or params.rho <= 0:
             return None
-        bounds = boundaries(self.interval_type, self.interval_params, [e.start for e in epochs if e.pulse is None])
-        return {k: tables(epochs, bounds, np.array(k[0]), k[1], self.params, self.loci, self.style, per_piece=self.per_piece) for k in keys}
+        made = {}
+        for k in keys:
+            bounds = boundaries(self.interval_type, self.interval_params, epochs, np.array(k[0]), k[1])
+            made[k] = tables(epochs, bounds, np.array(k[0]), k[1], params, self.loci, self.style, per_piece=self.per_piece, cake=self.cake)
+        return made
 
 
 @dataclass
 class Data:
-    """Packed counts of each CSD, kept for all evaluations, and the kinds of CSD there are."""
+    """Packed counts of each CSD, kept for all evaluations, the kinds of CSD there are, and whether permutations are summed
+    once over all contigs."""
 
     tensors: DataFrame
     keys: list[Key]
     n_alleles: int
-    n_steps: int | None = None
+    together: bool = False
+
+    def combined(self, rows: DataFrame) -> DataFrame:
+        """(particle_id, loglik) of evaluated CSDs."""
+        return (across_contigs if self.together else contigs_apart)(rows)
+
+
+def contigs_apart(rows: DataFrame) -> DataFrame:
+    """Permutations summed contig by contig."""
+    return chunk_likelihood(rows, ["particle_id"]).groupBy("particle_id").agg(F.sum("loglik").alias("loglik"))
 
 
-def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int) -> Data:
+def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False) -> Data:
     """The counts are joined to their CSDs once and written to the shared checkpoint folder; each evaluation reads them there."""
-    tensors = cut(step_tensors(counts, csds))
+    tensors = cut(step_tensors(counts, csds, still, lengths, model.haps))
     kinds = tensors.where(F.size("trunk") > 0).select("add", "trunk").distinct()
     # A row for each CSD of the likelihood, none for each locus or contig.
     keys = sorted({table_key(r["add"], r["trunk"], model.demes, model.n_demes) for r in kinds.toLocalIterator()})
-    n_steps = counts.agg(F.max("step")).first()[0]
-    return Data(tensors, keys, n_alleles, None if n_steps is None else int(n_steps) + 1)
+    return Data(tensors, keys, n_alleles, together)
+
+
+#: Particles that one job evaluates; each of their tables is a few hundred numbers.
+WAVE = 64
+
+
+def _evaluated(data: Data, model: Model, found: dict[int, dict[Key, hmm.Tables]], points: dict[int, list[float]], with_stats: bool = False) -> DataFrame:
+    still = {i: hmm.stationary(model.at(p)[1].matrix) for i, p in points.items()}
+    return evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=with_stats, stationary=still)
 
 
 def likelihoods(data: Data, model: Model, points: dict[int, list[float]]) -> DataFrame:
     """(particle_id, loglik) of points; those that make no demography have none.
 
-    Each point's CSDs are one DataFrame of a union, so all points are one job and all CSDs of all points its tasks.
+    A task unpacks the counts of a CSD once and evaluates all particles of a wave on them. Points come in waves of WAVE, so a
+    plan does not grow with their number; the result has a row for each.
     """
-    parts = []
-    for particle, point in points.items():
-        found = model.tables(point, data.keys)
-        if found is not None:
-            rows = evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, n_steps=data.n_steps, stationary=hmm.stationary(model.params.matrix))
-            parts.append(chunk_likelihood(rows).groupBy().agg(F.sum("loglik").alias("loglik")).select(F.lit(particle).alias("particle_id"), "loglik"))
-    if not parts:
-        return data.tensors.sparkSession.createDataFrame([], "particle_id int, loglik double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    spark = data.tensors.sparkSession
+    out: list[tuple[int, float]] = []
+    ids = list(points)
+    for at in range(0, len(ids), WAVE):
+        made = {i: model.tables(points[i], data.keys) for i in ids[at : at + WAVE]}
+        found = {i: t for i, t in made.items() if t is not None}
+        if found:
+            out += [(r["particle_id"], r["loglik"]) for r in data.combined(_evaluated(data, model, found, points)).collect()]
+    return spark.createDataFrame(out, "particle_id long, loglik double")
+
+
+Stats = dict[Key, tuple[np.ndarray, ...]]
+
+
+def e_steps(data: Data, model: Model, points: dict[int, list[float]]) -> dict[int, tuple[float, Stats]]:
+    """For each particle, the log-likelihood and the summed expected counts of each kind of CSD: one job a wave, whose result
+    has a row for each entry of the tables, whatever the size of the data."""
+    out: dict[int, tuple[float, Stats]] = {i: (float("-inf"), {}) for i in points}
+    ids = list(points)
+    for at in range(0, len(ids), WAVE):
+        made = {i: model.tables(points[i], data.keys) for i in ids[at : at + WAVE]}
+        found = {i: t for i, t in made.items() if t is not None}
+        if not found:
+            continue
+        rows = cut(_evaluated(data, model, found, points, with_stats=True))
+        logliks = {r["particle_id"]: r["loglik"] for r in data.combined(rows).collect()}
+        by: dict[int, dict[str, dict[str, dict[int, float]]]] = {}
+        for r in summed_stats(rows, together=data.together).collect():
+            by.setdefault(r["particle_id"], {}).setdefault(r["key"], {}).setdefault(r["kind"], {})[r["place"]] = r["value"]
+        for i, own in found.items():
+            stats = {}
+            for key, t in own.items():
+                if repr(key) in by.get(i, {}):
+                    shapes = {"initial": t.initial.shape, "stay": t.stay.shape, "move": t.move.shape, "emit": t.emit.shape, "own": t.stay.shape}
+                    stats[key] = tuple(np.array([by[i][repr(key)][k][x] for x in range(int(np.prod(s)))]).reshape(s) for k, s in shapes.items())
+            out[i] = (logliks.get(i, float("-inf")), stats)
     return out
 
 
-def e_step(data: Data, model: Model, point: list[float]) -> tuple[float, dict[Key, tuple[np.ndarray, ...]]]:
-    """The log-likelihood and the summed expected counts of each kind of CSD: one job, whose result has a row for each entry
-    of the tables, whatever the size of the data."""
-    found = model.tables(point, data.keys)
-    if found is None:
-        return float("-inf"), {}
-    rows = evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=True, n_steps=data.n_steps, stationary=hmm.stationary(model.params.matrix)).persist()
-    loglik = chunk_likelihood(rows).agg(F.sum("loglik")).first()[0]
-    by: dict[str, dict[str, dict[int, float]]] = {}
-    for r in summed_stats(rows).collect():
-        by.setdefault(r["key"], {}).setdefault(r["kind"], {})[r["place"]] = r["value"]
-    rows.unpersist()
-    stats = {}
-    for key, t in found.items():
-        if repr(key) in by:
-            shapes = {"initial": t.initial.shape, "stay": t.stay.shape, "move": t.move.shape, "emit": t.emit.shape}
-            stats[key] = tuple(np.array([by[repr(key)][k][i] for i in range(int(np.prod(s)))]).reshape(s) for k, s in shapes.items())
-    return loglik, stats
-
-
-def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, fraction: float, iterations: int) -> tuple[np.ndarray, float]:
-    """The least value near start: reflection 1, expansion 2, contraction and shrinkage one half."""
+def e_step(data: Data, model: Model, point: list[float]) -> tuple[float, Stats]:
+    """The log-likelihood and the summed expected counts at one point."""
+    return e_steps(data, model, {0: point})[0]
+
+
+def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, fraction: float, iterations: int, spread: float | None = None) -> tuple[np.ndarray, float]:
+    """The least value near start: reflection 1, expansion 2, contraction and shrinkage one half. It ends after so many
+    iterations, or where the values of the simplex are within the relative ``spread`` of each other."""
     simplex = [(f(start), start)]
     for i in range(len(start)):
         x = start.copy()
@@ -114,6 +169,8 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, fraction: f
         simplex.append((f(x), x))
     for _ in range(iterations):
         simplex.sort(key=lambda p: p[0])
+        if spread is not None and abs(simplex[-1][0] - simplex[0][0]) <= spread * max(abs(simplex[0][0]), 1e-300):
+            break
         worst = simplex[-1]
         centre = np.mean([p[1] for p in simplex[:-1]], 0)
         at = lambda k: (f(x := centre + k * (centre - worst[1])), x)  # noqa: B023, E731
@@ -133,7 +190,7 @@ def nelder_mead(f: Callable[[np.ndarray], float], start: np.ndarray, fraction: f
     return min(simplex, key=lambda p: p[0])[::-1]
 
 
-def m_step(stats: dict[Key, tuple[np.ndarray, ...]], model: Model, point: list[float], iterations: int, fraction: float = 0.2, coordinatewise: bool = True, order: list[int] | None = None) -> list[float]:
+def m_step(stats: Stats, model: Model, point: list[float], iterations: int, fraction: float = 0.2, coordinatewise: bool = True, order: list[int] | None = None, spread: float | None = None) -> list[float]:
     """A point with a higher expected log-likelihood. Only the summed counts are used; no job runs."""
     seen: dict[tuple[float, ...], float] = {}
 
@@ -141,37 +198,66 @@ def m_step(stats: dict[Key, tuple[np.ndarray, ...]], model: Model, point: list[f
         key = tuple(float(v) for v in x)
         if key not in seen:
             found = model.tables(list(key), list(stats)) if min(key) > 0 else None
-            seen[key] = float("inf") if found is None else -sum(hmm.gain(s, found[k]) for k, s in stats.items())
+            seen[key] = float("inf") if found is None else -sum(hmm.gain(s, found[k], k[0], model.objective) for k, s in stats.items())
         return seen[key]
 
     x = np.array(point, float)
     if not coordinatewise:
-        return nelder_mead(loss, x, fraction, iterations)[0].tolist()
+        return nelder_mead(loss, x, fraction, iterations, spread)[0].tolist()
     for i in order or range(len(x)):
         def along(v: np.ndarray, i: int = i) -> float:
             y = x.copy()
             y[i] = v[0]
             return loss(y)
 
-        value, got = nelder_mead(along, x[i : i + 1], fraction, iterations)
+        value, got = nelder_mead(along, x[i : i + 1], fraction, iterations, spread)
         if got < loss(x):
             x[i] = value[0]
     return x.tolist()
 
 
-def em(data: Data, model: Model, start: list[float], iterations: int, m_iterations: int, tolerance: float | None = None, **options: object) -> list[dict]:
-    """The path of one run: a row for each E-step, the last one without an M-step. Stops where the likelihood is minus
-    infinity, or its relative rise is below the tolerance."""
-    path, point = [], list(start)
+def em_runs(data: Data, model: Model, starts: dict[int, list[float]], iterations: int, m_iterations: int, tolerance: float | None = None, change: float | None = None, **options: object) -> dict[int, list[dict]]:
+    """The path of each particle: a row for each E-step, the last one without an M-step. A particle stops where its
+    likelihood is minus infinity, where its relative rise is below ``tolerance``, or where no coordinate has changed by more
+    than the relative ``change``. The E-steps of all particles that go on are one job a wave."""
+    paths: dict[int, list[dict]] = {i: [] for i in starts}
+    points = {i: list(p) for i, p in starts.items()}
     for step in range(iterations + 1):
         began = time.time()
-        loglik, stats = e_step(data, model, point)
-        path.append({"em_step": step, "point": list(point), "loglik": loglik, "ms": int(1000 * (time.time() - began))})
-        before = path[-2]["loglik"] if step else None
-        if loglik == float("-inf") or step == iterations or tolerance and before is not None and abs(loglik - before) < tolerance * abs(before):
+        found = e_steps(data, model, points) if iterations else {i: (v, {}) for i, v in _values(data, model, points).items()}
+        took = int(1000 * (time.time() - began))
+        after = {}
+        for i, point in points.items():
+            loglik, stats = found[i]
+            paths[i].append({"em_step": step, "point": list(point), "loglik": loglik, "ms": took})
+            before = paths[i][-2] if step else None
+            if loglik == float("-inf") or step == iterations:
+                continue
+            if before and tolerance and abs(loglik - before["loglik"]) < tolerance * abs(before["loglik"]):
+                continue
+            if before and change and max(abs(x - y) / max(abs(y), 1e-300) for x, y in zip(point, before["point"], strict=True)) < change:
+                continue
+            after[i] = m_step(stats, model, point, m_iterations, **options)
+        if not after:
             break
-        point = m_step(stats, model, point, m_iterations, **options)
-    return path
+        points = after
+    return paths
+
+
+def _values(data: Data, model: Model, points: dict[int, list[float]]) -> dict[int, float]:
+    got = {r["particle_id"]: r["loglik"] for r in likelihoods(data, model, points).collect()}
+    return {i: got.get(i, float("-inf")) for i in points}
+
+
+def em(data: Data, model: Model, start: list[float], iterations: int, m_iterations: int, tolerance: float | None = None, **options: object) -> list[dict]:
+    """The path of one run."""
+    return em_runs(data, model, {0: start}, iterations, m_iterations, tolerance, **options)[0]
+
+
+def random_starts(limits: Limits, n: int, seed: int) -> list[list[float]]:
+    """Points that are uniform in the logarithm of each coordinate, inside positive limits."""
+    low, high = np.log(np.array(limits, float)).T
+    return np.exp(np.random.default_rng(seed).uniform(low, high, (n, len(limits)))).tolist()
 
 
 def offspring(best: list[list[float]], n: int, limits: Limits, random: np.random.Generator, stretch: float = 0.25, disperse: float = 1.0, if_zero: float = 0.2) -> list[list[float]]:
@@ -196,29 +282,41 @@ def offspring(best: list[list[float]], n: int, limits: Limits, random: np.random
     return out
 
 
-def genetic(data: Data, model: Model, starts: list[list[float]], generations: int, keep: int, seed: int, **options: object) -> list[dict]:
-    """Generations of likelihood-only particles; each generation is one job. Rows for all particles of all generations."""
+def genetic(data: Data, model: Model, starts: list[list[float]], generations: int, keep: int, seed: int, em_iterations: int = 0, m_iterations: int = 10, em_options: dict | None = None, **options: object) -> list[dict]:
+    """Generations of particles, each of which goes through expectation-maximization; rows of all E-steps of all particles.
+
+    A generation's best particles, by their last likelihood, have the next one as offspring. With no EM iterations, particles
+    get a likelihood only.
+    """
+    if generations > 1 and (len(starts) < 2 or not 0 < keep <= len(starts)):
+        raise ValueError("generations need two start points at least, and how many of them to keep")
     random, points, rows = np.random.default_rng(seed), starts, []
     for generation in range(generations):
-        got = {r["particle_id"]: r["loglik"] for r in likelihoods(data, model, dict(enumerate(points))).collect()}
-        now = [{"generation": generation, "particle_id": i, "point": p, "loglik": got.get(i, float("-inf"))} for i, p in enumerate(points)]
-        rows += now
-        ranked = sorted(now, key=lambda r: (-r["loglik"], r["particle_id"]))
-        points = offspring([r["point"] for r in ranked[:keep]], len(points), model.limits or [], random, **options)
+        paths = em_runs(data, model, dict(enumerate(points)), em_iterations, m_iterations, **(em_options or {}))
+        rows += [{"generation": generation, "particle_id": i, **r} for i, path in paths.items() for r in path]
+        ranked = sorted(((-path[-1]["loglik"], i, path[-1]["point"]) for i, path in paths.items()), key=lambda x: x[:2])
+        if generation < generations - 1:
+            points = offspring([p for _, _, p in ranked[:keep]], len(points), model.limits or [], random, **options)
     return rows
 
 
-def csds_of(kind: str, haps: DataFrame, perms: DataFrame | None = None, sizes: list[int] | None = None) -> DataFrame:
-    """The CSDs of a composite likelihood by name, in any case: lol, pcl, pclol, pac, superpac."""
-    match kind.lower():
+def csds_of(kind: str, members: DataFrame, perms: DataFrame | None = None, sizes: int | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """The CSDs of a composite likelihood by name, in any case: lol, pcl, pclol, pac, oldpac (the same CSDs as pac), superpac,
+    or file. members (hap): the members of the sample. sizes: how many trunk sizes of a permutation to use."""
+    kind = kind.lower()
+    if (kind in ("pac", "oldpac", "superpac")) != (perms is not None):
+        raise ValueError("pac, oldpac and superpac need permutations, and the others take none")
+    match kind:
         case "lol":
-            return C.leave_one_out(haps)
+            return C.leave_one_out(members)
         case "pcl":
-            return C.pairwise(haps)
+            return C.pairwise(members)
         case "pclol":
-            return C.pairwise_and_leave_one_out(haps)
-        case "pac" if perms is not None:
-            return C.permuted(perms, sizes)
-        case "superpac" if perms is not None:
-            return C.one_list(C.permuted(perms, sizes))
+            return C.pairwise_and_leave_one_out(members)
+        case "pac" | "oldpac":
+            return C.permuted(perms, None if sizes is None else C.trunk_sizes(members.count(), sizes))
+        case "superpac":
+            return C.one_list(C.permuted(perms, None if sizes is None else C.trunk_sizes(members.count(), sizes)))
+        case "file" if lists is not None:
+            return C.listed(lists)
     raise ValueError(f"no composite likelihood of these data is called {kind}")

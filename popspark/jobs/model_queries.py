@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.jobs.inference import Data, Model, csds_of, em, likelihoods, prepared
-from popspark.jobs.table_queries import HAPS, LOCI, PAIRS, _sites
+from popspark.jobs.inference import Data, Model, csds_of, em, genetic, likelihoods, prepared, random_starts
+from popspark.jobs.table_queries import HAPS, LOCI, PAIRS, _sites, genotypes
 from popspark.model.hmm import Tables
-from popspark.operators import blocks, csd, likelihood
+from popspark.operators import blocks, csd, likelihood, sites
 from popspark.shared import fresh
 from popspark.sources.models import parse_demography, parse_params
 
@@ -29,42 +29,175 @@ def _data(spark: SparkSession, sf_dir: str, kind: str, demography: str, demes: d
     return prepared(counts, csds_of(kind, _haps(spark)), model, 2), model
 
 
+def _two_states() -> Tables:
+    """Two hidden states with plain numbers, so that SQL can follow the chain."""
+    import numpy as np
+
+    return Tables(np.log([0.6, 0.4]), np.log([0.7, 0.8]), np.log([[0.2, 0.1], [0.1, 0.1]]), np.log([[[0.95, 0.05], [0.05, 0.95]], [[0.6, 0.4], [0.4, 0.6]]]), np.zeros(2, int))
+
+
+def _two_state(tensors: DataFrame, members: int = HAPS, **options: object) -> DataFrame:
+    return likelihood.evaluated(tensors, {0: {((1,), 0): _two_states()}}, dict.fromkeys(range(members), 0), 1, 2, **options)
+
+
+def _pair_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csd.pairwise(_haps(spark)))
+
+
 def forward_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forward pass of two hidden states over each contig, for each ordered pair of haplotypes."""
-    import numpy as np
+    return _two_state(_pair_tensors(spark, sf_dir)).select("chunk", "csd", F.round("loglik", 5).alias("loglik"))
+
+
+def forward_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As forward_two_state, with loci that do not segregate: each block's are sent to a CSD once and hold for all its pairs."""
+    segregating, still = sites.folded(_sites(spark, sf_dir))
+    tensors = likelihood.step_tensors(blocks.pair_counts(segregating, LOCI), csd.pairwise(_haps(spark)), blocks.still_counts(still, LOCI))
+    return _two_state(tensors).select("chunk", "csd", F.round("loglik", 5).alias("loglik"))
+
+
+#: The haplotype of each member of a sample in which the first one is there twice.
+MEMBERS = {0: 0, 1: 0, 2: 1, 3: 2, 4: 3}
+
+
+def forward_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As forward_two_state, for a sample with two copies of a haplotype, whose pair agrees at all loci."""
+    members = spark.createDataFrame([(i,) for i in MEMBERS], "hap int")
+    tensors = likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csd.pairwise(members), haps=MEMBERS)
+    return _two_state(tensors, len(MEMBERS)).select("chunk", "csd", F.round("loglik", 5).alias("loglik"))
+
+
+def skipping_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forward pass locus by locus, in which runs of loci without differences are jumped over by powers of two."""
+    segregating, _ = sites.folded(_sites(spark, sf_dir))
+    lengths = genotypes(spark, sf_dir).groupBy("chunk").agg((F.max("pos") + 1).alias("n_steps"))
+    tensors = likelihood.step_tensors(blocks.pair_counts(segregating, 1), csd.pairwise(_haps(spark)), lengths=lengths)
+    return _two_state(tensors, skip=True).select("chunk", "csd", F.round("loglik", 4).alias("loglik"))
+
 
-    with np.errstate(divide="ignore"):
-        t = Tables(np.log([0.6, 0.4]), np.log([0.7, 0.8]), np.log([[0.2, 0.1], [0.1, 0.1]]), np.log([[[0.95, 0.05], [0.05, 0.95]], [[0.6, 0.4], [0.4, 0.6]]]), np.zeros(2, int))
-    tensors = likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csd.pairwise(_haps(spark)))
-    found = likelihood.evaluated(tensors, {((1,), 0): t}, {h: 0 for h in range(HAPS)}, 1, 2)
-    return found.select("chunk", "csd", F.round("loglik", 5).alias("loglik"))
+def expected_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected first states, transitions with and without recombination, and emissions, summed over all pairs and contigs."""
+    found = likelihood.summed_stats(_two_state(_pair_tensors(spark, sf_dir), with_stats=True))
+    return found.select("kind", "place", F.round("value", 4).alias("value"))
 
 
-FORWARD_SQL = f"""with recursive {PAIRS}, grid_steps as (select chunk, max(step) as last from pairs group by 1),
-e as (select chunk, add, trunk, step, sum(n * ln(case when a = b then 0.95 else 0.05 end)) as e0, sum(n * ln(case when a = b then 0.6 else 0.4 end)) as e1 from pairs group by 1, 2, 3, 4),
+def posterior_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior probability of each state at each block."""
+    found = likelihood.posteriors(_pair_tensors(spark, sf_dir), {((1,), 0): _two_states()}, dict.fromkeys(range(HAPS), 0), 1, 2)
+    return found.select("chunk", "csd", "step", "state", F.round("probability", 6).alias("probability"))
+
+
+PI = [0.7, 0.3]
+
+
+def _permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two CSDs of six seeded permutations, the very first without a trunk."""
+    csds = csd.permuted(csd.shuffled(_haps(spark), 6, 11), sizes=[0, 1])
+    return _two_state(likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csds), stationary=PI)
+
+
+def pac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of approximate conditionals: permutations are summed contig by contig."""
+    return likelihood.chunk_likelihood(_permuted(spark, sf_dir)).select("chunk", F.round("loglik", 5).alias("loglik"))
+
+
+def oldpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pac_two_state, with permutations summed once over all contigs."""
+    return likelihood.across_contigs(_permuted(spark, sf_dir)).select(F.round("loglik", 5).alias("loglik"))
+
+
+def superpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pac_two_state, with all permutations in one list, whose likelihoods multiply."""
+    csds = csd.one_list(csd.permuted(csd.shuffled(_haps(spark), 6, 11), sizes=[0, 1]))
+    found = _two_state(likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csds), stationary=PI)
+    return likelihood.chunk_likelihood(found).select("chunk", F.round("loglik", 5).alias("loglik"))
+
+
+def seeded_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four seeded permutations of the suppliers."""
+    haps = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("hap"))
+    rows = csd.shuffled(haps, 4, 5).select("perm", F.posexplode("ord").alias("place", "hap"))
+    return rows
+
+
+def _lse(x: str, y: str) -> str:
+    return f"(greatest({x}, {y}) + ln(1 + exp(least({x}, {y}) - greatest({x}, {y}))))"
+
+
+def _chain(pairs: str, still: tuple[str, str] = ("0", "0")) -> str:
+    """Tables grid_steps, e (emissions), f and b (forward and backward) of the two states, from rows of pairs."""
+    e = [f"coalesce(e.e{s}, {still[s]})" for s in (0, 1)]
+    n = [f"coalesce(n.e{s}, {still[s]})" for s in (0, 1)]
+    return f"""grid_steps as (select chunk, max(step) as last from {pairs} group by 1),
+who as (select distinct chunk, add, trunk from {pairs}),
+e as (select chunk, add, trunk, step, sum(n * ln(case when a = b then 0.95 else 0.05 end)) as e0, sum(n * ln(case when a = b then 0.6 else 0.4 end)) as e1 from {pairs} group by 1, 2, 3, 4),
 f(chunk, add, trunk, step, f0, f1) as (
-  select chunk, add, trunk, step, ln(0.6) + e0, ln(0.4) + e1 from e where step = 0
+  select w.chunk, w.add, w.trunk, 0, ln(0.6) + {e[0]}, ln(0.4) + {e[1]} from who w left join e on e.chunk = w.chunk and e.add = w.add and e.trunk = w.trunk and e.step = 0
+  union all
+  select f.chunk, f.add, f.trunk, f.step + 1, {_lse("f.f0 + ln(0.9)", "f.f1 + ln(0.1)")} + {e[0]}, {_lse("f.f0 + ln(0.1)", "f.f1 + ln(0.9)")} + {e[1]}
+  from f join grid_steps g on g.chunk = f.chunk and f.step < g.last left join e on e.chunk = f.chunk and e.add = f.add and e.trunk = f.trunk and e.step = f.step + 1),
+b(chunk, add, trunk, step, b0, b1) as (
+  select w.chunk, w.add, w.trunk, g.last, 0.0::double, 0.0::double from who w join grid_steps g using (chunk)
   union all
-  select f.chunk, f.add, f.trunk, f.step + 1,
-    greatest(f.f0 + ln(0.9), f.f1 + ln(0.1)) + ln(1 + exp(least(f.f0 + ln(0.9), f.f1 + ln(0.1)) - greatest(f.f0 + ln(0.9), f.f1 + ln(0.1)))) + coalesce(e.e0, 0),
-    greatest(f.f0 + ln(0.1), f.f1 + ln(0.9)) + ln(1 + exp(least(f.f0 + ln(0.1), f.f1 + ln(0.9)) - greatest(f.f0 + ln(0.1), f.f1 + ln(0.9)))) + coalesce(e.e1, 0)
-  from f join grid_steps g on g.chunk = f.chunk and f.step < g.last left join e on e.chunk = f.chunk and e.add = f.add and e.trunk = f.trunk and e.step = f.step + 1)
-select f.chunk, f.add * 4 + f.trunk as csd, round(greatest(f0, f1) + ln(1 + exp(least(f0, f1) - greatest(f0, f1))), 5) as loglik
-from f join grid_steps g on g.chunk = f.chunk and g.last = f.step"""
+  select b.chunk, b.add, b.trunk, b.step - 1, {_lse(f"b.b0 + {n[0]} + ln(0.9)", f"b.b1 + {n[1]} + ln(0.1)")}, {_lse(f"b.b0 + {n[0]} + ln(0.1)", f"b.b1 + {n[1]} + ln(0.9)")}
+  from b left join e n on n.chunk = b.chunk and n.add = b.add and n.trunk = b.trunk and n.step = b.step where b.step > 0),
+ends as (select f.chunk, f.add, f.trunk, {_lse("f0", "f1")} as total from f join grid_steps g on g.chunk = f.chunk and g.last = f.step)"""
+
+
+FORWARD_SQL = f"with recursive {PAIRS}, {_chain('pairs')} select chunk, add * 4 + trunk as csd, round(total, 5) as loglik from ends"
+BLOCKS_SQL = f"""with recursive {PAIRS}, seg as (select x.chunk, x.pos // {LOCI} as step, x.hap as add, y.hap as trunk, x.allele as a, y.allele as b
+  from used x join used y on x.chunk = y.chunk and x.pos = y.pos and x.hap <> y.hap join site s on s.chunk = x.chunk and s.pos = x.pos where s.n_codes > 1),
+still as (select chunk, pos // {LOCI} as step, low as allele from site where n_codes = 1 and low is not null),
+every as (select x.hap as add, y.hap as trunk from h x join h y on x.hap <> y.hap),
+whole as (select chunk, step, add, trunk, a, b, count(*) as n from (select * from seg union all select chunk, step, add, trunk, allele, allele from still cross join every) group by all),
+{_chain('whole')} select chunk, add * 4 + trunk as csd, round(total, 5) as loglik from ends"""
+MEMBERS_SQL = f"""with recursive {PAIRS}, m as (select * from (values (0, 0), (1, 0), (2, 1), (3, 2), (4, 3)) t(member, hap)),
+both_pairs as (select * from pairs union all select chunk, pos // {LOCI} as step, hap, hap, allele, allele, count(*) from used group by all),
+whole as (select p.chunk, p.step, x.member as add, y.member as trunk, p.a, p.b, p.n from m x join m y on x.member <> y.member join both_pairs p on p.add = x.hap and p.trunk = y.hap),
+{_chain('whole')} select chunk, add * 5 + trunk as csd, round(total, 5) as loglik from ends"""
+SKIPPING_SQL = f"""with recursive {PAIRS}, seg as (select x.chunk, x.pos as step, x.hap as add, y.hap as trunk, x.allele as a, y.allele as b, 1 as n
+  from used x join used y on x.chunk = y.chunk and x.pos = y.pos and x.hap <> y.hap join site s on s.chunk = x.chunk and s.pos = x.pos where s.n_codes > 1),
+{_chain('seg', ('ln(0.95)', 'ln(0.6)')).replace("select chunk, max(step) as last from seg group by 1", "select chunk, max(pos) as last from g group by 1")}
+select chunk, add * 4 + trunk as csd, round(total, 4) as loglik from ends"""
+POSTERIOR_SQL = f"""with recursive {PAIRS}, {_chain('pairs')}
+select f.chunk, f.add * 4 + f.trunk as csd, f.step, s as state, round(exp(case when s = 0 then f0 + b0 else f1 + b1 end - total), 6) as probability
+from f join b using (chunk, add, trunk, step) join ends using (chunk, add, trunk) cross join (values (0), (1)) t(s)"""
+EXPECTED_SQL = f"""with recursive {PAIRS}, {_chain('pairs')},
+p as (select f.*, b0, b1, total from f join b using (chunk, add, trunk, step) join ends using (chunk, add, trunk)),
+s as (select * from (values (0), (1)) t(s)), d as (select * from (values (0), (1)) t(d)),
+steps as (select p.chunk, s.s, d.d, case when s.s = 0 then p.f0 else p.f1 end - p.total as x,
+   case when d.d = 0 then q.b0 + coalesce(e.e0, 0) else q.b1 + coalesce(e.e1, 0) end as y
+   from p join b q on q.chunk = p.chunk and q.add = p.add and q.trunk = p.trunk and q.step = p.step + 1
+   left join e on e.chunk = q.chunk and e.add = q.add and e.trunk = q.trunk and e.step = q.step cross join s cross join d),
+moves as (select s, d, sum(exp(x + y + ln(case when s = 0 and d = 0 then 0.2 else 0.1 end))) as v from steps group by 1, 2)
+select kind, cast(place as integer) as place, round(v, 4) as value from (
+select 'initial' as kind, s as place, sum(exp(case when s = 0 then f0 + b0 else f1 + b1 end - total)) as v from p cross join s where step = 0 group by 1, 2
+union all select 'stay', s, sum(exp(x + y + ln(case when s = 0 then 0.7 else 0.8 end))) from steps where s = d group by 1, 2
+union all select 'move', s * 2 + d, v from moves
+union all select 'own', s, v from moves where s = d
+union all select 'emit', s * 4 + o.b * 2 + o.a, sum(coalesce(n, 0) * exp(case when s = 0 then f0 + b0 else f1 + b1 end - total))
+  from p cross join s cross join (select x.d as a, y.d as b from d x cross join d y) o
+  left join pairs using (chunk, add, trunk, step, a, b) group by 1, 2)"""
+PERMUTED_SQL = f"""with recursive {PAIRS}, {_chain('pairs')},
+perms as (select p as perm, hap, cast(row_number() over (partition by p order by md5('11:' || p || ':' || hap) desc) - 1 as integer) as rank from range(6) r(p) cross join h),
+first_ones as (select p.perm, p.hap as add, x.chunk, sum(x.n * ln(case when x.a = 0 then {PI[0]} else {PI[1]} end)) as l from perms p
+  join pairs x on x.add = p.hap and x.trunk = (select min(hap) from h where hap <> p.hap) where p.rank = 0 group by 1, 2, 3),
+each_perm as (select perm, chunk, sum(l) as l from (select perm, chunk, l from first_ones union all
+  select y.perm, e.chunk, e.total from perms y join perms x on x.perm = y.perm and x.rank = 0 join ends e on e.add = y.hap and e.trunk = x.hap where y.rank = 1) group by 1, 2)"""
 
 
 def csd_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likelihood of each leave-one-out CSD under two populations with migration."""
     data, model = _data(spark, sf_dir, "lol", TWO, {0: 0, 1: 0, 2: 1, 3: 1})
     found = model.tables([0.3, 1.0, 0.8, 0.5, 1.2], data.keys)
-    return likelihood.evaluated(data.tensors, found, model.demes, model.n_demes, 2, n_steps=data.n_steps)
+    return likelihood.evaluated(data.tensors, {0: found}, model.demes, model.n_demes, 2).drop("particle_id")
 
 
 def expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected transitions and emissions of all pairwise CSDs, summed."""
     data, model = _data(spark, sf_dir, "pcl", ONE, dict.fromkeys(range(HAPS), 0))
     found = model.tables([1.0, 1.0], data.keys)
-    return likelihood.summed_stats(likelihood.evaluated(data.tensors, found, model.demes, model.n_demes, 2, with_stats=True, n_steps=data.n_steps))
+    return likelihood.summed_stats(likelihood.evaluated(data.tensors, {0: found}, model.demes, model.n_demes, 2, with_stats=True)).drop("particle_id")
 
 
 def grid_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,15 +217,19 @@ def em_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["em_step"], r["loglik"], r["point"]) for r in path], "em_step int, loglik double, point array<double>")
 
 
-QUERIES = {f.__name__: f for f in (forward_two_state, csd_likelihoods, expected_counts, grid_likelihoods, em_path)}
-SQL = {"forward_two_state": FORWARD_SQL}
+def genetic_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two generations of three particles, each of which goes through expectation-maximization."""
+    data, model = _data(spark, sf_dir, "lol", ONE, dict.fromkeys(range(HAPS), 0))
+    model.limits = [(0.2, 5.0), (0.2, 5.0)]
+    rows = genetic(data, model, random_starts(model.limits, 3, 1), 2, 1, 1, em_iterations=1, m_iterations=4)
+    return spark.createDataFrame([(r["generation"], r["em_step"], r["particle_id"], r["loglik"], r["point"]) for r in rows], "generation int, em_step int, particle_id int, loglik double, point array<double>")
 
 
 def posterior_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The posterior probability of each hidden state at every second block of each leave-one-out CSD."""
+    """The posterior probability of each hidden state at every block of each leave-one-out CSD."""
     data, model = _data(spark, sf_dir, "lol", TWO, {0: 0, 1: 0, 2: 1, 3: 1})
     found = model.tables([0.3, 1.0, 0.8, 0.5, 1.2], data.keys)
-    return likelihood.posteriors(data.tensors, found, model.demes, model.n_demes, 2, every=2, n_steps=data.n_steps)
+    return likelihood.posteriors(data.tensors, found, model.demes, model.n_demes, 2)
 
 
 def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +247,28 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def contigs_together(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutations summed once over all contigs."""
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_orderkey") % 5).alias("perm"), (1 + F.col("o_orderkey") % 3).alias("factor"), (-F.col("o_totalprice") / 1e7).alias("loglik"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.lit(0).alias("particle_id"), (F.col("o_orderkey") % 5).alias("perm"), (1 + F.col("o_orderkey") % 3).alias("factor"), (-F.col("o_totalprice") / 1e7).alias("loglik"))
     return likelihood.across_contigs(rows).select(F.round("loglik", 6).alias("loglik"))
 
 
-QUERIES |= {f.__name__: f for f in (posterior_decoding, streamed_counts, contigs_together)}
-SQL |= {
+QUERIES = {
+    f.__name__: f
+    for f in (
+        forward_two_state, forward_blocks, forward_members, skipping_two_state, expected_two_state, posterior_two_state, pac_two_state, oldpac_two_state, superpac_two_state,
+        seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
+    )
+}
+SQL = {
+    "forward_two_state": FORWARD_SQL,
+    "forward_blocks": BLOCKS_SQL,
+    "forward_members": MEMBERS_SQL,
+    "skipping_two_state": SKIPPING_SQL,
+    "expected_two_state": EXPECTED_SQL,
+    "posterior_two_state": POSTERIOR_SQL,
+    "pac_two_state": f"{PERMUTED_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",
+    "oldpac_two_state": f"{PERMUTED_SQL} select round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select l, max(l) over () as m from (select perm, sum(l) as l from each_perm group by 1))",
+    "superpac_two_state": f"{PERMUTED_SQL} select chunk, round(sum(l), 5) as loglik from each_perm group by 1",
+    "seeded_permutations": "select p as perm, cast(row_number() over (partition by p order by md5('5:' || p || ':' || s_suppkey)) - 1 as integer) as place, s_suppkey as hap from supplier cross join (values (0), (1), (2), (3)) r(p)",
     "streamed_counts": f"with {PAIRS} select * from pairs",
     "contigs_together": "with p as (select o_orderkey % 5 as perm, sum((1 + o_orderkey % 3) * -o_totalprice / 1e7) as l from orders group by 1) select round(max(m) + ln(sum(exp(l - m))), 6) as loglik from (select l, max(l) over () as m from p)",
 }

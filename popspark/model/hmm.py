@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 
+#: Steps whose emissions and states are held at once; of the others, only the state at a block's beginning is kept.
+BLOCK = 256
+#: The slot of counts that hold for every trunk haplotype alike.
+EVERY = -2
+
 
 @dataclass(frozen=True)
 class Tables:
@@ -22,12 +28,54 @@ class Tables:
     deme: np.ndarray
 
     def shares(self, demes: list[int]) -> np.ndarray:
-        """ln of each trunk haplotype's share of a state's deme [s, h]; minus infinity in other demes."""
+        """ln of each trunk haplotype's share of a state's deme [s, h]; minus infinity in other demes. A haplotype that is
+        in the trunk several times is listed so often."""
         own = self.deme[:, None] == np.asarray(demes)[None]
         with np.errstate(divide="ignore"):
             return np.where(own, -np.log(np.maximum(own.sum(1, keepdims=True), 1)), -np.inf)
 
 
+@dataclass(frozen=True)
+class Cells:
+    """Pair counts of one CSD on one contig, in order of steps: at how many loci of a step the additional haplotype shows a
+    while trunk haplotype ``slot`` shows b. Steps without counts tell nothing."""
+
+    step: np.ndarray
+    slot: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    n: np.ndarray
+    n_steps: int
+    n_slots: int
+    n_alleles: int
+
+    @staticmethod
+    def of(step: np.ndarray, slot: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, n_steps: int, n_slots: int, n_alleles: int) -> Cells:
+        order = np.argsort(step, kind="stable")
+        return Cells(step[order], slot[order], a[order], b[order], n[order], n_steps, n_slots, n_alleles)
+
+    @staticmethod
+    def dense(counts: np.ndarray) -> Cells:
+        """From counts[step, slot, a, b]."""
+        step, slot, a, b = (x.ravel() for x in np.indices(counts.shape))
+        return Cells.of(step, slot, a, b, counts.ravel(), counts.shape[0], counts.shape[1], counts.shape[2])
+
+    def block(self, low: int, high: int) -> np.ndarray:
+        """counts[step, slot, a, b] of the steps from low to high."""
+        at = slice(*np.searchsorted(self.step, [low, high]))
+        out = np.zeros((high - low, self.n_slots, self.n_alleles, self.n_alleles))
+        every = self.slot[at] == EVERY
+        for some, slots in ((~every, self.slot[at]), (every, None)):
+            step, a, b, n = (x[at][some] for x in (self.step, self.a, self.b, self.n))
+            if slots is None:
+                still = np.zeros((high - low, self.n_alleles, self.n_alleles))
+                np.add.at(still, (step - low, a, b), n)
+                out += still[:, None]
+            else:
+                np.add.at(out, (step - low, slots[some], a, b), n)
+        return out
+
+
 def stationary(matrix: np.ndarray) -> np.ndarray | None:
     """The distribution that a mutation matrix leaves as it is; None where there are several."""
     n = len(matrix)
@@ -45,11 +93,139 @@ def log_sum(x: np.ndarray, axis: int | tuple[int, ...] | None = None) -> np.ndar
 
 def emissions(counts: np.ndarray, tables: Tables) -> np.ndarray:
     """e[t, s, h] = sum over alleles of counts[t, h, a, b] * emit[s, b, a]."""
-    return np.einsum("thab,sba->tsh", counts, np.maximum(tables.emit, -1e300))
+    t, h, k, _ = counts.shape
+    table = np.maximum(tables.emit, -1e300).transpose(0, 2, 1).reshape(len(tables.emit), k * k)
+    return (counts.reshape(t * h, k * k) @ table.T).reshape(t, h, -1).transpose(0, 2, 1)
+
+
+class _Underflow(Exception):
+    """The states of a step are too far apart for numbers that are not logarithms."""
+
+
+class _Chain:
+    """The chain in plain numbers: each step's states are scaled to add up to one, and the logarithm of the scale is kept.
+
+    Steps are gone through in blocks, so that memory does not grow with a contig but for one state a block.
+    """
+
+    def __init__(self, cells: Cells, tables: Tables, share: np.ndarray):
+        self.cells, self.tables = cells, tables
+        self.initial, self.stay, self.move, self.share = (np.exp(x) for x in (tables.initial, tables.stay, tables.move, share))
+        self.stay = self.stay[:, None]
+
+    def emitted(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(counts, emissions over the step's greatest one, logarithms of these)."""
+        counts = self.cells.block(low, high)
+        e = emissions(counts, self.tables)
+        top = np.where(self.share > 0, e, -np.inf).max((1, 2))
+        if not np.isfinite(top).all():
+            raise _Underflow
+        return counts, np.exp(np.minimum(e - top[:, None, None], 0.0)), top
+
+    def step(self, state: np.ndarray | None, emitted: np.ndarray) -> tuple[np.ndarray, float]:
+        """The next state, and the scale that it had. A step costs S*S + S*H: haplotypes are summed out before states are crossed."""
+        before = self.initial[:, None] * self.share if state is None else self.stay * state + (state.sum(1) @ self.move)[:, None] * self.share
+        after = before * emitted
+        scale = float(after.sum())
+        if not 1e-290 < scale < np.inf:
+            raise _Underflow
+        return after / scale, scale
+
+    def ahead(self, following: np.ndarray, scale: float) -> np.ndarray:
+        """What a state promises, from what the following one promises times its emissions."""
+        return (self.stay * following + (self.move @ (self.share * following).sum(1))[:, None]) / scale
+
+    def blocks(self) -> list[tuple[int, int]]:
+        n = self.cells.n_steps
+        return [(low, min(low + BLOCK, n)) for low in range(0, n, BLOCK)]
+
+    def forward(self) -> tuple[float, list[np.ndarray | None]]:
+        """The ln likelihood, and the state before each block."""
+        total, state, kept = 0.0, None, []
+        for low, high in self.blocks():
+            kept.append(state)
+            _, emitted, top = self.emitted(low, high)
+            scales = np.empty(high - low)
+            for t in range(high - low):
+                state, scales[t] = self.step(state, emitted[t])
+            total += float(np.log(scales).sum() + top.sum())
+        return total, kept
+
+    def backward(self, kept: list[np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks from the last to the first: (first step, counts, states, posteriors, and for each step but the last what
+        the following step promises times its emissions, with that one's scale)."""
+        following, scale = None, 1.0
+        for (low, high), state in zip(self.blocks()[::-1], kept[::-1], strict=True):
+            counts, emitted, _ = self.emitted(low, high)
+            states, scales = np.empty_like(emitted), np.empty(high - low)
+            for t in range(high - low):
+                state, scales[t] = self.step(state, emitted[t])
+                states[t] = state
+            posterior, next_ = np.empty_like(emitted), np.zeros_like(emitted)
+            for t in range(high - low - 1, -1, -1):
+                if following is None:
+                    promise = np.ones_like(state)
+                else:
+                    promise = self.ahead(following, scale)
+                    next_[t] = following / scale
+                posterior[t] = states[t] * promise
+                following, scale = promise * emitted[t], scales[t]
+                if not np.isfinite(following).all():
+                    raise _Underflow
+            yield low, counts, states, posterior, next_, scales
+
+
+def loglik(cells: Cells, tables: Tables, share: np.ndarray) -> float:
+    """The ln likelihood of a CSD."""
+    if not cells.n_steps:
+        return 0.0
+    try:
+        return _Chain(cells, tables, share).forward()[0]
+    except _Underflow:
+        return forward(cells.block(0, cells.n_steps), tables, share)[1]
+
+
+def expected(cells: Cells, tables: Tables, share: np.ndarray) -> tuple[float, tuple[np.ndarray, ...]]:
+    """(ln likelihood, (initial[s], stay[s], move[s, d], emit[s, b, a], own[s])), expected counts over the whole chunk.
+
+    own are those of move that recombine into the same state and the same haplotype.
+    """
+    s, k = len(tables.initial), cells.n_alleles
+    initial, stay, move, emit, own = np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((s, k * k)), np.zeros(s)
+    if not cells.n_steps:
+        return 0.0, (initial, stay, move, emit.reshape(s, k, k), own)
+    try:
+        chain = _Chain(cells, tables, share)
+        total, kept = chain.forward()
+        for low, counts, states, posterior, next_, _ in chain.backward(kept):
+            stay += np.einsum("tsh,tsh->s", states, next_)
+            move += states.sum(2).T @ np.einsum("sh,tsh->ts", chain.share, next_)
+            own += np.einsum("tsh,sh,tsh->s", states, chain.share, next_)
+            emit += posterior.transpose(1, 0, 2).reshape(s, -1) @ counts.reshape(-1, k * k)
+            if low == 0:
+                initial = posterior[0].sum(1)
+        return total, (initial, stay * chain.stay[:, 0], move * chain.move, emit.reshape(s, k, k).transpose(0, 2, 1), own * np.diag(chain.move))
+    except _Underflow:
+        return expected_in_logs(cells.block(0, cells.n_steps), tables, share)
+
+
+def decoded(cells: Cells, tables: Tables, share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """The posterior probability of each state at each step, summed over haplotypes: blocks (first step, [t, s]), the last first."""
+    if not cells.n_steps:
+        return
+    try:
+        chain = _Chain(cells, tables, share)
+        kept = chain.forward()[1]
+        held = [(low, posterior.sum(2)) for low, _, _, posterior, _, _ in chain.backward(kept)]
+    except _Underflow:
+        counts = cells.block(0, cells.n_steps)
+        f, total = forward(counts, tables, share)
+        held = [(0, np.exp(f + backward(counts, tables, share) - total).sum(2))]
+    yield from held
 
 
 def forward(counts: np.ndarray, tables: Tables, share: np.ndarray) -> tuple[np.ndarray, float]:
-    """(F[t, s, h], ln likelihood). A step costs S*S + S*H: haplotypes are summed out before states are crossed."""
+    """(F[t, s, h], ln likelihood) in logarithms, for counts[t, h, a, b] whose states are too far apart for plain numbers."""
     e = emissions(counts, tables)
     out = np.empty_like(e)
     out[0] = tables.initial[:, None] + share + e[0]
@@ -69,24 +245,43 @@ def backward(counts: np.ndarray, tables: Tables, share: np.ndarray) -> np.ndarra
     return out
 
 
-def expected(counts: np.ndarray, tables: Tables, share: np.ndarray) -> tuple[float, tuple[np.ndarray, ...]]:
-    """(ln likelihood, (initial[s], stay[s], move[s, d], emit[s, b, a])), expected counts over the whole chunk."""
+def expected_in_logs(counts: np.ndarray, tables: Tables, share: np.ndarray) -> tuple[float, tuple[np.ndarray, ...]]:
+    """As ``expected``, in logarithms, a step at a time."""
     f, total = forward(counts, tables, share)
     b = backward(counts, tables, share)
     e = emissions(counts, tables)
-    posterior = np.exp(f + b - total)
-    ahead = (b + e)[1:]
-    stay = np.exp(f[:-1] + tables.stay[:, None] + ahead - total).sum((0, 2))
-    out_of, into = log_sum(f[:-1], 2), log_sum(share + ahead, 2)
-    move = np.exp(out_of[:, :, None] + tables.move + into[:, None, :] - total).sum(0)
-    emit = np.einsum("tsh,thab->sba", posterior, counts)
-    return total, (posterior[0].sum(1), stay, move, emit)
+    with np.errstate(invalid="ignore"):
+        posterior = np.nan_to_num(np.exp(f + b - total))
+        ahead = (b + e)[1:]
+        stay = np.nan_to_num(np.exp(f[:-1] + tables.stay[:, None] + ahead - total)).sum((0, 2))
+        move, own = np.zeros_like(tables.move), np.zeros(len(stay))
+        for x, y in zip(f[:-1], ahead, strict=True):
+            own += np.nan_to_num(np.exp(x + np.diag(tables.move)[:, None] + share + y - total)).sum(1)
+            move += np.nan_to_num(np.exp(log_sum(x, 1)[:, None] + tables.move + log_sum(share + y, 1)[None] - total))
+    return total, (posterior[0].sum(1), stay, move, np.einsum("tsh,thab->sba", posterior, counts), own)
 
 
-def gain(stats: tuple[np.ndarray, ...], tables: Tables) -> float:
-    """The expected log-likelihood of the counts under other tables, but for what does not depend on them."""
-    parts = (tables.initial, tables.stay, tables.move, tables.emit)
-    return float(sum((s * np.maximum(t, -1e6)).sum() for s, t in zip(stats, parts, strict=True)))
+def gain(stats: tuple[np.ndarray, ...], tables: Tables, trunk: tuple[int, ...] | None = None, kind: str = "transition") -> float:
+    """The expected log-likelihood of the counts under other tables, but for what does not depend on them.
+
+    ``kind``: transition tells recombinations from their absence; lineage does not tell one into the same haplotype from
+    none (``trunk`` has the number of haplotypes in each deme); marginal takes the states only, without transitions.
+    """
+    initial, stay, move, emit, own = stats
+    log = lambda x: np.maximum(x, -1e6)
+    first, seen = float((initial * log(tables.initial)).sum()), float((emit * log(tables.emit)).sum())
+    match kind:
+        case "transition":
+            return first + seen + float((stay * log(tables.stay)).sum() + (move * log(tables.move)).sum())
+        case "lineage":
+            with np.errstate(divide="ignore"):
+                alone = -np.log(np.asarray(trunk, float))[tables.deme]
+            same = np.logaddexp(tables.stay, np.where(np.isfinite(alone), np.diag(tables.move) + alone, -np.inf))
+            return first + seen + float(((stay + own) * log(same)).sum() + ((move - np.diag(own)) * log(tables.move)).sum())
+        case "marginal":
+            visits = initial + stay + move.sum(0)
+            return seen + float((visits * log(tables.initial)).sum())
+    raise ValueError(f"no objective is called {kind}")
 
 
 def doubled(tables: Tables, between: np.ndarray) -> Tables:
@@ -108,7 +303,41 @@ def jump_tables(tables: Tables, between: np.ndarray, highest: int) -> list[Table
     return out
 
 
-def decoded(counts: np.ndarray, tables: Tables, share: np.ndarray) -> np.ndarray:
-    """The posterior probability of each state at each step, summed over haplotypes: [t, s]."""
-    f, total = forward(counts, tables, share)
-    return np.exp(f + backward(counts, tables, share) - total).sum(2)
+def skipping(cells: Cells, tables: Tables, share: np.ndarray, still: float = 1.0, allele: int = 0) -> float:
+    """The ln likelihood where every step without counts has ``still`` loci at which all haplotypes show ``allele``.
+
+    Only steps with counts are visited; the gaps between them are jumped by powers of two, so the time goes with the number
+    of segregating sites and the logarithm of the gaps, not with the contig's length.
+    """
+    between = np.maximum(tables.emit[:, allele, allele], -1e300) * still
+    visited = np.unique(cells.step)
+    if not len(visited):
+        visited = np.array([0])
+        cells = Cells(np.array([0]), np.array([EVERY]), np.array([allele]), np.array([allele]), np.array([still]), cells.n_steps, cells.n_slots, cells.n_alleles)
+    places = visited.tolist()
+    jumps = jump_tables(tables, between, max(cells.n_steps, 1).bit_length())
+
+    def moved(state: np.ndarray, gap: int, emitted: np.ndarray) -> np.ndarray:
+        """One more step than the powers of two whose emissions in between are the still ones."""
+        for bit in range(gap.bit_length() - 1, -1, -1):
+            if gap >> bit & 1:
+                gap -= 1 << bit
+                t = jumps[bit]
+                arrive = log_sum(t.move + log_sum(state, 1)[:, None], 0)
+                state = np.logaddexp(t.stay[:, None] + state, arrive[:, None] + share) + (emitted if not gap else between[:, None])
+        return state
+
+    state = None
+    at = 0
+    for t in places:
+        e = emissions(cells.block(t, t + 1), tables)[0]
+        if state is None:
+            state = tables.initial[:, None] + share + (e if t == 0 else between[:, None])
+            if t:
+                state = moved(state, t, e)
+        else:
+            state = moved(state, t - at, e)
+        at = t
+    if cells.n_steps - 1 > at:
+        state = moved(state, cells.n_steps - 1 - at, between[:, None])
+    return float(log_sum(state))

@@ -37,6 +37,20 @@ def still_counts(reference: DataFrame, loci: int) -> DataFrame:
     return with_step(reference.where("allele is not null"), loci).groupBy("chunk", "step", "allele").agg(F.count("*").alias("n"))
 
 
+def still_in_blocks(blocks: DataFrame, loci: int, n_alleles: int) -> DataFrame:
+    """(chunk, step, allele, n) of a coded reference (chunk, start, codes), a character for each locus: alleles are digits.
+
+    A row for each step that a block touches, not for each locus.
+    """
+    rows = blocks.select("chunk", "start", "codes", F.explode(F.expr(f"sequence(start div {loci}, (start + length(codes) - 1) div {loci})")).alias("step"))
+    low = F.greatest(F.col("start"), F.col("step") * loci)
+    high = F.least(F.col("start") + F.length("codes"), (F.col("step") + 1) * loci)
+    rows = rows.select("chunk", "step", F.substring("codes", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("piece"))
+    counts = F.array(*[F.struct(F.lit(k).alias("allele"), (F.length("piece") - F.length(F.translate("piece", str(k), ""))).cast("long").alias("n")) for k in range(n_alleles)])
+    flat = rows.select("chunk", "step", F.explode(counts).alias("c")).where("c.n > 0")
+    return flat.groupBy("chunk", "step", F.col("c.allele").alias("allele")).agg(F.sum("c.n").alias("n"))
+
+
 def all_counts(pairs: DataFrame, still: DataFrame, haps: list[int]) -> DataFrame:
     """Pair counts with the nonsegregating loci on the diagonal of every ordered pair: L rows a pair become steps a pair."""
     every = F.array(*[F.struct(F.lit(i).alias("add"), F.lit(j).alias("trunk")) for i in haps for j in haps if i != j])

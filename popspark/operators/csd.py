@@ -9,21 +9,42 @@ from pyspark.sql import Window
 COLUMNS = ("kind", "perm", "csd", "add", "trunk", "factor")
 
 
+def members(layout: DataFrame) -> DataFrame:
+    """layout (hap, multiplicity, by deme) as the sample's members (hap, haplotype, deme): hap is a member's number, and a
+    haplotype is there as often as its multiplicities say, in each of its demes; copies are members of their own."""
+    demes = F.posexplode("multiplicity").alias("deme", "m")
+    each = layout.select(F.col("hap").alias("haplotype"), demes).where("m > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
+    # A row for each member of one sample.
+    order = Window.orderBy("haplotype", "deme", "copy")
+    return each.select((F.row_number().over(order) - 1).alias("hap"), "haplotype", "deme")
+
+
 def leave_one_out(haps: DataFrame, factor: Column | None = None) -> DataFrame:
-    """haps (hap): each haplotype against all others."""
+    """haps (hap): each member of the sample against all others; of copies of a haplotype, each one is left out in turn."""
     everyone = haps.agg(F.sort_array(F.collect_list("hap")).alias("all"))
     out = haps.crossJoin(F.broadcast(everyone)).select(F.col("hap").alias("add"), F.filter("all", lambda x: x != F.col("hap")).alias("trunk"), F.size("all").alias("n"))
     return out.select(F.lit("lol").alias("kind"), F.lit(0).alias("perm"), F.col("add").alias("csd"), "add", "trunk", (factor if factor is not None else F.lit(1.0)).alias("factor"))
 
 
 def pairwise(haps: DataFrame, factor: Column | None = None) -> DataFrame:
-    """Each ordered pair of different haplotypes."""
+    """Each ordered pair of different members."""
     everyone = haps.agg(F.sort_array(F.collect_list("hap")).alias("all"))
     out = haps.crossJoin(F.broadcast(everyone)).select(F.col("hap").alias("add"), F.explode(F.filter("all", lambda x: x != F.col("hap"))).alias("other"), F.size("all").alias("n"))
     number = F.col("add") * F.col("n") + F.col("other")
     return out.select(F.lit("pcl").alias("kind"), F.lit(0).alias("perm"), number.cast("int").alias("csd"), "add", F.array("other").alias("trunk"), (factor if factor is not None else F.lit(1.0)).alias("factor"))
 
 
+def left_out_by_group(haps: DataFrame, group: str) -> DataFrame:
+    """haps (group, hap, multiplicity): for each group, each haplotype against the others and the rest of its own copies:
+    (group, add, csds, trunk, trunk_size). csds is how many equal ones there are, one for each copy; trunk has the haplotypes
+    with what is left of their multiplicities. An equi-join by group, so no group is held in one row but for its own trunks."""
+    other = haps.select(F.col(group).alias("_group"), F.col("hap").alias("other"), F.col("multiplicity").alias("m"))
+    pairs = haps.where("multiplicity > 0").join(other, F.col(group) == F.col("_group"))
+    pairs = pairs.withColumn("m", F.col("m") - F.when(F.col("other") == F.col("hap"), 1).otherwise(0)).where("m > 0")
+    trunk = F.sort_array(F.collect_list(F.struct("other", "m")))
+    return pairs.groupBy(group, F.col("hap").alias("add"), F.col("multiplicity").alias("csds")).agg(trunk.alias("trunk"), F.sum("m").alias("trunk_size"))
+
+
 def pairwise_and_leave_one_out(haps: DataFrame) -> DataFrame:
     """Both, each kind with a total weight of one."""
     n = F.col("n")
@@ -55,6 +76,22 @@ def trunk_sizes(n: int, wanted: int | None) -> list[int]:
     return sorted({int(1 + i * step) for i in range(wanted)})
 
 
+def shuffled(haps: DataFrame, n: int, seed: int) -> DataFrame:
+    """n seeded permutations (perm, ord) of haps (hap): each in the order of a digest of the seed, its number and the hap."""
+    each = haps.select("hap", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
+    place = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("hap").cast("string")).cast("binary"))
+    return each.groupBy("perm").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "hap"))).alias("o")).select("perm", F.col("o.hap").alias("ord"))
+
+
+def permutations(lines: DataFrame, n: int) -> DataFrame:
+    """lines (line_no, value) of numbers as permutations (perm, ord) of 0 to n - 1; any other line is an error."""
+    numbers = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("int"))
+    fine = F.array_sort(numbers) == F.sequence(F.lit(0), F.lit(n - 1))
+    checked = F.when(F.coalesce(fine, F.lit(False)), numbers).otherwise(F.raise_error(F.lit("a line is no permutation of the sample")).cast("array<int>"))
+    # A row for each permutation of one study.
+    return lines.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("perm"), checked.alias("ord"))
+
+
 def one_list(csds: DataFrame) -> DataFrame:
     """All permutations' CSDs as one list, whose likelihoods multiply."""
     number = F.dense_rank().over(Window.partitionBy("kind").orderBy("perm", "csd"))

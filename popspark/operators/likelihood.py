@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_sum_exp
-from popspark.model.hmm import Tables, decoded, expected, forward
+from popspark.model.hmm import EVERY, Cells, Tables, decoded, expected, loglik, skipping
 from popspark.shipping import ship
 
 
+#: The slot of a haplotype's own alleles, where the trunk is empty.
+ALONE = -1
+
+
 def absorption(haps: DataFrame) -> DataFrame:
     """haps (chunk, deme, hap, multiplicity) with log_fraction: ln of a haplotype's share of its deme."""
     size = haps.groupBy("chunk", "deme").agg(F.sum("multiplicity").alias("deme_size"))
@@ -26,33 +30,59 @@ def independent_sites(counts: DataFrame, emission: list[list[float]]) -> DataFra
     return counts.groupBy("chunk", "add", "trunk").agg(F.sum(F.col("n") * F.ln(table[F.col("b")][F.col("a")])).alias("loglik"))
 
 
-def chunk_likelihood(csds: DataFrame) -> DataFrame:
-    """csds (chunk, perm, factor, loglik) to (chunk, loglik): weighted sums by permutation, then log-sum-exp over them.
+def chunk_likelihood(csds: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """csds (by, chunk, perm, factor, loglik) to (by, chunk, loglik): weighted sums by permutation, then log-sum-exp over them.
 
     The logarithm of the number of permutations is not taken off.
     """
-    perms = csds.groupBy("chunk", "perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("loglik"))
-    return log_sum_exp(perms, ["chunk"], "loglik", "loglik")
+    keys = [*(by or []), "chunk"]
+    perms = csds.groupBy(*keys, "perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("loglik"))
+    return log_sum_exp(perms, keys, "loglik", "loglik")
 
 
-def step_tensors(counts: DataFrame, csds: DataFrame) -> DataFrame:
-    """One row for each CSD and chunk: (chunk, perm, csd, add, trunk, factor, cells), cells being its pair counts, packed.
+def step_tensors(counts: DataFrame, csds: DataFrame, still: DataFrame | None = None, lengths: DataFrame | None = None, haps: dict[int, int] | None = None) -> DataFrame:
+    """One row for each CSD and chunk: (chunk, perm, csd, add, trunk, factor, n_steps, cells), cells being its pair counts, packed.
 
-    counts: (chunk, step, add, trunk, a, b, n). A CSD takes the pairs of its own haplotype and its trunk's. One with an
-    empty trunk takes its own haplotype's alleles, at the loci of its pairs with any one other, in slot -1 with b = a.
+    counts: (chunk, step, add, trunk, a, b, n). A CSD takes the pairs of its own haplotype and its trunk's. still: (chunk,
+    step, allele, n), loci at which all haplotypes show one allele; they go to each CSD once, not to each of its pairs.
+    lengths: (chunk, n_steps); without it, a chunk ends with its last step that has a count. haps: which haplotype each
+    member of the sample is, where some are copies of one or are in several demes; a copy's pair with its own haplotype
+    agrees at all loci. A CSD with an empty trunk takes its own haplotype's alleles, in slot -1 with b = a.
     """
-    pairs = csds.select("perm", "csd", "factor", "add", "trunk", F.explode("trunk").alias("other"))
-    cells = counts.withColumnRenamed("trunk", "other")
-    slot = (F.array_position("trunk", F.col("other")) - 1).cast("int")
-    packed = F.struct(F.col("step").cast("int").alias("step"), slot.alias("slot"), F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"), F.col("n").cast("int").alias("n"))
-    joined = pairs.join(cells, ["add", "other"]).select("chunk", "perm", "csd", "add", "trunk", "factor", packed.alias("cell"))
+    spark = counts.sparkSession
+    if lengths is None:
+        ends = counts.select("chunk", "step") if still is None else counts.select("chunk", "step").unionByName(still.select("chunk", "step"))
+        lengths = ends.groupBy("chunk").agg((F.max("step") + 1).alias("n_steps"))
+    lengths = lengths.select("chunk", F.col("n_steps").cast("int").alias("n_steps"))
+    # One locus is seen in the pair with any one other haplotype.
+    one = counts.groupBy("chunk", "add").agg(F.min("trunk").alias("trunk"))
+    single = counts.join(one, ["chunk", "add", "trunk"]).groupBy("chunk", "step", "add", "a").agg(F.sum("n").alias("n"))
+    named = csds.select("perm", "csd", "factor", "add", "trunk")
+    hap = lambda c: F.col(c)
+    if haps is not None:
+        table = F.create_map(*[F.lit(x) for pair in sorted(haps.items()) for x in pair])
+        hap = lambda c: table[F.col(c)]
+        same = single.select("chunk", "step", "add", F.col("add").alias("trunk"), "a", F.col("a").alias("b"), "n")
+        counts = counts.select("chunk", "step", "add", "trunk", "a", "b", "n").unionByName(same)
     keys = ["chunk", "perm", "csd", "add", "trunk", "factor"]
-    one = counts.groupBy("chunk", "add").agg(F.min("trunk").alias("other"))
-    single = cells.join(one, ["chunk", "add", "other"]).groupBy("chunk", "step", "add", "a").agg(F.sum("n").alias("n"))
-    own = F.struct(F.col("step").cast("int").alias("step"), F.lit(-1).alias("slot"), F.col("a").cast("int").alias("a"), F.col("a").cast("int").alias("b"), F.col("n").cast("int").alias("n"))
-    first = csds.where(F.size("trunk") == 0).select("perm", "csd", "factor", "add", "trunk")
-    joined = joined.unionByName(first.join(single, "add").select(*keys, own.alias("cell")))
-    return joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells"))
+    cell = lambda slot, a, b: F.struct(F.col("step").cast("int").alias("step"), slot.cast("int").alias("slot"), a.cast("int").alias("a"), b.cast("int").alias("b"), F.col("n").cast("int").alias("n")).alias("cell")
+    pairs = named.select("perm", "csd", "factor", "add", "trunk", F.posexplode("trunk").alias("slot", "other")).withColumn("_add", hap("add")).withColumn("_other", hap("other"))
+    cells = counts.select("chunk", "step", F.col("add").alias("_add"), F.col("trunk").alias("_other"), "a", "b", "n")
+    joined = pairs.join(cells, ["_add", "_other"]).select(*keys, cell(F.col("slot"), F.col("a"), F.col("b")))
+    first = named.where(F.size("trunk") == 0).withColumn("_add", hap("add"))
+    joined = joined.unionByName(first.join(single.select("chunk", "step", F.col("add").alias("_add"), "a", "n"), "_add").select(*keys, cell(F.lit(ALONE), F.col("a"), F.col("a"))))
+    if still is not None:
+        # Each chunk's still counts meet its CSDs; a row for each of their steps, however many haplotypes the trunk has.
+        every = spark_product(named, lengths.select("chunk"))
+        slot = F.when(F.size("trunk") == 0, ALONE).otherwise(EVERY)
+        joined = joined.unionByName(every.join(still, "chunk").select(*keys, cell(slot, F.col("allele"), F.col("allele"))))
+    return joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells")).join(lengths, "chunk")
+
+
+def spark_product(csds: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every CSD on every chunk. The chunks, a row for each contig, go to every task in one array."""
+    all_chunks = chunks.agg(F.collect_list("chunk").alias("chunks"))
+    return csds.join(F.broadcast(all_chunks)).withColumn("chunk", F.explode("chunks")).drop("chunks")
 
 
 Key = tuple[tuple[int, ...], int]
@@ -66,12 +96,9 @@ def table_key(add: int, trunk: list[int], demes: dict[int, int], n_demes: int) -
     return tuple(counts), demes[add]
 
 
-def _dense(cells: pa.Scalar, n_trunk: int, n_alleles: int, n_steps: int | None) -> np.ndarray:
-    """counts[step, slot, a, b]."""
+def _cells(cells: pa.Scalar, n_steps: int, n_trunk: int, n_alleles: int) -> Cells:
     step, slot, a, b, n = (np.asarray(x) for x in cells.values.flatten())
-    out = np.zeros((n_steps or int(step.max()) + 1, n_trunk, n_alleles, n_alleles))
-    np.add.at(out, (step, slot, a, b), n)
-    return out
+    return Cells.of(step, slot, a, b, n, n_steps, n_trunk, n_alleles)
 
 
 def _alone(cells: pa.Scalar, stationary: np.ndarray | None) -> float:
@@ -83,75 +110,85 @@ def _alone(cells: pa.Scalar, stationary: np.ndarray | None) -> float:
         return float((n * np.log(np.asarray(stationary)[a])).sum())
 
 
-def evaluated(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, n_steps: int | None = None, stationary: np.ndarray | None = None) -> DataFrame:
-    """(chunk, perm, csd, factor, loglik) of each CSD, and with ``with_stats`` its key and expected counts, as flat arrays.
+STATS = ("initial", "stay", "move", "emit", "own")
+
+
+def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, stationary: dict[int, np.ndarray] | np.ndarray | None = None, skip: bool = False) -> DataFrame:
+    """(particle_id, chunk, perm, csd, factor, loglik) of each CSD under the tables of each particle, and with ``with_stats``
+    its key and expected counts, as flat arrays.
 
-    One with an empty trunk has the ``stationary`` probability of its haplotype, and no hidden states to count.
-    A row holds one CSD's packed counts, so tasks are CSDs and chunks; tables are a few dense matrices for each kind of CSD.
+    One with an empty trunk has the ``stationary`` probability of its haplotype, and no hidden states to count. With
+    ``skip``, steps without counts are one locus without differences each, and are jumped over.
+    A row holds one CSD's packed counts, so tasks are CSDs and chunks; it is unpacked once for all particles. Tables are a
+    few dense matrices for each kind of CSD.
     """
     ship(tensors.sparkSession)
-    names = ["chunk", "perm", "csd", "factor", "loglik"] + ["key", "initial", "stay", "move", "emit"] * with_stats
+    names = ["particle_id", "chunk", "perm", "csd", "factor", "loglik"] + ["key", *STATS] * with_stats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            loglik, keys, stats = [], [], [[], [], [], []]
-            for cells, add, trunk in zip(batch.column("cells"), batch.column("add").to_pylist(), batch.column("trunk").to_pylist(), strict=True):
+            rows = list(zip(*(batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "factor", "add", "trunk", "n_steps")), batch.column("cells"), strict=True))
+            for chunk, perm, csd, factor, add, trunk, n_steps, packed in rows:
                 key = table_key(add, trunk, demes, n_demes)
-                if not trunk:
-                    loglik.append(_alone(cells, stationary))
-                    keys.append(repr(key))
-                    for column in stats:
-                        column.append([])
-                    continue
-                share = tables[key].shares([demes[h] for h in trunk])
-                counts = _dense(cells, len(trunk), n_alleles, n_steps)
-                if with_stats:
-                    value, found = expected(counts, tables[key], share)
-                    keys.append(repr(key))
-                    for column, x in zip(stats, found, strict=True):
-                        column.append(x.ravel().tolist())
-                else:
-                    value = forward(counts, tables[key], share)[1]
-                loglik.append(value)
-            columns = [batch.column("chunk").cast(pa.int32()), batch.column("perm").cast(pa.int32()), batch.column("csd").cast(pa.int32()), batch.column("factor"), pa.array(loglik, pa.float64())]
-            if with_stats:
-                columns += [pa.array(keys, pa.string())] + [pa.array(c, pa.list_(pa.float64())) for c in stats]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    kinds = "chunk int, perm int, csd int, factor double, loglik double" + ", key string, initial array<double>, stay array<double>, move array<double>, emit array<double>" * with_stats
+                cells = _cells(packed, n_steps, len(trunk), n_alleles) if trunk else None
+                for particle, own in tables.items():
+                    found: tuple[np.ndarray, ...] = tuple(np.empty(0) for _ in STATS)
+                    if cells is None:
+                        value = _alone(packed, stationary[particle] if isinstance(stationary, dict) else stationary)
+                    else:
+                        share = own[key].shares([demes[h] for h in trunk])
+                        if with_stats:
+                            value, found = expected(cells, own[key], share)
+                        else:
+                            value = (skipping if skip else loglik)(cells, own[key], share)
+                    columns = [pa.array([x], k) for x, k in ((particle, pa.int64()), (chunk, pa.int32()), (perm, pa.int32()), (csd, pa.int32()), (factor, pa.float64()), (value, pa.float64()))]
+                    if with_stats:
+                        columns += [pa.array([repr(key)])] + [pa.array([x.ravel()], pa.list_(pa.float64())) for x in found]
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    kinds = "particle_id long, chunk int, perm int, csd int, factor double, loglik double" + "".join(f", {x}" for x in ["key string", *(f"{s} array<double>" for s in STATS)] * with_stats)
     return tensors.mapInArrow(run, kinds)
 
 
-def summed_stats(found: DataFrame) -> DataFrame:
-    """Expected counts by key, kind and place, each CSD weighted by its factor and its permutation's share of the chunk."""
-    perms = found.groupBy("chunk", "perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("total"))
-    chunks = log_sum_exp(perms, ["chunk"], "total", "whole")
-    weights = perms.join(chunks, "chunk").select("chunk", "perm", F.exp(F.col("total") - F.col("whole")).alias("weight"))
-    rows = found.join(weights, ["chunk", "perm"]).withColumn("w", F.col("factor") * F.col("weight"))
-    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in ("initial", "stay", "move", "emit")]))
-    flat = rows.select("key", "w", kinds.alias("x")).select("key", "w", "x.kind", F.posexplode("x.values").alias("place", "value"))
-    return flat.groupBy("key", "kind", "place").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+def summed_stats(found: DataFrame, together: bool = False) -> DataFrame:
+    """Expected counts by particle, key, kind and place, each CSD weighted by its factor and its permutation's share of the
+    chunk, or of all chunks with ``together``."""
+    keys = ["particle_id"] if together else ["particle_id", "chunk"]
+    perms = found.groupBy(*keys, "perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("total"))
+    chunks = log_sum_exp(perms, keys, "total", "whole")
+    weights = perms.join(chunks, keys).select(*keys, "perm", F.exp(F.col("total") - F.col("whole")).alias("weight"))
+    rows = found.where(F.size("initial") > 0).join(weights, [*keys, "perm"]).withColumn("w", F.col("factor") * F.col("weight"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("values")) for k in STATS]))
+    flat = rows.select("particle_id", "key", "w", kinds.alias("x")).select("particle_id", "key", "w", "x.kind", F.posexplode("x.values").alias("place", "value"))
+    return flat.groupBy("particle_id", "key", "kind", "place").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
 def across_contigs(csds: DataFrame) -> DataFrame:
-    """The likelihood in which permutations are summed once over all contigs, instead of contig by contig."""
-    perms = csds.groupBy("perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("total"))
-    return log_sum_exp(perms.withColumn("all", F.lit(0)), ["all"], "total", "loglik").drop("all")
+    """The likelihood of each particle in which permutations are summed once over all contigs, instead of contig by contig."""
+    perms = csds.groupBy("particle_id", "perm").agg(F.sum(F.col("factor") * F.col("loglik")).alias("total"))
+    return log_sum_exp(perms, ["particle_id"], "total", "loglik")
 
 
-def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, every: int = 1, n_steps: int | None = None) -> DataFrame:
-    """(chunk, perm, csd, step, state, probability) at every ``every``-th step of each CSD with a trunk; others have no states."""
+def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, every: int = 1) -> DataFrame:
+    """(chunk, perm, csd, step, state, probability) at every ``every``-th step of each CSD with a trunk; others have no states.
+    A contig's steps end where it does."""
     ship(tensors.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "add", "trunk")), batch.column("cells"), strict=True)
-            for chunk, perm, number, add, trunk, cells in rows:
-                key = table_key(add, trunk, demes, n_demes)
-                p = decoded(_dense(cells, len(trunk), n_alleles, n_steps), tables[key], tables[key].shares([demes[h] for h in trunk]))[::every]
-                steps, states = p.shape
-                same = [pa.array(np.full(p.size, x, np.int32)) for x in (chunk, perm, number)]
-                places = [pa.array(np.repeat(np.arange(steps, dtype=np.int32) * every, states)), pa.array(np.tile(np.arange(states, dtype=np.int32), steps))]
-                yield pa.RecordBatch.from_arrays([*same, *places, pa.array(p.ravel())], ["chunk", "perm", "csd", "step", "state", "probability"])
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "add", "trunk", "n_steps")), batch.column("cells"), strict=True)
+            for chunk, perm, number, add, trunk, n_steps, packed in rows:
+                own = tables[table_key(add, trunk, demes, n_demes)]
+                for low, p in decoded(_cells(packed, n_steps, len(trunk), n_alleles), own, own.shares([demes[h] for h in trunk])):
+                    step = np.arange(low, low + len(p), dtype=np.int32)
+                    step, p = step[step % every == 0], p[step % every == 0]
+                    same = [pa.array(np.full(p.size, x, np.int32)) for x in (chunk, perm, number)]
+                    places = [pa.array(np.repeat(step, p.shape[1])), pa.array(np.tile(np.arange(p.shape[1], dtype=np.int32), len(p)))]
+                    yield pa.RecordBatch.from_arrays([*same, *places, pa.array(p.ravel())], ["chunk", "perm", "csd", "step", "state", "probability"])
 
     return tensors.where(F.size("trunk") > 0).mapInArrow(run, "chunk int, perm int, csd int, step int, state int, probability double")
+
+
+def with_posteriors(sites: DataFrame, posterior: DataFrame, loci: int) -> DataFrame:
+    """Loci to be printed (chunk, pos) with the posterior of the step that each is in."""
+    return sites.select("chunk", "pos", F.expr(f"pos div {loci}").cast("int").alias("step")).join(posterior, ["chunk", "step"])

@@ -33,11 +33,20 @@ def complete(sites: DataFrame) -> DataFrame:
     return sites.where(~F.exists("alleles", lambda x: x.isNull()))
 
 
-def folded(sites: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(segregating sites, reference codes (chunk, pos, allele) that nonsegregating sites give; null if they are missing)."""
+def folded(sites: DataFrame, *keep: str) -> tuple[DataFrame, DataFrame]:
+    """(segregating sites, reference codes (chunk, pos, allele) that nonsegregating sites give; null if they are missing);
+    the former with the columns to keep."""
     marked = classified(sites)
     still = marked.where(~F.col("segregating")).select("chunk", "pos", F.col("alleles")[0].alias("allele"))
-    return marked.where("segregating").select("chunk", "pos", "alleles"), still
+    return marked.where("segregating").select("chunk", "pos", "alleles", *keep), still
+
+
+def printed(sites: DataFrame, lengths: DataFrame, every: int | None = None, segregating: bool = True) -> DataFrame:
+    """Loci (chunk, pos) where hidden states are printed: all segregating ones, and every ``every``-th of lengths (chunk, n_loci)."""
+    out = sites.select("chunk", "pos") if segregating else sites.select("chunk", "pos").limit(0)
+    if every:
+        out = out.unionByName(lengths.select("chunk", F.explode(F.expr(f"sequence(cast(0 as bigint), cast(n_loci - 1 as bigint), cast({every} as bigint))")).alias("pos")))
+    return out.distinct()
 
 
 def counters(sites: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from popspark.operators.ordered import last_before
+
 ALLELES = ("A", "C", "G", "T")
 #: Positions of a bin in which masks and variants meet.
 BIN = 10_000
@@ -64,14 +66,13 @@ def unmasked(sites: DataFrame, mask: DataFrame, size: int = BIN) -> DataFrame:
 
 def mask_faults(mask: DataFrame) -> DataFrame:
     """Rows of mask (chunk, line_no, start, end) that are empty, or start before the line before them ends."""
-    before = F.lag("end").over(Window.partitionBy("chunk").orderBy("line_no"))
-    return mask.withColumn("previous_end", before).where((F.col("start") >= F.col("end")) | (F.col("start") < F.col("previous_end")))
+    placed = last_before(mask, ["chunk"], "line_no", [], "end", "previous_end")
+    return placed.where((F.col("start") >= F.col("end")) | (F.col("start") < F.col("previous_end")))
 
 
 def order_faults(sites: DataFrame) -> DataFrame:
     """Rows of sites (chunk, pos, line_no) whose position is not above that of the line before."""
-    before = F.lag("pos").over(Window.partitionBy("chunk").orderBy("line_no", "pos"))
-    return sites.withColumn("previous_pos", before).where(F.col("pos") <= F.col("previous_pos"))
+    return last_before(sites, ["chunk"], "line_no", ["pos"], "pos", "previous_pos").where(F.col("pos") <= F.col("previous_pos"))
 
 
 def with_status(lines: DataFrame, n_alleles: int, filter_pass: str) -> DataFrame:

@@ -19,11 +19,11 @@ class Layout:
         """The rows with a multiplicity in some deme."""
         return [i for i, row in enumerate(self.multiplicity) if any(row)]
 
-    def deme(self, hap: int) -> int:
-        row = self.multiplicity[hap]
-        if sum(1 for m in row if m) != 1:
-            raise ValueError(f"haplotype {hap} is not in exactly one deme")
-        return next(d for d, m in enumerate(row) if m)
+    @property
+    def members(self) -> list[tuple[int, int]]:
+        """(haplotype, deme) of each member of the sample, haplotypes by their place among the used ones: one for each copy, in
+        each deme."""
+        return [(i, d) for i, h in enumerate(self.used) for d, m in enumerate(self.multiplicity[h]) for _ in range(m)]
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(hap, multiplicity)."""

@@ -36,6 +36,12 @@ def parse_params(text: str, renormalize: bool = True) -> Params:
     return Params(float(theta), float(rho), matrix)
 
 
+def uniform(matrix: np.ndarray, epsilon: float = 1e-12) -> bool:
+    """Whether each allele changes into every other one alike."""
+    k = len(matrix)
+    return k < 2 or bool(abs(matrix - (1 - np.eye(k)) / (k - 1)).max() < epsilon)
+
+
 @dataclass(frozen=True)
 class Wild:
     """A parameter that a point fills in."""

@@ -8,19 +8,34 @@ from pyspark.sql import Window
 
 
 def chunked_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(chunk, line_no, value) of one file for each chunk, in the order of paths. Line numbers rise along a file.
+    """(chunk, line_no, value) of one file, or one folder of part files in order of name, for each chunk, in the order of paths.
 
-    Numbers come from Spark's row ids, which follow file order, so no file goes through one task.
+    Line numbers rise along a file but have gaps: a line's is the offset of the piece of the file that it is read in, plus
+    its place among the lines of that task, which has fewer lines than bytes; so no file goes through one task.
     """
     parts = []
     for chunk, path in enumerate(paths):
-        parts.append(spark.read.text(path).select(F.lit(chunk).alias("chunk"), F.monotonically_increasing_id().alias("line_no"), "value"))
+        lines = spark.read.text(path)
+        names = sorted(f.rsplit("/", 1)[-1] for f in lines.inputFiles())
+        row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        lines = lines.select("value", F.col("_metadata.file_name").alias("name"), (F.col("_metadata.file_block_start") + row).alias("at"))
+        if len(names) > 1:
+            # A row for each file.
+            order = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, file long")
+            lines = lines.join(F.broadcast(order), "name").withColumn("at", F.shiftleft("file", 44) + F.col("at"))
+        parts.append(lines.select(F.lit(chunk).alias("chunk"), F.col("at").alias("line_no"), "value"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def write_lines(lines: DataFrame, path: str, *order: str) -> None:
+    """lines (value) as text, in part files whose names follow the order."""
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(path)
+
+
 def is_comment(value: Column) -> Column:
     return value.startswith("#") | value.startswith(">") | (F.trim(value) == "")
 
@@ -41,7 +56,7 @@ def read_reference(spark: SparkSession, paths: list[str], block: int = 10_000) -
     that a long contig is neither one row nor one task; lines that cross a block's edge are cut there and blocks joined.
     """
     lines = chunked_lines(spark, paths).where(~is_comment(F.col("value"))).select("chunk", "line_no", F.upper(F.trim("value")).alias("value"))
-    lines = lines.withColumn("run", F.expr("line_no div 10000")).withColumn("n", F.length("value").cast("long"))
+    lines = lines.withColumn("run", F.expr("line_no div 1000000")).withColumn("n", F.length("value").cast("long"))
     sums = lines.groupBy("chunk", "run").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("chunk").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).select("chunk", "run", "before")

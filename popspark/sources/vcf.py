@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from popspark.operators import sites as S
 from popspark.operators import variants as V
 from popspark.sources.layout import Layout
+from popspark.sources.models import Params, uniform
 from popspark.sources.text import chunked_lines, read_mask, read_reference
 
 FIXED = 9
@@ -17,21 +18,44 @@ FIXED = 9
 
 @dataclass(frozen=True)
 class Ingested:
-    """sites (chunk, pos, alleles): segregating; reference (chunk, pos, allele): every other locus, null where missing; lines, with status."""
+    """sites (chunk, pos, alleles): segregating; blocks (chunk, block, start, codes): the reference, a character for each
+    locus, which is an allele's digit, a dot where it is missing, or a star where it segregates; lines, with status."""
 
     sites: DataFrame
-    reference: DataFrame
+    blocks: DataFrame
     lines: DataFrame
 
+    @property
+    def reference(self) -> DataFrame:
+        """(chunk, pos, allele): every locus that does not segregate, null where missing."""
+        loci = self.blocks.select("chunk", "start", F.posexplode(F.split("codes", "")).alias("i", "code")).where("code <> '' and code <> '*'")
+        return loci.select("chunk", (F.col("start") + F.col("i")).alias("pos"), F.when(F.col("code") != ".", F.col("code").cast("int")).alias("allele"))
+
+    @property
+    def lengths(self) -> DataFrame:
+        """(chunk, n_loci)."""
+        return self.blocks.groupBy("chunk").agg(F.max(F.col("start") + F.length("codes")).alias("n_loci"))
+
+
+HEADER = ((3, "REF"), (4, "ALT"), (6, "FILTER"), (8, "FORMAT"))
+
+
+def _checked(ok: Column, value: Column, message: str, kind: str) -> Column:
+    return F.when(ok, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
+
 
 def read_lines(spark: SparkSession, paths: list[str], offset: int = 0) -> DataFrame:
     """(chunk, line_no, chrom, pos, ref, alt, filter, format, gts); pos counts from 0. A row whose width is not its header's
-    is an error."""
+    is an error, and so is a header without REF, ALT, FILTER and FORMAT in their columns."""
     lines = chunked_lines(spark, paths)
     cells = F.split(F.trim("value"), r"\s+")
-    widths = lines.where(F.col("value").startswith("#CHROM")).select("chunk", F.size(cells).alias("width")).groupBy("chunk").agg(F.max("width").alias("width"))
+    fine = F.lit(True)
+    for i, name in HEADER:
+        fine = fine & F.get(cells, F.lit(i)).eqNullSafe(F.lit(name))
+    # A header for each contig.
+    widths = lines.where(F.col("value").startswith("#CHROM")).select("chunk", _checked(fine, F.size(cells), "a header has REF, ALT, FILTER and FORMAT elsewhere", "int").alias("width")).groupBy("chunk").agg(F.max("width").alias("width"))
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("chunk", "line_no", cells.alias("c")).join(F.broadcast(widths), "chunk", "left")
-    c = F.when(F.size("c").eqNullSafe(F.col("width")), F.col("c")).otherwise(F.raise_error(F.lit("a row is not as wide as its header")).cast("array<string>"))
+    c = _checked(F.size("c").eqNullSafe(F.col("width")), F.col("c"), "a row is not as wide as its header", "array<string>")
     rows = rows.select("chunk", "line_no", c.alias("c"))
     return rows.select(
         "chunk", "line_no", F.col("c")[0].alias("chrom"), (F.col("c")[1].cast("long") - 1 - offset).alias("pos"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"),
@@ -55,51 +79,121 @@ def haplotypes(gts: Column, phased_only: bool) -> Column:
     return F.flatten(F.transform(gts, one))
 
 
+def decoded_genotypes(lines: DataFrame, layout: Layout, phased_only: bool = True) -> DataFrame:
+    """Usable lines as genotypes (chunk, pos, hap, allele) of the used haplotypes, which are numbered anew."""
+    rows = lines.select("chunk", "pos", _used(lines, layout, phased_only).alias("alleles"))
+    return rows.select("chunk", "pos", F.posexplode("alleles").alias("hap", "allele"))
+
+
+def _used(lines: DataFrame, layout: Layout, phased_only: bool) -> Column:
+    """The codes of the used haplotypes of usable lines, from gts."""
+    digits = haplotypes(F.col("gts"), phased_only)
+    counted = _checked(F.size(digits) == len(layout.multiplicity), digits, "the layout has another number of haplotypes", "array<string>")
+    codes = V.allele_codes(F.col("ref"), F.col("alt"), layout.n_alleles)
+    picked = F.transform(F.array(*map(F.lit, layout.used)), lambda h: counted[h])
+    return F.transform(picked, lambda d: F.when(d != ".", F.get(codes, d.try_cast("int"))))
+
+
+def overlaid(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """blocks (chunk, block, start, codes) with what edits (chunk, block, at, n, code) put in place: n times a character from
+    a block's at-th on. Edits of one block do not overlap. Blocks and edits meet once, and each block is put together from
+    the pieces between its edits."""
+    made = edits.groupBy("chunk", "block").agg(F.sort_array(F.collect_list(F.struct("at", "n", "code"))).alias("edits"))
+    joined = blocks.join(made, ["chunk", "block"], "left")
+    end = lambda i: F.when(i > 0, F.col("edits")[i - 1]["at"] + F.col("edits")[i - 1]["n"]).otherwise(F.lit(0))
+    piece = lambda x, i: F.concat(F.substring("codes", (end(i) + 1).cast("int"), (x["at"] - end(i)).cast("int")), F.repeat(x["code"], x["n"].cast("int")))
+    last = end(F.size("edits"))
+    rest = F.substring("codes", (last + 1).cast("int"), (F.length("codes") - last).cast("int"))
+    whole = F.concat(F.array_join(F.transform("edits", piece), ""), rest)
+    return joined.select("chunk", "block", "start", F.when(F.col("edits").isNotNull(), whole).otherwise(F.col("codes")).alias("codes"))
+
+
+#: Letters of a reference that stand for several bases or none; they count as missing. Other letters are an error.
+UNKNOWN = "NRYSWKMBDHVUX-."
+
+
+def coded(bases: Column, n_alleles: int) -> Column:
+    """A reference's letters as codes: with four alleles their digits, with fewer 0; unknown ones are a dot."""
+    known = "".join(V.ALLELES)
+    left = F.translate(bases, known + UNKNOWN, "")
+    codes = F.translate(bases, known + UNKNOWN, ("0123" if n_alleles == len(known) else "0000") + "." * len(UNKNOWN))
+    return F.when(left == "", codes).otherwise(F.raise_error(F.concat(F.lit("no base of a reference: "), left)).cast("string"))
+
+
+def reference_of(spark: SparkSession, path: str) -> str:
+    """The reference that a variant file's header names, next to the file if the name is relative."""
+    line = chunked_lines(spark, [path]).where(F.col("value").startswith("##reference")).orderBy("line_no").select("value").first()
+    parts = line["value"].strip().split("file://") if line else []
+    if len(parts) != 2:
+        raise ValueError("the variant file names no reference by file://")
+    return parts[1] if parts[1].startswith("/") else f"{path.rsplit('/', 1)[0]}/{parts[1]}" if "/" in path else parts[1]
+
+
 def ingest(
-    spark: SparkSession, vcf: list[str], reference: list[str], layout: Layout, filter_pass: str, mask: list[str] | None = None, offset: int = 0, phased_only: bool = True, strict_duplicates: bool = True,
+    spark: SparkSession, vcf: list[str], reference: list[str] | None, layout: Layout, filter_pass: str, mask: list[str] | None = None, offset: int = 0, phased_only: bool = True, strict_duplicates: bool = True, params: Params | None = None,
 ) -> Ingested:
     """Contigs (one file of each kind for each) as segregating sites and a reference.
 
     Lines that fail the filter or have too many alleles make their locus missing; masked ones are left out and their loci
-    missing. Multi-base or equal alleles, another FORMAT, a REF that is not the reference's base, and a genotype count other
-    than the layout's are errors. With fewer than four alleles, the reference's bases become 0.
+    missing. Multi-base or equal alleles, another FORMAT, a REF that is not the reference's base, a position outside the
+    reference, and a genotype count other than the layout's are errors; so are masks with regions that overlap or are out of
+    order, segregating sites whose positions do not rise, and studies without any. With fewer than four alleles, the
+    reference's bases become 0, and the mutation matrix, if given, has to be uniform. Without ``reference``, the variant
+    files' headers name them.
+
+    Only the codes of the used haplotypes travel with a line, and a locus of the reference is a character in a block.
     """
+    if params is not None and layout.n_alleles < len(V.ALLELES) and not uniform(params.matrix):
+        raise ValueError("with fewer than four alleles, the mutation matrix has to be uniform")
     lines = read_lines(spark, vcf, offset)
-    bases = read_reference(spark, reference)
+    bases = read_reference(spark, reference or [reference_of(spark, v) for v in vcf], V.BIN)
     regions = read_mask(spark, mask) if mask else None
     if regions is not None:
-        inside = V.unmasked(lines.select("chunk", "pos").distinct(), regions).withColumn("open", F.lit(True))
-        lines = lines.join(inside, ["chunk", "pos"], "left").withColumn("masked", F.col("open").isNull()).drop("open")
+        if V.mask_faults(regions).limit(1).count():
+            raise ValueError("a mask's regions overlap, are empty or are out of order")
+        where = lines.select("chunk", "line_no", "pos")
+        inside = where.join(V.unmasked(where, regions).select("chunk", "line_no"), ["chunk", "line_no"], "left_anti").select("chunk", "line_no", F.lit(True).alias("hit"))
+        lines = lines.join(inside, ["chunk", "line_no"], "left").withColumn("masked", F.coalesce("hit", F.lit(False))).drop("hit")
     else:
         lines = lines.withColumn("masked", F.lit(False))
-    lines = V.with_status(V.first_of_duplicates(lines, strict_duplicates), layout.n_alleles, filter_pass)
+    # Which lines repeat a position is found on three numbers of each; they are few, and the lines stay where they are.
+    where = lines.select("chunk", "line_no", "pos")
+    twice = where.groupBy("chunk", "pos").agg(F.count("*").alias("n"), F.min("line_no").alias("kept")).where("n > 1").drop("n")
+    if strict_duplicates and twice.limit(1).count():
+        raise ValueError("two lines at one position")
+    lines = lines.join(twice, ["chunk", "pos"], "left").withColumn("duplicate", F.coalesce(F.col("line_no") != F.col("kept"), F.lit(False))).drop("kept")
+    lines = V.with_status(lines, layout.n_alleles, filter_pass)
     fatal = F.col("status").isin("multi_base", "equal_alleles", "bad_format")
     lines = lines.withColumn("status", F.when(fatal, F.raise_error(F.concat(F.lit("line of kind "), "status")).cast("string")).otherwise(F.col("status")))
 
-    digits = haplotypes(F.col("gts"), phased_only)
-    used = F.array(*map(F.lit, layout.used))
-    blocks = bases.select("chunk", "block", F.col("start").alias("_start"), "bases")
-    usable = lines.where("status = 'usable'").withColumn("block", F.expr(f"pos div {V.BIN}")).join(blocks, ["chunk", "block"], "left")
+    block = F.expr(f"pos div {V.BIN}").alias("block")
+    usable = lines.where("status = 'usable'").select("chunk", "line_no", "pos", block, F.upper("ref").alias("ref"), _used(lines, layout, phased_only).alias("alleles"))
+    texts = bases.select("chunk", "block", F.col("start").alias("_start"), "bases")
+    met = usable.join(texts, ["chunk", "block"], "left")
     base = F.substring("bases", (F.col("pos") - F.col("_start") + 1).cast("int"), F.lit(1))
-    same = F.coalesce(base == F.upper("ref"), F.lit(False))
+    same = F.coalesce(base == F.col("ref"), F.lit(False))
+    outside = F.coalesce(base == "", F.lit(True))
+    wrong = F.raise_error(F.when(outside, F.lit("a position is outside the reference")).otherwise(F.lit("REF is not the reference's base"))).cast("boolean")
     # In a filter, as a column that nothing reads would be left out, and the check with it.
-    usable = usable.where(F.when(same, True).otherwise(F.raise_error(F.lit("REF is not the reference's base")).cast("boolean")))
-    usable = usable.withColumn("digits", digits).withColumn("codes", V.allele_codes(F.col("ref"), F.col("alt"), layout.n_alleles))
-    counted = F.when(F.size("digits") == len(layout.multiplicity), F.col("digits")).otherwise(F.raise_error(F.lit("the layout has another number of haplotypes")).cast("array<string>"))
-    code = lambda d: F.when(d != ".", F.get("codes", d.try_cast("int") if hasattr(d, "try_cast") else d.cast("int")))
-    alleles = F.transform(used, lambda h: code(F.col("digits")[h]))
-    decoded = usable.withColumn("digits", counted).select("chunk", "pos", alleles.alias("alleles"))
-    segregating, still = S.folded(decoded)
-
-    base_code = V.code_of(F.col("base")) if layout.n_alleles == 4 else F.when(V.code_of(F.col("base")).isNotNull(), 0)
-    loci = bases.select("chunk", "start", F.posexplode(F.split("bases", "")).alias("i", "base")).where("base <> ''").select("chunk", (F.col("start") + F.col("i")).alias("pos"), base_code.cast("int").alias("allele"))
+    met = met.where(F.when(same, True).otherwise(wrong))
+    segregating, still = S.folded(met.select("chunk", "line_no", "pos", "alleles"), "line_no")
+    if V.order_faults(segregating.select("chunk", "line_no", "pos")).limit(1).count():
+        raise ValueError("segregating sites are not in order of their positions")
+    if not segregating.limit(1).count():
+        raise ValueError("no segregating site is left")
+
+    at = F.expr(f"pos % {V.BIN}")
+    edit = lambda df, code: df.select("chunk", block, at.alias("at"), F.lit(1).cast("long").alias("n"), code.alias("code"))
+    edits = edit(segregating, F.lit("*")).unionByName(edit(still, F.coalesce(F.col("allele").cast("string"), F.lit(".")))).unionByName(edit(lines.where("status in ('filter_failed', 'too_many_alleles')"), F.lit(".")))
     if regions is not None:
-        open_loci = V.unmasked(loci.select("chunk", "pos"), regions).withColumn("open", F.lit(True))
-        loci = loci.join(open_loci, ["chunk", "pos"], "left").select("chunk", "pos", F.when(F.col("open"), F.col("allele")).alias("allele"))
-    blank = lines.where("status in ('filter_failed', 'too_many_alleles')").select("chunk", "pos", F.lit(None).cast("int").alias("new"))
-    seen = still.select("chunk", "pos", F.col("allele").alias("new")).unionByName(blank).withColumn("seen", F.lit(True))
-    folded = loci.join(segregating.select("chunk", "pos"), ["chunk", "pos"], "left_anti").join(seen, ["chunk", "pos"], "left")
-    return Ingested(segregating, folded.select("chunk", "pos", F.when(F.col("seen"), F.col("new")).otherwise(F.col("allele")).alias("allele")), lines.select("chunk", "line_no", "pos", "ref", "status"))
+        cut = V.binned(regions, V.BIN)
+        low, high = F.greatest(F.col("start"), F.col("bin") * V.BIN), F.least(F.col("end"), (F.col("bin") + 1) * V.BIN)
+        edits = edits.unionByName(cut.select("chunk", F.col("bin").alias("block"), (low - F.col("bin") * V.BIN).alias("at"), (high - low).alias("n"), F.lit(".").alias("code")))
+    blocks = overlaid(bases.select("chunk", "block", "start", coded(F.col("bases"), layout.n_alleles).alias("codes")), edits)
+    # A mask may go beyond the reference.
+    size = bases.select("chunk", "block", F.length("bases").alias("size"))
+    blocks = blocks.join(size, ["chunk", "block"]).select("chunk", "block", "start", F.substring("codes", F.lit(1), F.col("size")).alias("codes"))
+    return Ingested(segregating.select("chunk", "pos", "alleles"), blocks, lines.select("chunk", "line_no", "pos", "ref", "status"))
 
 
 def sequences(spark: SparkSession, paths: list[str], layout: Layout, alleles: list[str] | None = None) -> DataFrame:
@@ -149,3 +243,20 @@ def compressed_sequences(spark: SparkSession, path: str, layout: Layout, alleles
     code = F.array_position(F.array(*map(F.lit, letters)), F.upper("letter")) - 1
     picked = cells.join(places, ["chunk", "i"]).select("chunk", "pos", haps[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele")).where("hap is not null")
     return S.site_table(picked, len(layout.used))
+
+
+def old_compressed_sequences(spark: SparkSession, path: str, layout: Layout, alleles: list[str] | None = None) -> DataFrame:
+    """A file whose first line lists the segregating sites, and whose others are the haplotypes' letters there, as sites
+    (chunk, pos, alleles) of the used haplotypes; all other loci have allele 0."""
+    from pyspark.sql import Window
+
+    letters = alleles or list(V.ALLELES)
+    lines = chunked_lines(spark, [path]).where(~(F.col("value").startswith("#") | F.col("value").startswith(">") | (F.trim("value") == "")))
+    # One row for each haplotype.
+    numbered = lines.withColumn("row", F.row_number().over(Window.partitionBy("chunk").orderBy("line_no")) - 2)
+    places = numbered.where("row = -1").select("chunk", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("i", "p")).select("chunk", "i", F.col("p").cast("long").alias("pos"))
+    cells = numbered.where("row >= 0").select("chunk", "row", F.posexplode(F.split(F.trim("value"), "")).alias("i", "letter")).where("letter <> ''")
+    haps = F.create_map(*[F.lit(x) for k, h in enumerate(layout.used) for x in (h, k)])
+    code = F.array_position(F.array(*map(F.lit, letters)), F.upper("letter")) - 1
+    picked = cells.join(places, ["chunk", "i"]).select("chunk", "pos", haps[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele")).where("hap is not null")
+    return S.site_table(picked, len(layout.used))
