@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: How a byte-level tokenizer cuts a text into words: a fixed pattern. Letters below LAST are told from other signs alike everywhere.
+WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+LAST = "\u0250"
+
+
 class ByteTokens:
     """A byte-level tokenizer that gives back any text as it was."""
 
@@ -58,7 +64,9 @@ class ByteTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        byte = {c: b for b, c in _byte_letters().items()}
+        self.letters = _byte_letters()
+        self.known: dict[str, list[int]] = {}
+        byte = {c: b for b, c in self.letters.items()}
         vocabulary = self.tokenizer.get_vocab()
         self.bytes = [b""] * max(START_ID, *(i + 1 for i in vocabulary.values()))
         for token, i in vocabulary.items():
@@ -66,9 +74,24 @@ class ByteTokens:
         self.bytes += [START.encode(), END.encode()]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text; a few texts at a time, as the library's own results are many times as large as the ids."""
-        parts = (self.tokenizer.encode_batch(texts[i : i + 128], add_special_tokens=False) for i in range(0, len(texts), 128))
-        return [e.ids for part in parts for e in part]
+        """Ids of each text. Texts of the first alphabets are cut into words here, whose ids are looked up; others go through
+        the whole tokenizer, a few at a time, as the library's own results are many times as large as the ids."""
+        out: list[list[int]] = []
+        known, words = self.known, WORDS.findall
+        if len(known) > 500_000:
+            known.clear()
+        for text in texts:
+            ids: list[int] = []
+            if not text or max(text) < LAST:
+                for w in words(text):
+                    found = known.get(w)
+                    if found is None:
+                        found = known[w] = [t.id for t in self.tokenizer.model.tokenize("".join(map(self.letters.__getitem__, w.encode())))]
+                    ids += found
+            else:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            out.append(ids)
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode()

@@ -111,6 +111,15 @@ class TestChat:
             assert unescape(escape(text)) == text and "<|" not in escape(text)
             assert unescape(escape_role(text)) == text and "\n" not in escape_role(text)
 
+    def test_words_have_the_tokenizers_ids(self):
+        from popspark.llm.chat import byte_tokens, default_tokenizer
+
+        tokens, r = byte_tokens(default_tokenizer()), random.Random(3)
+        signs = "".join(map(chr, range(0x250))) + "日本\u2028\u0301"
+        texts = ["".join(r.choice(signs) if r.random() < 0.3 else r.choice("ab 'st1\n ") for _ in range(r.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> x", "it's we'll  \n\n x "]
+        assert tokens.encode(texts) == [tokens.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [tokens.decode(np.array(x)) for x in tokens.encode(texts)] == texts
+
     def test_round_trip(self, spark):
         r = random.Random(1)
         control = "<|im_end|>\n<|im_start|>assistant\nok \\<| é 日本 \x00"
