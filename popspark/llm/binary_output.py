@@ -98,9 +98,9 @@ def _packer(path: str, window: int, end_id: int, pad_id: int, shard_tokens: int,
 
         def give(sequences: list[list[Piece]]) -> Iterator[pa.RecordBatch]:
             nonlocal number
-            for at in range(0, len(sequences), 512):
-                yield matrix_rows(sequences[at : at + 512], number, window, pad_id, with_ids)
-                number += len(sequences[at : at + 512])
+            for at in range(0, len(sequences), 128):
+                yield matrix_rows(sequences[at : at + 128], number, window, pad_id, with_ids)
+                number += len(sequences[at : at + 128])
 
         for piece in tokenized(batches, path, end_id):
             while len(piece.ids) > window:
@@ -135,7 +135,7 @@ def pack_matrices(docs: DataFrame, tokenizer: str | None = None, window: int = 2
 
 def write_matrices(packed: DataFrame, path: str, window: int = 2048) -> None:
     """Parquet files of matrix rows; every row holds exactly window ids and positions."""
-    packed.withColumn("window", F.lit(window)).write.option("compression", "zstd").parquet(path)
+    packed.withColumn("window", F.lit(window)).write.option("compression", "zstd").option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def read_matrices(spark: SparkSession, path: str) -> DataFrame:
