@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,33 +13,38 @@ from popspark.llm.mixing import mix
 from popspark.llm.near_dedup import near_dedup
 from popspark.llm.packing import retrieval_pack
 from popspark.llm.quality import quality_scores
+from popspark.shared import fresh
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, trained on the labels, does not reject."""
+    """Documents that the quality classifier, trained on the labels, does not reject. Null and empty texts have the score that
+    the bias alone gives; rows that repeat a doc_id are judged each by its text; an empty table gives no rows."""
     return quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that others keep; n_chars follows the text."""
+    """Documents without the lines that others keep; n_chars follows the text. A null text becomes an empty one; rows without
+    doc_id keep all lines; rows that repeat one are one document."""
     return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more."""
+    """One document of each group of near copies: five-word shingles, a similarity of 0.8 or more. Rows without words or
+    without doc_id all stay; of rows that repeat a doc_id, one does."""
     return near_dedup(docs, ngram=5, num=80, den=100).select(*COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Four fifths of the tokens, in target weights and one epoch; a document that its leaf's prefix reaches stays whole."""
+    """Four fifths of the tokens, in target weights and one epoch; a document that its leaf's prefix reaches stays whole. Null
+    sources and languages are leaves of their own, shown as ''; documents without words give no tokens and go."""
     return mix(docs, per_mille=800, epochs=1).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document in its sequence."""
-    return retrieval_pack(docs, with_ids=False)
+    """A row for each piece of each document in its sequence, with its token ids."""
+    return retrieval_pack(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,13 +60,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each gives is written to the shared checkpoint folder and read again."""
-    shared_dir(spark)
-    where = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what each gives is written to the shared folder and read again. Two folders take turns, so
+    that no more than the last two stages' tables are kept."""
+    where = fresh(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs.write.parquet(f"{where}/{k}-{name}")
-            docs = spark.read.parquet(f"{where}/{k}-{name}")
+            path = f"{where}/{'ab'[k % 2]}"
+            docs.write.mode("overwrite").parquet(path)
+            docs = spark.read.parquet(path)
     return docs
