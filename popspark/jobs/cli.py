@@ -8,15 +8,21 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from popspark.jobs.inference import Model, csds_of, em, genetic, prepared
-from popspark.operators import blocks
+from popspark.jobs.inference import Model, csds_of, genetic, prepared, random_starts
+from popspark.operators import blocks, csd
+from popspark.operators.likelihood import posteriors, with_posteriors
 from popspark.operators.search import grid
-from popspark.sources.layout import parse_layout, read_text
+from popspark.operators.sites import printed
+from popspark.sources import text as T
+from popspark.sources.layout import Layout, parse_layout, read_text
 from popspark.sources.models import parse_demography, parse_params
 from popspark.sources.vcf import ingest
 
+PERMUTED = ("pac", "oldpac", "superpac")
+
 
 def numbers(text: str) -> list[float]:
     return [float(x) for x in text.split(",")]
@@ -24,54 +30,112 @@ def numbers(text: str) -> list[float]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
-    for name in ("vcf", "reference"):
-        p.add_argument(f"--{name}", required=True, help="a file for each contig, separated by commas")
+    p.add_argument("--vcf", required=True, help="a file for each contig, separated by commas")
+    p.add_argument("--reference", help="a file for each contig; left out, the variant files name them")
     for name in ("layout", "params", "demography"):
         p.add_argument(f"--{name}", required=True)
     p.add_argument("--rates")
     p.add_argument("--mask")
+    p.add_argument("--offset", type=int, default=0)
     p.add_argument("--filter-pass", default="PASS")
-    p.add_argument("--likelihood", default="pcl")
+    p.add_argument("--raw-matrix", action="store_true", help="rows of the mutation matrix have to add up to one")
+    p.add_argument("--likelihood", default="pcl", help="lol, pcl, pclol, pac, oldpac, superpac or file")
+    p.add_argument("--csd-list")
+    p.add_argument("--permutations", help="a file of permutations")
+    p.add_argument("--random-permutations", type=int)
+    p.add_argument("--permutation-seed", type=int, default=0)
+    p.add_argument("--csds-per-permutation", type=int)
     p.add_argument("--loci-per-step", type=int, default=1000)
     p.add_argument("--intervals", default="loguniform")
-    p.add_argument("--interval-params", type=numbers, default=[8, 0.01, 4])
+    p.add_argument("--interval-params", default="8,0.01,4", help="numbers with commas; for combined, name:numbers/name:numbers")
+    p.add_argument("--interval-points", help="a file of boundaries, instead of the two above")
     p.add_argument("--trunk", default="migratingethan")
+    p.add_argument("--cake", default="average")
+    p.add_argument("--least-migration", type=float, default=0.005)
     p.add_argument("--bounds", help="low,high;low,high;...")
     p.add_argument("--start", type=numbers)
+    p.add_argument("--starts", help="a file of start points")
     p.add_argument("--grid", type=int, help="points on each axis of the bounds")
+    p.add_argument("--random-starts", type=int, help="points that are log-uniform in the bounds")
     p.add_argument("--generations", type=int, default=1)
     p.add_argument("--keep", type=int, default=1)
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--scale-recombination", action="store_true", help="a coordinate more: the recombination rate's factor")
+    p.add_argument("--estimate-theta", action="store_true", help="a last coordinate: the mutation rate")
+    p.add_argument("--objective", default="lineage", choices=("lineage", "transition", "marginal"))
     p.add_argument("--em-iterations", type=int, default=0)
     p.add_argument("--m-iterations", type=int, default=10)
+    p.add_argument("--joint", action="store_true", help="all coordinates at once in an M-step")
+    p.add_argument("--coordinate-order", type=lambda x: [int(i) for i in x.split(",")])
+    p.add_argument("--m-spread", type=float, help="an M-step ends where its simplex is so flat")
+    p.add_argument("--tolerance", type=float, help="least relative rise of the likelihood")
+    p.add_argument("--parameter-tolerance", type=float, help="least relative change of a coordinate")
     p.add_argument("--unphased-as-missing", action="store_true")
     p.add_argument("--ignore-double-entries", action="store_true")
+    p.add_argument("--decode", help="where to write posteriors at the best point")
+    p.add_argument("--print-loci", type=int, help="decode every so many loci")
+    p.add_argument("--print-snps", action="store_true", help="decode all segregating loci")
+    p.add_argument("--text", help="results as lines, too")
     p.add_argument("--out", required=True)
     return p
 
 
+def _csds(spark: SparkSession, a: argparse.Namespace, members: DataFrame, n: int) -> DataFrame:
+    perms = lists = None
+    if a.permutations:
+        perms = csd.permutations(T.chunked_lines(spark, [a.permutations]).where(~T.is_comment(F.col("value"))), n)
+    elif a.random_permutations:
+        perms = csd.shuffled(members.select("hap"), a.random_permutations, a.permutation_seed)
+    if a.csd_list:
+        lists = T.chunked_lines(spark, [a.csd_list]).where(~T.is_comment(F.col("value")))
+    return csds_of(a.likelihood, members.select("hap"), perms, a.csds_per_permutation, lists)
+
+
+def _starts(spark: SparkSession, a: argparse.Namespace, limits: list[tuple[float, float]] | None, dimension: int) -> list[list[float]]:
+    if a.starts:
+        return [r["point"] for r in T.read_start_points(spark, a.starts, dimension).orderBy("particle_id").collect()]
+    if a.grid:
+        return [r["point"] for r in grid(spark, limits, a.grid).orderBy("particle_id").collect()]
+    if a.random_starts:
+        return random_starts(limits, a.random_starts, a.seed)
+    return [a.start]
+
+
 def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    layout = parse_layout(read_text(spark, a.layout))
+    layout: Layout = parse_layout(read_text(spark, a.layout))
+    params = parse_params(read_text(spark, a.params), renormalize=not a.raw_matrix)
     files = lambda x: x.split(",") if x else None
-    got = ingest(spark, files(a.vcf), files(a.reference), layout, a.filter_pass, files(a.mask), phased_only=not a.unphased_as_missing, strict_duplicates=not a.ignore_double_entries)
-    used = list(range(len(layout.used)))
-    counts = blocks.all_counts(blocks.pair_counts(got.sites, a.loci_per_step), blocks.still_counts(got.reference, a.loci_per_step), used)
+    got = ingest(spark, files(a.vcf), files(a.reference), layout, a.filter_pass, files(a.mask), a.offset, phased_only=not a.unphased_as_missing, strict_duplicates=not a.ignore_double_entries, params=params)
     limits = [tuple(numbers(x)) for x in a.bounds.split(";")] if a.bounds else None
+    template = parse_demography(read_text(spark, a.demography), read_text(spark, a.rates) if a.rates else None)
+    sample = layout.members
+    intervals, interval_params = ("customfixed", T.read_points(spark, a.interval_points)) if a.interval_points else (a.intervals, a.interval_params)
     model = Model(
-        parse_demography(read_text(spark, a.demography), read_text(spark, a.rates) if a.rates else None), parse_params(read_text(spark, a.params)),
-        {i: layout.deme(h) for i, h in enumerate(layout.used)}, layout.n_demes, a.loci_per_step, a.intervals, a.interval_params, a.trunk, limits=limits,
+        template, params, {i: d for i, (_, d) in enumerate(sample)}, layout.n_demes, a.loci_per_step, intervals, interval_params, a.trunk, a.least_migration, limits,
+        haps={i: h for i, (h, _) in enumerate(sample)}, scale_recombination=a.scale_recombination, estimate_theta=a.estimate_theta, objective=a.objective, cake=a.cake,
     )
-    haps = spark.createDataFrame([(h,) for h in used], "hap int")
-    data = prepared(counts, csds_of(a.likelihood, haps), model, layout.n_alleles)
-    if a.grid:
-        starts = [r["point"] for r in grid(spark, limits, a.grid).orderBy("particle_id").collect()]
-        rows = genetic(data, model, starts, a.generations, a.keep, a.seed)
-        found = [(r["generation"], 0, r["particle_id"], float(r["loglik"]), 0, r["point"]) for r in rows]
-    else:
-        path = em(data, model, a.start, a.em_iterations, a.m_iterations)
-        found = [(0, r["em_step"], 0, float(r["loglik"]), r["ms"], r["point"]) for r in path]
-    spark.createDataFrame(found, "generation int, em_step int, particle_id int, loglik double, ms long, point array<double>").write.parquet(a.out)
+    dimension = template.dimension + a.scale_recombination + a.estimate_theta
+    members = spark.createDataFrame([(i,) for i in range(len(sample))], "hap int")
+    lengths = got.lengths.select("chunk", F.expr(f"(n_loci + {a.loci_per_step} - 1) div {a.loci_per_step}").alias("n_steps"))
+    still = blocks.still_in_blocks(got.blocks, a.loci_per_step, layout.n_alleles)
+    data = prepared(blocks.pair_counts(got.sites, a.loci_per_step), _csds(spark, a, members, len(sample)), model, layout.n_alleles, still, lengths, together=a.likelihood.lower() == "oldpac")
+    starts = _starts(spark, a, limits, dimension)
+    if any(p is None or len(p) != dimension for p in starts):
+        raise ValueError(f"a start point has {dimension} coordinates")
+    options = {"tolerance": a.tolerance, "change": a.parameter_tolerance, "coordinatewise": not a.joint, "order": a.coordinate_order, "spread": a.m_spread}
+    rows = genetic(data, model, starts, a.generations, a.keep, a.seed, a.em_iterations, a.m_iterations, options)
+    found = [(r["generation"], r["em_step"], r["particle_id"], float(r["loglik"]), r["ms"], r["point"]) for r in rows]
+    results = spark.createDataFrame(found, "generation int, em_step int, particle_id int, loglik double, ms long, point array<double>")
+    results.write.parquet(a.out)
+    if a.text:
+        T.write_results(results, a.text)
+    if a.decode:
+        best = max(rows, key=lambda r: r["loglik"])["point"]
+        posterior = posteriors(data.tensors, model.tables(best, data.keys), model.demes, model.n_demes, layout.n_alleles)
+        if a.print_loci or a.print_snps:
+            posterior = with_posteriors(printed(got.sites, got.lengths, a.print_loci, a.print_snps), posterior, a.loci_per_step)
+        posterior.write.parquet(a.decode)
 
 
 if __name__ == "__main__":

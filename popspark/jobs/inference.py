@@ -314,9 +314,9 @@ def csds_of(kind: str, members: DataFrame, perms: DataFrame | None = None, sizes
         case "pclol":
             return C.pairwise_and_leave_one_out(members)
         case "pac" | "oldpac":
-            return C.permuted(perms, None if sizes is None else C.trunk_sizes(members.count(), sizes))
+            return C.permuted(perms, wanted=sizes)
         case "superpac":
-            return C.one_list(C.permuted(perms, None if sizes is None else C.trunk_sizes(members.count(), sizes)))
+            return C.one_list(C.permuted(perms, wanted=sizes))
         case "file" if lists is not None:
             return C.listed(lists)
     raise ValueError(f"no composite likelihood of these data is called {kind}")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_add, log_sub, log_sum_exp
@@ -76,11 +76,11 @@ def haplotype_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.selected(genotypes(spark, sf_dir), config).select("chunk", "pos", "hap", "allele")
 
 
-@query(f"""with {G}, m as (select cast(p_size % 2 as int) as chunk, p_partkey as s, p_partkey + p_size % 7 as e from part where p_partkey % 10 = 0)
+@query(f"""with {G}, m as (select cast(p_size % 2 as int) as chunk, p_partkey as s, p_partkey + p_size % 7 as e from part)
 select distinct g.chunk, g.pos from g where not exists (select 1 from m where m.chunk = g.chunk and g.pos >= m.s and g.pos < m.e)""")
 def interval_mask_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions outside all regions of a mask."""
-    part = _table(spark, sf_dir, "part").where("p_partkey % 10 = 0")
+    part = _table(spark, sf_dir, "part")
     mask = part.select((F.col("p_size") % 2).cast("int").alias("chunk"), F.col("p_partkey").alias("start"), (F.col("p_partkey") + F.col("p_size") % 7).alias("end"))
     return variants.unmasked(genotypes(spark, sf_dir).select("chunk", "pos").distinct(), mask, size=100)
 
@@ -96,10 +96,10 @@ def mask_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select chunk, line_no, pos, previous_pos from (select cast(l_linenumber % 2 as int) as chunk, l_orderkey * 10 + l_linenumber as line_no, l_partkey as pos,
-  lag(l_partkey) over (partition by l_linenumber % 2 order by l_orderkey * 10 + l_linenumber, l_partkey) as previous_pos from lineitem where l_orderkey % 5 = 0) where pos <= previous_pos""")
+  lag(l_partkey) over (partition by l_linenumber % 2 order by l_orderkey * 10 + l_linenumber, l_partkey) as previous_pos from lineitem) where pos <= previous_pos""")
 def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines whose position is not above that of the line before."""
-    rows = _table(spark, sf_dir, "lineitem").where("l_orderkey % 5 = 0").select((F.col("l_linenumber") % 2).cast("int").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.col("l_partkey").alias("pos"))
+    rows = _table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") % 2).cast("int").alias("chunk"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line_no"), F.col("l_partkey").alias("pos"))
     return variants.order_faults(rows)
 
 
@@ -185,61 +185,68 @@ def missing_locus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("chunk", "pos").join(sites.complete(rows).select("chunk", "pos"), ["chunk", "pos"], "left_anti")
 
 
-def _haps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fixed haplotype for each nation."""
-    return _table(spark, sf_dir, "nation").select("n_nationkey").withColumnRenamed("n_nationkey", "hap")
+def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers are haplotypes, nations contigs."""
+    return _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("chunk"), F.col("s_suppkey").alias("hap"), (F.col("s_suppkey") % 3 + 1).alias("multiplicity"))
 
 
-def _flat(csds: DataFrame) -> DataFrame:
-    return csds.select("perm", "csd", "add", F.array_join(F.transform("trunk", lambda x: x.cast("string")), " ").alias("trunk"), "factor")
+def _text(trunk: str = "trunk") -> Column:
+    return F.array_join(F.transform(trunk, lambda x: x.cast("string")), " ").alias("trunk")
 
 
-@query("select 0 as perm, x.n_nationkey as csd, x.n_nationkey as add, string_agg(cast(y.n_nationkey as varchar), ' ' order by y.n_nationkey) as trunk, 1.0::double as factor from nation x join nation y on x.n_nationkey <> y.n_nationkey group by x.n_nationkey")
+S = "s as (select s_nationkey as chunk, s_suppkey as hap, s_suppkey % 3 + 1 as m from supplier)"
+LOL = """select x.chunk, x.hap as add, x.m as csds, string_agg((y.hap || ':' || (y.m - case when y.hap = x.hap then 1 else 0 end)), ' ' order by y.hap) as trunk,
+  cast(sum(y.m - case when y.hap = x.hap then 1 else 0 end) as bigint) as trunk_size from s x join s y on x.chunk = y.chunk and y.m - case when y.hap = x.hap then 1 else 0 end > 0 group by 1, 2, 3"""
+
+
+@query(f"with {S} {LOL}")
 def csd_lol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each haplotype against all others."""
-    return _flat(csd.leave_one_out(_haps(spark, sf_dir)))
+    """Each haplotype of a contig against all others and the other copies of itself, as often as it has copies."""
+    found = csd.left_out_by_group(_suppliers(spark, sf_dir), "chunk")
+    return found.select("chunk", "add", "csds", F.array_join(F.transform("trunk", lambda x: F.concat_ws(":", x["other"], x["m"])), " ").alias("trunk"), "trunk_size")
 
 
-@query("select 0 as perm, x.n_nationkey * 25 + y.n_nationkey as csd, x.n_nationkey as add, cast(y.n_nationkey as varchar) as trunk, 1.0::double as factor from nation x join nation y on x.n_nationkey <> y.n_nationkey")
+@query(f"with {S} select x.chunk, x.hap as add, cast(y.hap as varchar) as trunk, 1.0::double as factor from s x join s y on x.chunk = y.chunk and x.hap <> y.hap")
 def csd_pcl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each ordered pair of haplotypes."""
-    return _flat(csd.pairwise(_haps(spark, sf_dir)))
+    """Each ordered pair of haplotypes of a contig."""
+    return csd.pairs_by_group(_suppliers(spark, sf_dir), "chunk").select("chunk", "add", _text(), "factor")
 
 
-@query("""select 0 as perm, x.n_nationkey * 25 + y.n_nationkey as csd, x.n_nationkey as add, cast(y.n_nationkey as varchar) as trunk, round(1.0::double / 600, 12) as factor from nation x join nation y on x.n_nationkey <> y.n_nationkey
-union all select 0, x.n_nationkey, x.n_nationkey, string_agg(cast(y.n_nationkey as varchar), ' ' order by y.n_nationkey), round(1.0::double / 25, 12) from nation x join nation y on x.n_nationkey <> y.n_nationkey group by x.n_nationkey""")
+@query("""with n as (select count(*) as n from nation) select 'pcl' as kind, x.n_nationkey as add, cast(y.n_nationkey as varchar) as trunk, round(1.0::double / (n * (n - 1)), 12) as factor from nation x join nation y on x.n_nationkey <> y.n_nationkey cross join n
+union all select 'lol', x.n_nationkey, string_agg(cast(y.n_nationkey as varchar), ' ' order by y.n_nationkey), round(1.0::double / max(n), 12) from nation x join nation y on x.n_nationkey <> y.n_nationkey cross join n group by x.n_nationkey""")
 def csd_pclol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both kinds, each with a weight of one in all."""
-    return _flat(csd.pairwise_and_leave_one_out(_haps(spark, sf_dir))).withColumn("factor", F.round("factor", 12))
+    """Both kinds for one sample, each with a weight of one in all."""
+    haps = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("hap"))
+    return csd.pairwise_and_leave_one_out(haps).select("kind", "add", _text(), F.round("factor", 12).alias("factor"))
 
 
 def _perms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A permutation of the nations for each region, by region and name."""
-    nations = _table(spark, sf_dir, "nation")
-    rows = _table(spark, sf_dir, "region").crossJoin(nations).select("r_regionkey", "n_nationkey", ((F.col("n_nationkey") * 7 + F.col("r_regionkey") * 3) % 25).alias("place"))
-    return rows.groupBy(F.col("r_regionkey").alias("perm")).agg(F.sort_array(F.collect_list(F.struct("place", "n_nationkey"))).alias("o")).select("perm", F.col("o.n_nationkey").alias("ord"))
+    """A permutation of each nation's suppliers."""
+    place = F.md5(F.col("hap").cast("string").cast("binary"))
+    return _suppliers(spark, sf_dir).groupBy(F.col("chunk").alias("perm")).agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "hap"))).alias("o")).select("perm", F.col("o.hap").alias("ord"))
 
 
-PERMS = """p as (select r_regionkey as perm, n_nationkey as hap, cast(row_number() over (partition by r_regionkey order by (n_nationkey * 7 + r_regionkey * 3) % 25 desc) - 1 as integer) as rank from region cross join nation),
-pac as (select x.perm, x.rank as csd, x.hap as add, coalesce((select string_agg(cast(y.hap as varchar), ' ' order by y.rank) from p y where y.perm = x.perm and y.rank < x.rank), '') as trunk, 1.0::double as factor from p x)"""
+PERMS = """p as (select s_nationkey as perm, s_suppkey as hap, cast(row_number() over (partition by s_nationkey order by md5(cast(s_suppkey as varchar)) desc) - 1 as integer) as rank,
+  count(*) over (partition by s_nationkey) as n from supplier),
+pac as (select x.perm, x.rank as csd, x.hap as add, coalesce((select string_agg(cast(y.hap as varchar), ' ' order by y.rank) from p y where y.perm = x.perm and y.rank < x.rank), '') as trunk, 1.0::double as factor, x.n from p x)"""
 
 
-@query(f"with {PERMS} select * from pac")
+@query(f"with {PERMS} select perm, csd, add, trunk, factor from pac")
 def csd_pac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The growing trunks of permutations, read from last to first."""
-    return _flat(csd.permuted(_perms(spark, sf_dir)))
+    return csd.permuted(_perms(spark, sf_dir)).select("perm", "csd", "add", _text(), "factor")
 
 
-@query(f"with {PERMS} select * from pac where csd in (24, 17, 9, 1)")
+@query(f"with {PERMS} select perm, csd, add, trunk, factor from pac where n <= 3 or csd in (cast(trunc(1::float + 0::float * ((n - 2)::float / 2::float)) as integer), cast(trunc(1::float + 1::float * ((n - 2)::float / 2::float)) as integer), cast(trunc(1::float + 2::float * ((n - 2)::float / 2::float)) as integer))")
 def csd_pac_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four trunk sizes of each permutation."""
-    return _flat(csd.permuted(_perms(spark, sf_dir), sizes=[24, 17, 9, 1]))
+    """Three trunk sizes of each permutation, spread evenly."""
+    return csd.permuted(_perms(spark, sf_dir), wanted=3).select("perm", "csd", "add", _text(), "factor")
 
 
 @query(f"with {PERMS} select 0 as perm, cast(dense_rank() over (order by perm, csd) as integer) as csd, add, trunk, factor from pac")
 def csd_superpac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All permutations in one list."""
-    return _flat(csd.one_list(csd.permuted(_perms(spark, sf_dir))))
+    return csd.one_list(csd.permuted(_perms(spark, sf_dir))).select("perm", "csd", "add", _text(), "factor")
 
 
 @query("""select o_custkey % 11 as k, round(max(x) + ln(sum(exp(x - m))), 6) as total from (
@@ -322,11 +329,11 @@ def bounds_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.in_bounds(_particles(spark, sf_dir), [(10, 200), (5, 60)]).select("generation", "particle_id")
 
 
-POINTS = "one as (select distinct c_nationkey as model, (c_custkey % 40)::double / 8 as t from customer where c_custkey % 3 = 0), two as (select distinct c_nationkey as model, (c_custkey % 40)::double / 5 as t from customer where c_custkey % 3 = 1)"
+POINTS = "one as (select distinct c_nationkey as model, (c_custkey % 40)::double / 8 as t from customer where c_custkey % 2 = 0), two as (select distinct c_nationkey as model, (c_custkey % 40)::double / 5 as t from customer where c_custkey % 2 = 1)"
 
 
 def _points(spark: SparkSession, sf_dir: str, which: int, scale: int) -> DataFrame:
-    return _table(spark, sf_dir, "customer").where(f"c_custkey % 3 = {which}").select(F.col("c_nationkey").alias("model"), ((F.col("c_custkey") % 40).cast("double") / scale).alias("t")).distinct()
+    return _table(spark, sf_dir, "customer").where(f"c_custkey % 2 = {which}").select(F.col("c_nationkey").alias("model"), ((F.col("c_custkey") % 40).cast("double") / scale).alias("t")).distinct()
 
 
 @query(f"with {POINTS}, both_sets as (select * from one union select * from two) select model, cast(row_number() over (partition by model order by t) - 1 as integer) as idx, t as start, coalesce(lead(t) over (partition by model order by t), 'inf'::double) as end from both_sets")
@@ -335,13 +342,13 @@ def breakpoints_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.refined(_points(spark, sf_dir, 0, 8), _points(spark, sf_dir, 1, 5))
 
 
-@query("""select e.event_id as id, e.event_type as k, (select c.value from events c where c.event_type = e.event_type and c.event_id % 3 = 0 and c.ts <= e.ts order by c.ts desc, c.event_id desc limit 1) as value from events e where e.event_id % 3 = 1""")
+@query("""select e.event_id as id, e.event_type as k, (select c.value from events c where c.event_type = e.event_type and c.event_id % 2 = 0 and c.ts <= e.ts order by c.ts desc, c.event_id desc limit 1) as value from events e where e.event_id % 2 = 1""")
 def asof_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value of the last change at or before each time."""
     rows = _table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("k"), "ts", "value")
     # Changes at one time: the last by id counts.
-    changes = rows.where("event_id % 3 = 0").groupBy("k", F.col("ts").alias("t")).agg(F.max_by("value", "event_id").alias("value"))
-    times = rows.where("event_id % 3 = 1").select("k", F.col("ts").alias("t"), F.col("event_id").alias("id"))
+    changes = rows.where("event_id % 2 = 0").groupBy("k", F.col("ts").alias("t")).agg(F.max_by("value", "event_id").alias("value"))
+    times = rows.where("event_id % 2 = 1").select("k", F.col("ts").alias("t"), F.col("event_id").alias("id"))
     return intervals.as_of(times, changes, "k", "value").select("id", "k", "value")
 
 

@@ -51,29 +51,33 @@ def pairwise_and_leave_one_out(haps: DataFrame) -> DataFrame:
     return pairwise(haps, 1.0 / (n * (n - 1))).unionByName(leave_one_out(haps, 1.0 / n))
 
 
-def permuted(perms: DataFrame, sizes: list[int] | None = None) -> DataFrame:
+def pairs_by_group(haps: DataFrame, group: str, factor: Column | None = None) -> DataFrame:
+    """haps (group, hap): each ordered pair of different haplotypes of one group: (group, add, trunk, factor)."""
+    other = haps.select(F.col(group).alias("_group"), F.col("hap").alias("other"))
+    met = haps.select(group, F.col("hap").alias("add")).join(other, (F.col(group) == F.col("_group")) & (F.col("add") != F.col("other")))
+    return met.select(group, "add", F.array("other").alias("trunk"), (factor if factor is not None else F.lit(1.0)).alias("factor"))
+
+
+def permuted(perms: DataFrame, sizes: list[int] | None = None, wanted: int | None = None) -> DataFrame:
     """perms (perm, ord, an array of haplotypes): read from the last to the first, each against those already placed.
 
-    ``sizes`` keeps the CSDs with these trunk sizes only.
+    ``sizes`` keeps the CSDs with these trunk sizes only; ``wanted`` keeps so many sizes of each permutation, spread evenly:
+    the largest; it and 1; or from 1 to the largest.
     """
     placed = perms.select("perm", F.reverse("ord").alias("ord")).select("perm", "ord", F.explode(F.sequence(F.lit(0), F.size("ord") - 1)).alias("rank"))
-    trunk = F.slice("ord", 1, F.col("rank"))
-    out = placed.select(F.lit("pac").alias("kind"), "perm", F.col("rank").alias("csd"), F.col("ord")[F.col("rank")].alias("add"), trunk.alias("trunk"), F.lit(1.0).alias("factor"))
-    return out if sizes is None else out.where(F.size("trunk").isin(sizes))
-
-
-def trunk_sizes(n: int, wanted: int | None) -> list[int]:
-    """Trunk sizes of a permutation's CSDs when only ``wanted`` of n are to be made: from n - 1 down to 1, evenly."""
-    import numpy as np
-
-    if wanted is None or wanted >= n:
-        return list(range(n))
+    n = F.size("ord")
+    if sizes is not None:
+        placed = placed.where(F.col("rank").isin(sizes))
     if wanted == 1:
-        return [n - 1]
-    if wanted == 2:
-        return [n - 1, 1]
-    step = (n - 2) / float(np.float32(wanted - 1))
-    return sorted({int(1 + i * step) for i in range(wanted)})
+        placed = placed.where(F.col("rank") == n - 1)
+    elif wanted == 2:
+        placed = placed.where((F.col("rank") == n - 1) | (F.col("rank") == 1) | (n <= 2))
+    elif wanted is not None:
+        step = (n - 2).cast("float") / F.lit(wanted - 1).cast("float")
+        even = F.exists(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: (F.lit(1).cast("float") + i.cast("float") * step.cast("float")).cast("int") == F.col("rank"))
+        placed = placed.where((n <= wanted) | even)
+    trunk = F.slice("ord", 1, F.col("rank"))
+    return placed.select(F.lit("pac").alias("kind"), "perm", F.col("rank").alias("csd"), F.col("ord")[F.col("rank")].alias("add"), trunk.alias("trunk"), F.lit(1.0).alias("factor"))
 
 
 def shuffled(haps: DataFrame, n: int, seed: int) -> DataFrame:
@@ -104,4 +108,4 @@ def listed(lines: DataFrame) -> DataFrame:
     rows = lines.select("line_no", numbers.alias("n"))
     fine = (F.size(F.array_distinct("n")) == F.size("n")) & ~F.exists("n", lambda x: x.isNull() | (x < 0))
     checked = F.when(fine, F.col("n")).otherwise(F.raise_error(F.lit("a CSD line names a haplotype twice or not at all")).cast("array<int>"))
-    return rows.select(F.lit("file").alias("kind"), F.lit(0).alias("perm"), F.col("line_no").cast("int").alias("csd"), checked.alias("n")).select("kind", "perm", "csd", F.col("n")[0].alias("add"), F.expr("slice(n, 2, size(n) - 1)").alias("trunk"), F.lit(1.0).alias("factor"))
+    return rows.select(F.lit("file").alias("kind"), F.lit(0).alias("perm"), (F.row_number().over(Window.orderBy("line_no")) - 1).alias("csd"), checked.alias("n")).select("kind", "perm", "csd", F.col("n")[0].alias("add"), F.expr("slice(n, 2, size(n) - 1)").alias("trunk"), F.lit(1.0).alias("factor"))

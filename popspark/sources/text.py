@@ -83,7 +83,16 @@ def read_start_points(spark: SparkSession, path: str, dimension: int) -> DataFra
     if rows.count() < 2:
         raise ValueError("a start file has two points at least")
     checked = F.when(F.size("point") == dimension, F.col("point")).otherwise(F.raise_error(F.lit("a start point has another dimension")).cast("array<double>"))
-    return rows.select(F.col("line_no").alias("particle_id"), checked.alias("point"))
+    # A row for each start point of one search.
+    return rows.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("particle_id"), checked.alias("point"))
+
+
+def read_points(spark: SparkSession, path: str) -> list[float]:
+    """Interval boundaries: one line of numbers with commas."""
+    lines = [r["value"] for r in chunked_lines(spark, [path]).where(~is_comment(F.col("value"))).limit(2).collect()]
+    if len(lines) != 1:
+        raise ValueError("a file of interval points has one line")
+    return [float(x) for x in lines[0].split(",")]
 
 
 def write_results(particles: DataFrame, path: str) -> None:

@@ -5,13 +5,13 @@ import itertools
 import numpy as np
 import pytest
 
-from popspark.jobs.inference import Model, csds_of, e_step, em, genetic, likelihoods, m_step, nelder_mead, offspring, prepared
+from popspark.jobs.inference import Model, csds_of, e_step, e_steps, em, genetic, likelihoods, m_step, nelder_mead, offspring, prepared, random_starts
 from popspark.jobs.model_queries import ONE, TWO, _data
 from popspark.model import hmm
-from popspark.model.coalescent import expm, tables
+from popspark.model.coalescent import STYLES, expm, mean_lineages, tables
 from popspark.model.intervals import boundaries
-from popspark.operators.csd import trunk_sizes
-from popspark.operators.likelihood import evaluated, posteriors
+from popspark.operators import csd
+from popspark.operators.likelihood import evaluated, posteriors, step_tensors, summed_stats
 from popspark.sources.models import bound, parse_demography, parse_params
 
 PARAMS = parse_params("0.01\n0.02\n0 1\n1 0\n")
@@ -19,16 +19,42 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_intervals():
-    b = boundaries("logUniform", [8, 0.01, 4], [0])
+    one = bound(parse_demography("[0.3]\n{{0}}\n1\nnull\n0\n{{0}}\n2\nnull\n0\n"), [])
+    two = bound(parse_demography("[0.3]\n{{0},{1}}\n1 2\nnull\n0 1\n1 0\n{{0,1}}\n1\nnull\n0\n"), [])
+    trunk = np.array([2, 2])
+    b = boundaries("logUniform", [8, 0.01, 4], one)
     assert len(b) == 11 and b[:2] == [0.0, 0.01] and b[-2:] == [4, float("inf")]
-    assert len(boundaries("loguniform", [11, 0.01, 4], [0])) == 14
+    assert len(boundaries("loguniform", "11,0.01,4", one)) == 14
     assert np.allclose(np.diff(np.log(b[1:-1])), np.log(400) / 8)
-    assert boundaries("single", [], [0]) == [0.0, float("inf")] and boundaries("simple", [], [0, 0.3]) == [0, 0.3, float("inf")]
-    assert boundaries("customFixed", [0.2, 0.1], [0])[1:-1] == [0.1, 0.2]
-    q = boundaries("quadrature", [2], [0])
+    assert boundaries("single", [], one) == [0.0, float("inf")] and boundaries("simple", [], one) == [0, 0.3, float("inf")]
+    assert boundaries("customFixed", [0.1, 0.2], one)[1:-1] == [0.1, 0.2] and boundaries("custom", [0.1, 0.2], two, trunk)[1:-1] == [0.05, 0.1]
+    assert np.allclose(boundaries("fixeduniform", [2, 3.0], two, trunk)[1], np.log(2) * 1.5)
+    q = boundaries("quadrature", [2], one)
     assert np.allclose(1 - np.exp(-q[1]), (2 + np.sqrt(2)) / 4)
+    # Two trunk lineages at the beginning: the first piece is half as long.
+    assert np.allclose(boundaries("quadrature", [3, 1.0], one, np.array([2]))[1], boundaries("quadrature", [3], one)[1] / 2)
+    assert boundaries("quadrature2", [3, 1.0], one, np.array([2]))[1] == boundaries("quadrature", [3, 1.0], one, np.array([2]))[1]
+    # Rates 2 and 1 before the split, mean 1.5; 4 after it.
+    m = boundaries("meanrate", [4], two, trunk)
+    assert np.allclose(m[1], np.log(4 / 3) / 1.5) and np.allclose(m[2], 0.3 + (np.log(2) - 0.45) / 4)
+    u = boundaries("mixtureuniform", [2], two, trunk)
+    half = 0.5 * (np.exp(-2 * 0.3) + np.exp(-0.3))
+    assert np.allclose(u[1], 0.3 + np.log(1 - (0.5 - (1 - half))) / -4) and len(u) == 3
+    # Mean sizes over numbers 1/2 and 2/2, so a rate of 2 / 1.5.
+    assert np.allclose(boundaries("old", [1], two, trunk), [0, 0.3, np.log(2) * 0.75, float("inf")])
+    assert boundaries("combined", "customfixed:0.1,0.3/simple:", one) == [0, 0.1, 0.3, float("inf")]
     with pytest.raises(ValueError):
-        boundaries("nothing", [], [0])
+        boundaries("nothing", [], one)
+    with pytest.raises(ValueError):
+        boundaries("customfixed", [0.2, 0.1], one)
+
+
+def test_mean_lineages():
+    """Three lineages coalesce at rates 3 and 1."""
+    t = 0.4
+    two = 3 / (3 - 1) * (np.exp(-t) - np.exp(-3 * t))
+    assert np.isclose(mean_lineages(3, t), 3 * np.exp(-3 * t) + 2 * two + 1 - np.exp(-3 * t) - two)
+    assert mean_lineages(5, 0) == 5 and mean_lineages(5, float("inf")) == 1
 
 
 def test_exponential():
@@ -40,7 +66,7 @@ def test_exponential():
 def test_one_population(size):
     """One trunk lineage in a population of constant size absorbs at rate 1/size."""
     e = bound(parse_demography("[]\n{{0}}\n?0\nnull\n0\n"), [size])
-    b = boundaries("loguniform", [6, 0.05, 3], [0])
+    b = boundaries("loguniform", [6, 0.05, 3], e)
     t = tables(e, b, np.array([1]), 0, PARAMS, loci=3, style="simple", per_piece=48)
     want = np.exp(-np.array(b[:-1]) / size) - np.exp(-np.array(b[1:]) / size)
     assert np.allclose(np.exp(t.initial), want, atol=1e-9)
@@ -52,17 +78,27 @@ def test_one_population(size):
     assert np.allclose(np.exp(t.emit)[:, 0, 0], same, rtol=1e-3)
 
 
-@pytest.mark.parametrize("style", ["simple", "migratingethan"])
+@pytest.mark.parametrize("style", STYLES)
 def test_invariants(style):
     t = parse_demography(TWO)
     for point in ([0.1, 0.5, 0.7, 4.0, 1.0], [0.4, 2.0, 0.3, 0.1, 1.5]):
-        x = tables(bound(t, point), boundaries("loguniform", [4, 0.05, 2], [0]), np.array([2, 3]), 1, PARAMS, loci=10, style=style)
+        e = bound(t, point)
+        x = tables(e, boundaries("loguniform", [4, 0.05, 2], e), np.array([2, 3]), 1, PARAMS, loci=10, style=style)
         assert np.isclose(np.exp(x.initial).sum(), 1) and np.allclose(np.exp(x.stay) + np.exp(x.move).sum(1), 1)
         assert np.allclose(np.exp(x.emit).sum(2), 1)
         joint = np.exp(x.initial)[:, None] * np.exp(x.move)
         assert np.allclose(joint, joint.T, atol=2e-5)
 
 
+@pytest.mark.parametrize("style", [s for s in STYLES if s != "simple"])
+def test_one_lineage_has_nothing_to_coalesce(style):
+    """A trunk of one haplotype absorbs at rate 1/size whatever the trunk's process."""
+    e = bound(parse_demography("[0.2]\n{{0}}\n0.7\nnull\n0\n{{0}}\n1.5\nnull\n0\n"), [])
+    b = boundaries("loguniform", [4, 0.05, 2], e)
+    one, other = (tables(e, b, np.array([1]), 0, PARAMS, style=s, per_piece=48) for s in (style, "simple"))
+    assert np.allclose(np.exp(one.initial), np.exp(other.initial), atol=1e-6)
+
+
 def random_tables(s, demes, seed):
     r = np.random.default_rng(seed)
     p = r.dirichlet(np.ones(s + 1), s)
@@ -90,16 +126,56 @@ def test_forward_and_backward(demes):
         total += p
         first[path[0][0]] += p
         moves += p * recombined
-    loglik, (initial, stay, move, emit) = hmm.expected(counts, t, share)
+    cells = hmm.Cells.dense(counts)
+    loglik, (initial, stay, move, emit, own) = hmm.expected(cells, t, share)
     assert np.isclose(loglik, np.log(total)) and np.allclose(initial, first / total) and np.allclose(move, moves / total)
-    assert np.isclose(stay.sum() + move.sum(), steps - 1) and np.isclose(emit.sum() * h, counts.sum(), rtol=1) and np.isclose(hmm.forward(counts, t, share)[1], loglik)
+    assert np.isclose(stay.sum() + move.sum(), steps - 1) and np.isclose(emit.sum() * h, counts.sum(), rtol=1) and np.isclose(hmm.loglik(cells, t, share), loglik)
+    assert (own <= np.diag(move) + 1e-12).all() and own.sum() > 0
     b = hmm.backward(counts, t, share)
     assert np.isclose(hmm.log_sum(t.initial[:, None] + share + e[0] + b[0]), loglik)
+    assert all(np.allclose(x, y) for x, y in zip((initial, stay, move, emit, own), hmm.expected_in_logs(counts, t, share)[1], strict=True))
+
+
+def test_blocks_and_underflow(monkeypatch):
+    """Blocks of any size give the same; states that are too far apart for plain numbers go through logarithms."""
+    t = random_tables(3, 1, 8)
+    share = t.shares([0, 0, 0])
+    counts = np.random.default_rng(2).integers(0, 4, (50, 3, 2, 2)).astype(float)
+    want = hmm.expected_in_logs(counts, t, share)
+    for block in (1, 7, 256):
+        monkeypatch.setattr(hmm, "BLOCK", block)
+        got = hmm.expected(hmm.Cells.dense(counts), t, share)
+        assert np.isclose(got[0], want[0]) and all(np.allclose(x, y) for x, y in zip(got[1], want[1], strict=True))
+        states = np.concatenate([p for _, p in sorted(hmm.decoded(hmm.Cells.dense(counts), t, share), key=lambda x: x[0])])
+        assert states.shape == (50, 3) and np.allclose(states.sum(1), 1)
+    sharp = hmm.Tables(t.initial, t.stay, t.move, np.log(np.array([[[1 - 1e-9, 1e-9], [1e-9, 1 - 1e-9]], [[1e-9, 1 - 1e-9], [1 - 1e-9, 1e-9]], [[0.5, 0.5], [0.5, 0.5]]])), t.deme)
+    far = np.zeros((4, 3, 2, 2))
+    far[:, :, 0, 0] = [[2000], [0], [2000], [0]]
+    far[:, :, 0, 1] = [[0], [2000], [0], [2000]]
+    assert np.isclose(hmm.loglik(hmm.Cells.dense(far), sharp, share), hmm.forward(far, sharp, share)[1])
+
+
+def test_objectives():
+    """With one haplotype in the trunk, a recombination into its own state is none for the lineage."""
+    t = random_tables(2, 1, 3)
+    share = t.shares([0])
+    stats = hmm.expected(hmm.Cells.dense(np.random.default_rng(0).integers(0, 3, (20, 1, 2, 2)).astype(float)), t, share)[1]
+    initial, stay, move, emit, own = stats
+    assert np.allclose(own, np.diag(move))
+    rest = (initial * t.initial).sum() + (emit * t.emit).sum()
+    off = move - np.diag(np.diag(move))
+    assert np.isclose(hmm.gain(stats, t, kind="transition"), rest + (stay * t.stay).sum() + (move * t.move).sum())
+    assert np.isclose(hmm.gain(stats, t, (1,), "lineage"), rest + ((stay + own) * np.logaddexp(t.stay, np.diag(t.move))).sum() + (off * t.move).sum())
+    assert np.isclose(hmm.gain(stats, t, kind="marginal"), (emit * t.emit).sum() + ((initial + stay + move.sum(0)) * t.initial).sum())
+
 
+def test_trunk_sizes(spark):
+    def sizes(n, wanted):
+        perms = spark.createDataFrame([(0, list(range(n)))], "perm int, ord array<int>")
+        return sorted(r.csd for r in csd.permuted(perms, wanted=wanted).collect())
 
-def test_trunk_sizes():
-    assert trunk_sizes(5, None) == [0, 1, 2, 3, 4] and trunk_sizes(5, 1) == [4] and sorted(trunk_sizes(5, 2)) == [1, 4]
-    assert max(trunk_sizes(20, 5)) == 19 and len(trunk_sizes(20, 5)) == 5
+    assert sizes(5, None) == [0, 1, 2, 3, 4] and sizes(5, 9) == [0, 1, 2, 3, 4] and sizes(5, 1) == [4] and sizes(5, 2) == [1, 4]
+    assert sizes(20, 5) == [1, 5, 10, 14, 19]
 
 
 def test_nelder_mead():
@@ -120,10 +196,90 @@ def test_em_and_search(spark):
     values = [r["loglik"] for r in path]
     assert len(values) == 3 and all(b >= a - 1e-6 * abs(a) for a, b in zip(values[:-1], values[1:], strict=True))
     model.limits = [(0.2, 5.0), (0.2, 5.0)]
+    assert random_starts(model.limits, 40, 0) == random_starts(model.limits, 40, 0) and all(0.2 <= x <= 5 for p in random_starts(model.limits, 40, 0) for x in p)
     rows = genetic(data, model, [[1.0, 1.0], [0.3, 2.0], [4.0, 0.5]], generations=2, keep=1, seed=1)
     best = [max(r["loglik"] for r in rows if r["generation"] == g) for g in (0, 1)]
     assert best[1] >= best[0] and likelihoods(data, model, {0: [9.0, 9.0]}).count() == 0
     assert m_step({}, model, [1.0, 1.0], 3) == [1.0, 1.0]
+    # With EM inside, every particle rises, and the next generation begins with the best one's last point.
+    rows = genetic(data, model, [[1.0, 1.0], [0.3, 2.0]], generations=2, keep=1, seed=1, em_iterations=1, m_iterations=4)
+    assert len(rows) == 8
+    last = {(r["generation"], r["particle_id"]): r for r in rows if r["em_step"] == 1}
+    for r in rows:
+        if r["em_step"] == 0:
+            assert last[r["generation"], r["particle_id"]]["loglik"] >= r["loglik"] - 1e-6 * abs(r["loglik"])
+    best = max((last[0, i] for i in (0, 1)), key=lambda r: r["loglik"])
+    assert [r["point"] for r in rows if (r["generation"], r["particle_id"], r["em_step"]) == (1, 0, 0)] == [best["point"]]
+
+
+@pytest.mark.parametrize("objective", ["lineage", "transition"])
+def test_rates_are_estimated(spark, objective):
+    """The mutation rate and the recombination rate's factor are coordinates after the demography's."""
+    data, model = _data(spark, SF, "pcl", ONE, dict.fromkeys(range(4), 0))
+    model.scale_recombination = model.estimate_theta = True
+    model.objective = objective
+    assert model.at([1.0, 2.0, 3.0, 0.5])[0] == [1.0, 2.0] and model.at([1.0, 2.0, 3.0, 0.5])[1].theta == 0.5
+    assert np.isclose(model.at([1.0, 2.0, 3.0, 0.5])[1].rho, 3 * model.params.rho)
+    path = em(data, model, [1.0, 1.0, 1.0, model.params.theta], iterations=1, m_iterations=5)
+    assert path[1]["loglik"] > path[0]["loglik"] and path[1]["point"][3] != path[0]["point"][3]
+
+
+def test_steps_end_with_their_contig(spark):
+    """A contig's expected transitions and posteriors do not depend on how long other contigs are."""
+    def tensors(counts, lengths):
+        haps = spark.createDataFrame([(0,), (1,), (2,)], "hap int")
+        return step_tensors(spark.createDataFrame(counts, "chunk int, step int, add int, trunk int, a int, b int, n long"), csd.pairwise(haps), lengths=spark.createDataFrame(lengths, "chunk int, n_steps int"))
+
+    pairs = [(i, j) for i in range(3) for j in range(3) if i != j]
+    short = [(0, s, i, j, (s + i) % 2, (s + j) % 2, 3) for s in range(5) for i, j in pairs]
+    long = [(1, s, i, j, (s * i) % 2, (s * j) % 2, 2) for s in range(0, 60, 3) for i, j in pairs]
+    t = {((1,), 0): random_tables(3, 1, 2)}
+    demes = dict.fromkeys(range(3), 0)
+    alone, both = tensors(short, [(0, 5)]), tensors(short + long, [(0, 5), (1, 60)])
+    found = [{(r.chunk, r.csd): r for r in evaluated(x, {0: t}, demes, 1, 2, with_stats=True).collect()} for x in (alone, both)]
+    for key, r in found[0].items():
+        assert np.isclose(found[1][key].loglik, r.loglik) and np.allclose(found[1][key].move, r.move)
+        assert np.isclose(sum(r.move) + sum(r.stay), 4)
+    for (chunk, _), r in found[1].items():
+        assert np.isclose(sum(r.move) + sum(r.stay), {0: 4, 1: 59}[chunk])
+    assert summed_stats(evaluated(both, {0: t}, demes, 1, 2, with_stats=True)).where("kind in ('move', 'stay')").groupBy().sum("value").first()[0] == pytest.approx(6 * 63)
+    assert {(r.chunk, r.n) for r in posteriors(both, t, demes, 1, 2).groupBy("chunk", "csd").count().selectExpr("chunk", "count as n").distinct().collect()} == {(0, 15), (1, 180)}
+
+
+def test_copies_and_particles(spark):
+    """A haplotype that is there twice against enumeration: each copy is a member, and shares the trunk's deme evenly."""
+    counts = [(0, s, i, j, (s + i) % 2, (s * j) % 2, 2) for s in range(3) for i in range(2) for j in range(2) if i != j]
+    same = {(s, i): (s + i) % 2 if i == 0 else 0 for s in range(3) for i in range(2)}
+    counts = [(0, s, i, j, same[s, i], same[s, j], 2) for s in range(3) for i, j in ((0, 1), (1, 0))]
+    frame = spark.createDataFrame(counts, "chunk int, step int, add int, trunk int, a int, b int, n long")
+    members = spark.createDataFrame([(0,), (1,), (2,)], "hap int")
+    haps = {0: 0, 1: 0, 2: 1}
+    x = step_tensors(frame, csd.leave_one_out(members), haps=haps)
+    t = random_tables(2, 1, 1)
+    other = random_tables(2, 1, 9)
+    got = {(r.particle_id, r.csd): r.loglik for r in evaluated(x, {0: {((2,), 0): t}, 5: {((2,), 0): other}}, dict.fromkeys(range(3), 0), 1, 2).collect()}
+    for particle, own in ((0, t), (5, other)):
+        for add in range(3):
+            trunk = [m for m in range(3) if m != add]
+            dense = np.zeros((3, 2, 2, 2))
+            for s in range(3):
+                for k, m in enumerate(trunk):
+                    dense[s, k, same[s, haps[add]], same[s, haps[m]]] = 2
+            total = 0.0
+            e = hmm.emissions(dense, own)
+            for path in itertools.product(list(itertools.product(range(2), range(2))), repeat=3):
+                p = np.exp(own.initial[path[0][0]] + np.log(0.5) + e[(0, *path[0])])
+                for k in (1, 2):
+                    (a, i), (b, j) = path[k - 1], path[k]
+                    p *= (np.exp(own.stay[a]) * (a == b and i == j) + np.exp(own.move[a, b]) * 0.5) * np.exp(e[(k, b, j)])
+                total += p
+            assert got[particle, add] == pytest.approx(np.log(total))
+    data = prepared(frame, csd.pairwise(members), Model(parse_demography(ONE), PARAMS, dict.fromkeys(range(3), 0), 1, interval_params=[3, 0.1, 2], haps=haps), 2)
+    model = Model(parse_demography(ONE), PARAMS, dict.fromkeys(range(3), 0), 1, interval_params=[3, 0.1, 2], haps=haps)
+    points = {3: [1.0, 1.0], 7: [0.5, 2.0], 9: [1e-9, 1.0]}
+    single = {i: e_step(data, model, p)[0] for i, p in points.items()}
+    assert {i: v for i, (v, _) in e_steps(data, model, points).items()} == pytest.approx(single) and single[9] == float("-inf")
+    assert {r.particle_id: r.loglik for r in likelihoods(data, model, points).collect()} == pytest.approx({3: single[3], 7: single[7]})
 
 
 def test_pac_of_two_haplotypes(spark):
@@ -139,7 +295,7 @@ def test_pac_of_two_haplotypes(spark):
     pair = csds_of("pcl", haps)
     data = prepared(counts, pair, model, 2)
     found = model.tables([1.0, 1.0], data.keys)
-    second = {r.csd // 2: r.loglik for r in evaluated(data.tensors, found, model.demes, 1, 2, n_steps=data.n_steps).collect()}
+    second = {r.csd // 2: r.loglik for r in evaluated(data.tensors, {0: found}, model.demes, 1, 2).collect()}
     both = [first[1] + second[0], first[0] + second[1]]
     pac = prepared(counts, csds_of("pac", haps, perms), model, 2)
     assert likelihoods(pac, model, {0: [1.0, 1.0]}).first().loglik == pytest.approx(np.logaddexp(*both))
@@ -165,7 +321,16 @@ def test_doubling():
     assert np.isclose(plain, skipped)
 
 
-def test_decoding():
-    t = random_tables(3, 1, 6)
-    counts = np.random.default_rng(1).integers(0, 3, (6, 2, 2, 2)).astype(float)
-    assert np.allclose(hmm.decoded(counts, t, t.shares([0, 0])).sum(1), 1)
+@pytest.mark.parametrize("places", [[0, 8], [3], [2, 3, 30], [0, 40], []])
+def test_skipping(places):
+    """Going from one segregating site to the next gives what going locus by locus gives."""
+    t, n = random_tables(3, 1, 4), 41
+    share = t.shares([0, 0])
+    counts = np.zeros((n, 2, 2, 2))
+    counts[:, :, 0, 0] = 1
+    for k in places:
+        counts[k] = 0
+        counts[k, 0, 1, 0] = counts[k, 1, 1, 1] = 1
+    want = hmm.forward(counts, t, share)[1]
+    cells = hmm.Cells.of(*(np.array(x, int) for x in ([p for p in places for _ in (0, 1)], [0, 1] * len(places), [1, 1] * len(places), [0, 1] * len(places), [1, 1] * len(places))), n, 2, 2)
+    assert np.isclose(hmm.skipping(cells, t, share), want)

@@ -76,13 +76,86 @@ def test_mask_and_filter(spark, study):
 )
 def test_errors(spark, study, change):
     layout = EIGHT if change[0] != "G T 58" or change[1] != "G G 58" else EIGHT.replace("20 2", "20 4")
-    with pytest.raises(Exception, match="unphased|kind|two lines|wide|REF is not"):
+    with pytest.raises(Exception, match="unphased|kind|two lines|wide|REF is not|outside"):
         got = ingest(spark, study, VARIANTS.replace(*change), layout)
         # A line's errors show in the output that reads it.
         got.sites.collect()
         got.reference.collect()
 
 
+def test_guards(spark, study):
+    """What an ingest refuses: masks out of order, rising positions, headers, letters, a matrix, a study without sites."""
+    with pytest.raises(ValueError, match="mask"):
+        ingest(spark, study, mask=[study("m.bed", "1\t6\t9\n1\t8\t14\n")])
+    with pytest.raises(ValueError, match="mask"):
+        ingest(spark, study, mask=[study("n.bed", "1\t12\t14\n1\t6\t7\n")])
+    lines = VARIANTS.splitlines()
+    with pytest.raises(ValueError, match="order"):
+        ingest(spark, study, "\n".join([*lines[:2], lines[4], lines[3], lines[5]]) + "\n")
+    with pytest.raises(ValueError, match="no segregating"):
+        ingest(spark, study, "\n".join([*lines[:3], lines[5]]) + "\n")
+    with pytest.raises(Exception, match="header"):
+        ingest(spark, study, VARIANTS.replace("REF ALT", "ALT REF"))
+    with pytest.raises(Exception, match="base of a reference"):
+        VCF.ingest(spark, [study("a.vcf", VARIANTS)], [study("z.fa", BASES.replace("CCA", "C*A"))], L.parse_layout(EIGHT), ".").reference.collect()
+    with pytest.raises(ValueError, match="uniform"):
+        ingest(spark, study, params=M.parse_params("0.1\n0.1\n0.5 0.5\n1 0\n"))
+    assert ingest(spark, study, params=M.parse_params("0.1\n0.1\n0 1\n1 0\n")).sites.count() == 2
+
+
+def test_reference_by_header(spark, study):
+    study("own.fa", BASES)
+    named = study("h.vcf", VARIANTS.replace("##fileformat=test\n", "##fileformat=test\n##reference=file://own.fa\n"))
+    assert VCF.ingest(spark, [named], None, L.parse_layout(EIGHT), ".").sites.count() == 2
+    with pytest.raises(ValueError, match="names no reference"):
+        VCF.ingest(spark, [study("a.vcf", VARIANTS)], None, L.parse_layout(EIGHT), ".")
+
+
+def test_blocks_of_a_reference(spark, study, monkeypatch):
+    """However a reference is cut into blocks, masks and sites come out at their loci."""
+    mask = study("m.bed", "1\t5\t6\n1\t11\t14\n1\t18\t40\n")
+    want = None
+    for size in (10_000, 4, 7):
+        monkeypatch.setattr(variants, "BIN", size)
+        got = ingest(spark, study, mask=[mask])
+        rows = sorted((r.pos, r.allele) for r in got.reference.collect())
+        assert [r.n for r in blocks.still_in_blocks(got.blocks, 3, 2).orderBy("step").collect()] == [r.n for r in blocks.still_counts(got.reference, 3).orderBy("step").collect()]
+        assert got.lengths.first().n_loci == 19
+        want = want or rows
+        assert rows == want and dict(rows)[12] is None and dict(rows)[5] is None and dict(rows)[16] == 0
+
+
+def test_members(spark):
+    layout = L.parse_layout("9 2 2\n1 0\n0 0\n2 1\n")
+    assert layout.members == [(0, 0), (1, 0), (1, 0), (1, 1)]
+    assert [(r.hap, r.haplotype, r.deme) for r in csd.members(layout.table(spark)).orderBy("hap").collect()] == [(0, 0, 0), (1, 2, 0), (2, 2, 0), (3, 2, 1)]
+
+
+def test_lookups_in_buckets(spark):
+    """Buckets of any size give what one window over everything gives."""
+    import random
+
+    from popspark.operators.intervals import as_of, state_offsets
+    from popspark.operators.ordered import last_before
+
+    r = random.Random(0)
+    rows = [(r.choice("ab"), r.randrange(50), k, None if r.random() < 0.4 else r.randrange(9)) for k in range(300)]
+    df = spark.createDataFrame(rows, "k string, x int, tie int, v int")
+    changes = df.where("v is not null").dropDuplicates(["k", "x"]).selectExpr("k", "x as t", "v")
+    times = df.where("v is null").selectExpr("k", "x as t", "cast(tie as long) as id")
+    states = df.dropDuplicates(["k", "x"]).selectExpr("k as chunk", "x as state", "tie as n_haps")
+    changes, states = (spark.createDataFrame(d.collect(), d.schema) for d in (changes, states))
+    got = {}
+    for size in (10**6, 37, 5):
+        a = sorted(map(tuple, last_before(df, ["k"], "x", ["tie"], "v", "w", rows=size).collect()), key=repr)
+        got[size] = (a, sorted(map(tuple, as_of(times, changes, "k", "v", size).collect()), key=repr), sorted(map(tuple, state_offsets(states, size).collect())))
+    assert got[10**6] == got[37] == got[5]
+    last: dict = {}
+    for k, x, tie, v in sorted(rows, key=lambda q: (q[0], q[1], q[2])):
+        assert (k, x, tie, v, last.get(k)) in got[5][0]
+        last[k] = v if v is not None else last.get(k)
+
+
 def test_lenient(spark, study):
     got = ingest(spark, study, VARIANTS.replace("0|1 1/1", "0/1 1/1"), phased_only=False)
     assert [None, None, 1, 1, 1, 0, 0, 0] in [r.alleles for r in got.sites.collect()]
@@ -171,6 +244,22 @@ def test_whole_study(spark, study, tmp_path):
     main(spark, [*flat, *more, "--start", "1", "--em-iterations", "1", "--m-iterations", "3", "--out", str(tmp_path / "em")])
     path = spark.read.parquet(str(tmp_path / "em")).orderBy("em_step").collect()
     assert len(path) == 2 and path[1].loglik >= path[0].loglik
+    study("p.txt", "0 1 2 3 4 5 6 7\n7 6 5 4 3 2 1 0\n")
+    study("c.txt", "0 1 2\n3 4\n5\n")
+    study("s.txt", "0.8\n1.3\n")
+    for kind, extra in (
+        ("pac", ["--permutations", str(tmp_path / "p.txt"), "--csds-per-permutation", "3"]), ("oldpac", ["--random-permutations", "3"]),
+        ("superpac", ["--random-permutations", "2", "--csds-per-permutation", "2"]), ("file", ["--csd-list", str(tmp_path / "c.txt")]), ("pclol", []),
+    ):
+        out = str(tmp_path / f"k-{kind}")
+        main(spark, [*flat, *more, "--likelihood", kind, *extra, "--starts", str(tmp_path / "s.txt"), "--out", out])
+        rows = spark.read.parquet(out).collect()
+        assert len(rows) == 2 and all(float("-inf") < r.loglik < 0 for r in rows)
+    with pytest.raises(ValueError, match="permutations"):
+        main(spark, [*flat, *more, "--likelihood", "pac", "--start", "1", "--out", str(tmp_path / "none")])
+    main(spark, [*flat, *more, "--bounds", "0.5,2", "--random-starts", "2", "--generations", "2", "--em-iterations", "1", "--m-iterations", "2", "--text", str(tmp_path / "text"), "--decode", str(tmp_path / "decoded"), "--print-snps", "--out", str(tmp_path / "ga")])
+    assert spark.read.parquet(str(tmp_path / "ga")).count() == 8 and spark.read.text(str(tmp_path / "text")).count() == 8
+    assert {r.pos for r in spark.read.parquet(str(tmp_path / "decoded")).select("pos").distinct().collect()} == {6, 7}
     main(spark, [*flat, *more, "--bounds", "0.5,2", "--grid", "2", "--out", str(tmp_path / "grid")])
     assert spark.read.parquet(str(tmp_path / "grid")).count() == 2
 
