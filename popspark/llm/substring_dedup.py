@@ -15,7 +15,7 @@ from pyspark.sql import Window
 
 from popspark.llm.common import spread_join, table
 from popspark.shared import written
-from popspark.llm.words import mix, windows, word_hashes
+from popspark.llm.words import windows, word_hashes
 from popspark.shipping import ship
 
 #: Words of a k-mer, the part of a window by which equal windows find each other.
@@ -48,17 +48,7 @@ def anchors(words: np.ndarray, size: int, kmer: int) -> tuple[np.ndarray, np.nda
     return grams[place], place, starts, stops
 
 
-def spans(words: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
-    """For each anchor, a hash of all words that its windows cover and of where it stands among them."""
-    lengths = last - first + size
-    begin = np.cumsum(lengths) - lengths
-    inside = np.arange(lengths.sum()) - np.repeat(begin, lengths)
-    factors = mix(np.arange(1, 2 * size + 2, dtype=np.uint64) + np.uint64(99)) | np.uint64(1)
-    mixed = mix(words ^ np.uint64(0x5BD1E995))[np.repeat(first, lengths) + inside] * factors[inside]
-    return mix(np.add.reduceat(mixed, begin) ^ mix((lengths * 4096 + place - first).astype(np.uint64)))
-
-
-EDGES = "doc long, version long, gram long, span int, place long, copies int"
+EDGES = "doc long, version long, gram long, span long, place long, copies int"
 #: Where windows stand: the first and the last of them in a text of a document; edges have both in one number.
 PLACE = ("doc", "version", "first", "last")
 
@@ -75,18 +65,25 @@ def _hashes(batch: pa.RecordBatch, bits: int) -> Iterator[np.ndarray]:
 
 
 def _edges(size: int, kmer: int, bits: int) -> Callable:
-    """A row for each run of edges with one anchor. Equal neighbours, as in a word said over and over, make one row."""
+    """A row for each run of edges with one anchor, named by a digest of the words that it covers. Equal neighbours, as in a
+    word said over and over, make one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = batch.column("text")
             parts: list[tuple] = []
-            for row, words in enumerate(_hashes(batch, bits)):
-                gram, place, first, last = anchors(words, size, kmer)
+            for row, hashes in enumerate(_hashes(batch, bits)):
+                gram, _, first, last = anchors(hashes, size, kmer)
                 if len(gram):
-                    span = spans(words, first, last, place, size)
+                    words = texts[row].as_py().encode().split()
+                    # The words with one space behind each, and where each begins.
+                    line = b" ".join(words)
+                    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+                    names = [hashlib.blake2b(line[a:b], digest_size=8).digest() for a, b in zip(ends[first].tolist(), (ends[last + size] - 1).tolist(), strict=True)]
+                    span = np.frombuffer(b"".join(names), np.int64)
                     new = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (span[1:] != span[:-1]) | (np.diff(last - first) != 0)]))
                     stop = np.concatenate([new[1:], [len(gram)]])
-                    parts.append((np.full(len(new), row), gram[new].view(np.int64), (span[new] >> np.uint64(32)).astype(np.uint32).view(np.int32), first[new] << 32 | last[stop - 1], (stop - new).astype(np.int32)))
+                    parts.append((np.full(len(new), row), gram[new].view(np.int64), span[new], first[new] << 32 | last[stop - 1], (stop - new).astype(np.int32)))
             if parts:
                 row, *rest = (np.concatenate(x) for x in zip(*parts, strict=True))
                 columns = [batch.column(c).take(pa.array(row)) for c in ("doc", "version")] + [*map(pa.array, rest)]
@@ -122,29 +119,6 @@ def _unfolded(size: int) -> Callable:
     return run
 
 
-def _read(size: int) -> Callable:
-    """A digest of the words of each run, and how often it is there: once in each equal text, or as often as its words
-    come again one after another."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uid, names, weight = [], [], []
-            for text, found in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                words = (text or "").encode().split()
-                for x in found:
-                    first, last, copies = x["first"], x["last"], x["copies"]
-                    period = (last - first + 1) // copies
-                    if copies > 1 and words[first : last + size - period] != words[first + period : last + size]:
-                        period, copies = last - first + 1, 1
-                    names.append(hashlib.blake2b(b" ".join(words[first : first + period - 1 + size]), digest_size=16).digest())
-                    uid.append(x["uid"])
-                    weight.append(copies)
-            digest = np.frombuffer(b"".join(names), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(digest[::2]), pa.array(digest[1::2]), pa.array(weight, pa.int64())], ["uid", "d", "e", "weight"])
-
-    return run
-
-
 def _cleaned(size: int, with_text: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,13 +152,6 @@ def _cleaned(size: int, with_text: bool) -> Callable:
 WINDOWS = "doc long, version long, first long, single boolean, d long, e long"
 
 
-def _twice(windows: DataFrame, wanted: Column) -> DataFrame:
-    """PLACE of the wanted ones of the windows whose words are there more than once."""
-    twice = windows.groupBy("d", F.col("e").alias("x")).agg(F.count("*").alias("n")).where("n > 1").select("d", "x")
-    found = spread_join(windows.where(wanted), twice, "d").where(F.col("e").bitwiseXOR(F.col("x")) == 0)
-    return found.select("doc", "version", "first", F.col("first").alias("last"))
-
-
 def _branching(texts: DataFrame, forks: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Where paths branch: the edges whose path occurs again, and PLACE of the windows of the other ones that do.
 
@@ -195,16 +162,18 @@ def _branching(texts: DataFrame, forks: DataFrame, size: int) -> tuple[DataFrame
     repeated = spread_join(forks.withColumn("path", F.xxhash64("gram", "span")), again, "path").where(F.col("gram") == F.col("of")).drop("of", "path")
     sources = paths.select("at.doc", "at.version", F.struct("at.place", "n").alias("s")).groupBy("doc", "version").agg(F.collect_list("s").alias("paths"))
     unfolded = texts.join(sources, ["doc", "version"]).mapInArrow(_unfolded(size), WINDOWS)
-    return repeated, _twice(unfolded, F.col("single"))
+    twice = unfolded.groupBy("d", F.col("e").alias("x")).agg(F.count("*").alias("n")).where("n > 1").select("d", "x")
+    found = spread_join(unfolded.where("single"), twice, "d").where(F.col("e").bitwiseXOR(F.col("x")) == 0)
+    return repeated, found.select("doc", "version", "first", F.col("first").alias("last"))
 
 
 def _compacted(edges: DataFrame) -> DataFrame:
-    """Repeated edges (doc, version, first, last, piece, copies) as runs: the same columns, and uid, alike wherever a run occurs.
+    """Repeated edges (doc, version, first, last, piece, copies) as long spans (doc, version, first, last).
 
     An edge's out-degree counts what follows it in the texts, its in-degree what goes before it; the end of what repeats
     counts as one such thing, and so does a word said over and over. Where an edge has one successor only, and is the only
     predecessor of that one, the path goes on without a branching: a join of degrees finds these, and a join with all
-    occurrences cuts them into runs, so that all occurrences of a run are the same edges.
+    occurrences cuts them into spans, so that all occurrences of a span are the same edges.
     """
     order = Window.partitionBy("doc", "version").orderBy("first")
     # Equal texts of one doc_id are there once.
@@ -220,28 +189,7 @@ def _compacted(edges: DataFrame) -> DataFrame:
     through = out.join(into, (F.col("to") == F.col("piece")) & (F.col("from") == F.col("source"))).select("piece", F.lit(True).alias("through"))
     marked = spread_join(steps.drop("next", "previous"), through, "piece", "left")
     runs = marked.withColumn("run", F.sum(F.when(F.col("through"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("doc", "version", "run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("piece", "first").alias("head"), F.max_by("piece", "first").alias("tail"), F.count("*").alias("n"), F.max("copies").alias("copies"))
-    return runs.select("doc", "version", "first", "last", "copies", F.xxhash64("head", "tail", "n").alias("uid"))
-
-
-def _verified(texts: DataFrame, hits: DataFrame, runs: DataFrame, size: int) -> DataFrame:
-    """PLACE of what repeats, by the words themselves, which are read at the source coordinates of each run.
-
-    If all occurrences of a run have the same words, and are more than one, the run repeats. If not, which takes a collision
-    of hashes, all windows that have an anchor of such a run are read and counted one by one; else that part has no rows.
-    """
-    asked = runs.groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last", "copies", "uid")).alias("runs"))
-    read = texts.join(asked, ["doc", "version"]).mapInArrow(_read(size), "uid long, d long, e long, weight long")
-    words = read.groupBy("uid", "d", "e").agg(F.sum("weight").alias("n"))
-    fine = words.groupBy("uid").agg(((F.count("*") == 1) & (F.min("n") > 1)).alias("fine"))
-    checked = spread_join(runs.select(*PLACE, "uid"), fine, "uid")
-    failed = checked.where("not fine").select("doc", "version", F.col("first").alias("f"), F.col("last").alias("l"))
-    first, last = _ends()
-    inside = (first <= F.col("l")) & (last >= F.col("f"))
-    wrong = hits.join(failed, ["doc", "version"]).where(inside).select("gram").distinct()
-    again = hits.join(wrong, "gram", "left_semi").groupBy("doc", "version").agg(F.collect_set(F.struct("place", F.lit(2).alias("n"))).alias("paths"))
-    windows = texts.join(again, ["doc", "version"]).mapInArrow(_unfolded(size), WINDOWS)
-    return checked.where("fine").select(*PLACE).unionByName(_twice(windows, F.lit(True)))
+    return runs.groupBy("doc", "version", "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("run")
 
 
 def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text: bool = True, bits: int = 64) -> DataFrame:
@@ -254,12 +202,13 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
 
     The graph: a window of ``size`` words is an edge between its first and its last size - 1 words. Edges travel as runs of
     consecutive ones that share an anchor, the least word k-mer (``kmer`` words) of each of them, so a twelfth of the words
-    makes rows. Anchors that occur once are dropped; of the others, paths that repeat are compacted where they do not
-    branch, and each compacted path is verified on the words at the source coordinates of all its occurrences. So the
-    result is exact whatever the hashes do (``bits`` narrows the words' hashes, to test that).
+    makes rows. Anchors that occur once are dropped. Of the others, paths count as equal by a digest of the words at their
+    source coordinates, so the result is exact whatever the words' hashes do (``bits`` narrows them, to test that): where
+    all paths of an anchor are equal, they repeat; where they branch, those that are there again repeat, and the others are
+    unfolded into windows, which are counted by digests of their words. What repeats without branching is compacted.
 
     Counts are partly made before each shuffle, and what repeats meets the edges again in joins that Spark can split.
-    Texts are shuffled once, for unfolding, verification and the result.
+    Texts are shuffled once, for the unfolding and for the result.
     """
     ship(docs.sparkSession)
     least = -(2**63)
@@ -270,7 +219,7 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
     repeated, windows = _branching(texts, hits.where("forks"), size)
     whole = hits.where("not forks").unionByName(repeated)
     runs = _compacted(whole.select("doc", "version", *_ends(), F.xxhash64("gram", "span").alias("piece"), "copies"))
-    covered = _verified(texts, hits, runs, size).unionByName(windows).groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("places"))
+    covered = runs.unionByName(windows).groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("places"))
     kinds = "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
     out = texts.join(covered, ["doc", "version"], "left").mapInArrow(_cleaned(size, with_text), kinds)
     return out.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), *[c for c in out.columns if c != "doc"])
