@@ -14,8 +14,16 @@ from pyspark.sql import Window
 ROWS = 1_000_000
 
 
-def _bucketed(df: DataFrame, x: Column, rows: int) -> DataFrame:
-    number = x.cast("double")
+def _number(df: DataFrame, x: str) -> Column:
+    """A number in the order of x."""
+    kind = dict(df.dtypes)[x]
+    if kind in ("timestamp_ntz", "date"):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(x).cast("timestamp_ntz")).cast("double")
+    return F.col(x).cast("double")
+
+
+def _bucketed(df: DataFrame, x: str, rows: int) -> DataFrame:
+    number = _number(df, x)
     low, high, n = df.agg(F.min(number), F.max(number), F.count("*")).first()
     buckets = -(-n // rows)
     if buckets < 2 or low is None or high == low:
@@ -27,7 +35,7 @@ def _bucketed(df: DataFrame, x: Column, rows: int) -> DataFrame:
 def last_before(df: DataFrame, keys: list[str], x: str, ties: list[str], value: str, name: str, inclusive: bool = False, rows: int = ROWS) -> DataFrame:
     """df with ``name``: the last value that is not null before the row (or at it, with ``inclusive``), in the order of x, a
     number or time, and then ties, within keys; null if there is none."""
-    dealt = _bucketed(df, F.col(x), rows)
+    dealt = _bucketed(df, x, rows)
     order = Window.partitionBy(*keys, "_bucket").orderBy(x, *ties).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     at = F.struct(x, *ties)
     tails = dealt.groupBy(*keys, "_bucket").agg(F.max_by(value, F.when(F.col(value).isNotNull(), at)).alias("_tail"))
@@ -43,7 +51,7 @@ def last_before(df: DataFrame, keys: list[str], x: str, ties: list[str], value:
 
 def sum_before(df: DataFrame, keys: list[str], x: str, ties: list[str], value: str, name: str, rows: int = ROWS) -> DataFrame:
     """df with ``name``: the sum of the values of all rows before it, in the order of x and then ties, within keys."""
-    dealt = _bucketed(df, F.col(x), rows)
+    dealt = _bucketed(df, x, rows)
     order = Window.partitionBy(*keys, "_bucket").orderBy(x, *ties).rowsBetween(Window.unboundedPreceding, -1)
     totals = dealt.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,6 +1,7 @@
 """Files to sites, layouts and models: a small study whose results were worked out by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from popspark.operators import blocks, csd, sites, variants
 from popspark.sources import layout as L
@@ -150,6 +151,10 @@ def test_lookups_in_buckets(spark):
         a = sorted(map(tuple, last_before(df, ["k"], "x", ["tie"], "v", "w", rows=size).collect()), key=repr)
         got[size] = (a, sorted(map(tuple, as_of(times, changes, "k", "v", size).collect()), key=repr), sorted(map(tuple, state_offsets(states, size).collect())))
     assert got[10**6] == got[37] == got[5]
+    at = F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, t)")
+    for kind in (at, at.cast("date"), at.cast("timestamp")):
+        one, other = (as_of(times.withColumn("t", kind), changes.withColumn("t", kind), "k", "v", size).select("k", "id", "v") for size in (10**6, 9))
+        assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, other.collect()), key=repr) == sorted(((k, i, v) for k, _, i, v in got[5][1]), key=repr)
     last: dict = {}
     for k, x, tie, v in sorted(rows, key=lambda q: (q[0], q[1], q[2])):
         assert (k, x, tie, v, last.get(k)) in got[5][0]
@@ -200,7 +205,7 @@ def test_lists(spark, study):
 
 def test_layouts():
     got = L.per_deme([2, 0, 1])
-    assert got.used == [0, 1, 2] and [got.deme(h) for h in got.used] == [0, 0, 2]
+    assert got.used == [0, 1, 2] and [d for _, d in got.members] == [0, 0, 2]
     with pytest.raises(ValueError):
         L.parse_layout("1 2\n1\n")
 
