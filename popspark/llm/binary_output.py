@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import table
 from popspark.llm.packing import Piece, tokenized
-from popspark.llm.tokens import default_tokenizer
+from popspark.llm.tokens import default_tokenizer, id_type
 from popspark.shared import fresh
 from popspark.shipping import ship
 
@@ -72,13 +72,17 @@ def best_fit(lengths: list[int], window: int) -> list[list[int]]:
 SCHEMA = "sequence_id long, n_tokens int, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
 
 
-def matrix_rows(sequences: list[list[Piece]], first: int, window: int, pad_id: int, with_ids: bool) -> pa.RecordBatch:
+def position_type(window: int) -> str:
+    return "<u2" if window <= 1 << 16 else "<u4"
+
+
+def matrix_rows(sequences: list[list[Piece]], first: int, window: int, pad_id: int, kind: str, with_ids: bool) -> pa.RecordBatch:
     """A row for each sequence: its ids padded to the window, and positions that begin again at 0 with each segment; padding has position 0."""
     rows = []
     for k, pieces in enumerate(sequences):
         sizes = [len(p.ids) for p in pieces]
         n = sum(sizes)
-        ids, positions = np.full(window, pad_id, "<u4"), np.zeros(window, "<u4")
+        ids, positions = np.full(window, pad_id, kind), np.zeros(window, position_type(window))
         ids[:n] = np.concatenate([p.ids for p in pieces])
         positions[:n] = np.concatenate([np.arange(s) for s in sizes])
         raw, at = ids.tobytes(), positions.tobytes()
@@ -90,7 +94,7 @@ def matrix_rows(sequences: list[list[Piece]], first: int, window: int, pad_id: i
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names)
 
 
-def _packer(path: str, window: int, end_id: int, pad_id: int, shard_tokens: int, with_ids: bool) -> Callable:
+def _packer(path: str, kind: str, window: int, end_id: int, pad_id: int, shard_tokens: int, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
         pool: list[Piece] = []
@@ -99,7 +103,7 @@ def _packer(path: str, window: int, end_id: int, pad_id: int, shard_tokens: int,
         def give(sequences: list[list[Piece]]) -> Iterator[pa.RecordBatch]:
             nonlocal number
             for at in range(0, len(sequences), 128):
-                yield matrix_rows(sequences[at : at + 128], number, window, pad_id, with_ids)
+                yield matrix_rows(sequences[at : at + 128], number, window, pad_id, kind, with_ids)
                 number += len(sequences[at : at + 128])
 
         for piece in tokenized(batches, path, end_id):
@@ -117,9 +121,10 @@ def _packer(path: str, window: int, end_id: int, pad_id: int, shard_tokens: int,
     return run
 
 
-def pack_matrices(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, pad_id: int = 0, shard_tokens: int = 4_000_000, with_ids: bool = True) -> DataFrame:
+def pack_matrices(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, end_id: int = 1, pad_id: int = 0, shard_tokens: int = 2_000_000, with_ids: bool = True) -> DataFrame:
     """A row for each sequence: sequence_id, n_tokens, doc_ids, starts, cu_seqlens, ids_crc32, positions_crc32 and, with
-    ``with_ids``, ids and positions (little-endian, 32 bits each, padded to the window).
+    ``with_ids``, ids and positions (little-endian, padded to the window; ids have 16 bits where the vocabulary allows it,
+    positions where the window does, else 32).
 
     Segment i of a sequence holds the ids of doc_ids[i] from starts[i] on, at cu_seqlens[i] up to cu_seqlens[i + 1]. A
     document of over ``window`` tokens is cut into full windows and a rest; none of its ids is lost. Null and empty texts
@@ -129,7 +134,8 @@ def pack_matrices(docs: DataFrame, tokenizer: str | None = None, window: int = 2
     Best-fit-decreasing runs over shards of about ``shard_tokens`` tokens, inside the task that read them: no shuffle.
     """
     ship(docs.sparkSession)
-    run = _packer(tokenizer or default_tokenizer(), window, end_id, pad_id, shard_tokens, with_ids)
+    path = tokenizer or default_tokenizer()
+    run = _packer(path, id_type(path), window, end_id, pad_id, shard_tokens, with_ids)
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids binary, positions binary" * with_ids)
 
 

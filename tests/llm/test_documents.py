@@ -368,7 +368,7 @@ class TestPacking:
         write_matrices(pack_matrices(frame(spark, texts), window=512, shard_tokens=8000), str(tmp_path / "packed"), 512)
         parts = collections.defaultdict(dict)
         for r in spark.read.parquet(str(tmp_path / "packed")).collect():
-            ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
+            ids, positions = np.frombuffer(r.ids, "<u2"), np.frombuffer(r.positions, "<u2")
             assert len(ids) == len(positions) == 512 and r.cu_seqlens[-1] == r.n_tokens and not ids[r.n_tokens :].any()
             assert zlib.crc32(r.ids) == r.ids_crc32 and zlib.crc32(r.positions) == r.positions_crc32
             for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens[:-1], r.cu_seqlens[1:], strict=True):
