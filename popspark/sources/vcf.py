@@ -11,6 +11,7 @@ from popspark.operators import sites as S
 from popspark.operators import variants as V
 from popspark.sources.layout import Layout
 from popspark.sources.models import Params, uniform
+from popspark.shared import cut
 from popspark.sources.text import chunked_lines, read_mask, read_reference
 
 FIXED = 9
@@ -159,9 +160,10 @@ def ingest(
     # Which lines repeat a position is found on three numbers of each; they are few, and the lines stay where they are.
     where = lines.select("chunk", "line_no", "pos")
     twice = where.groupBy("chunk", "pos").agg(F.count("*").alias("n"), F.min("line_no").alias("kept")).where("n > 1").drop("n")
-    if strict_duplicates and twice.limit(1).count():
-        raise ValueError("two lines at one position")
-    lines = lines.join(twice, ["chunk", "pos"], "left").withColumn("duplicate", F.coalesce(F.col("line_no") != F.col("kept"), F.lit(False))).drop("kept")
+    again = F.coalesce(F.col("line_no") != F.col("kept"), F.lit(False))
+    if strict_duplicates:
+        again = F.when(again, F.raise_error(F.lit("two lines at one position")).cast("boolean")).otherwise(again)
+    lines = lines.join(twice, ["chunk", "pos"], "left").withColumn("duplicate", again).drop("kept")
     lines = V.with_status(lines, layout.n_alleles, filter_pass)
     fatal = F.col("status").isin("multi_base", "equal_alleles", "bad_format")
     lines = lines.withColumn("status", F.when(fatal, F.raise_error(F.concat(F.lit("line of kind "), "status")).cast("string")).otherwise(F.col("status")))
@@ -176,7 +178,8 @@ def ingest(
     wrong = F.raise_error(F.when(outside, F.lit("a position is outside the reference")).otherwise(F.lit("REF is not the reference's base"))).cast("boolean")
     # In a filter, as a column that nothing reads would be left out, and the check with it.
     met = met.where(F.when(same, True).otherwise(wrong))
-    segregating, still = S.folded(met.select("chunk", "line_no", "pos", "alleles"), "line_no")
+    # Kept, as the checks below and all results read it: codes of the used haplotypes only.
+    segregating, still = S.folded(cut(met.select("chunk", "line_no", "pos", "alleles")), "line_no")
     if V.order_faults(segregating.select("chunk", "line_no", "pos")).limit(1).count():
         raise ValueError("segregating sites are not in order of their positions")
     if not segregating.limit(1).count():
@@ -186,9 +189,9 @@ def ingest(
     edit = lambda df, code: df.select("chunk", block, at.alias("at"), F.lit(1).cast("long").alias("n"), code.alias("code"))
     edits = edit(segregating, F.lit("*")).unionByName(edit(still, F.coalesce(F.col("allele").cast("string"), F.lit(".")))).unionByName(edit(lines.where("status in ('filter_failed', 'too_many_alleles')"), F.lit(".")))
     if regions is not None:
-        cut = V.binned(regions, V.BIN)
+        pieces = V.binned(regions, V.BIN)
         low, high = F.greatest(F.col("start"), F.col("bin") * V.BIN), F.least(F.col("end"), (F.col("bin") + 1) * V.BIN)
-        edits = edits.unionByName(cut.select("chunk", F.col("bin").alias("block"), (low - F.col("bin") * V.BIN).alias("at"), (high - low).alias("n"), F.lit(".").alias("code")))
+        edits = edits.unionByName(pieces.select("chunk", F.col("bin").alias("block"), (low - F.col("bin") * V.BIN).alias("at"), (high - low).alias("n"), F.lit(".").alias("code")))
     blocks = overlaid(bases.select("chunk", "block", "start", coded(F.col("bases"), layout.n_alleles).alias("codes")), edits)
     # A mask may go beyond the reference.
     size = bases.select("chunk", "block", F.length("bases").alias("size"))
