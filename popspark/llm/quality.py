@@ -198,7 +198,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thr
     Only the text makes the score. An n-gram counts as there or not there, scaled by its class log-count ratio, and each
     text's vector is brought to length 1; null and empty texts have the bias alone. Labels other than 0 and 1 and those of
     the held-out fifth are not learned from; where a doc_id has both labels, 0 counts, and where
-    it has several texts, the least one. Without labels every score is 0.5,
+    it has several texts, the least one. Texts of any length are read whole, a slice at a time. Without labels every score is 0.5,
     with one label only all lean to it. An empty table gives no rows; other columns stay, but for score and predicted.
 
     ``fit_rows`` bounds the labelled sample, and each of its rows takes 16 KB, so the task that fits has a bound; the

@@ -126,9 +126,9 @@ class WordTokens:
 BREAK = re.compile(r"(?=[ \t\n])|(?<=[0-9])(?=[0-9A-Za-z])")
 
 
-def cut_text(text: str, size: int = SLICE // 4) -> Iterator[str]:
+def cut_text(text: str) -> Iterator[str]:
     """A long text in parts that are tokenized each for itself. A run of letters or signs without any break stays whole."""
-    at = 0
+    at, size = 0, SLICE // 4
     while at < len(text):
         found = BREAK.search(text, at + size)
         stop = found.start() if found else len(text)

@@ -243,6 +243,29 @@ class TestLongTexts:
             assert [x.tolist() for x in word_hashes(pa.array(texts), lower=True)] == whole
         assert [len(x) for x in whole] == [3, 1, 2, 0, 0, 2] and len({h for x in whole for h in x}) == 8
 
+    def test_tokens_in_slices(self, monkeypatch):
+        """Long texts, with spaces or without, have the ids that the tokenizer gives them as a whole."""
+        import pyarrow as pa
+        from tokenizers import Tokenizer
+
+        from popspark.llm import tokens as T
+
+        t, r = Tokenizer.from_file(default_tokenizer()), random.Random(4)
+        texts = [*TRICKY, "a1b2" * 500 + " x", "".join(r.choice("abcXYZ0123456789+/=") for _ in range(3000)), "x" * 900, "don't it's 5't " * 90]
+        monkeypatch.setattr(T, "SLICE", 200)
+        got = list(T.word_tokens(default_tokenizer()).encode(pa.array(texts, pa.string())))
+        assert [x.tolist() for x in got] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+    def test_indicators_in_slices(self, monkeypatch):
+        from popspark.llm import quality as Q
+
+        text = " ".join(prose(3, 8)).encode() + "é日本".encode()
+        words = np.arange(50, dtype=np.uint64)
+        whole = Q.Indicators().of(text, words).tolist()
+        for size in (3, 64):
+            monkeypatch.setattr(Q, "SLICE", size)
+            assert Q.Indicators().of(text, words).tolist() == whole
+
     def test_groups_beyond_a_slice(self, spark, monkeypatch):
         long = " ".join(f"w{i}" for i in range(600_000))
         got = near_groups(frame(spark, [long, long + " more", "x " * 10])).collect()
