@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once, so that memory does not grow with a batch or a text.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: When the cache of a worker holds more runs than this, it starts anew.
 WORDS = 500_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
