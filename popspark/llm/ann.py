@@ -221,7 +221,7 @@ def _exactly(k: int) -> Callable:
     return run
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int = 20_000, lists: int | None = None, sample_per_list: int = 16, post_ratio: float = 1.2, copies: int = 4, probe_ratio: float = 1.4, probe_share: float = 0.18, min_probes: int = 12) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample_rows: int = 20_000, lists: int | None = None, sample_per_list: int = 16, post_ratio: float = 1.2, copies: int = 4, probe_ratio: float = 1.4, probe_share: float = 0.2, min_probes: int = 14) -> DataFrame:
     """query_id, rank, vec_id, score: for each query about the k candidates with the largest inner product (score, in
     double precision), ties to the smaller vec_id. Candidates are all rows with another vec_id and as many dimensions.
 
