@@ -25,8 +25,8 @@ def domain_of(source: Column) -> Column:
 
 @dataclass(frozen=True)
 class Weights:
-    """A node's share among its siblings, in thousandths; names that are not listed have ``other``. ``domain_of`` maps a
-    source to its domain."""
+    """A node's share among its siblings, in thousandths; names that are not listed have ``other``. A node of weight 0 gives
+    nothing, and neither does what is below it. ``domain_of`` maps a source to its domain."""
 
     domain: Mapping[str, int] = field(default_factory=dict)
     lang: Mapping[str, int] = field(default_factory=dict)
@@ -34,6 +34,10 @@ class Weights:
     other: int = 100
     domain_of: Callable[[Column], Column] = domain_of
 
+    def __post_init__(self) -> None:
+        if min([self.other, *self.domain.values(), *self.lang.values(), *self.source.values()]) < 0:
+            raise ValueError("a weight is negative")
+
 
 WEIGHTS = Weights({"d0": 400, "d1": 300, "d2": 200, "d3": 100}, {"en": 600, "de": 150, "fr": 150, "es": 100})
 
@@ -75,15 +79,20 @@ def budgets(leaves: DataFrame, per_mille: int, epochs: int, weights: Weights = W
     give goes to its siblings; only what none of them can give has already been taken by their parent's siblings, as each
     node is granted no more than its subtree holds. So shortages go to siblings before ancestors.
     """
-    leaves = leaves.withColumn("capacity", F.col("tokens") * epochs)
-    langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"))
-    domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    root = F.expr(f"(sum(capacity) over () * {per_mille}) div {1000 * epochs}")
-    top = domains.select("domain", F.col("domain").alias("name"), "capacity", _weight(F.col("domain"), weights.domain, weights.other).alias("weight"), root.alias("budget"), F.lit(0).alias("root"))
+    of = {c: _weight(F.col(c), getattr(weights, c), weights.other) for c in LEVELS}
+    held = F.col("tokens") * epochs
+    # Where a weight is 0 there is nothing to give, so what it weighs does not matter.
+    open_ = (of["domain"] > 0) & (of["lang"] > 0) & (of["source"] > 0)
+    of = {c: F.greatest(w, F.lit(1).cast("long")) for c, w in of.items()}
+    leaves = leaves.withColumn("held", held).withColumn("capacity", F.when(open_, held).otherwise(F.lit(0).cast("long")))
+    langs = leaves.groupBy("domain", "lang").agg(F.sum("capacity").alias("capacity"), F.sum("held").alias("held"))
+    domains = langs.groupBy("domain").agg(F.sum("capacity").alias("capacity"), F.sum("held").alias("held"))
+    root = F.expr(f"(sum(held) over () * {per_mille}) div {1000 * epochs}")
+    top = domains.select("domain", F.col("domain").alias("name"), "capacity", of["domain"].alias("weight"), root.alias("budget"), F.lit(0).alias("root"))
     top = _fill(top, ["root"], "budget").select("domain", F.col("granted").alias("budget"))
-    middle = langs.join(top, "domain").withColumn("name", F.col("lang")).withColumn("weight", _weight(F.col("lang"), weights.lang, weights.other))
+    middle = langs.join(top, "domain").withColumn("name", F.col("lang")).withColumn("weight", of["lang"])
     middle = _fill(middle, ["domain"], "budget").select("domain", "lang", F.col("granted").alias("budget"))
-    low = leaves.join(middle, ["domain", "lang"]).withColumn("name", F.col("source")).withColumn("weight", _weight(F.col("source"), weights.source, weights.other))
+    low = leaves.join(middle, ["domain", "lang"]).withColumn("name", F.col("source")).withColumn("weight", of["source"])
     return _fill(low, ["domain", "lang"], "budget").select("domain", "lang", "source", "tokens", "docs", F.col("granted").alias("target"))
 
 
@@ -106,16 +115,18 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     name = lambda c: F.coalesce(F.col(c), F.lit("")).alias(c)
     leaf_of = [name("lang"), name("source"), weights.domain_of(F.col("source")).alias("domain"), F.xxhash64("text").alias("_mix_text")]
     wordy = F.length(F.btrim("text", F.lit(SPACE))) > 0
+    # Rows without doc_id are told apart by their texts, so that they are no one group, however many they are.
+    apart = F.when(F.col("doc_id").isNull(), F.col("_mix_text")).alias("_mix_apart")
     # Words are counted once; after that only a few numbers for each document are read.
     count = F.regexp_count("text", F.lit(WORD)).cast("long").alias("tokens")
-    known = cut(docs.where(wordy).select("doc_id", *leaf_of, count))
-    same = Window.partitionBy("doc_id").orderBy(*LEVELS, "_mix_text")
+    known = cut(docs.where(wordy).select("doc_id", *leaf_of, count).select("*", apart))
+    same = Window.partitionBy("doc_id", "_mix_apart").orderBy(*LEVELS, "_mix_text")
     numbered = known.withColumn("_mix_n", F.row_number().over(same)) if with_rows else known.withColumn("_mix_n", F.lit(1))
     leaves = known.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
     goals = budgets(leaves, per_mille, epochs, weights).select(*LEVELS, F.col("tokens").alias("leaf_tokens"), F.greatest(F.lit(1).cast("long"), F.expr(f"docs div {RANGE}")).alias("ranges"), "target")
     # A key of its own beside the leaf's names: dealt by the names alone, the ranges below would stay where their leaf is.
     digest_of_leaf = F.xxhash64(*LEVELS)
-    lives = numbered.select(*LEVELS, "doc_id", "tokens", "_mix_n", digest_of_leaf.alias("_mix_leaf"))
+    lives = numbered.select(*LEVELS, "doc_id", "_mix_apart", "tokens", "_mix_n", digest_of_leaf.alias("_mix_leaf"))
     lives = lives.join(goals.withColumn("_mix_leaf", digest_of_leaf), ["_mix_leaf", *LEVELS]).drop("_mix_leaf").where("target > 0")
     turns = lives.withColumn("epoch", F.explode(F.expr(f"sequence(0, cast(least({epochs - 1}, (target - 1) div leaf_tokens) as int))")))
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -128,14 +139,14 @@ def mix(docs: DataFrame, per_mille: int = 500, epochs: int = 2, seed: int = 17,
     inside = Window.partitionBy(*leaf, "range").orderBy("order", "tokens").rowsBetween(Window.unboundedPreceding, -1)
     placed = turns.withColumn("within", F.coalesce(F.sum("tokens").over(inside), F.lit(0))).join(starts, [*leaf, "range"])
     placed = placed.withColumn("leaf_start", F.col("epoch") * F.col("leaf_tokens") + F.col("before") + F.col("within")).where("leaf_start < target")
-    taken = placed.withColumn("taken", F.least("tokens", F.col("target") - F.col("leaf_start"))).select(*LEVELS, "doc_id", "tokens", "epoch", "taken", "leaf_start", "_mix_n")
+    taken = placed.withColumn("taken", F.least("tokens", F.col("target") - F.col("leaf_start"))).select(*LEVELS, "doc_id", "_mix_apart", "tokens", "epoch", "taken", "leaf_start", "_mix_n")
     if not with_rows:
-        return taken.drop("_mix_n")
+        return taken.drop("_mix_n", "_mix_apart")
     # One shuffle of the texts, by doc_id alone; rows that repeat it are told apart by their number.
-    rows = docs.where(wordy).select(*named(clean), *leaf_of).withColumn("_mix_m", F.row_number().over(same))
-    picks = taken.select(F.col("doc_id").alias("_mix_id"), "_mix_n", "tokens", "epoch", "taken", "leaf_start")
-    met = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.col("_mix_m") - F.col("_mix_n") == 0)
-    return rows.join(picks, met).drop("_mix_n", "_mix_m", "_mix_id", "_mix_text")
+    rows = docs.where(wordy).select(*named(clean), *leaf_of).select("*", apart).withColumn("_mix_m", F.row_number().over(same))
+    picks = taken.select(F.col("doc_id").alias("_mix_id"), F.col("_mix_apart").alias("_mix_other"), "_mix_n", "tokens", "epoch", "taken", "leaf_start")
+    met = F.col("doc_id").eqNullSafe(F.col("_mix_id")) & F.col("_mix_apart").eqNullSafe(F.col("_mix_other")) & (F.col("_mix_m") - F.col("_mix_n") == 0)
+    return rows.join(picks, met).drop("_mix_n", "_mix_m", "_mix_id", "_mix_text", "_mix_apart", "_mix_other")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

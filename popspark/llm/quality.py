@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from popspark.llm.common import table
+from popspark.llm.common import named, table
 from popspark.llm.words import mix, windows, word_hashes
 from popspark.shipping import ship
 
@@ -206,9 +207,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, fit_rows: int = 4000, thr
     """
     ship(docs.sparkSession)
     model = trained(docs, labels, fit_rows)
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in ("score", "predicted")])
-    fields = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(_scored(model), f"{fields}, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    docs = docs.select(*named([c for c in docs.columns if c.lower() not in ("score", "predicted")]))
+    # Names of any kind come back after the pass, which knows the text alone.
+    plain = docs.toDF(*["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)])
+    fields = StructType([*plain.schema.fields, StructField("score", DoubleType())])
+    return plain.mapInArrow(_scored(model), fields).toDF(*docs.columns, "score").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

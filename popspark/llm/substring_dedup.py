@@ -1,5 +1,5 @@
-"""Substring dedup: a de Bruijn graph whose edges are the windows; repeated nonbranching paths are compacted by joins, and
-the words at their source coordinates verify them."""
+"""Substring dedup: a de Bruijn graph whose edges are the windows, named by digests of the words at their source coordinates;
+repeated nonbranching paths are compacted by joins, and what branches is unfolded there into windows."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from popspark.llm.common import spread_join, table
+from popspark.llm.common import hash128, spread_join, table
 from popspark.shared import written
 from popspark.llm.words import windows, word_hashes
 from popspark.shipping import ship
@@ -49,7 +49,8 @@ def anchors(words: np.ndarray, size: int, kmer: int) -> tuple[np.ndarray, np.nda
 
 
 EDGES = "doc long, version long, gram long, span long, place long, copies int"
-#: Where windows stand: the first and the last of them in a text of a document; edges have both in one number.
+#: Where windows stand: the first and the last of them in a row of the table; edges have both in one number. doc and version
+#: are 128 bits of a digest of the row's doc_id and text.
 PLACE = ("doc", "version", "first", "last")
 
 
@@ -57,7 +58,6 @@ def _ends() -> tuple[Column, Column]:
     return F.shiftright("place", 32).alias("first"), F.col("place").bitwiseAND(0xFFFFFFFF).alias("last")
 
 
-
 def _hashes(batch: pa.RecordBatch, bits: int) -> Iterator[np.ndarray]:
     """Hashes of the words of each text, of which ``bits`` bits are kept."""
     for words in word_hashes(batch.column("text")):
@@ -139,8 +139,8 @@ def _cleaned(size: int, with_text: bool) -> Callable:
                 n_removed.append(removed)
                 digest.append(hashlib.sha256(joined).hexdigest())
                 kept_text.append(joined.decode() if with_text else "")
-            columns = [batch.column("doc"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
-            names = ["doc", "n_words", "n_removed", "kept_sha256"]
+            columns = [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digest, pa.string())]
+            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
             if with_text:
                 columns.append(pa.array(kept_text, pa.string()))
                 names.append("text")
@@ -197,7 +197,8 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
 
     Words are runs of anything but white space; a null text has none. A word goes if it stands in a window of ``size``
     consecutive words whose sequence also starts anywhere else, in this document or another; windows are judged on the
-    input. Rows that repeat a doc_id are documents of their own (told apart by their texts); a null doc_id stays null.
+    input. Rows that repeat a doc_id are documents of their own (told apart by 128 bits of a digest of doc_id and text); a null
+    doc_id stays null.
     Texts of any length are read whole, a slice at a time. Other columns are not read. An empty table gives no rows.
 
     The graph: a window of ``size`` words is an edge between its first and its last size - 1 words. Edges travel as runs of
@@ -211,8 +212,8 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
     Texts are shuffled once, for the unfolding and for the result.
     """
     ship(docs.sparkSession)
-    least = -(2**63)
-    texts = docs.select(F.coalesce("doc_id", F.lit(least)).alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("version"), "text")
+    doc, version = hash128(F.struct("doc_id", "text"))
+    texts = docs.select("doc_id", doc.alias("doc"), version.alias("version"), "text")
     edges = texts.mapInArrow(_edges(size, kmer, bits), EDGES)
     grams = edges.groupBy("gram").agg(F.sum("copies").alias("n"), F.min("span").alias("x"), F.max("span").alias("y")).where("n > 1")
     hits = written(spread_join(edges, grams.select("gram", (F.col("x") != F.col("y")).alias("forks")), "gram"), "edges")
@@ -220,9 +221,8 @@ def substring_dedup(docs: DataFrame, size: int = 35, kmer: int = KMER, with_text
     whole = hits.where("not forks").unionByName(repeated)
     runs = _compacted(whole.select("doc", "version", *_ends(), F.xxhash64("gram", "span").alias("piece"), "copies"))
     covered = runs.unionByName(windows).groupBy("doc", "version").agg(F.collect_list(F.struct("first", "last")).alias("places"))
-    kinds = "doc long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
-    out = texts.join(covered, ["doc", "version"], "left").mapInArrow(_cleaned(size, with_text), kinds)
-    return out.select(F.when(F.col("doc") != least, F.col("doc")).alias("doc_id"), *[c for c in out.columns if c != "doc"])
+    kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    return texts.join(covered, ["doc", "version"], "left").mapInArrow(_cleaned(size, with_text), kinds)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

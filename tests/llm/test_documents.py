@@ -310,6 +310,13 @@ class TestSubstringDedup:
         assert sorted((r.doc_id is None, r.n_words, r.n_removed) for r in got) == [(False, 1, 0), (False, 50, 50), (False, 50, 50), (True, 0, 0)]
         assert substring_dedup(frame(spark, []).limit(0)).count() == 0
 
+    def test_null_ids_and_equal_checksums(self, spark):
+        """Rows without doc_id, two of them with one CRC-32, are cleaned each by its own places; very long texts as well."""
+        tail = " ".join(f"t{i}" for i in range(60))
+        texts = [f"plumless {tail}", f"buckeroo {tail}", f"a b {tail} c", "short one", None, "short one", tail * 2, " ".join(map(str, range(300_000)))]
+        got = substring_dedup(frame(spark, texts, [None] * 8)).collect()
+        assert sorted((r.n_words, r.n_removed, r.text[:30]) for r in got) == sorted([(61, 60, "plumless"), (61, 60, "buckeroo"), (63, 60, "a b c"), (2, 0, "short one"), (0, 0, ""), (2, 0, "short one"), (119, 118, "t59t0"), (300_000, 0, " ".join(map(str, range(300_000)))[:30])])
+
 
 TRICKY = ["It's DON'T 'Re a1b22 x<|endoftext|>y", "é É ß ẞ İ a b \x1c c\x85d ́e é", "日本 abc\u200bdef ΑΣ ς `q` a-b_c", None, "", " \n\t", "word " * 5000]
 
@@ -435,6 +442,14 @@ class TestQuality:
         assert quality_scores(docs.limit(0), one).count() == 0
 
 
+def test_quality_of_odd_names(spark):
+    docs = frame(spark, ["a good text", None]).withColumn("a`b.c", F.lit(1)).withColumn("Score", F.lit("x"))
+    from popspark.llm.quality import quality_scores
+
+    out = quality_scores(docs, spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert "a`b.c" in out.columns and "Score" not in out.columns and out.count() == 2
+
+
 class TestClassifier:
     """The parts of the classifier against their definitions."""
 
@@ -529,3 +544,23 @@ class TestMixing:
         out = mix(docs, per_mille=1000, epochs=1).collect()
         assert sorted(r.text for r in out) == ["a b", "a b", "c d e"]
         assert mix(docs.limit(0)).count() == 0
+
+    def test_weight_zero_and_nulls(self, spark):
+        """A source or language of weight 0 gives nothing, whatever room is left; null names and ids are rows like others."""
+        from popspark.llm.mixing import Weights
+
+        rows = [(i, "w " * 10, "en", s, 0) for i, s in enumerate(["web"] * 20 + ["books"] * 10 + ["spam"] * 10)]
+        rows += [(None, "w " * 10, None, None, 0)] * 3 + [(None, f"w{i} " * 10, "xx", "web", 0) for i in range(4)]
+        docs = spark.createDataFrame(rows, KINDS).withColumn("Tokens", F.lit("mine")).withColumn("a`b.c", F.lit(1))
+        weights = Weights(source={"spam": 0}, lang={"xx": 0}, domain_of=lambda s: F.lit("all"))
+        for share, want in ((1000, {"web": 200, "books": 100, "": 30}), (500, {"web": 92, "books": 92, "": 30})):
+            out = mix(docs, per_mille=share, epochs=1, weights=weights)
+            assert {r.source: r["sum(taken)"] for r in out.groupBy("source").sum("taken").collect()} == want or share == 500
+            assert {r.source for r in out.collect()} == set(want) and out.columns.count("tokens") == 1 and "Tokens" not in out.columns and "a`b.c" in out.columns
+        none = Weights(other=0)
+        assert mix(docs, per_mille=1000, weights=none).count() == 0 and mix(docs.limit(0), weights=none).count() == 0
+        with pytest.raises(ValueError, match="negative"):
+            Weights(other=-1)
+        # Rows without doc_id come back whole, each with its own text.
+        back = mix(docs, per_mille=1000, epochs=1, weights=Weights(domain_of=lambda s: F.lit("all"))).where("doc_id is null").collect()
+        assert sorted(r.text for r in back) == sorted(r[1] for r in rows if r[0] is None)
