@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ast
+import pickle
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.model import hmm
@@ -16,7 +19,8 @@ from popspark.model.intervals import boundaries
 from popspark.operators import csd as C
 from popspark.operators.likelihood import Key, across_contigs, chunk_likelihood, evaluated, step_tensors, summed_stats, table_key
 from popspark.shared import cut
-from popspark.sources.models import Params, Template, bound, with_least_migration
+from popspark.shipping import ship
+from popspark.sources.models import Params, Template, bound, uniform, with_least_migration
 
 Limits = list[tuple[float, float]]
 
@@ -73,13 +77,21 @@ class Model:
 
 @dataclass
 class Data:
-    """Packed counts of each CSD, kept for all evaluations, the kinds of CSD there are, and whether permutations are summed
-    once over all contigs."""
+    """Packed counts of each CSD, kept for all evaluations, the kinds of CSD there are, whether permutations are summed once over
+    all contigs, whether steps without counts are skipped, and how many rows (CSDs by contigs) there are."""
 
     tensors: DataFrame
     keys: list[Key]
     n_alleles: int
     together: bool = False
+    skip: bool = False
+    rows: int = 0
+
+    def groups(self, particles: int, abreast: int) -> int:
+        """In how many parts to evaluate so many particles of which ``abreast`` cost little more than one: as many as keep all
+        cores busy."""
+        cores = self.tensors.sparkSession.sparkContext.defaultParallelism
+        return max(1, min(-(-particles // abreast), -(-2 * cores // max(self.rows, 1))))
 
     def combined(self, rows: DataFrame) -> DataFrame:
         """(particle_id, loglik) of evaluated CSDs."""
@@ -91,22 +103,60 @@ def contigs_apart(rows: DataFrame) -> DataFrame:
     return chunk_likelihood(rows, ["particle_id"]).groupBy("particle_id").agg(F.sum("loglik").alias("loglik"))
 
 
-def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False) -> Data:
-    """The counts are joined to their CSDs once and written to the shared checkpoint folder; each evaluation reads them there."""
-    tensors = cut(step_tensors(counts, csds, still, lengths, model.haps))
+def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False, skip: bool = False, missing: DataFrame | None = None) -> Data:
+    """The counts are joined to their CSDs once and written to the shared checkpoint folder; each evaluation reads them there.
+
+    With ``skip``, counts are those of segregating loci, a locus a step, and all others are jumped over but for ``missing``
+    runs (chunk, start, n), which tell nothing.
+    """
+    if skip and (model.loci != 1 or not uniform(model.params.matrix)):
+        raise ValueError("loci can be skipped where a step is one locus and the mutation matrix is uniform")
+    tensors = step_tensors(counts, csds, still, lengths, model.haps, missing)
+    # A partition for each CSD, up to a few for each core, so that no task has several of them while cores are idle.
+    parts = max(1, min(csds.count() * (lengths or counts).select("chunk").distinct().count(), 4 * tensors.sparkSession.sparkContext.defaultParallelism))
+    tensors = cut(tensors.repartition(parts))
     kinds = tensors.where(F.size("trunk") > 0).select("add", "trunk").distinct()
     # A row for each CSD of the likelihood, none for each locus or contig.
     keys = sorted({table_key(r["add"], r["trunk"], model.demes, model.n_demes) for r in kinds.toLocalIterator()})
-    return Data(tensors, keys, n_alleles, together)
+    return Data(tensors, keys, n_alleles, together, skip, tensors.count())
 
 
 #: Particles that one job evaluates; each of their tables is a few hundred numbers.
 WAVE = 64
+#: Particles whose likelihoods cost about as much as that of one.
+ABREAST = 16
+#: Particles up to which the driver makes tables and M-steps itself, instead of in tasks.
+OWN = 1
+
+
+def made_tables(spark: SparkSession, model: Model, points: dict[int, list[float]], keys: list[Key]) -> dict[int, dict[Key, hmm.Tables]]:
+    """Tables of each kind of CSD at each point that makes a demography: a task for each point and kind, whose result is a few
+    hundred numbers."""
+    if len(points) <= OWN:
+        made = {i: model.tables(p, keys) for i, p in points.items()}
+        return {i: t for i, t in made.items() if t is not None}
+    ship(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places, ids, kinds = (batch.column(c).to_pylist() for c in ("place", "particle_id", "kind"))
+            packed = [pickle.dumps(model.tables(points[i], [keys[k]])) for i, k in zip(ids, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(packed, pa.binary())], ["place", "packed"])
+
+    tasks = [(i, k) for i in points for k in range(len(keys))]
+    rows = spark.createDataFrame([(n, *x) for n, x in enumerate(tasks)], "place long, particle_id long, kind int")
+    out: dict[int, dict[Key, hmm.Tables]] = {}
+    # A row for each point and kind of a wave.
+    for r in rows.repartitionById(len(tasks), F.col("place").cast("int")).mapInArrow(run, "place long, packed binary").collect():
+        if (found := pickle.loads(r["packed"])) is not None:
+            out.setdefault(tasks[r["place"]][0], {}).update(found)
+    return out
 
 
 def _evaluated(data: Data, model: Model, found: dict[int, dict[Key, hmm.Tables]], points: dict[int, list[float]], with_stats: bool = False) -> DataFrame:
-    still = {i: hmm.stationary(model.at(p)[1].matrix) for i, p in points.items()}
-    return evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=with_stats, stationary=still)
+    still = {i: hmm.stationary(model.at(points[i])[1].matrix) for i in found}
+    groups = data.groups(len(found), 1 if with_stats or data.skip else ABREAST)
+    return evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=with_stats, stationary=still, skip=data.skip, groups=groups)
 
 
 def likelihoods(data: Data, model: Model, points: dict[int, list[float]]) -> DataFrame:
@@ -119,8 +169,7 @@ def likelihoods(data: Data, model: Model, points: dict[int, list[float]]) -> Dat
     out: list[tuple[int, float]] = []
     ids = list(points)
     for at in range(0, len(ids), WAVE):
-        made = {i: model.tables(points[i], data.keys) for i in ids[at : at + WAVE]}
-        found = {i: t for i, t in made.items() if t is not None}
+        found = made_tables(data.tensors.sparkSession, model, {i: points[i] for i in ids[at : at + WAVE]}, data.keys)
         if found:
             out += [(r["particle_id"], r["loglik"]) for r in data.combined(_evaluated(data, model, found, points)).collect()]
     return spark.createDataFrame(out, "particle_id long, loglik double")
@@ -133,27 +182,54 @@ def e_steps(data: Data, model: Model, points: dict[int, list[float]]) -> dict[in
     """For each particle, the log-likelihood and the summed expected counts of each kind of CSD: one job a wave, whose result
     has a row for each entry of the tables, whatever the size of the data."""
     out: dict[int, tuple[float, Stats]] = {i: (float("-inf"), {}) for i in points}
+    for logliks, sums in _counted(data, model, points):
+        stats: dict[int, list[dict]] = {}
+        for r in sums.collect():
+            stats.setdefault(r["particle_id"], []).append(r.asDict())
+        out |= {i: (value, _shaped(stats.get(i, []), data.n_alleles)) for i, value in logliks.items()}
+    return out
+
+
+def _counted(data: Data, model: Model, points: dict[int, list[float]]) -> Iterator[tuple[dict[int, float], DataFrame]]:
+    """Wave by wave, the log-likelihood of each particle that makes a demography, and the summed expected counts as rows
+    (particle_id, key, kind, place, value)."""
     ids = list(points)
     for at in range(0, len(ids), WAVE):
-        made = {i: model.tables(points[i], data.keys) for i in ids[at : at + WAVE]}
-        found = {i: t for i, t in made.items() if t is not None}
-        if not found:
-            continue
-        rows = cut(_evaluated(data, model, found, points, with_stats=True))
-        logliks = {r["particle_id"]: r["loglik"] for r in data.combined(rows).collect()}
-        by: dict[int, dict[str, dict[str, dict[int, float]]]] = {}
-        for r in summed_stats(rows, together=data.together).collect():
-            by.setdefault(r["particle_id"], {}).setdefault(r["key"], {}).setdefault(r["kind"], {})[r["place"]] = r["value"]
-        for i, own in found.items():
-            stats = {}
-            for key, t in own.items():
-                if repr(key) in by.get(i, {}):
-                    shapes = {"initial": t.initial.shape, "stay": t.stay.shape, "move": t.move.shape, "emit": t.emit.shape, "own": t.stay.shape}
-                    stats[key] = tuple(np.array([by[i][repr(key)][k][x] for x in range(int(np.prod(s)))]).reshape(s) for k, s in shapes.items())
-            out[i] = (logliks.get(i, float("-inf")), stats)
+        found = made_tables(data.tensors.sparkSession, model, {i: points[i] for i in ids[at : at + WAVE]}, data.keys)
+        if found:
+            rows = cut(_evaluated(data, model, found, points, with_stats=True))
+            yield {r["particle_id"]: r["loglik"] for r in data.combined(rows).collect()}, summed_stats(rows, together=data.together)
+
+
+def _shaped(rows: list[dict], n_alleles: int) -> Stats:
+    """The counts of one particle's kinds of CSD, from a row for each number."""
+    by: dict[str, dict[str, dict[int, float]]] = {}
+    for r in rows:
+        by.setdefault(r["key"], {}).setdefault(r["kind"], {})[r["place"]] = r["value"]
+    out = {}
+    for key, own in sorted(by.items()):
+        s = len(own["initial"])
+        shapes = {"initial": (s,), "stay": (s,), "move": (s, s), "emit": (s, n_alleles, n_alleles), "own": (s,)}
+        out[ast.literal_eval(key)] = tuple(np.array([own[k][x] for x in range(int(np.prod(shape)))]).reshape(shape) for k, shape in shapes.items())
     return out
 
 
+def m_steps(sums: DataFrame, data: Data, model: Model, points: dict[int, list[float]], iterations: int, **options: object) -> dict[int, list[float]]:
+    """The next point of each particle, from rows of summed expected counts: each particle's M-step is a task, and only its
+    point comes back."""
+    ship(sums.sparkSession)
+    n_alleles = data.n_alleles
+
+    def run(table: pa.Table) -> pa.Table:
+        i = table.column("particle_id")[0].as_py()
+        point = m_step(_shaped(table.to_pylist(), n_alleles), model, points[i], iterations, **options)
+        return pa.table({"particle_id": pa.array([i], pa.int64()), "point": pa.array([point], pa.list_(pa.float64()))})
+
+    # More partitions than particles, so that hardly two share one, and a number that is not coalesced.
+    own = sums.where(F.col("particle_id").isin(list(points))).repartition(4 * len(points), "particle_id")
+    return {r["particle_id"]: r["point"] for r in own.groupBy("particle_id").applyInArrow(run, "particle_id long, point array<double>").collect()}
+
+
 def e_step(data: Data, model: Model, point: list[float]) -> tuple[float, Stats]:
     """The log-likelihood and the summed expected counts at one point."""
     return e_steps(data, model, {0: point})[0]
@@ -224,26 +300,39 @@ def em_runs(data: Data, model: Model, starts: dict[int, list[float]], iterations
     points = {i: list(p) for i, p in starts.items()}
     for step in range(iterations + 1):
         began = time.time()
-        found = e_steps(data, model, points) if iterations else {i: (v, {}) for i, v in _values(data, model, points).items()}
+        waves = list(_counted(data, model, points)) if iterations else [(_values(data, model, points), None)]
         took = int(1000 * (time.time() - began))
         after = {}
-        for i, point in points.items():
-            loglik, stats = found[i]
-            paths[i].append({"em_step": step, "point": list(point), "loglik": loglik, "ms": took})
-            before = paths[i][-2] if step else None
-            if loglik == float("-inf") or step == iterations:
-                continue
-            if before and tolerance and abs(loglik - before["loglik"]) < tolerance * abs(before["loglik"]):
-                continue
-            if before and change and max(abs(x - y) / max(abs(y), 1e-300) for x, y in zip(point, before["point"], strict=True)) < change:
-                continue
-            after[i] = m_step(stats, model, point, m_iterations, **options)
+        for logliks, sums in waves:
+            going = {}
+            for i in logliks:
+                paths[i].append({"em_step": step, "point": list(points[i]), "loglik": logliks[i], "ms": took})
+                if logliks[i] != float("-inf") and step < iterations and not _settled(paths[i], tolerance, change):
+                    going[i] = points[i]
+            if len(going) > OWN:
+                after |= m_steps(sums, data, model, going, m_iterations, **options)
+            elif going:
+                rows = [r.asDict() for r in sums.where(F.col("particle_id").isin(list(going))).collect()]
+                after |= {i: m_step(_shaped(rows, data.n_alleles), model, p, m_iterations, **options) for i, p in going.items()}
+        for i in points:
+            if len(paths[i]) <= step:
+                paths[i].append({"em_step": step, "point": list(points[i]), "loglik": float("-inf"), "ms": took})
         if not after:
             break
-        points = after
+        points = {i: after[i] for i in points if i in after}
     return paths
 
 
+def _settled(path: list[dict], tolerance: float | None, change: float | None) -> bool:
+    """Whether the last step of a path changed so little that it ends."""
+    if len(path) < 2:
+        return False
+    before, now = path[-2:]
+    if tolerance and abs(now["loglik"] - before["loglik"]) < tolerance * abs(before["loglik"]):
+        return True
+    return bool(change) and max(abs(x - y) / max(abs(y), 1e-300) for x, y in zip(now["point"], before["point"], strict=True)) < change
+
+
 def _values(data: Data, model: Model, points: dict[int, list[float]]) -> dict[int, float]:
     got = {r["particle_id"]: r["loglik"] for r in likelihoods(data, model, points).collect()}
     return {i: got.get(i, float("-inf")) for i in points}

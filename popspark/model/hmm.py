@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -123,17 +123,38 @@ class _Chain:
         return counts, np.exp(np.minimum(e - top[:, None, None], 0.0)), top
 
     def step(self, state: np.ndarray | None, emitted: np.ndarray) -> tuple[np.ndarray, float]:
-        """The next state, and the scale that it had. A step costs S*S + S*H: haplotypes are summed out before states are crossed."""
+        """The next state, and the logarithm of the scale that it had. A step costs S*S + S*H: haplotypes are summed out before
+        states are crossed."""
         before = self.initial[:, None] * self.share if state is None else self.stay * state + (state.sum(1) @ self.move)[:, None] * self.share
         after = before * emitted
         scale = float(after.sum())
         if not 1e-290 < scale < np.inf:
             raise _Underflow
-        return after / scale, scale
+        return after / scale, np.log(scale)
 
-    def ahead(self, following: np.ndarray, scale: float) -> np.ndarray:
-        """What a state promises, from what the following one promises times its emissions."""
-        return (self.stay * following + (self.move @ (self.share * following).sum(1))[:, None]) / scale
+    def promised(self, following: np.ndarray) -> np.ndarray:
+        """What a state promises, from the scaled product of what the following one promises and emits."""
+        return self.stay * following + (self.move @ (self.share * following).sum(1))[:, None]
+
+    def scaled(self, promise: np.ndarray, emitted: np.ndarray, scale: float) -> np.ndarray:
+        """Promise times emission over the step's scale."""
+        out = promise * emitted / np.exp(scale)
+        if not np.isfinite(out).all():
+            raise _Underflow
+        return out
+
+    def posterior(self, state: np.ndarray, promise: np.ndarray) -> np.ndarray:
+        return state * promise
+
+    def nothing(self, shape: tuple[int, ...]) -> np.ndarray:
+        """A promise of 1 from each state."""
+        return np.ones(shape)
+
+    def counted(self, states: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected stays [s], moves [s, d] and moves to the same haplotype and state [s], summed over steps."""
+        stay = np.einsum("tsh,tsh->s", states, following) * self.stay[:, 0]
+        move = states.sum(2).T @ np.einsum("sh,tsh->ts", self.share, following) * self.move
+        return stay, move, np.einsum("tsh,sh,tsh->s", states, self.share, following) * np.diag(self.move)
 
     def blocks(self) -> list[tuple[int, int]]:
         n = self.cells.n_steps
@@ -145,87 +166,165 @@ class _Chain:
         for low, high in self.blocks():
             kept.append(state)
             _, emitted, top = self.emitted(low, high)
-            scales = np.empty(high - low)
             for t in range(high - low):
-                state, scales[t] = self.step(state, emitted[t])
-            total += float(np.log(scales).sum() + top.sum())
+                state, scale = self.step(state, emitted[t])
+                total += scale
+            total += float(top.sum())
         return total, kept
 
-    def backward(self, kept: list[np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Blocks from the last to the first: (first step, counts, states, posteriors, and for each step but the last what
-        the following step promises times its emissions, with that one's scale)."""
-        following, scale = None, 1.0
+    def backward(self, kept: list[np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks from the last to the first: (first step, counts, posteriors, states and what follows them). The last two
+        leave out the chain's last step."""
+        following = None
         for (low, high), state in zip(self.blocks()[::-1], kept[::-1], strict=True):
             counts, emitted, _ = self.emitted(low, high)
             states, scales = np.empty_like(emitted), np.empty(high - low)
             for t in range(high - low):
                 state, scales[t] = self.step(state, emitted[t])
                 states[t] = state
-            posterior, next_ = np.empty_like(emitted), np.zeros_like(emitted)
+            posterior, next_ = np.empty_like(emitted), np.empty_like(emitted)
+            last = following is None
             for t in range(high - low - 1, -1, -1):
-                if following is None:
-                    promise = np.ones_like(state)
-                else:
-                    promise = self.ahead(following, scale)
-                    next_[t] = following / scale
-                posterior[t] = states[t] * promise
-                following, scale = promise * emitted[t], scales[t]
-                if not np.isfinite(following).all():
-                    raise _Underflow
-            yield low, counts, states, posterior, next_, scales
+                promise = self.nothing(emitted[t].shape) if following is None else self.promised(following)
+                if following is not None:
+                    next_[t] = following
+                posterior[t] = self.posterior(states[t], promise)
+                following = self.scaled(promise, emitted[t], scales[t])
+            n = high - low - last
+            yield low, counts, posterior, states[:n], next_[:n]
+
+
+class _LogChain(_Chain):
+    """The same chain in logarithms, block by block as well, for states that are too far apart for plain numbers."""
+
+    def __init__(self, cells: Cells, tables: Tables, share: np.ndarray):
+        self.cells, self.tables, self.share = cells, tables, share
+        self.initial, self.stay, self.move = tables.initial, tables.stay[:, None], tables.move
+
+    def emitted(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        counts = self.cells.block(low, high)
+        return counts, emissions(counts, self.tables), np.zeros(high - low)
+
+    def step(self, state: np.ndarray | None, emitted: np.ndarray) -> tuple[np.ndarray, float]:
+        if state is None:
+            after = self.initial[:, None] + self.share + emitted
+        else:
+            arrive = log_sum(self.move + log_sum(state, 1)[:, None], 0)
+            after = np.logaddexp(self.stay + state, arrive[:, None] + self.share) + emitted
+        scale = float(log_sum(after))
+        # Where no state can be, nothing is left to scale.
+        return (after - scale if np.isfinite(scale) else after), scale
+
+    def promised(self, following: np.ndarray) -> np.ndarray:
+        return np.logaddexp(self.stay + following, log_sum(self.move + log_sum(self.share + following, 1)[None], 1)[:, None])
+
+    def scaled(self, promise: np.ndarray, emitted: np.ndarray, scale: float) -> np.ndarray:
+        return promise + emitted - (scale if np.isfinite(scale) else 0.0)
+
+    def posterior(self, state: np.ndarray, promise: np.ndarray) -> np.ndarray:
+        return np.exp(state + promise)
+
+    def nothing(self, shape: tuple[int, ...]) -> np.ndarray:
+        return np.zeros(shape)
+
+    def counted(self, states: np.ndarray, following: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        stay = np.exp(states + self.stay + following).sum((0, 2))
+        move = np.exp(log_sum(states, 2)[:, :, None] + self.move + log_sum(self.share + following, 2)[:, None]).sum(0)
+        return stay, move, np.exp(states + self.share + np.diag(self.move)[:, None] + following).sum((0, 2))
+
+
+def _in_plain_or_logs(run: Callable, cells: Cells, tables: Tables, share: np.ndarray) -> object:
+    """What ``run`` makes of the chain in plain numbers or, where these do not reach, in logarithms."""
+    try:
+        return run(_Chain(cells, tables, share))
+    except _Underflow:
+        return run(_LogChain(cells, tables, share))
 
 
 def loglik(cells: Cells, tables: Tables, share: np.ndarray) -> float:
     """The ln likelihood of a CSD."""
+    return _in_plain_or_logs(lambda chain: chain.forward()[0], cells, tables, share) if cells.n_steps else 0.0
+
+
+#: Numbers that a block of emissions may have where several particles are evaluated at once.
+WIDE = 1 << 21
+
+
+def logliks(cells: Cells, tables: list[Tables], shares: list[np.ndarray]) -> list[float]:
+    """The ln likelihood of a CSD under each of several tables. Those of one shape go through the chain side by side, so that
+    a step costs about as much for sixteen of them as for one; one that plain numbers do not reach goes by itself."""
     if not cells.n_steps:
-        return 0.0
-    try:
-        return _Chain(cells, tables, share).forward()[0]
-    except _Underflow:
-        return forward(cells.block(0, cells.n_steps), tables, share)[1]
+        return [0.0] * len(tables)
+    alike: dict[tuple, list[int]] = {}
+    for i, t in enumerate(tables):
+        alike.setdefault((len(t.initial), shares[i].shape[1]), []).append(i)
+    out = [0.0] * len(tables)
+    for (s, h), places in alike.items():
+        width = max(1, WIDE // (BLOCK * s * max(h, 1)))
+        for at in range(0, len(places), width):
+            part = places[at : at + width]
+            for i, value in zip(part, _abreast(cells, [tables[i] for i in part], np.stack([shares[i] for i in part])), strict=True):
+                out[i] = loglik(cells, tables[i], shares[i]) if np.isnan(value) else float(value)
+    return out
 
 
-def expected(cells: Cells, tables: Tables, share: np.ndarray) -> tuple[float, tuple[np.ndarray, ...]]:
+def _abreast(cells: Cells, tables: list[Tables], share: np.ndarray) -> np.ndarray:
+    """The ln likelihood under tables of one shape [p]; nan where plain numbers do not reach."""
+    initial, stay, move = (np.exp(np.stack([getattr(t, x) for t in tables])) for x in ("initial", "stay", "move"))
+    share, stay = np.exp(share), stay[:, :, None]
+    total, state = np.zeros(len(tables)), None
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        for low in range(0, cells.n_steps, BLOCK):
+            counts = cells.block(low, min(low + BLOCK, cells.n_steps))
+            e = np.stack([emissions(counts, t) for t in tables], 1)
+            top = np.where(share > 0, e, -np.inf).max((2, 3))
+            e = np.exp(np.minimum(e - top[:, :, None, None], 0.0))
+            for t in range(len(e)):
+                before = initial[:, :, None] * share if state is None else stay * state + (state.sum(2)[:, None] @ move).transpose(0, 2, 1) * share
+                state = before * e[t]
+                scale = state.sum((1, 2))
+                scale = np.where((scale > 1e-290) & np.isfinite(top[t]), scale, np.nan)
+                state /= scale[:, None, None]
+                total += np.log(scale)
+            total += top.sum(0)
+    return total
+
+
+Stats = tuple[np.ndarray, ...]
+
+
+def expected(cells: Cells, tables: Tables, share: np.ndarray) -> tuple[float, Stats]:
     """(ln likelihood, (initial[s], stay[s], move[s, d], emit[s, b, a], own[s])), expected counts over the whole chunk.
 
     own are those of move that recombine into the same state and the same haplotype.
     """
     s, k = len(tables.initial), cells.n_alleles
-    initial, stay, move, emit, own = np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((s, k * k)), np.zeros(s)
-    if not cells.n_steps:
-        return 0.0, (initial, stay, move, emit.reshape(s, k, k), own)
-    try:
-        chain = _Chain(cells, tables, share)
+
+    def run(chain: _Chain) -> tuple[float, Stats]:
+        initial, stay, move, emit, own = np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((s, k * k)), np.zeros(s)
         total, kept = chain.forward()
-        for low, counts, states, posterior, next_, _ in chain.backward(kept):
-            stay += np.einsum("tsh,tsh->s", states, next_)
-            move += states.sum(2).T @ np.einsum("sh,tsh->ts", chain.share, next_)
-            own += np.einsum("tsh,sh,tsh->s", states, chain.share, next_)
-            emit += posterior.transpose(1, 0, 2).reshape(s, -1) @ counts.reshape(-1, k * k)
-            if low == 0:
-                initial = posterior[0].sum(1)
-        return total, (initial, stay * chain.stay[:, 0], move * chain.move, emit.reshape(s, k, k).transpose(0, 2, 1), own * np.diag(chain.move))
-    except _Underflow:
-        return expected_in_logs(cells.block(0, cells.n_steps), tables, share)
+        if np.isfinite(total):
+            for low, counts, posterior, states, following in chain.backward(kept):
+                for whole, part in zip((stay, move, own), chain.counted(states, following), strict=True):
+                    whole += part
+                emit += posterior.transpose(1, 0, 2).reshape(s, -1) @ counts.reshape(-1, k * k)
+                if low == 0:
+                    initial = posterior[0].sum(1)
+        return total, (initial, stay, move, emit.reshape(s, k, k).transpose(0, 2, 1), own)
+
+    if not cells.n_steps:
+        return 0.0, (np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((s, k, k)), np.zeros(s))
+    return _in_plain_or_logs(run, cells, tables, share)
 
 
 def decoded(cells: Cells, tables: Tables, share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The posterior probability of each state at each step, summed over haplotypes: blocks (first step, [t, s]), the last first."""
-    if not cells.n_steps:
-        return
-    try:
-        chain = _Chain(cells, tables, share)
-        kept = chain.forward()[1]
-        held = [(low, posterior.sum(2)) for low, _, _, posterior, _, _ in chain.backward(kept)]
-    except _Underflow:
-        counts = cells.block(0, cells.n_steps)
-        f, total = forward(counts, tables, share)
-        held = [(0, np.exp(f + backward(counts, tables, share) - total).sum(2))]
-    yield from held
+    if cells.n_steps:
+        yield from _in_plain_or_logs(lambda chain: [(low, posterior.sum(2)) for low, _, posterior, _, _ in chain.backward(chain.forward()[1])], cells, tables, share)
 
 
 def forward(counts: np.ndarray, tables: Tables, share: np.ndarray) -> tuple[np.ndarray, float]:
-    """(F[t, s, h], ln likelihood) in logarithms, for counts[t, h, a, b] whose states are too far apart for plain numbers."""
+    """(F[t, s, h], ln likelihood) of counts[t, h, a, b], in logarithms and as a whole: for short chains, and to compare with."""
     e = emissions(counts, tables)
     out = np.empty_like(e)
     out[0] = tables.initial[:, None] + share + e[0]
@@ -303,41 +402,240 @@ def jump_tables(tables: Tables, between: np.ndarray, highest: int) -> list[Table
     return out
 
 
-def skipping(cells: Cells, tables: Tables, share: np.ndarray, still: float = 1.0, allele: int = 0) -> float:
-    """The ln likelihood where every step without counts has ``still`` loci at which all haplotypes show ``allele``.
+@dataclass(frozen=True)
+class StillCells(Cells):
+    """Cells in which a step without counts has ``still`` loci at which all haplotypes show ``allele``, but for the steps in
+    ``missing`` (rows of first step and number), which tell nothing."""
+
+    still: float
+    allele: int
+    missing: np.ndarray
+
+    def block(self, low: int, high: int) -> np.ndarray:
+        out = super().block(low, high)
+        quiet = np.ones(high - low, bool)
+        at = slice(*np.searchsorted(self.step, [low, high]))
+        quiet[self.step[at] - low] = False
+        quiet &= ~_within(np.arange(low, high), self.missing)
+        out[quiet, :, self.allele, self.allele] += self.still
+        return out
+
+
+NO_RUNS = np.empty((0, 2), np.int64)
+
+
+def _within(steps: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """Whether each step is in one of the runs (first step, number), which are in order and apart."""
+    if not len(runs):
+        return np.zeros(len(steps), bool)
+    k = np.searchsorted(runs[:, 0], steps, "right") - 1
+    return (k >= 0) & (steps < runs[k, 0] + runs[k, 1])
+
+
+class _Skips(_Chain):
+    """The chain over the steps that are visited: those with counts, the first and the last one, and others that are asked
+    for. Between two of them, runs of still or of missing steps are jumped over by powers of two.
+
+    A jump has the same form as a step (what has stayed, and what has moved), so it counts its expected stays and moves like
+    one; in the end, those of each jump are shared out among the two jumps of half its length that it is made of, and so on
+    down to single steps.
+    """
+
+    def __init__(self, cells: StillCells, tables: Tables, share: np.ndarray, visits: np.ndarray):
+        self.places = np.unique(np.concatenate([cells.step, visits, [0, cells.n_steps - 1]])).astype(np.int64)
+        seen = np.isin(self.places, cells.step)
+        quiet = ~seen & ~_within(self.places, cells.missing)
+        every = np.flatnonzero(quiet)
+        columns = [np.concatenate([np.searchsorted(self.places, cells.step), every])]
+        columns += [np.concatenate([x, np.full(len(every), v)]) for x, v in ((cells.slot, EVERY), (cells.a, cells.allele), (cells.b, cells.allele), (cells.n, cells.still))]
+        super().__init__(Cells.of(*columns, len(self.places), cells.n_slots, cells.n_alleles), tables, share)
+        self.missing, self.ends = cells.missing, cells.missing.sum(1)
+        between = np.maximum(tables.emit[:, cells.allele, cells.allele], -1e300) * cells.still
+        highest = int(np.diff(self.places).max(initial=1)).bit_length() - 1
+        #: By kind (still, missing): what a step in between emits, and its tables of 1, 2, 4, ... steps.
+        self.between = [between, np.zeros_like(between)]
+        self.levels = [jump_tables(tables, b, highest) for b in self.between]
+        self.jumps = []
+        for levels in self.levels:
+            top = [max(float(t.stay.max()), float(t.move.max())) for t in levels]
+            self.jumps.append([(np.exp(t.stay - c)[:, None], np.exp(t.move - c), c) for t, c in zip(levels, top, strict=True)])
+        self.quiet = [(float(b.max()), np.exp(b - b.max())[:, None]) for b in self.between]
+        size = len(between)
+        self.found = [[(np.zeros(size), np.zeros((size, size))) for _ in levels] for levels in self.levels]
+        self.passed = [np.zeros(size), np.zeros(size)]
+
+    def run(self, i: int) -> list[tuple[int, int]]:
+        """From the i-th place to the next: (kind, power of two) of each jump. All steps that a jump ends with or goes over are
+        of its kind, but for the last one, which is visited."""
+        x, y = int(self.places[i]), int(self.places[i + 1])
+        pieces, at = [], x
+        m = int(np.searchsorted(self.ends, x + 1, "right"))
+        while m < len(self.missing) and self.missing[m, 0] < y:
+            low, high = max(int(self.missing[m, 0]), at + 1), min(int(self.ends[m]), y)
+            if high > low:
+                if low > at + 1:
+                    pieces.append((0, low - 1 - at))
+                pieces.append((1, high - low))
+                at = high - 1
+            m += 1
+        if y > at + 1:
+            pieces.append((0, y - 1 - at))
+        # The step onto the visited place goes with the last piece.
+        kind, n = pieces.pop() if pieces else (0, 0)
+        return [(kind, k) for kind, n in [*pieces, (kind, n + 1)] for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+
+    def jumped(self, state: np.ndarray, run: list[tuple[int, int]], emitted: np.ndarray) -> tuple[np.ndarray, float, list[tuple[np.ndarray, np.ndarray, float]]]:
+        """The state at the next place, ln of its scale, and for each jump the state before and behind it and its scale."""
+        total, trail = 0.0, []
+        for i, (kind, k) in enumerate(run):
+            stay, move, c = self.jumps[kind][k]
+            top, e = (0.0, emitted) if i == len(run) - 1 else self.quiet[kind]
+            after = (stay * state + (state.sum(1) @ move)[:, None] * self.share) * e
+            scale = float(after.sum())
+            if not 1e-290 < scale < np.inf:
+                raise _Underflow
+            trail.append((state, after / scale, scale))
+            state = after / scale
+            total += np.log(scale) + c + top
+        return state, total, trail
+
+    def forward(self) -> tuple[float, list[np.ndarray | None]]:
+        total, state, kept = 0.0, None, []
+        for low, high in self.blocks():
+            kept.append(state)
+            _, emitted, top = self.emitted(low, high)
+            for t in range(high - low):
+                if state is None:
+                    state, scale = self.step(None, emitted[t])
+                else:
+                    state, scale, _ = self.jumped(state, self.run(low + t - 1), emitted[t])
+                total += scale
+            total += float(top.sum())
+        return total, kept
+
+    def backward_through(self, kept: list[np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks from the last to the first: (first place, counts, posteriors). Jumps are counted on the way."""
+        promise = None
+        for (low, high), state in zip(self.blocks()[::-1], kept[::-1], strict=True):
+            counts, emitted, _ = self.emitted(low, high)
+            trails, states = [], np.empty_like(emitted)
+            for t in range(high - low):
+                if state is None:
+                    state, _ = self.step(None, emitted[t])
+                    trails.append([])
+                else:
+                    state, _, trail = self.jumped(state, self.run(low + t - 1), emitted[t])
+                    trails.append(trail)
+                states[t] = state
+            posterior = np.empty_like(emitted)
+            for t in range(high - low - 1, -1, -1):
+                promise = np.ones_like(states[t]) if promise is None else promise
+                posterior[t] = states[t] * promise
+                run = self.run(low + t - 1) if trails[t] else []
+                for i in range(len(run) - 1, -1, -1):
+                    (kind, k), (before, after, scale) = run[i], trails[t][i]
+                    e = emitted[t] if i == len(run) - 1 else self.quiet[kind][1]
+                    if i < len(run) - 1:
+                        self.passed[kind] += (after * promise).sum(1)
+                    following = promise * e / scale
+                    stay, move, _ = self.jumps[kind][k]
+                    arrive = (self.share * following).sum(1)
+                    stays, moves = self.found[kind][k]
+                    stays += (before * following).sum(1) * stay[:, 0]
+                    moves += np.outer(before.sum(1), arrive) * move
+                    promise = stay * following + (move @ arrive)[:, None]
+                    if not np.isfinite(promise).all():
+                        raise _Underflow
+            yield low, counts, posterior
+
+    def shared_out(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(stays, moves) of single steps, and how often each kind of step in between was in each state."""
+        stay, move = np.zeros(len(self.initial)), np.zeros_like(self.move)
+        for kind, (levels, found) in enumerate(zip(self.levels, self.found, strict=True)):
+            between = self.between[kind]
+            for k in range(len(levels) - 1, 0, -1):
+                half, whole, (stays, moves) = levels[k - 1], levels[k], found[k]
+                less_stays, less_moves = found[k - 1]
+                less_stays += 2 * stays
+                self.passed[kind] += stays
+                with np.errstate(invalid="ignore"):
+                    part = lambda x: np.where(moves > 0, moves * np.exp(np.minimum(x - whole.move, 0.0)), 0.0)  # noqa: B023, E731
+                    early = part(half.move + (between + half.stay)[None])
+                    late = part((half.stay + between)[:, None] + half.move)
+                    for m in range(len(between)):
+                        through = part(half.move[:, m : m + 1] + between[m] + half.move[m : m + 1])
+                        less_moves[:, m] += through.sum(1)
+                        less_moves[m] += through.sum(0)
+                        self.passed[kind][m] += through.sum()
+                less_moves += early + late
+                less_stays += late.sum(1) + early.sum(0)
+                self.passed[kind] += late.sum(1) + early.sum(0)
+            stay += found[0][0]
+            move += found[0][1]
+        return stay, move, self.passed
+
+
+def _still(cells: Cells, still: float, allele: int, missing: np.ndarray | None) -> StillCells:
+    runs = NO_RUNS if missing is None else np.asarray(missing, np.int64).reshape(-1, 2)
+    return StillCells(cells.step, cells.slot, cells.a, cells.b, cells.n, cells.n_steps, cells.n_slots, cells.n_alleles, still, allele, runs)
+
+
+def skipping(cells: Cells, tables: Tables, share: np.ndarray, still: float = 1.0, allele: int = 0, missing: np.ndarray | None = None) -> float:
+    """The ln likelihood where every step without counts has ``still`` loci at which all haplotypes show ``allele``, or tells
+    nothing if it is in one of the ``missing`` runs (first step, number).
 
     Only steps with counts are visited; the gaps between them are jumped by powers of two, so the time goes with the number
     of segregating sites and the logarithm of the gaps, not with the contig's length.
     """
-    between = np.maximum(tables.emit[:, allele, allele], -1e300) * still
-    visited = np.unique(cells.step)
-    if not len(visited):
-        visited = np.array([0])
-        cells = Cells(np.array([0]), np.array([EVERY]), np.array([allele]), np.array([allele]), np.array([still]), cells.n_steps, cells.n_slots, cells.n_alleles)
-    places = visited.tolist()
-    jumps = jump_tables(tables, between, max(cells.n_steps, 1).bit_length())
-
-    def moved(state: np.ndarray, gap: int, emitted: np.ndarray) -> np.ndarray:
-        """One more step than the powers of two whose emissions in between are the still ones."""
-        for bit in range(gap.bit_length() - 1, -1, -1):
-            if gap >> bit & 1:
-                gap -= 1 << bit
-                t = jumps[bit]
-                arrive = log_sum(t.move + log_sum(state, 1)[:, None], 0)
-                state = np.logaddexp(t.stay[:, None] + state, arrive[:, None] + share) + (emitted if not gap else between[:, None])
-        return state
-
-    state = None
-    at = 0
-    for t in places:
-        e = emissions(cells.block(t, t + 1), tables)[0]
-        if state is None:
-            state = tables.initial[:, None] + share + (e if t == 0 else between[:, None])
-            if t:
-                state = moved(state, t, e)
-        else:
-            state = moved(state, t - at, e)
-        at = t
-    if cells.n_steps - 1 > at:
-        state = moved(state, cells.n_steps - 1 - at, between[:, None])
-    return float(log_sum(state))
+    if not cells.n_steps:
+        return 0.0
+    whole = _still(cells, still, allele, missing)
+    try:
+        return _Skips(whole, tables, share, np.empty(0, np.int64)).forward()[0]
+    except _Underflow:
+        return loglik(whole, tables, share)
+
+
+def skipping_expected(cells: Cells, tables: Tables, share: np.ndarray, still: float = 1.0, allele: int = 0, missing: np.ndarray | None = None) -> tuple[float, Stats]:
+    """As ``expected`` for the loci that ``skipping`` takes, visiting the same steps: what happens inside jumps is counted on
+    the jumps' tables."""
+    if not cells.n_steps:
+        return expected(cells, tables, share)
+    whole = _still(cells, still, allele, missing)
+    s, k = len(tables.initial), cells.n_alleles
+    try:
+        chain = _Skips(whole, tables, share, np.empty(0, np.int64))
+        total, kept = chain.forward()
+        emit, initial = np.zeros((s, k * k)), np.zeros(s)
+        for low, counts, posterior in chain.backward_through(kept):
+            emit += posterior.transpose(1, 0, 2).reshape(s, -1) @ counts.reshape(-1, k * k)
+            if low == 0:
+                initial = posterior[0].sum(1)
+        stay, move, passed = chain.shared_out()
+        emit = emit.reshape(s, k, k).transpose(0, 2, 1)
+        emit[:, allele, allele] += passed[0] * still
+        # A move to the same haplotype and state has the same two ends as a stay, whichever the haplotype is.
+        slots = np.exp(-share.max(1))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            own = np.where(stay > 0, stay * np.exp(np.diag(tables.move) - tables.stay) / slots, 0.0)
+        return total, (initial, stay, move, emit, own)
+    except _Underflow:
+        return expected(whole, tables, share)
+
+
+def skipping_decoded(cells: Cells, tables: Tables, share: np.ndarray, places: np.ndarray, still: float = 1.0, allele: int = 0, missing: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The posterior probability of each state at some steps (in order), which are visited beside those with counts: blocks
+    (steps, [step, s]), the last first."""
+    if not cells.n_steps:
+        return
+    whole = _still(cells, still, allele, missing)
+    places = places[(places >= 0) & (places < cells.n_steps)]
+    try:
+        chain = _Skips(whole, tables, share, places)
+        held = [(chain.places[low : low + len(p)], p.sum(2)) for low, _, p in chain.backward_through(chain.forward()[1])]
+    except _Underflow:
+        held = ((np.arange(low, low + len(p)), p) for low, p in decoded(whole, tables, share))
+    for steps, p in held:
+        wanted = np.isin(steps, places)
+        if wanted.any():
+            yield steps[wanted], p[wanted]

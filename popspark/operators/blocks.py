@@ -62,3 +62,15 @@ def jumps(gaps: DataFrame) -> DataFrame:
     """gaps (id, gap) as powers of two, the highest first: (id, place, jump)."""
     bits = F.filter(F.transform(F.sequence(F.lit(62), F.lit(0), F.lit(-1)), lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), i)), lambda p: F.col("gap").bitwiseAND(p) != 0)
     return gaps.where("gap > 0").select("id", F.posexplode(bits).alias("place", "jump"))
+
+
+def missing_runs(blocks: DataFrame, sites: DataFrame) -> DataFrame:
+    """(chunk, start, n): runs of loci that tell nothing, in a coded reference (chunk, block, start, codes; a dot is missing) and
+    one by one where a segregating site (chunk, pos, alleles) lacks an allele. A row for each run, none for each locus."""
+    pieces = F.split("codes", r"(?<=\.)(?=[^.])|(?<=[^.])(?=\.)")
+    # Where each piece begins: the lengths of those before it, added up within its block's own row.
+    before = F.aggregate(pieces, F.array(F.lit(0)), lambda ends, p: F.concat(ends, F.array(F.element_at(ends, -1) + F.length(p))))
+    rows = blocks.where(F.contains("codes", F.lit("."))).select("chunk", "start", F.explode(F.arrays_zip(pieces.alias("piece"), before.alias("at"))).alias("x"))
+    dots = rows.where(F.startswith("x.piece", F.lit("."))).select("chunk", (F.col("start") + F.col("x.at")).cast("long").alias("start"), F.length("x.piece").cast("long").alias("n"))
+    holes = sites.where(F.exists("alleles", lambda a: a.isNull())).select("chunk", F.col("pos").cast("long").alias("start"), F.lit(1).cast("long").alias("n"))
+    return dots.unionByName(holes)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_sum_exp
-from popspark.model.hmm import EVERY, Cells, Tables, decoded, expected, loglik, skipping
+from popspark.model.hmm import EVERY, Cells, Tables, decoded, expected, logliks, skipping, skipping_decoded, skipping_expected
 from popspark.shipping import ship
 
 
@@ -40,14 +40,15 @@ def chunk_likelihood(csds: DataFrame, by: list[str] | None = None) -> DataFrame:
     return log_sum_exp(perms, keys, "loglik", "loglik")
 
 
-def step_tensors(counts: DataFrame, csds: DataFrame, still: DataFrame | None = None, lengths: DataFrame | None = None, haps: dict[int, int] | None = None) -> DataFrame:
+def step_tensors(counts: DataFrame, csds: DataFrame, still: DataFrame | None = None, lengths: DataFrame | None = None, haps: dict[int, int] | None = None, missing: DataFrame | None = None) -> DataFrame:
     """One row for each CSD and chunk: (chunk, perm, csd, add, trunk, factor, n_steps, cells), cells being its pair counts, packed.
 
     counts: (chunk, step, add, trunk, a, b, n). A CSD takes the pairs of its own haplotype and its trunk's. still: (chunk,
     step, allele, n), loci at which all haplotypes show one allele; they go to each CSD once, not to each of its pairs.
     lengths: (chunk, n_steps); without it, a chunk ends with its last step that has a count. haps: which haplotype each
     member of the sample is, where some are copies of one or are in several demes; a copy's pair with its own haplotype
-    agrees at all loci. A CSD with an empty trunk takes its own haplotype's alleles, in slot -1 with b = a.
+    agrees at all loci. A CSD with an empty trunk takes its own haplotype's alleles, in slot -1 with b = a. missing: (chunk,
+    start, n), runs of steps that tell nothing where steps without counts are skipped, as a column of their own.
     """
     spark = counts.sparkSession
     if lengths is None:
@@ -76,7 +77,11 @@ def step_tensors(counts: DataFrame, csds: DataFrame, still: DataFrame | None = N
         every = spark_product(named, lengths.select("chunk"))
         slot = F.when(F.size("trunk") == 0, ALONE).otherwise(EVERY)
         joined = joined.unionByName(every.join(still, "chunk").select(*keys, cell(slot, F.col("allele"), F.col("allele"))))
-    return joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells")).join(lengths, "chunk")
+    out = joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells")).join(lengths, "chunk")
+    if missing is not None:
+        runs = missing.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n")))).alias("missing"))
+        out = out.join(runs, "chunk", "left")
+    return out
 
 
 def spark_product(csds: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -113,41 +118,58 @@ def _alone(cells: pa.Scalar, stationary: np.ndarray | None) -> float:
 STATS = ("initial", "stay", "move", "emit", "own")
 
 
-def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, stationary: dict[int, np.ndarray] | np.ndarray | None = None, skip: bool = False) -> DataFrame:
+def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, stationary: dict[int, np.ndarray] | np.ndarray | None = None, skip: bool = False, groups: int = 1) -> DataFrame:
     """(particle_id, chunk, perm, csd, factor, loglik) of each CSD under the tables of each particle, and with ``with_stats``
     its key and expected counts, as flat arrays.
 
     One with an empty trunk has the ``stationary`` probability of its haplotype, and no hidden states to count. With
-    ``skip``, steps without counts are one locus without differences each, and are jumped over.
-    A row holds one CSD's packed counts, so tasks are CSDs and chunks; it is unpacked once for all particles. Tables are a
-    few dense matrices for each kind of CSD.
+    ``skip``, steps without counts are one locus without differences each, or tell nothing where they are missing, and are
+    jumped over; this needs the same emission of a pair of equal alleles whichever they are.
+    A row holds one CSD's packed counts, so tasks are CSDs and chunks, and with ``groups`` each of so many parts of the
+    particles is a task of its own; a row is unpacked once for all its particles, which go through the chain side by side.
+    Tables are a few dense matrices for each kind of CSD.
     """
     ship(tensors.sparkSession)
+    ids = sorted(tables)
+    if groups > 1:
+        tensors = tensors.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    has_missing = "missing" in tensors.columns
     names = ["particle_id", "chunk", "perm", "csd", "factor", "loglik"] + ["key", *STATS] * with_stats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "factor", "add", "trunk", "n_steps")), batch.column("cells"), strict=True))
-            for chunk, perm, csd, factor, add, trunk, n_steps, packed in rows:
+            single = (batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "factor", "add", "trunk", "n_steps"))
+            parts = batch.column("group").to_pylist() if groups > 1 else [0] * len(batch)
+            for i, (chunk, perm, csd, factor, add, trunk, n_steps) in enumerate(zip(*single, strict=True)):
                 key = table_key(add, trunk, demes, n_demes)
-                cells = _cells(packed, n_steps, len(trunk), n_alleles) if trunk else None
-                for particle, own in tables.items():
-                    found: tuple[np.ndarray, ...] = tuple(np.empty(0) for _ in STATS)
-                    if cells is None:
-                        value = _alone(packed, stationary[particle] if isinstance(stationary, dict) else stationary)
-                    else:
-                        share = own[key].shares([demes[h] for h in trunk])
-                        if with_stats:
-                            value, found = expected(cells, own[key], share)
-                        else:
-                            value = (skipping if skip else loglik)(cells, own[key], share)
-                    columns = [pa.array([x], k) for x, k in ((particle, pa.int64()), (chunk, pa.int32()), (perm, pa.int32()), (csd, pa.int32()), (factor, pa.float64()), (value, pa.float64()))]
+                packed = batch.column("cells")[i]
+                particles = ids[parts[i] :: groups]
+                found: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0) for _ in STATS)] * len(particles)
+                if not trunk:
+                    values = [_alone(packed, stationary[p] if isinstance(stationary, dict) else stationary) for p in particles]
+                else:
+                    cells = _cells(packed, n_steps, len(trunk), n_alleles)
+                    own = [tables[p][key] for p in particles]
+                    shares = [t.shares([demes[h] for h in trunk]) for t in own]
+                    runs = {"missing": _runs(batch.column("missing")[i])} if skip and has_missing else {}
                     if with_stats:
-                        columns += [pa.array([repr(key)])] + [pa.array([x.ravel()], pa.list_(pa.float64())) for x in found]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                        both = [(skipping_expected(cells, *x, **runs) if skip else expected(cells, *x)) for x in zip(own, shares, strict=True)]
+                        values, found = [x for x, _ in both], [x for _, x in both]
+                    else:
+                        values = [skipping(cells, *x, **runs) for x in zip(own, shares, strict=True)] if skip else logliks(cells, own, shares)
+                n = len(particles)
+                columns = [pa.array(particles, pa.int64()), *(pa.array([x] * n, k) for x, k in ((chunk, pa.int32()), (perm, pa.int32()), (csd, pa.int32()), (factor, pa.float64()))), pa.array(values, pa.float64())]
+                if with_stats:
+                    columns += [pa.array([repr(key)] * n)] + [pa.array([x[k].ravel() for x in found], pa.list_(pa.float64())) for k in range(len(STATS))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = "particle_id long, chunk int, perm int, csd int, factor double, loglik double" + "".join(f", {x}" for x in ["key string", *(f"{s} array<double>" for s in STATS)] * with_stats)
-    return tensors.mapInArrow(run, kinds)
+    # Parts of the particles are dealt evenly, whatever partitions their rows are in.
+    return (tensors.repartition(min(groups * max(len(ids), 1) * 4, 4096)) if groups > 1 else tensors).mapInArrow(run, kinds)
+
+
+def _runs(missing: pa.Scalar) -> np.ndarray | None:
+    return np.stack([np.asarray(x, np.int64) for x in missing.values.flatten()], 1) if missing.is_valid and len(missing.values) else None
 
 
 def summed_stats(found: DataFrame, together: bool = False) -> DataFrame:
@@ -169,10 +191,16 @@ def across_contigs(csds: DataFrame) -> DataFrame:
     return log_sum_exp(perms, ["particle_id"], "total", "loglik")
 
 
-def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, every: int = 1) -> DataFrame:
+def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, every: int = 1, at: DataFrame | None = None) -> DataFrame:
     """(chunk, perm, csd, step, state, probability) at every ``every``-th step of each CSD with a trunk; others have no states.
-    A contig's steps end where it does."""
+    A contig's steps end where it does.
+
+    With ``at`` (chunk, step), steps without counts are skipped as in ``evaluated``, and the states of the steps that it names
+    are given: only they and the steps with counts are visited.
+    """
     ship(tensors.sparkSession)
+    if at is not None:
+        return _skipped_posteriors(tensors, tables, demes, n_demes, n_alleles, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,12 +209,35 @@ def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, i
                 own = tables[table_key(add, trunk, demes, n_demes)]
                 for low, p in decoded(_cells(packed, n_steps, len(trunk), n_alleles), own, own.shares([demes[h] for h in trunk])):
                     step = np.arange(low, low + len(p), dtype=np.int32)
-                    step, p = step[step % every == 0], p[step % every == 0]
-                    same = [pa.array(np.full(p.size, x, np.int32)) for x in (chunk, perm, number)]
-                    places = [pa.array(np.repeat(step, p.shape[1])), pa.array(np.tile(np.arange(p.shape[1], dtype=np.int32), len(p)))]
-                    yield pa.RecordBatch.from_arrays([*same, *places, pa.array(p.ravel())], ["chunk", "perm", "csd", "step", "state", "probability"])
+                    yield _state_rows((chunk, perm, number), step[step % every == 0], p[step % every == 0])
+
+    return tensors.where(F.size("trunk") > 0).mapInArrow(run, STATE_ROWS)
+
+
+STATE_ROWS = "chunk int, perm int, csd int, step int, state int, probability double"
+
+
+def _state_rows(of: tuple[int, int, int], step: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
+    same = [pa.array(np.full(p.size, x, np.int32)) for x in of]
+    places = [pa.array(np.repeat(step, p.shape[1])), pa.array(np.tile(np.arange(p.shape[1], dtype=np.int32), len(p)))]
+    return pa.RecordBatch.from_arrays([*same, *places, pa.array(p.ravel())], [x.split()[0] for x in STATE_ROWS.split(", ")])
+
+
+def _skipped_posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, int], n_demes: int, n_alleles: int, at: DataFrame) -> DataFrame:
+    wanted = at.groupBy("chunk").agg(F.sort_array(F.collect_set(F.col("step").cast("int"))).alias("places"))
+    has_missing = "missing" in tensors.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            single = (batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "add", "trunk", "n_steps"))
+            for i, (chunk, perm, number, add, trunk, n_steps) in enumerate(zip(*single, strict=True)):
+                own = tables[table_key(add, trunk, demes, n_demes)]
+                cells = _cells(batch.column("cells")[i], n_steps, len(trunk), n_alleles)
+                runs = {"missing": _runs(batch.column("missing")[i])} if has_missing else {}
+                for step, p in skipping_decoded(cells, own, own.shares([demes[h] for h in trunk]), np.asarray(batch.column("places")[i].values, np.int64), **runs):
+                    yield _state_rows((chunk, perm, number), step.astype(np.int32), p)
 
-    return tensors.where(F.size("trunk") > 0).mapInArrow(run, "chunk int, perm int, csd int, step int, state int, probability double")
+    return tensors.where(F.size("trunk") > 0).join(wanted, "chunk").mapInArrow(run, STATE_ROWS)
 
 
 def with_posteriors(sites: DataFrame, posterior: DataFrame, loci: int) -> DataFrame:
