@@ -17,9 +17,9 @@ from popspark.operators.likelihood import posteriors, with_posteriors
 from popspark.operators.search import grid
 from popspark.operators.sites import printed
 from popspark.sources import text as T
-from popspark.sources.layout import Layout, parse_layout, read_text
-from popspark.sources.models import parse_demography, parse_params
-from popspark.sources.vcf import ingest
+from popspark.sources.layout import Layout, parse_layout, per_deme, read_text
+from popspark.sources.models import Params, parse_demography, parse_params
+from popspark.sources.vcf import Ingested, compressed_sequences, from_sites, ingest, old_compressed_sequences, sequences
 
 PERMUTED = ("pac", "oldpac", "superpac")
 
@@ -30,9 +30,15 @@ def numbers(text: str) -> list[float]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(description=__doc__)
-    p.add_argument("--vcf", required=True, help="a file for each contig, separated by commas")
+    p.add_argument("--vcf", help="a file for each contig, separated by commas")
+    p.add_argument("--sequences", help="instead of --vcf: files of one sequence a line, one for each contig")
+    p.add_argument("--compressed", help="instead of --vcf: a file of sections")
+    p.add_argument("--old-compressed", help="instead of --vcf: a file whose first line lists the segregating sites")
     p.add_argument("--reference", help="a file for each contig; left out, the variant files name them")
-    for name in ("layout", "params", "demography"):
+    p.add_argument("--layout", help="which haplotypes are used in which deme")
+    p.add_argument("--num-per-deme", type=lambda x: [int(n) for n in x.split(",")], help="instead of --layout: so many haplotypes in each deme, in order")
+    p.add_argument("--n-alleles", type=int, default=2, help="with --num-per-deme")
+    for name in ("params", "demography"):
         p.add_argument(f"--{name}", required=True)
     p.add_argument("--rates")
     p.add_argument("--mask")
@@ -45,7 +51,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--random-permutations", type=int)
     p.add_argument("--permutation-seed", type=int, default=0)
     p.add_argument("--csds-per-permutation", type=int)
-    p.add_argument("--loci-per-step", type=int, default=1000)
+    p.add_argument("--loci-per-step", type=int, help="1000, if left out; 1 where loci are skipped")
+    p.add_argument("--skip-loci", action="store_true", help="steps of one locus, of which only segregating ones are visited")
     p.add_argument("--intervals", default="loguniform")
     p.add_argument("--interval-params", default="8,0.01,4", help="numbers with commas; for combined, name:numbers/name:numbers")
     p.add_argument("--interval-points", help="a file of boundaries, instead of the two above")
@@ -101,12 +108,31 @@ def _starts(spark: SparkSession, a: argparse.Namespace, limits: list[tuple[float
     return [a.start]
 
 
+def _ingested(spark: SparkSession, a: argparse.Namespace, layout: Layout, params: Params) -> Ingested:
+    files = lambda x: x.split(",") if x else None
+    given = [x for x in ("vcf", "sequences", "compressed", "old_compressed") if getattr(a, x)]
+    match given:
+        case ["vcf"]:
+            return ingest(spark, files(a.vcf), files(a.reference), layout, a.filter_pass, files(a.mask), a.offset, phased_only=not a.unphased_as_missing, strict_duplicates=not a.ignore_double_entries, params=params)
+        case ["sequences"]:
+            return from_sites(sequences(spark, files(a.sequences), layout), layout)
+        case ["compressed"]:
+            return from_sites(compressed_sequences(spark, a.compressed, layout), layout)
+        case ["old_compressed"]:
+            return from_sites(old_compressed_sequences(spark, a.old_compressed, layout), layout)
+    raise ValueError("a study has variant files or one kind of sequence files")
+
+
 def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    layout: Layout = parse_layout(read_text(spark, a.layout))
+    if (a.layout is None) == (a.num_per_deme is None):
+        raise ValueError("a study has a layout or numbers of haplotypes, not both")
+    if a.skip_loci and a.loci_per_step not in (None, 1):
+        raise ValueError("loci can be skipped where a step is one locus")
+    a.loci_per_step = a.loci_per_step or (1 if a.skip_loci else 1000)
+    layout: Layout = parse_layout(read_text(spark, a.layout)) if a.layout else per_deme(a.num_per_deme, a.n_alleles)
     params = parse_params(read_text(spark, a.params), renormalize=not a.raw_matrix)
-    files = lambda x: x.split(",") if x else None
-    got = ingest(spark, files(a.vcf), files(a.reference), layout, a.filter_pass, files(a.mask), a.offset, phased_only=not a.unphased_as_missing, strict_duplicates=not a.ignore_double_entries, params=params)
+    got = _ingested(spark, a, layout, params)
     limits = [tuple(numbers(x)) for x in a.bounds.split(";")] if a.bounds else None
     template = parse_demography(read_text(spark, a.demography), read_text(spark, a.rates) if a.rates else None)
     sample = layout.members
@@ -118,8 +144,9 @@ def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     dimension = template.dimension + a.scale_recombination + a.estimate_theta
     members = spark.createDataFrame([(i,) for i in range(len(sample))], "hap int")
     lengths = got.lengths.select("chunk", F.expr(f"(n_loci + {a.loci_per_step} - 1) div {a.loci_per_step}").alias("n_steps"))
-    still = blocks.still_in_blocks(got.blocks, a.loci_per_step, layout.n_alleles)
-    data = prepared(blocks.pair_counts(got.sites, a.loci_per_step), _csds(spark, a, members, len(sample)), model, layout.n_alleles, still, lengths, together=a.likelihood.lower() == "oldpac")
+    # Where loci are skipped, those that do not segregate make no rows, but for runs that tell nothing.
+    rest = {"skip": True, "missing": blocks.missing_runs(got.blocks, got.sites)} if a.skip_loci else {"still": blocks.still_in_blocks(got.blocks, a.loci_per_step, layout.n_alleles)}
+    data = prepared(blocks.pair_counts(got.sites, a.loci_per_step), _csds(spark, a, members, len(sample)), model, layout.n_alleles, lengths=lengths, together=a.likelihood.lower() == "oldpac", **rest)
     starts = _starts(spark, a, limits, dimension)
     if any(p is None or len(p) != dimension for p in starts):
         raise ValueError(f"a start point has {dimension} coordinates")
@@ -132,9 +159,14 @@ def main(spark: SparkSession, argv: list[str] | None = None) -> None:
         T.write_results(results, a.text)
     if a.decode:
         best = max(rows, key=lambda r: r["loglik"])["point"]
-        posterior = posteriors(data.tensors, model.tables(best, data.keys), model.demes, model.n_demes, layout.n_alleles)
-        if a.print_loci or a.print_snps:
-            posterior = with_posteriors(printed(got.sites, got.lengths, a.print_loci, a.print_snps), posterior, a.loci_per_step)
+        wanted = printed(got.sites, got.lengths, a.print_loci, a.print_snps) if a.print_loci or a.print_snps else None
+        at = None
+        if a.skip_loci:
+            # Loci that are not asked for by name are all of them.
+            at = (wanted or printed(got.sites, got.lengths, 1, False)).select("chunk", F.col("pos").alias("step"))
+        posterior = posteriors(data.tensors, model.tables(best, data.keys), model.demes, model.n_demes, layout.n_alleles, at=at)
+        if wanted is not None:
+            posterior = with_posteriors(wanted, posterior, a.loci_per_step)
         posterior.write.parquet(a.decode)
 
 

@@ -141,6 +141,27 @@ def ingest_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _study(spark, sf_dir).sites.select("chunk", "pos", _cells())
 
 
+@query(f"with {LINES} select chunk, pos - 3 as pos, h0 || ' ' || h1 || ' ' || h3 as alleles from decoded where not still and pos >= 3")
+def ingest_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ingest_sites, where positions count from three loci further on: the reference lacks the first three, and files name
+    lines by the longer one's places."""
+    where = fresh(spark, "study")
+    rows = _variants(spark, sf_dir).where("pos >= 3")
+    paths = []
+    for chunk in (0, 1):
+        head = spark.createDataFrame([(-1, 0, HEAD)], "pos long, again int, value string")
+        T.write_lines(rows.where(F.col("chunk") == chunk).select("pos", "again", "value").unionByName(head), f"{where}/{chunk}.vcf", "pos", "again")
+        paths.append(f"{where}/{chunk}.vcf")
+    bases = _table(spark, sf_dir, "part").where("p_partkey >= 3").select("p_partkey", F.expr(REF).alias("value"))
+    T.write_lines(bases, f"{where}/short.fa", "p_partkey")
+    # A mask counts as the reference does.
+    regions = _table(spark, sf_dir, "part").where("p_partkey % 4 = 1 and p_size < 10 and p_partkey >= 3").select("p_partkey", F.concat_ws("\t", F.lit("1"), (F.col("p_partkey") - 3).cast("string"), (F.col("p_partkey") - 2 + F.col("p_size") % 3).cast("string")).alias("value"))
+    before = _table(spark, sf_dir, "part").where("p_partkey = 1 and p_size < 10 and p_size % 3 = 2").select("p_partkey", F.lit("1\t0\t1").alias("value"))
+    T.write_lines(before.unionByName(regions), f"{where}/mask.bed", "p_partkey")
+    study = V.ingest(spark, paths, [f"{where}/short.fa"] * 2, LAYOUT, "PASS", [f"{where}/mask.bed"] * 2, offset=3, strict_duplicates=False)
+    return study.sites.select("chunk", "pos", _cells())
+
+
 @query(f"with {LINES} select chunk, pos, allele from ref")
 def ingest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference of a whole ingest, locus by locus: missing where it is masked, blanked or unknown."""

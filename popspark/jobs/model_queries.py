@@ -75,6 +75,26 @@ def skipping_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_state(tensors, skip=True).select("chunk", "csd", F.round("loglik", 4).alias("loglik"))
 
 
+def _skipped_tensors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    segregating, _ = sites.folded(_sites(spark, sf_dir))
+    lengths = genotypes(spark, sf_dir).groupBy("chunk").agg((F.max("pos") + 1).alias("n_steps"))
+    return likelihood.step_tensors(blocks.pair_counts(segregating, 1), csd.pairwise(_haps(spark)), lengths=lengths), lengths
+
+
+def expected_skipping_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As expected_two_state, locus by locus, for loci of which only the segregating ones are visited."""
+    found = likelihood.summed_stats(_two_state(_skipped_tensors(spark, sf_dir)[0], with_stats=True, skip=True))
+    return found.select("kind", "place", F.round("value", 4).alias("value"))
+
+
+def posterior_skipping_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The posterior probability of each state at every hundredth locus, where only these and the segregating ones are visited."""
+    tensors, lengths = _skipped_tensors(spark, sf_dir)
+    at = sites.printed(_sites(spark, sf_dir), lengths.withColumnRenamed("n_steps", "n_loci"), every=100, segregating=False)
+    found = likelihood.posteriors(tensors, {((1,), 0): _two_states()}, dict.fromkeys(range(HAPS), 0), 1, 2, at=at.select("chunk", F.col("pos").alias("step")))
+    return found.select("chunk", "csd", "step", "state", F.round("probability", 6).alias("probability"))
+
+
 def expected_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected first states, transitions with and without recombination, and emissions, summed over all pairs and contigs."""
     found = likelihood.summed_stats(_two_state(_pair_tensors(spark, sf_dir), with_stats=True))
@@ -155,18 +175,23 @@ MEMBERS_SQL = f"""with recursive {PAIRS}, m as (select * from (values (0, 0), (1
 both_pairs as (select * from pairs union all select chunk, pos // {LOCI} as step, hap, hap, allele, allele, count(*) from used group by all),
 whole as (select p.chunk, p.step, x.member as add, y.member as trunk, p.a, p.b, p.n from m x join m y on x.member <> y.member join both_pairs p on p.add = x.hap and p.trunk = y.hap),
 {_chain('whole')} select chunk, add * 5 + trunk as csd, round(total, 5) as loglik from ends"""
-SKIPPING_SQL = f"""with recursive {PAIRS}, seg as (select x.chunk, x.pos as step, x.hap as add, y.hap as trunk, x.allele as a, y.allele as b, 1 as n
+SEG = f"""{PAIRS}, seg as (select x.chunk, x.pos as step, x.hap as add, y.hap as trunk, x.allele as a, y.allele as b, 1 as n
   from used x join used y on x.chunk = y.chunk and x.pos = y.pos and x.hap <> y.hap join site s on s.chunk = x.chunk and s.pos = x.pos where s.n_codes > 1),
-{_chain('seg', ('ln(0.95)', 'ln(0.6)')).replace("select chunk, max(step) as last from seg group by 1", "select chunk, max(pos) as last from g group by 1")}
-select chunk, add * 4 + trunk as csd, round(total, 4) as loglik from ends"""
-POSTERIOR_SQL = f"""with recursive {PAIRS}, {_chain('pairs')}
-select f.chunk, f.add * 4 + f.trunk as csd, f.step, s as state, round(exp(case when s = 0 then f0 + b0 else f1 + b1 end - total), 6) as probability
-from f join b using (chunk, add, trunk, step) join ends using (chunk, add, trunk) cross join (values (0), (1)) t(s)"""
-EXPECTED_SQL = f"""with recursive {PAIRS}, {_chain('pairs')},
-p as (select f.*, b0, b1, total from f join b using (chunk, add, trunk, step) join ends using (chunk, add, trunk)),
+{_chain('seg', ('ln(0.95)', 'ln(0.6)')).replace("select chunk, max(step) as last from seg group by 1", "select chunk, max(pos) as last from g group by 1")}"""
+SKIPPING_SQL = f"with recursive {SEG} select chunk, add * 4 + trunk as csd, round(total, 4) as loglik from ends"
+
+
+def _posteriors(where: str = "") -> str:
+    return f"""select f.chunk, f.add * 4 + f.trunk as csd, f.step, s as state, round(exp(case when s = 0 then f0 + b0 else f1 + b1 end - total), 6) as probability
+from f join b using (chunk, add, trunk, step) join ends using (chunk, add, trunk) cross join (values (0), (1)) t(s) {where}"""
+
+
+def _expected(pairs: str, still: tuple[str, str] = ("0", "0"), quiet: str = "0") -> str:
+    """Expected counts from the tables of a chain; quiet: the loci at which both show 0 in a step without counts."""
+    return f"""p as (select f.*, b0, b1, total from f join b using (chunk, add, trunk, step) join ends using (chunk, add, trunk)),
 s as (select * from (values (0), (1)) t(s)), d as (select * from (values (0), (1)) t(d)),
 steps as (select p.chunk, s.s, d.d, case when s.s = 0 then p.f0 else p.f1 end - p.total as x,
-   case when d.d = 0 then q.b0 + coalesce(e.e0, 0) else q.b1 + coalesce(e.e1, 0) end as y
+   case when d.d = 0 then q.b0 + coalesce(e.e0, {still[0]}) else q.b1 + coalesce(e.e1, {still[1]}) end as y
    from p join b q on q.chunk = p.chunk and q.add = p.add and q.trunk = p.trunk and q.step = p.step + 1
    left join e on e.chunk = q.chunk and e.add = q.add and e.trunk = q.trunk and e.step = q.step cross join s cross join d),
 moves as (select s, d, sum(exp(x + y + ln(case when s = 0 and d = 0 then 0.2 else 0.1 end))) as v from steps group by 1, 2)
@@ -175,9 +200,15 @@ select 'initial' as kind, s as place, sum(exp(case when s = 0 then f0 + b0 else
 union all select 'stay', s, sum(exp(x + y + ln(case when s = 0 then 0.7 else 0.8 end))) from steps where s = d group by 1, 2
 union all select 'move', s * 2 + d, v from moves
 union all select 'own', s, v from moves where s = d
-union all select 'emit', s * 4 + o.b * 2 + o.a, sum(coalesce(n, 0) * exp(case when s = 0 then f0 + b0 else f1 + b1 end - total))
+union all select 'emit', s * 4 + o.b * 2 + o.a, sum((coalesce(n, 0) + case when e.e0 is null and o.a = 0 and o.b = 0 then {quiet} else 0 end) * exp(case when s = 0 then f0 + b0 else f1 + b1 end - total))
   from p cross join s cross join (select x.d as a, y.d as b from d x cross join d y) o
-  left join pairs using (chunk, add, trunk, step, a, b) group by 1, 2)"""
+  left join e using (chunk, add, trunk, step) left join {pairs} w using (chunk, add, trunk, step, a, b) group by 1, 2)"""
+
+
+POSTERIOR_SQL = f"with recursive {PAIRS}, {_chain('pairs')} {_posteriors()}"
+POSTERIOR_SKIPPING_SQL = f"with recursive {SEG} {_posteriors('where f.step % 100 = 0')}"
+EXPECTED_SQL = f"with recursive {PAIRS}, {_chain('pairs')}, {_expected('pairs')}"
+EXPECTED_SKIPPING_SQL = f"with recursive {SEG}, {_expected('seg', ('ln(0.95)', 'ln(0.6)'), '1')}"
 PERMUTED_SQL = f"""with recursive {PAIRS}, {_chain('pairs')},
 perms as (select p as perm, hap, cast(row_number() over (partition by p order by md5('11:' || p || ':' || hap) desc) - 1 as integer) as rank from range(6) r(p) cross join h),
 first_ones as (select p.perm, p.hap as add, x.chunk, sum(x.n * ln(case when x.a = 0 then {PI[0]} else {PI[1]} end)) as l from perms p
@@ -254,7 +285,7 @@ def contigs_together(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        forward_two_state, forward_blocks, forward_members, skipping_two_state, expected_two_state, posterior_two_state, pac_two_state, oldpac_two_state, superpac_two_state,
+        forward_two_state, forward_blocks, forward_members, skipping_two_state, expected_skipping_two_state, posterior_skipping_two_state, expected_two_state, posterior_two_state, pac_two_state, oldpac_two_state, superpac_two_state,
         seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
     )
 }
@@ -263,6 +294,8 @@ SQL = {
     "forward_blocks": BLOCKS_SQL,
     "forward_members": MEMBERS_SQL,
     "skipping_two_state": SKIPPING_SQL,
+    "expected_skipping_two_state": EXPECTED_SKIPPING_SQL,
+    "posterior_skipping_two_state": POSTERIOR_SKIPPING_SQL,
     "expected_two_state": EXPECTED_SQL,
     "posterior_two_state": POSTERIOR_SQL,
     "pac_two_state": f"{PERMUTED_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",

@@ -9,6 +9,8 @@ from pyspark.sql import Window
 from popspark.operators.ordered import last_before
 
 ALLELES = ("A", "C", "G", "T")
+#: Letters of a reference that stand for several bases or none; they count as missing. Other letters are an error.
+UNKNOWN = "NRYSWKMBDHVUX-."
 #: Positions of a bin in which masks and variants meet.
 BIN = 10_000
 
@@ -95,6 +97,26 @@ def with_status(lines: DataFrame, n_alleles: int, filter_pass: str) -> DataFrame
     return lines.withColumn("status", status)
 
 
+def stands(base: Column, ref: Column, left_out: Column) -> Column:
+    """True for a line whose position and REF are fine; an error that says what is wrong for others.
+
+    base: the reference's letter at the line's position, empty or null outside of it. Lines that are left out need a position
+    inside the reference only.
+    """
+    letter = F.upper(ref)
+    known = "".join(ALLELES) + UNKNOWN
+    alike = lambda c: F.translate(F.upper(c), UNKNOWN, "N" * len(UNKNOWN))
+    error = lambda text: F.raise_error(F.concat(F.lit(text), letter)).cast("boolean")
+    return (
+        F.when(F.coalesce(base == "", F.lit(True)), F.raise_error(F.lit("a position is outside the reference")).cast("boolean"))
+        .when(left_out, True)
+        .when(F.length(ref) != 1, error("REF has several bases: "))
+        .when(F.translate(letter, known, "") != "", error("REF is no base: "))
+        .when(alike(base) != alike(ref), error("REF is not the reference's base: "))
+        .otherwise(True)
+    )
+
+
 def reference_faults(lines: DataFrame, reference: DataFrame) -> DataFrame:
     """Lines (chunk, pos, ref) whose reference base is not the one at their place; reference: (chunk, block, start, bases)."""
     blocks = reference.select(F.col("chunk").alias("_chunk"), F.col("start").alias("_start"), (F.col("start") + F.length("bases")).alias("_end"), "bases", F.col("block").alias("_block"), F.length("bases").alias("_size"))

@@ -11,7 +11,7 @@ from popspark.operators import sites as S
 from popspark.operators import variants as V
 from popspark.sources.layout import Layout
 from popspark.sources.models import Params, uniform
-from popspark.shared import cut
+from popspark.shared import written
 from popspark.sources.text import chunked_lines, read_mask, read_reference
 
 FIXED = 9
@@ -46,8 +46,8 @@ def _checked(ok: Column, value: Column, message: str, kind: str) -> Column:
 
 
 def read_lines(spark: SparkSession, paths: list[str], offset: int = 0) -> DataFrame:
-    """(chunk, line_no, chrom, pos, ref, alt, filter, format, gts); pos counts from 0. A row whose width is not its header's
-    is an error, and so is a header without REF, ALT, FILTER and FORMAT in their columns."""
+    """(chunk, line_no, chrom, pos, ref, alt, filter, format, gts); pos counts from 0 after the offset. A row whose width is not
+    its header's is an error, and so are a position below 0 and a header without REF, ALT, FILTER and FORMAT in their columns."""
     lines = chunked_lines(spark, paths)
     cells = F.split(F.trim("value"), r"\s+")
     fine = F.lit(True)
@@ -58,8 +58,9 @@ def read_lines(spark: SparkSession, paths: list[str], offset: int = 0) -> DataFr
     rows = lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")).select("chunk", "line_no", cells.alias("c")).join(F.broadcast(widths), "chunk", "left")
     c = _checked(F.size("c").eqNullSafe(F.col("width")), F.col("c"), "a row is not as wide as its header", "array<string>")
     rows = rows.select("chunk", "line_no", c.alias("c"))
+    pos = F.col("c")[1].cast("long") - 1 - offset
     return rows.select(
-        "chunk", "line_no", F.col("c")[0].alias("chrom"), (F.col("c")[1].cast("long") - 1 - offset).alias("pos"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"),
+        "chunk", "line_no", F.col("c")[0].alias("chrom"), _checked(pos >= 0, pos, "a position is outside the reference", "long").alias("pos"), F.col("c")[3].alias("ref"), F.col("c")[4].alias("alt"),
         F.col("c")[6].alias("filter"), F.col("c")[8].alias("format"), F.slice("c", FIXED + 1, F.size("c") - FIXED).alias("gts"),
     )
 
@@ -97,8 +98,9 @@ def _used(lines: DataFrame, layout: Layout, phased_only: bool) -> Column:
 
 def overlaid(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     """blocks (chunk, block, start, codes) with what edits (chunk, block, at, n, code) put in place: n times a character from
-    a block's at-th on. Edits of one block do not overlap. Blocks and edits meet once, and each block is put together from
+    a block's at-th on. Edits of one block do not overlap, and none begins before its block. Blocks and edits meet once, and each block is put together from
     the pieces between its edits."""
+    edits = edits.withColumn("at", _checked(F.col("at") >= 0, F.col("at"), "an edit begins before its block", "long"))
     made = edits.groupBy("chunk", "block").agg(F.sort_array(F.collect_list(F.struct("at", "n", "code"))).alias("edits"))
     joined = blocks.join(made, ["chunk", "block"], "left")
     end = lambda i: F.when(i > 0, F.col("edits")[i - 1]["at"] + F.col("edits")[i - 1]["n"]).otherwise(F.lit(0))
@@ -109,15 +111,11 @@ def overlaid(blocks: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.select("chunk", "block", "start", F.when(F.col("edits").isNotNull(), whole).otherwise(F.col("codes")).alias("codes"))
 
 
-#: Letters of a reference that stand for several bases or none; they count as missing. Other letters are an error.
-UNKNOWN = "NRYSWKMBDHVUX-."
-
-
 def coded(bases: Column, n_alleles: int) -> Column:
     """A reference's letters as codes: with four alleles their digits, with fewer 0; unknown ones are a dot."""
     known = "".join(V.ALLELES)
-    left = F.translate(bases, known + UNKNOWN, "")
-    codes = F.translate(bases, known + UNKNOWN, ("0123" if n_alleles == len(known) else "0000") + "." * len(UNKNOWN))
+    left = F.translate(bases, known + V.UNKNOWN, "")
+    codes = F.translate(bases, known + V.UNKNOWN, ("0123" if n_alleles == len(known) else "0000") + "." * len(V.UNKNOWN))
     return F.when(left == "", codes).otherwise(F.raise_error(F.concat(F.lit("no base of a reference: "), left)).cast("string"))
 
 
@@ -136,18 +134,21 @@ def ingest(
     """Contigs (one file of each kind for each) as segregating sites and a reference.
 
     Lines that fail the filter or have too many alleles make their locus missing; masked ones are left out and their loci
-    missing. Multi-base or equal alleles, another FORMAT, a REF that is not the reference's base, a position outside the
-    reference, and a genotype count other than the layout's are errors; so are masks with regions that overlap or are out of
+    missing. A position outside the reference is an error on any line; so is, on any line that is neither masked nor a repeated
+    one, whatever its filter says, a REF of several bases, one that is no letter of a reference, and one that is not the
+    reference's base (letters for unknown bases are alike). On lines that pass the filter, multi-base or equal alleles, another
+    FORMAT and a genotype count other than the layout's are errors. So are masks with regions that overlap or are out of
     order, segregating sites whose positions do not rise, and studies without any. With fewer than four alleles, the
     reference's bases become 0, and the mutation matrix, if given, has to be uniform. Without ``reference``, the variant
     files' headers name them.
 
+    The reference and what is left of the lines are written once; checks and results read them there.
     Only the codes of the used haplotypes travel with a line, and a locus of the reference is a character in a block.
     """
     if params is not None and layout.n_alleles < len(V.ALLELES) and not uniform(params.matrix):
         raise ValueError("with fewer than four alleles, the mutation matrix has to be uniform")
     lines = read_lines(spark, vcf, offset)
-    bases = read_reference(spark, reference or [reference_of(spark, v) for v in vcf], V.BIN)
+    bases = written(read_reference(spark, reference or [reference_of(spark, v) for v in vcf], V.BIN), "reference")
     regions = read_mask(spark, mask) if mask else None
     if regions is not None:
         if V.mask_faults(regions).limit(1).count():
@@ -169,17 +170,14 @@ def ingest(
     lines = lines.withColumn("status", F.when(fatal, F.raise_error(F.concat(F.lit("line of kind "), "status")).cast("string")).otherwise(F.col("status")))
 
     block = F.expr(f"pos div {V.BIN}").alias("block")
-    usable = lines.where("status = 'usable'").select("chunk", "line_no", "pos", block, F.upper("ref").alias("ref"), _used(lines, layout, phased_only).alias("alleles"))
     texts = bases.select("chunk", "block", F.col("start").alias("_start"), "bases")
-    met = usable.join(texts, ["chunk", "block"], "left")
+    met = lines.withColumn("block", block).join(texts, ["chunk", "block"], "left")
     base = F.substring("bases", (F.col("pos") - F.col("_start") + 1).cast("int"), F.lit(1))
-    same = F.coalesce(base == F.col("ref"), F.lit(False))
-    outside = F.coalesce(base == "", F.lit(True))
-    wrong = F.raise_error(F.when(outside, F.lit("a position is outside the reference")).otherwise(F.lit("REF is not the reference's base"))).cast("boolean")
-    # In a filter, as a column that nothing reads would be left out, and the check with it.
-    met = met.where(F.when(same, True).otherwise(wrong))
-    # Kept, as the checks below and all results read it: codes of the used haplotypes only.
-    segregating, still = S.folded(cut(met.select("chunk", "line_no", "pos", "alleles")), "line_no")
+    met = met.where(V.stands(base, F.col("ref"), F.col("status").isin("masked", "duplicate")))
+    # Kept, as the checks below and all results read it: codes of the used haplotypes only, and of the lines that count.
+    codes = F.when(F.col("status") == "usable", _used(lines, layout, phased_only))
+    kept = written(met.select("chunk", "line_no", "pos", "ref", "status", codes.alias("alleles")), "lines")
+    segregating, still = S.folded(kept.where("status = 'usable'").select("chunk", "line_no", "pos", "alleles"), "line_no")
     if V.order_faults(segregating.select("chunk", "line_no", "pos")).limit(1).count():
         raise ValueError("segregating sites are not in order of their positions")
     if not segregating.limit(1).count():
@@ -187,7 +185,7 @@ def ingest(
 
     at = F.expr(f"pos % {V.BIN}")
     edit = lambda df, code: df.select("chunk", block, at.alias("at"), F.lit(1).cast("long").alias("n"), code.alias("code"))
-    edits = edit(segregating, F.lit("*")).unionByName(edit(still, F.coalesce(F.col("allele").cast("string"), F.lit(".")))).unionByName(edit(lines.where("status in ('filter_failed', 'too_many_alleles')"), F.lit(".")))
+    edits = edit(segregating, F.lit("*")).unionByName(edit(still, F.coalesce(F.col("allele").cast("string"), F.lit(".")))).unionByName(edit(kept.where("status in ('filter_failed', 'too_many_alleles')"), F.lit(".")))
     if regions is not None:
         pieces = V.binned(regions, V.BIN)
         low, high = F.greatest(F.col("start"), F.col("bin") * V.BIN), F.least(F.col("end"), (F.col("bin") + 1) * V.BIN)
@@ -196,7 +194,27 @@ def ingest(
     # A mask may go beyond the reference.
     size = bases.select("chunk", "block", F.length("bases").alias("size"))
     blocks = blocks.join(size, ["chunk", "block"]).select("chunk", "block", "start", F.substring("codes", F.lit(1), F.col("size")).alias("codes"))
-    return Ingested(segregating.select("chunk", "pos", "alleles"), blocks, lines.select("chunk", "line_no", "pos", "ref", "status"))
+    return Ingested(segregating.select("chunk", "pos", "alleles"), blocks, kept.drop("alleles"))
+
+
+def from_sites(sites: DataFrame, layout: Layout) -> Ingested:
+    """Sites (chunk, pos, alleles) of sequence files as a study of their own: sites that do not segregate give the reference,
+    and loci without a site, of which the layout knows the number, show allele 0. A study without segregating sites is an
+    error, as is one whose layout names fewer loci than a site has."""
+    segregating, still = S.folded(written(sites, "sites"))
+    if not segregating.limit(1).count():
+        raise ValueError("no segregating site is left")
+    ends = sites.groupBy("chunk").agg((F.max("pos") + 1).cast("long").alias("n_loci"))
+    if layout.n_loci:
+        n = F.lit(layout.n_loci).cast("long")
+        ends = ends.withColumn("n_loci", _checked(F.col("n_loci") <= n, n, "a site is beyond the layout's number of loci", "long"))
+    start = F.col("block") * V.BIN
+    plain = ends.select("chunk", "n_loci", F.explode(F.expr(f"sequence(0, (n_loci - 1) div {V.BIN})")).alias("block"))
+    plain = plain.select("chunk", "block", start.alias("start"), F.repeat(F.lit("0"), F.least(F.lit(V.BIN), F.col("n_loci") - start).cast("int")).alias("codes"))
+    edit = lambda df, code: df.select("chunk", F.expr(f"pos div {V.BIN}").alias("block"), F.expr(f"pos % {V.BIN}").alias("at"), F.lit(1).cast("long").alias("n"), code.alias("code"))
+    edits = edit(segregating, F.lit("*")).unionByName(edit(still, F.coalesce(F.col("allele").cast("string"), F.lit("."))))
+    none = sites.limit(0).select("chunk", F.lit(0).cast("long").alias("line_no"), "pos", F.lit("").alias("ref"), F.lit("usable").alias("status"))
+    return Ingested(segregating.select("chunk", "pos", "alleles"), overlaid(plain, edits), none)
 
 
 def sequences(spark: SparkSession, paths: list[str], layout: Layout, alleles: list[str] | None = None) -> DataFrame:

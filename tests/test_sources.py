@@ -269,6 +269,60 @@ def test_whole_study(spark, study, tmp_path):
     assert spark.read.parquet(str(tmp_path / "grid")).count() == 2
 
 
+def test_lines_are_checked_whatever_their_filter(spark, study):
+    """Offsets past a line, indels and foreign REFs are errors on lines that fail the filter, too; masked lines may be anything
+    inside the reference."""
+    head = VARIANTS.splitlines()[1] + "\n"
+    for offset, pos in ((1, 1), (2, 1), (5, 3), (0, 21)):
+        with pytest.raises(Exception, match="outside the reference"):
+            VCF.ingest(spark, [study("a.vcf", f"{head}1 {pos} . N A 36 LOW . GT ./. ./. ./. ./.\n")], [study("a.fa", BASES)], L.parse_layout(EIGHT), ".", offset=offset)
+    for ref, message in (("GA", "several bases"), ("J", "no base"), ("C", "not the reference's base")):
+        bad = VARIANTS.replace("1 7 . G T 58 .", f"1 7 . {ref} T 58 LOW")
+        with pytest.raises(Exception, match=message):
+            VCF.ingest(spark, [study("b.vcf", bad)], [study("a.fa", BASES)], L.parse_layout(EIGHT), ".")
+    masked = VCF.ingest(spark, [study("b.vcf", bad)], [study("a.fa", BASES)], L.parse_layout(EIGHT), ".", [study("m.bed", "1 6 7\n")])
+    assert masked.lines.where("status = 'masked'").count() == 1
+
+
+def test_study_from_sequences(spark, study, tmp_path):
+    """Sequence files of all kinds with the same letters give the same likelihood, and with numbers for each deme as with a layout."""
+    from popspark.jobs.cli import main
+
+    rest = ["--params", study("a.param", "0.01\n0.01\n0 1\n1 0\n"), "--demography", study("a.demo", "[0.2]\n{{0}}\n?0\nnull\n0\n{{0}}\n1\nnull\n0\n"), "--interval-params", "2,0.1,1", "--likelihood", "lol", "--start", "1", "--loci-per-step", "2"]
+    full = study("f.txt", "AACAAA\nACAAAC\nAAAAAC\n")
+    short = study("c.txt", "NUM LOCI\n6\nSEGREGATING SITES\n1 2 5\nHAPLOTYPES\nACA\nCAC\nAAC\n")
+    old = study("o.txt", "1 2 5\nACA\nCAC\nAAC\n")
+    layout = study("l.config", "6 2 1\n1\n1\n1\n")
+    values = []
+    for i, kind in enumerate((["--sequences", full, "--layout", layout], ["--compressed", short, "--layout", layout], ["--old-compressed", old, "--layout", layout], ["--sequences", full, "--num-per-deme", "3"])):
+        main(spark, [*kind, *rest, "--out", str(tmp_path / f"s{i}")])
+        values.append(spark.read.parquet(str(tmp_path / f"s{i}")).first().loglik)
+    assert values == pytest.approx([values[0]] * 4) and values[0] < 0
+    with pytest.raises(ValueError, match="kind of sequence"):
+        main(spark, ["--sequences", full, "--old-compressed", old, "--layout", layout, *rest, "--out", "none"])
+
+
+def test_skipping_from_the_command_line(spark, study, tmp_path):
+    """Skipping loci gives what steps of one locus give: likelihood, EM path and decoded states, with masked runs and a site that
+    lacks an allele."""
+    from popspark.jobs.cli import main
+
+    letters = "".join("ACGT"[(7 * i * i) % 4] for i in range(400))
+    lines = [(p, letters[p], "ACGT"["ACGT".index(letters[p]) - 1], g) for p, g in ((3, "0|1 0|0"), (40, "1|1 0|1"), (41, "0|0 1|0"), (170, ".|1 0|1"), (300, "0|1 1|1"), (399, "1|0 0|0"))]
+    vcf = "#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT A B\n" + "".join(f"1 {p + 1} . {r} {a} 1 PASS . GT {g}\n" for p, r, a, g in lines)
+    args = {"vcf": study("a.vcf", vcf), "reference": study("a.fa", letters[:250] + "\n" + letters[250:310] + "NNNN" + letters[314:] + "\n"), "mask": study("m.bed", "1 100 150\n1 160 165\n"), "layout": study("a.config", "400 2 1\n1\n1\n1\n1\n"), "params": study("a.param", "0.01\n0.01\n0 1\n1 0\n"), "demography": study("a.demo", "[0.2]\n{{0}}\n?0\nnull\n0\n{{0}}\n1\nnull\n0\n")}
+    flat = [y for k, v in args.items() for y in (f"--{k}", v)]
+    more = ["--interval-params", "2,0.1,1", "--likelihood", "lol", "--start", "1", "--em-iterations", "1", "--m-iterations", "3", "--print-snps", "--print-loci", "50"]
+    for name, extra in (("one", ["--loci-per-step", "1"]), ("skip", ["--skip-loci"])):
+        main(spark, [*flat, *more, *extra, "--out", str(tmp_path / name), "--decode", str(tmp_path / f"{name}-d")])
+    paths = [[(r.em_step, pytest.approx(r.loglik), pytest.approx(r.point)) for r in spark.read.parquet(str(tmp_path / n)).orderBy("em_step").collect()] for n in ("one", "skip")]
+    assert len(paths[0]) == 2 and [(a, b.expected, c.expected) for a, b, c in paths[1]] == paths[0]
+    states = [{(r.pos, r.csd, r.state): r.probability for r in spark.read.parquet(str(tmp_path / f"{n}-d")).collect()} for n in ("one", "skip")]
+    assert {p for p, _, _ in states[0]} == {0, 3, 40, 41, 50, 100, 150, 170, 200, 250, 300, 350, 399} and states[1] == pytest.approx(states[0])
+    with pytest.raises(ValueError, match="one locus"):
+        main(spark, [*flat, *more, "--skip-loci", "--loci-per-step", "2", "--out", str(tmp_path / "no")])
+
+
 def test_counters(spark, study):
     got = ingest(spark, study, VARIANTS.replace("98 .", "98 low"))
     assert {r.status: r.n for r in VCF.line_counters(got).collect()} == {"usable": 3, "filter_failed": 1}
