@@ -58,6 +58,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--interval-points", help="a file of boundaries, instead of the two above")
     p.add_argument("--trunk", default="migratingethan")
     p.add_argument("--cake", default="average")
+    p.add_argument("--core", default="auto", help="how tables are made: auto, spectral, adaptive or steps")
     p.add_argument("--least-migration", type=float, default=0.005)
     p.add_argument("--bounds", help="low,high;low,high;...")
     p.add_argument("--start", type=numbers)
@@ -139,7 +140,7 @@ def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     intervals, interval_params = ("customfixed", T.read_points(spark, a.interval_points)) if a.interval_points else (a.intervals, a.interval_params)
     model = Model(
         template, params, {i: d for i, (_, d) in enumerate(sample)}, layout.n_demes, a.loci_per_step, intervals, interval_params, a.trunk, a.least_migration, limits,
-        haps={i: h for i, (h, _) in enumerate(sample)}, scale_recombination=a.scale_recombination, estimate_theta=a.estimate_theta, objective=a.objective, cake=a.cake,
+        haps={i: h for i, (h, _) in enumerate(sample)}, scale_recombination=a.scale_recombination, estimate_theta=a.estimate_theta, objective=a.objective, cake=a.cake, core=a.core,
     )
     dimension = template.dimension + a.scale_recombination + a.estimate_theta
     members = spark.createDataFrame([(i,) for i in range(len(sample))], "hap int")

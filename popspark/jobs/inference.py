@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.model import hmm
-from popspark.model.coalescent import tables
+from popspark.model.cores import made
 from popspark.model.intervals import boundaries
 from popspark.operators import csd as C
 from popspark.operators.likelihood import Key, across_contigs, chunk_likelihood, evaluated, step_tensors, summed_stats, table_key
@@ -50,6 +50,7 @@ class Model:
     estimate_theta: bool = False
     objective: str = "lineage"
     cake: str = "average"
+    core: str = "auto"
 
     def at(self, point: list[float]) -> tuple[list[float], Params]:
         """The demography's part of a point, and the rates there."""
@@ -68,11 +69,11 @@ class Model:
         epochs = bound(with_least_migration(self.template, params, self.least_migration), rest, halve_migration=self.style != "simple")
         if epochs is None or params.theta <= 0 or params.rho <= 0:
             return None
-        made = {}
+        out = {}
         for k in keys:
             bounds = boundaries(self.interval_type, self.interval_params, epochs, np.array(k[0]), k[1])
-            made[k] = tables(epochs, bounds, np.array(k[0]), k[1], params, self.loci, self.style, per_piece=self.per_piece, cake=self.cake)
-        return made
+            out[k] = made(self.core, epochs, bounds, np.array(k[0]), k[1], params, self.loci, self.style, cake=self.cake, per_piece=self.per_piece)
+        return out
 
 
 @dataclass
@@ -133,8 +134,8 @@ def made_tables(spark: SparkSession, model: Model, points: dict[int, list[float]
     """Tables of each kind of CSD at each point that makes a demography: a task for each point and kind, whose result is a few
     hundred numbers."""
     if len(points) <= OWN:
-        made = {i: model.tables(p, keys) for i, p in points.items()}
-        return {i: t for i, t in made.items() if t is not None}
+        own = {i: model.tables(p, keys) for i, p in points.items()}
+        return {i: t for i, t in own.items() if t is not None}
     ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +314,8 @@ def em_runs(data: Data, model: Model, starts: dict[int, list[float]], iterations
                 after |= m_steps(sums, data, model, going, m_iterations, **options)
             elif going:
                 rows = [r.asDict() for r in sums.where(F.col("particle_id").isin(list(going))).collect()]
-                after |= {i: m_step(_shaped(rows, data.n_alleles), model, p, m_iterations, **options) for i, p in going.items()}
+                for i, p in going.items():
+                    after[i] = m_step(_shaped([r for r in rows if r["particle_id"] == i], data.n_alleles), model, p, m_iterations, **options)
         for i in points:
             if len(paths[i]) <= step:
                 paths[i].append({"em_step": step, "point": list(points[i]), "loglik": float("-inf"), "ms": took})

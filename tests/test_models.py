@@ -334,3 +334,230 @@ def test_skipping(places):
     want = hmm.forward(counts, t, share)[1]
     cells = hmm.Cells.of(*(np.array(x, int) for x in ([p for p in places for _ in (0, 1)], [0, 1] * len(places), [1, 1] * len(places), [0, 1] * len(places), [1, 1] * len(places))), n, 2, 2)
     assert np.isclose(hmm.skipping(cells, t, share), want)
+
+
+def dense_with_gaps(seed):
+    """A chain of still, missing and segregating loci: (dense counts, cells, missing runs)."""
+    r = np.random.default_rng(seed)
+    n = int(r.integers(1, 80))
+    places = sorted(set(r.integers(0, n, int(r.integers(0, 6))).tolist()))
+    missing, at = [], 0
+    while at < n and seed % 2:
+        at += int(r.integers(1, 12))
+        run = int(r.integers(1, 9))
+        if at < n:
+            missing.append((at, min(run, n - at)))
+        at += run + 1
+    dense, rows = np.zeros((n, 2, 2, 2)), []
+    dense[:, :, 0, 0] = 1
+    for low, run in missing:
+        dense[low : low + run] = 0
+    for k in places:
+        dense[k] = 0
+        dense[k, 0, 1, 0] = dense[k, 1, 1, 1] = 1
+        rows += [(k, 0, 1, 0, 1), (k, 1, 1, 1, 1)]
+    return dense, hmm.Cells.of(*np.array(rows, int).reshape(-1, 5).T, n, 2, 2), np.array(missing, int).reshape(-1, 2)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_expected_counts_under_skipping(seed):
+    """Counts and posteriors that come out of jumps are those of the chain that goes locus by locus."""
+    t = random_tables(3, 1, seed)
+    share = t.shares([0, 0])
+    dense, cells, missing = dense_with_gaps(seed)
+    total, want = hmm.expected(hmm.Cells.dense(dense), t, share)
+    found, got = hmm.skipping_expected(cells, t, share, missing=missing)
+    assert np.isclose(found, total) and np.isclose(hmm.skipping(cells, t, share, missing=missing), total)
+    for x, y in zip(got, want, strict=True):
+        assert np.allclose(x, y, atol=1e-10)
+    plain = np.concatenate([p for _, p in list(hmm.decoded(hmm.Cells.dense(dense), t, share))[::-1]])
+    places = np.arange(0, len(dense), 4)
+    steps, states = zip(*list(hmm.skipping_decoded(cells, t, share, places, missing=missing))[::-1], strict=True)
+    assert np.concatenate(steps).tolist() == places.tolist() and np.allclose(np.concatenate(states), plain[places])
+
+
+def test_logarithms_in_blocks(monkeypatch):
+    """Where plain numbers do not reach, the chain goes in logarithms, block by block: counts and states are those of the whole."""
+    monkeypatch.setattr(hmm, "BLOCK", 7)
+    t = random_tables(3, 1, 2)
+    r = np.random.default_rng(5)
+    dense = r.integers(0, 3, (40, 2, 2, 2)) * 900.0
+    move = np.where(np.eye(3) > 0, t.move, -800.0)
+    sharp = hmm.Tables(t.initial, np.log1p(-np.exp(move).sum(1)), move, np.log(np.array([[[1 - 1e-9, 1e-9], [1e-9, 1 - 1e-9]], [[0.5, 0.5], [0.5, 0.5]], [[1e-9, 1 - 1e-9], [1 - 1e-9, 1e-9]]])), t.deme)
+    share = sharp.shares([0, 0])
+    with pytest.raises(hmm._Underflow):
+        hmm._Chain(hmm.Cells.dense(dense), sharp, share).forward()
+    total, want = hmm.expected_in_logs(dense, sharp, share)
+    found, got = hmm.expected(hmm.Cells.dense(dense), sharp, share)
+    assert np.isclose(found, total) and all(np.allclose(x, y) for x, y in zip(got, want, strict=True))
+    assert hmm.logliks(hmm.Cells.dense(dense), [sharp, t], [share, t.shares([0, 0])]) == pytest.approx([total, hmm.forward(dense, t, share)[1]])
+    f, value = hmm.forward(dense, sharp, share)
+    states = np.concatenate([p for _, p in list(hmm.decoded(hmm.Cells.dense(dense), sharp, share))[::-1]])
+    assert np.allclose(states, np.exp(f + hmm.backward(dense, sharp, share) - value).sum(2))
+
+
+def test_particles_in_tasks(spark, monkeypatch):
+    """Tables and M-steps that tasks make are those that the driver makes, and parts of the particles give what all do."""
+    from popspark.jobs import inference
+
+    counts = [(c, s, i, j, (s + i) % 2, (s * j) % 2, 2) for c in range(2) for s in range(4) for i in range(3) for j in range(3) if i != j]
+    frame = spark.createDataFrame(counts, "chunk int, step int, add int, trunk int, a int, b int, n long")
+    members = spark.createDataFrame([(0,), (1,), (2,)], "hap int")
+    model = Model(parse_demography(ONE), PARAMS, dict.fromkeys(range(3), 0), 1, interval_params=[2, 0.1, 1], limits=[(0.1, 9.0), (0.1, 9.0)], style="simple")
+    data = prepared(frame, csd.leave_one_out(members), model, 2)
+    starts = inference.random_starts(model.limits, 5, 3) + [[100.0, 1.0]]
+    found = []
+    for own, groups in ((1, None), (100, None), (1, 3)):
+        monkeypatch.setattr(inference, "OWN", own)
+        if groups:
+            monkeypatch.setattr(inference.Data, "groups", lambda self, particles, abreast: groups)
+        rows = inference.genetic(data, model, starts, 2, 2, 4, em_iterations=1, m_iterations=3)
+        found.append([(r["generation"], r["em_step"], r["particle_id"], r["loglik"], *r["point"]) for r in rows])
+    assert len(found[0]) > 20 and any(x[3] == -np.inf for x in found[0])
+    for other in found[1:]:
+        assert [x[:3] for x in other] == [x[:3] for x in found[0]]
+        assert np.allclose([x[3:] for x in other if x[3] > -np.inf], [x[3:] for x in found[0] if x[3] > -np.inf], rtol=1e-6)
+
+
+BOUNDS = [0.0, 0.05, 0.2, 0.31, 0.9, 2.0, float("inf")]
+#: Two demes with migration, a pulse, and one deme before; one deme that grows; two demes apart, of which the trunk is in one.
+PULSED = "[0.1, ?0]\n{{0},{1}}\n?1 0.7\nnull\n0 0.4\n0.2 0\n{{0},{1}}\nnull\n0.8 0.2\n0 1\nnull\n{{0,1}}\n1.5\nnull\n0\n"
+
+
+def difference(x, y):
+    return max(float(abs(np.exp(getattr(x, k)) - np.exp(getattr(y, k))).max()) for k in ("initial", "stay", "move", "emit"))
+
+
+class TestCores:
+    def epochs(self, text, point, **options):
+        return bound(parse_demography(text, **options), point)
+
+    def test_cores_agree(self):
+        from popspark.model.cores import HELD, made
+
+        two = self.epochs("[?0]\n{{0},{1}}\n?1 ?2\nnull\n0 ?3\n?3 0\n{{0,1}}\n?4\nnull\n0\n", [0.3, 1.0, 0.8, 0.5, 1.2])
+        three = parse_params("0.05\n0.02\n0 .5 .5\n.2 .6 .2\n.4 .4 .2\n")
+        for style in HELD:
+            for one_event, params in ((True, PARAMS), (False, three)):
+                same = (two, BOUNDS, np.array([2, 3]), 0, params, 5, style, one_event)
+                exact = made("spectral", *same)
+                assert difference(exact, made("adaptive", *same, tolerance=1e-12)) < 1e-9
+                assert difference(exact, made("steps", *same)) < 1e-3
+                assert difference(exact, made("auto", *same)) == 0
+        moving = (two, BOUNDS, np.array([2, 3]), 1, PARAMS, 5, "migratingethan")
+        assert difference(made("adaptive", *moving, tolerance=1e-12), made("steps", *moving, per_piece=200)) < 1e-5
+        assert difference(made("auto", *moving), made("adaptive", *moving, tolerance=1e-12)) < 1e-6
+
+    def test_one_deme_in_closed_form(self):
+        """A trunk of n that stays in one deme of size s: the first state is exponential, and neighbours that have not recombined
+        at rate 1 are as exponential with the sum of the rates."""
+        from popspark.model.cores import made
+
+        rho, rate = PARAMS.rho * 7, 4 / 1.5
+        one = self.epochs("[0.2]\n{{0}}\n?0\nnull\n0\n{{0}}\n?0\nnull\n0\n", [1.5])
+        t = np.array(BOUNDS)
+        law = -np.diff(np.exp(-rate * t))
+        still = -np.diff(np.exp(-(rate + rho) * t)) * rate / (rate + rho)
+        for core in ("spectral", "adaptive"):
+            got = made(core, one, BOUNDS, np.array([4]), 0, PARAMS, 7, "simple")
+            assert np.allclose(np.exp(got.initial), law, atol=1e-8) and np.allclose(np.exp(got.stay), still / law, atol=1e-7)
+            assert np.allclose(np.exp(got.stay) + np.exp(got.move).sum(1), 1)
+            # Where both lineages are absorbed in later intervals than that of the recombination, they are independent.
+            joint = np.exp(got.initial)[:, None] * np.exp(got.move)
+            assert np.allclose(joint, joint.T, atol=1e-8)
+            late = joint[-2:, -2:]
+            assert np.isclose(late[0, 1] / late.sum(), joint[-2, -1] / late.sum())
+
+    def test_pulses_and_demes_apart(self):
+        from popspark.model.cores import made
+
+        pulsed = self.epochs(PULSED, [0.5, 1.1])
+        for style in ("simple", "migratingethan", "migmulticakeupdating"):
+            for deme in (0, 1):
+                same = (pulsed, BOUNDS, np.array([3, 2]), deme, PARAMS, 3, style)
+                assert difference(made("adaptive", *same, tolerance=1e-11), made("steps", *same, per_piece=150)) < 1e-5
+        assert difference(made("spectral", pulsed, BOUNDS, np.array([3, 2]), 0, PARAMS, 3, "simple"), made("adaptive", pulsed, BOUNDS, np.array([3, 2]), 0, PARAMS, 3, "simple", tolerance=1e-12)) < 1e-9
+        # A deme without trunk that nothing leaves until the demes merge: an eigenvalue of 0.
+        apart = self.epochs("[0.4]\n{{0},{1}}\n1 1\nnull\n0 0\n0 0\n{{0,1}}\n1\nnull\n0\n", [])
+        same = (apart, BOUNDS, np.array([3, 0]), 1, PARAMS, 3, "simple")
+        got = made("spectral", *same)
+        assert difference(got, made("adaptive", *same, tolerance=1e-12)) < 1e-9
+        assert np.isclose(np.exp(got.initial[0::2])[:3].sum(), 0) and np.isclose(np.exp(got.initial).sum(), 1)
+
+    def test_growth(self):
+        """With growth, error control meets ever finer steps; the spectral core refuses."""
+        from popspark.model.cores import made
+
+        grown = self.epochs("[0.5]\n{{0}}\n1.0\nnull\n0\n{{0}}\n0.6\nnull\n0\n", [], rates="1.3\n0\n")
+        same = (grown, BOUNDS, np.array([3]), 0, PARAMS, 3, "simple")
+        best = made("adaptive", *same, tolerance=1e-12)
+        errors = [difference(best, made("steps", *same, per_piece=n)) for n in (20, 40, 80, 160)]
+        assert errors[-1] < 2e-5 and all(a > 3 * b for a, b in zip(errors, errors[1:], strict=False))
+        assert difference(best, made("adaptive", *same, tolerance=1e-10)) < 1e-8 and difference(best, made("auto", *same)) < 1e-6
+        with pytest.raises(ValueError, match="growth"):
+            made("spectral", *same)
+
+    def test_matrices_without_eigenvectors(self):
+        from popspark.model.spectral import spectrum
+
+        with pytest.raises(ValueError, match="diagonalized"):
+            spectrum(np.array([[-1.0, 1.0], [0.0, -1.0]]))
+        values, parts = spectrum(np.array([[-2.0, 2.0], [0.0, 0.0]]))
+        assert sorted(values.real) == [-2, 0] and np.allclose(parts.sum(0), np.eye(2))
+
+
+class TestTrunks:
+    @pytest.mark.parametrize("n", range(1, 9))
+    def test_exact_cake_against_the_death_process(self, n):
+        """n + 1 lineages that coalesce pair by pair: a matrix exponential of the chain of their number, in which one of them is
+        left alone so far."""
+        from popspark.model.coalescent import expm, unabsorbed, unabsorbed_time
+
+        size = n + 2
+        q = np.zeros((size, size))
+        for k in range(2, n + 2):
+            q[k, k] = -k * (k - 1) / 2
+            q[k, k - 1] = (k - 1) * (k - 2) / 2
+        for t in (0.0, 0.03, 0.4, 2.0):
+            want = expm(q[None] * t)[0][n + 1, 2:].sum()
+            assert unabsorbed(n, t) == pytest.approx(want, abs=1e-12)
+            assert unabsorbed_time(n, t) == pytest.approx(-np.linalg.solve(q[2:, 2:], np.ones(n))[None] @ expm(q[None] * t)[0][n + 1, 2:], rel=1e-9)
+
+    def test_many_lineages_keep_their_digits(self):
+        from decimal import Decimal, getcontext
+
+        from popspark.model.coalescent import unabsorbed
+
+        getcontext().prec = 120
+        n, t = 100, Decimal("0.013")
+        share, total = Decimal(1), Decimal(0)
+        for i in range(1, n + 2):
+            share *= Decimal(n + 2 - i) / Decimal(n + i)
+            if i > 1:
+                total += (2 * i - 1) * i * (i - 1) * share / (n * (n + 1)) * (-Decimal(i * (i - 1)) / 2 * t).exp()
+        assert unabsorbed(n, 0.013) == pytest.approx(float(total), rel=1e-12) and unabsorbed(n, 0.0) == pytest.approx(1, rel=1e-12)
+
+    def test_exact_cake_absorbs_as_the_coalescent_does(self):
+        from popspark.model.coalescent import unabsorbed
+        from popspark.model.cores import made
+
+        one = bound(parse_demography("[0.2]\n{{0}}\n2\nnull\n0\n{{0}}\n2\nnull\n0\n"), [])
+        got = made("spectral", one, BOUNDS, np.array([5]), 0, PARAMS, 1, "exactcake")
+        assert np.allclose(np.exp(got.initial), -np.diff([unabsorbed(5, t / 2) for t in BOUNDS[:-1]] + [0.0]), atol=1e-9)
+
+    def test_migrating_updating_cake(self):
+        """In one deme it is the updating cake; with migration, it keeps as many lineages as that leaves of each present deme."""
+        from popspark.model.coalescent import Trunk
+        from popspark.model.cores import made
+
+        one = bound(parse_demography(ONE), [1.0, 2.0])
+        for core in ("steps", "adaptive", "spectral"):
+            assert difference(*(made(core, one, BOUNDS, np.array([4]), 0, PARAMS, 1, s) for s in ("multicakeupdating", "migmulticakeupdating"))) < 1e-12
+        sizes, migration = np.array([1.0, 0.5]), np.array([[-0.4, 0.4], [0.9, -0.9]])
+        moving, still = Trunk(np.array([3, 5]), "migmulticakeupdating"), Trunk(np.array([3, 5]), "multicakeupdating")
+        for a, b in ((0.0, 0.2), (0.2, 0.7)):
+            for x in (moving, still):
+                x.begun()
+            of_moving, of_still = (x.piece(a, b, sizes, migration) for x in (moving, still))
+            for t in (a, (a + b) / 2, b):
+                assert np.allclose(of_moving(t, 0.0).sum(1), of_still(t, 0.0).sum(1)) and (of_moving(t, 0.0) >= 0).all()
