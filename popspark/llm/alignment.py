@@ -6,6 +6,7 @@ import hashlib
 import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,9 @@ from popspark.shared import written
 from popspark.shipping import ship
 
 #: Bytes of text that are handled at once.
-SLICE = 2 << 20
-#: When a worker's cache holds more chunks than this, it starts anew; longer chunks are not kept.
-CHUNKS, LONGEST = 400_000, 256
+SLICE = 1 << 19
+#: When a worker's cache holds more chunks than this, it starts anew.
+CHUNKS = 250_000
 #: Ends of the shorter list that search the longer one side by side.
 STRIDE = 2048
 #: Pairs of ids whose counts go to every task; those of all others are joined.
@@ -78,19 +79,17 @@ class _Store:
         self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def put(self, place: int, ids: list[np.ndarray], sizes: list[np.ndarray]) -> None:
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(counts.sum())
-        while self.used + total > len(self.ids):
+    def put(self, place: int, ids: np.ndarray, sizes: np.ndarray, counts: np.ndarray) -> None:
+        """Stretches of so many ids each, for the chunks from ``place`` on."""
+        while self.used + len(ids) > len(self.ids):
             self.ids, self.sizes = (np.concatenate([x, np.empty_like(x)]) for x in (self.ids, self.sizes))
-        while place + len(ids) > len(self.begin):
+        while place + len(counts) > len(self.begin):
             self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
-        if total:
-            self.ids[self.used : self.used + total] = np.concatenate(ids)
-            self.sizes[self.used : self.used + total] = np.concatenate(sizes)
-        self.begin[place : place + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.count[place : place + len(ids)] = counts
-        self.used += total
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.sizes[self.used : self.used + len(ids)] = sizes
+        self.begin[place : place + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[place : place + len(counts)] = counts
+        self.used += len(ids)
 
     def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, byte lengths, and for each place where its stretch stops."""
@@ -134,14 +133,15 @@ class Pair:
     def _learn(self, chunks: list[bytes]) -> None:
         n = len(self.place)
         texts = [c.decode() for c in chunks]
-        a = [np.array(e.ids, np.uint32) for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        b = [np.array(x, np.uint32) for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
         while n + len(chunks) > len(self.fine):
             self.fine = np.concatenate([self.fine, np.zeros_like(self.fine)])
-        for k, (chunk, x, y) in enumerate(zip(chunks, a, b, strict=True)):
-            self.fine[n + k] = b"".join(map(self.a_bytes.__getitem__, x.tolist())) == chunk == b"".join(map(self.b_bytes.__getitem__, y.tolist()))
-        self.in_a.put(n, a, [self.a_sizes[x] for x in a])
-        self.in_b.put(n, b, [self.b_sizes[x] for x in b])
+        self.fine[n : n + len(chunks)] = True
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+        for store, ids, table, sizes in ((self.in_a, a, self.a_bytes, self.a_sizes), (self.in_b, self.b.encode([t[1:] for t in texts], num_threads=1), self.b_bytes, self.b_sizes)):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+            store.put(n, flat, sizes[flat], counts)
+            self.fine[n : n + len(chunks)] &= _given_back(chunks, counts, [table[i] for i in flat.tolist()])
         self.place.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def chunks(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +159,16 @@ class Pair:
         return begins, np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
 
 
+def _given_back(chunks: list[bytes], counts: np.ndarray, tokens: list[bytes]) -> np.ndarray:
+    """Whether the bytes of each chunk's tokens are the chunk's."""
+    stops = np.cumsum(counts)
+    whole, made = b"".join(chunks), b"".join(tokens)
+    ends = np.concatenate([[0], np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)))])
+    if whole == made and (ends[stops] == np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))).all():
+        return np.ones(len(chunks), bool)
+    return np.array([made[i:j] == c for c, i, j in zip(chunks, ends[stops - counts].tolist(), ends[stops].tolist(), strict=True)], bool)
+
+
 def cuts(data: np.ndarray) -> np.ndarray:
     """Where a chunk may begin: at a space behind a visible ASCII sign or a letter of two bytes, and not before another space or
     the end."""
