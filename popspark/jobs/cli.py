@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--scale-recombination", action="store_true", help="a coordinate more: the recombination rate's factor")
     p.add_argument("--estimate-theta", action="store_true", help="a last coordinate: the mutation rate")
+    p.add_argument("--theta-by-interval", type=numbers, help="a mutation rate for each hidden interval")
     p.add_argument("--objective", default="lineage", choices=("lineage", "transition", "marginal"))
     p.add_argument("--em-iterations", type=int, default=0)
     p.add_argument("--m-iterations", type=int, default=10)
@@ -133,6 +135,10 @@ def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     a.loci_per_step = a.loci_per_step or (1 if a.skip_loci else 1000)
     layout: Layout = parse_layout(read_text(spark, a.layout)) if a.layout else per_deme(a.num_per_deme, a.n_alleles)
     params = parse_params(read_text(spark, a.params), renormalize=not a.raw_matrix)
+    if a.theta_by_interval:
+        if a.estimate_theta:
+            raise ValueError("a mutation rate that is estimated is one for all intervals")
+        params = replace(params, thetas=tuple(a.theta_by_interval))
     got = _ingested(spark, a, layout, params)
     limits = [tuple(numbers(x)) for x in a.bounds.split(";")] if a.bounds else None
     template = parse_demography(read_text(spark, a.demography), read_text(spark, a.rates) if a.rates else None)

@@ -108,6 +108,8 @@ def posterior_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PI = [0.7, 0.3]
+#: Population sizes of closed_form_likelihoods.
+SIZES = [0.4, 0.9, 1.7, 3.1]
 
 
 def _permuted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +219,19 @@ each_perm as (select perm, chunk, sum(l) as l from (select perm, chunk, l from f
   select y.perm, e.chunk, e.total from perms y join perms x on x.perm = y.perm and x.rank = 0 join ends e on e.add = y.hap and e.trunk = x.hap where y.rank = 1) group by 1, 2)"""
 
 
+CLOSED_SQL = f"""with {PAIRS}, size as (select * from (values {', '.join(f'({i}, {x}::double)' for i, x in enumerate(SIZES))}) t(particle_id, s)),
+core as (select unnest(['spectral', 'adaptive']) as core)
+select cast(particle_id as bigint) as particle_id, chunk, round(sum(n * ln(case when a = b then (1 / s) / (1 / s + 0.01) else 1 - (1 / s) / (1 / s + 0.01) end)), 4) as loglik, core
+from pairs cross join size cross join core group by particle_id, chunk, core"""
+ONE_DEME_SQL = """with m as (select c_custkey, 0.2::double + (c_custkey % 50)::double / 20 as size, (1 + c_custkey % 9)::double as n, 0.01::double + (c_custkey % 7)::double / 50 as rho,
+  0.01::double + (c_custkey % 11)::double / 40 as early, 0.02::double + (c_custkey % 5)::double / 30 as late from customer),
+i as (select * from (values (0, 0.0::double, 0.25::double), (1, 0.25, 0.5), (2, 0.5, 1.0), (3, 1.0, 2.0), (4, 2.0, 1e9)) t(i, a, b)),
+x as (select *, n / size as r, case when i < 2 then early else late end as theta, early * least(a, 0.5) + late * greatest(a - 0.5, 0) as gone from m cross join i),
+y as (select *, exp(-r * a) - exp(-r * b) as mass, r / (r + rho) * (exp(-(r + rho) * a) - exp(-(r + rho) * b)) as together,
+  exp(-gone) * r / (r + theta) * (exp(-r * a) - exp(-r * b - theta * (b - a))) as still from x)
+select c_custkey, cast(i as integer) as interval, round(mass, 8) as initial, round(together / mass, 8) as stay, round(1 - still / mass, 8) as changed from y"""
+
+
 def csd_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likelihood of each leave-one-out CSD under two populations with migration."""
     data, model = _data(spark, sf_dir, "lol", TWO, {0: 0, 1: 0, 2: 1, 3: 1})
@@ -241,6 +256,50 @@ def grid_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points.join(found, "particle_id")
 
 
+def closed_form_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairwise composite likelihoods of four sizes of one population with one hidden interval, each by both cores: no hidden
+    state tells pairs apart, so all that counts is how often alleles differ."""
+    from popspark.jobs.inference import made_tables
+
+    out = None
+    for core in ("spectral", "adaptive"):
+        model = Model(parse_demography("[0.2]\n{{0}}\n?0\nnull\n0\n{{0}}\n?0\nnull\n0\n"), parse_params(PARAMS), dict.fromkeys(range(HAPS), 0), 1, loci=LOCI, interval_type="single", style="simple", core=core)
+        data = prepared(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csds_of("pcl", _haps(spark)), model, 2)
+        found = made_tables(spark, model, {i: [s] for i, s in enumerate(SIZES)}, data.keys)
+        rows = likelihood.evaluated(data.tensors, found, model.demes, 1, 2).groupBy("particle_id", "chunk").agg(F.round(F.sum("loglik"), 4).alias("loglik"))
+        rows = rows.withColumn("core", F.lit(core))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def one_deme_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of each customer's own model by closed forms: one population, of a size, with a trunk, a recombination rate and two
+    mutation rates that are the customer's; a row for each hidden interval."""
+    import numpy as np
+    import pyarrow as pa
+
+    from popspark.model.cores import made
+    from popspark.shipping import ship
+    from popspark.sources.models import Epoch, Params
+
+    ship(spark)
+    bounds = [0.0, 0.25, 0.5, 1.0, 2.0, float("inf")]
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for key, size, n, rho, early, late in zip(*(batch.column(c).to_pylist() for c in ("k", "size", "n", "rho", "early", "late")), strict=True):
+                epochs = (Epoch(0.0, 0.7, (frozenset({0}),), (size,), ((0.0,),), None, (0.0,)), Epoch(0.7, float("inf"), (frozenset({0}),), (size,), ((0.0,),), None, (0.0,)))
+                params = Params(early, rho, np.array([[0.0, 1.0], [1.0, 0.0]]), (early, early, late, late, late))
+                t = made("spectral", epochs, bounds, np.array([n]), 0, params, 1, "simple")
+                rows += [(key, i, round(float(np.exp(t.initial[i])), 8), round(float(np.exp(t.stay[i])), 8), round(float(np.exp(t.emit[i, 0, 1])), 8)) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.float64()), strict=True)], ["k", "interval", "initial", "stay", "changed"])
+
+    c = F.col("c_custkey")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(c.alias("k"), (0.2 + (c % 50) / 20).alias("size"), (1 + c % 9).cast("int").alias("n"), (0.01 + (c % 7) / 50).alias("rho"), (0.01 + (c % 11) / 40).alias("early"), (0.02 + (c % 5) / 30).alias("late"))
+    return rows.repartition(4 * spark.sparkContext.defaultParallelism).mapInArrow(run, "k long, interval int, initial double, stay double, changed double").withColumnRenamed("k", "c_custkey")
+
+
 def em_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of expectation-maximization of population sizes."""
     data, model = _data(spark, sf_dir, "pcl", ONE, dict.fromkeys(range(HAPS), 0))
@@ -286,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         forward_two_state, forward_blocks, forward_members, skipping_two_state, expected_skipping_two_state, posterior_skipping_two_state, expected_two_state, posterior_two_state, pac_two_state, oldpac_two_state, superpac_two_state,
-        seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
+        seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, closed_form_likelihoods, one_deme_tables, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
     )
 }
 SQL = {
@@ -301,6 +360,8 @@ SQL = {
     "pac_two_state": f"{PERMUTED_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",
     "oldpac_two_state": f"{PERMUTED_SQL} select round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select l, max(l) over () as m from (select perm, sum(l) as l from each_perm group by 1))",
     "superpac_two_state": f"{PERMUTED_SQL} select chunk, round(sum(l), 5) as loglik from each_perm group by 1",
+    "closed_form_likelihoods": CLOSED_SQL,
+    "one_deme_tables": ONE_DEME_SQL,
     "seeded_permutations": "select p as perm, cast(row_number() over (partition by p order by md5('5:' || p || ':' || s_suppkey)) - 1 as integer) as place, s_suppkey as hap from supplier cross join (values (0), (1), (2), (3)) r(p)",
     "streamed_counts": f"with {PAIRS} select * from pairs",
     "contigs_together": "with p as (select o_orderkey % 5 as perm, sum((1 + o_orderkey % 3) * -o_totalprice / 1e7) as l from orders group by 1) select round(max(m) + ln(sum(exp(l - m))), 6) as loglik from (select l, max(l) over () as m from p)",

@@ -68,8 +68,9 @@ def spectral_tables(epochs: tuple[Epoch, ...], bounds: list[float], trunk: np.nd
     if any(any(e.growth) for e in epochs if e.pulse is None):
         raise ValueError("the spectral core takes no growth")
     present, states = len(trunk), len(trunk) * (len(bounds) - 1)
-    rho, theta = params.rho * loci, params.theta
-    kinds = np.array([0.0, theta]) if one_event else theta * (1 - np.linalg.eigvals(params.matrix.astype(complex)))
+    rho, thetas = params.rho * loci, params.in_intervals(len(bounds) - 1)
+    # How fast each kind of change goes on in units of the mutation rate.
+    kinds = np.array([0.0, 1.0]) if one_event else 1 - np.linalg.eigvals(params.matrix.astype(complex))
     left = Trunk(trunk, style, cake)
     line: list = []
     for part in pieces(epochs, bounds, left):
@@ -112,7 +113,7 @@ def spectral_tables(epochs: tuple[Epoch, ...], bounds: list[float], trunk: np.nd
         initial[at] += np.einsum("d,kde,k,ep->p", alone, parts, grown(values, w), rates)
         stay[at] += np.einsum("d,kde,k,ep->p", together, parts, grown(values - rho, w), rates)
         for m, c in enumerate(kinds):
-            mass[m, at] += np.exp(-c * a) * np.einsum("d,kde,k,ep->p", alone, parts, grown(values - c, w), rates)
+            mass[m, at] += np.exp(-c * params.mutated(a, bounds)) * np.einsum("d,kde,k,ep->p", alone, parts, grown(values - c * thetas[k], w), rates)
         # The law inside the piece, at x before its end, is the sum over k of exp(values[k] * x) * shape[k], and a constant.
         hit = np.zeros((len(rates), states), complex)
         hit[:, at] = rates

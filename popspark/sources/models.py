@@ -14,9 +14,24 @@ SHORTEST = 1e-4
 
 @dataclass(frozen=True)
 class Params:
+    """Rates of mutation and recombination, and which alleles become which. ``thetas``, if given, are the mutation rates in each
+    hidden interval, and theta is that of where intervals do not matter."""
+
     theta: float
     rho: float
     matrix: np.ndarray
+    thetas: tuple[float, ...] = ()
+
+    def in_intervals(self, n: int) -> np.ndarray:
+        """The mutation rate in each of n hidden intervals."""
+        if self.thetas and len(self.thetas) != n:
+            raise ValueError(f"there are {len(self.thetas)} mutation rates for {n} hidden intervals")
+        return np.array(self.thetas or (self.theta,) * n, float)
+
+    def mutated(self, t: float, bounds: list[float]) -> float:
+        """The mutation rate added up from now to a time t ago."""
+        ends = np.minimum(np.array(bounds[1:]), t)
+        return float((np.maximum(ends - np.array(bounds[:-1]), 0) * self.in_intervals(len(bounds) - 1)).sum())
 
 
 def _lines(text: str) -> list[str]:
