@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.operators import blocks, csd, sites, variants
+from popspark.operators.ordered import sum_before
 from popspark.shared import fresh
 from popspark.sources import text as T
 from popspark.sources import vcf as V
-from popspark.sources.layout import Layout, parse_layout, read_text
+from popspark.sources.layout import parse_layout, read_layout_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,7 +226,17 @@ def _sequences(spark: SparkSession, sf_dir: str, where: str = "true") -> DataFra
 def sequence_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites of a file with a sequence a line, of which one is not used."""
     path = f"{fresh(spark, 'sequences')}/s"
-    T.write_lines(_sequences(spark, sf_dir), path, "h")
+    every = None
+    for h in range(4):
+        own = _table(spark, sf_dir, "part").select((F.lit(h << 41) + F.col("p_partkey")).alias("place"), F.expr(_letters(h).replace("//", "div")).alias("letter"))
+        every = own if every is None else every.unionByName(own)
+    # Each line has its end; a comment ends with the letter that ends the file.
+    every = every.unionByName(spark.createDataFrame([(((h + 1) << 41) - 1, "\n") for h in range(4)] + [(4 << 41, "#"), ((4 << 41) + 1, "A")], "place long, letter string"))
+    # Written as it is read: what lies between two letters A is a row, so that none holds a line.
+    marked = sum_before(every.withColumn("mark", (F.col("letter") == "A").cast("long")), [], "place", [], "mark", "k", rows=50_000)
+    between = F.filter(F.sort_array(F.collect_list(F.struct("place", "letter"))), lambda x: x["letter"] != "A")
+    pieces = marked.groupBy("k").agg(F.array_join(F.transform(between, lambda x: x["letter"]), "").alias("value"))
+    T.write_lines(pieces, path, "k", mark="A")
     return V.sequences(spark, [path], FULL).select("pos", _cells())
 
 
@@ -252,12 +263,12 @@ def old_compressed_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.old_compressed_sequences(spark, path, FULL).select("pos", _cells())
 
 
-def _layout(spark: SparkSession, sf_dir: str) -> Layout:
+def _layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A layout file with a haplotype for each supplier, in up to two of three demes."""
     path = f"{fresh(spark, 'layout')}/l"
     rows = _table(spark, sf_dir, "supplier").select("s_suppkey", F.concat_ws(" ", *[F.expr(f"cast(if(s_nationkey % 3 = {d} or s_suppkey % 5 = {d}, s_suppkey % 3, 0) as string)") for d in range(3)]).alias("value"))
-    rows.unionByName(spark.createDataFrame([(-1, "1000 2 3")], "s_suppkey long, value string")).repartition(1).sortWithinPartitions("s_suppkey").select("value").write.text(path)
-    return parse_layout(read_text(spark, path))
+    T.write_lines(rows.unionByName(spark.createDataFrame([(-1, "1000 2 3")], "s_suppkey long, value string")), path, "s_suppkey")
+    return read_layout_table(spark, path)
 
 
 @query("""with r as (select row_number() over (order by s_suppkey) - 1 as haplotype, s_suppkey, s_nationkey from supplier), d as (select unnest(range(3)) as deme),
@@ -266,7 +277,7 @@ c as (select haplotype, deme, unnest(range(m)) as copy from m)
 select cast(row_number() over (order by haplotype, deme, copy) - 1 as integer) as hap, cast(haplotype as integer) as haplotype, cast(deme as integer) as deme from c""")
 def layout_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The members of a sample whose haplotypes are there several times and in several demes."""
-    return csd.members(_layout(spark, sf_dir).table(spark))
+    return csd.members(_layout(spark, sf_dir))
 
 
 @query("select cast(row_number() over (order by c_custkey) - 1 as integer) as particle_id, c_acctbal as x0, (c_custkey % 100)::double / 4 as x1 from customer")

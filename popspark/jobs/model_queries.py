@@ -135,11 +135,38 @@ def superpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.chunk_likelihood(found).select("chunk", F.round("loglik", 5).alias("loglik"))
 
 
+def _all_sizes(spark: SparkSession, sf_dir: str, one_list: bool = False) -> DataFrame:
+    """All CSDs of six seeded permutations, with trunks from none to all other haplotypes."""
+    csds = csd.permuted(csd.shuffled(_haps(spark), 6, 11))
+    tensors = likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csd.one_list(csds) if one_list else csds)
+    tables = {0: {((k,), 0): _two_states() for k in range(1, HAPS)}}
+    return likelihood.evaluated(tensors, tables, dict.fromkeys(range(HAPS), 0), 1, 2, stationary=PI)
+
+
+def pac_csds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likelihood of each CSD of each permutation: hidden states are haplotypes of trunks of up to all others."""
+    return _all_sizes(spark, sf_dir).select("chunk", "perm", "csd", F.round("loglik", 5).alias("loglik"))
+
+
+def pac_trunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of approximate conditionals with whole trunks."""
+    return likelihood.chunk_likelihood(_all_sizes(spark, sf_dir)).select("chunk", F.round("loglik", 5).alias("loglik"))
+
+
+def oldpac_trunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pac_trunks, with permutations summed once over all contigs."""
+    return likelihood.across_contigs(_all_sizes(spark, sf_dir)).select(F.round("loglik", 5).alias("loglik"))
+
+
+def superpac_trunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As pac_trunks, with all permutations in one list."""
+    return likelihood.chunk_likelihood(_all_sizes(spark, sf_dir, one_list=True)).select("chunk", F.round("loglik", 5).alias("loglik"))
+
+
 def seeded_permutations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four seeded permutations of the suppliers."""
     haps = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("hap"))
-    rows = csd.shuffled(haps, 4, 5).select("perm", F.posexplode("ord").alias("place", "hap"))
-    return rows
+    return csd.shuffled_rows(haps, 4, 5)
 
 
 def _lse(x: str, y: str) -> str:
@@ -232,6 +259,27 @@ y as (select *, exp(-r * a) - exp(-r * b) as mass, r / (r + rho) * (exp(-(r + rh
 select c_custkey, cast(i as integer) as interval, round(mass, 8) as initial, round(together / mass, 8) as stay, round(1 - still / mass, 8) as changed from y"""
 
 
+TRUNKS_SQL = f"""with recursive {PAIRS}, {_chain('pairs')},
+perms as (select p as perm, hap, cast(row_number() over (partition by p order by md5('11:' || p || ':' || hap) desc) - 1 as integer) as rank from range(6) r(p) cross join h),
+slots as (select x.perm, x.rank as csd, x.hap as add, y.hap as trunk, y.rank as slot from perms x join perms y on x.perm = y.perm and y.rank < x.rank),
+every as (select chunk, unnest(range(last + 1)) as step, last from grid_steps),
+es as (select s.perm, s.csd, v.chunk, v.step, v.last, list(coalesce(e.e0, 0) order by s.slot) as x0, list(coalesce(e.e1, 0) order by s.slot) as x1
+  from slots s cross join every v left join e on e.chunk = v.chunk and e.step = v.step and e.add = s.add and e.trunk = s.trunk group by 1, 2, 3, 4, 5),
+c(perm, csd, chunk, step, f0, f1) as (
+  select perm, csd, chunk, step, list_transform(x0, lambda x: x + ln(0.6) - ln(csd)), list_transform(x1, lambda x: x + ln(0.4) - ln(csd)) from es where step = 0
+  union all
+  select perm, csd, chunk, step, list_transform(range(1, csd + 1), lambda i: x0[i] + a0 + ln(1 + exp(f0[i] + ln(0.7) - a0))), list_transform(range(1, csd + 1), lambda i: x1[i] + a1 + ln(1 + exp(f1[i] + ln(0.8) - a1)))
+  from (select *, m + ln(s0 * 0.2 + s1 * 0.1) - ln(csd) as a0, m + ln(s0 * 0.1 + s1 * 0.1) - ln(csd) as a1 from (
+    select *, list_sum(list_transform(f0, lambda x: exp(x - m))) as s0, list_sum(list_transform(f1, lambda x: exp(x - m))) as s1 from (
+      select c.perm, c.csd, c.chunk, es.step, c.f0, c.f1, es.x0, es.x1, greatest(list_max(c.f0), list_max(c.f1)) as m
+      from c join es on es.perm = c.perm and es.csd = c.csd and es.chunk = c.chunk and es.step = c.step + 1)))),
+last_ones as (select c.perm, c.csd, c.chunk, list_concat(f0, f1) as f from c join grid_steps g on g.chunk = c.chunk and g.last = c.step),
+csds as (select perm, csd, chunk, list_max(f) + ln(list_sum(list_transform(f, lambda x: exp(x - list_max(f))))) as l from last_ones union all
+  select p.perm, 0, x.chunk, sum(x.n * ln(case when x.a = 0 then {PI[0]} else {PI[1]} end)) from perms p
+  join pairs x on x.add = p.hap and x.trunk = (select min(hap) from h where hap <> p.hap) where p.rank = 0 group by 1, 3),
+each_perm as (select perm, chunk, sum(l) as l from csds group by 1, 2)"""
+
+
 def csd_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likelihood of each leave-one-out CSD under two populations with migration."""
     data, model = _data(spark, sf_dir, "lol", TWO, {0: 0, 1: 0, 2: 1, 3: 1})
@@ -345,7 +393,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         forward_two_state, forward_blocks, forward_members, skipping_two_state, expected_skipping_two_state, posterior_skipping_two_state, expected_two_state, posterior_two_state, pac_two_state, oldpac_two_state, superpac_two_state,
-        seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, closed_form_likelihoods, one_deme_tables, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
+        pac_csds, pac_trunks, oldpac_trunks, superpac_trunks, seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, closed_form_likelihoods, one_deme_tables, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
     )
 }
 SQL = {
@@ -360,6 +408,10 @@ SQL = {
     "pac_two_state": f"{PERMUTED_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",
     "oldpac_two_state": f"{PERMUTED_SQL} select round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select l, max(l) over () as m from (select perm, sum(l) as l from each_perm group by 1))",
     "superpac_two_state": f"{PERMUTED_SQL} select chunk, round(sum(l), 5) as loglik from each_perm group by 1",
+    "pac_csds": f"{TRUNKS_SQL} select chunk, perm, csd, round(l, 5) as loglik from csds",
+    "pac_trunks": f"{TRUNKS_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",
+    "oldpac_trunks": f"{TRUNKS_SQL} select round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select l, max(l) over () as m from (select perm, sum(l) as l from each_perm group by 1))",
+    "superpac_trunks": f"{TRUNKS_SQL} select chunk, round(sum(l), 5) as loglik from each_perm group by 1",
     "closed_form_likelihoods": CLOSED_SQL,
     "one_deme_tables": ONE_DEME_SQL,
     "seeded_permutations": "select p as perm, cast(row_number() over (partition by p order by md5('5:' || p || ':' || s_suppkey)) - 1 as integer) as place, s_suppkey as hap from supplier cross join (values (0), (1), (2), (3)) r(p)",

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from popspark.operators.ordered import numbered
 
 COLUMNS = ("kind", "perm", "csd", "add", "trunk", "factor")
 
@@ -14,9 +15,7 @@ def members(layout: DataFrame) -> DataFrame:
     haplotype is there as often as its multiplicities say, in each of its demes; copies are members of their own."""
     demes = F.posexplode("multiplicity").alias("deme", "m")
     each = layout.select(F.col("hap").alias("haplotype"), demes).where("m > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("m"))))
-    # A row for each member of one sample.
-    order = Window.orderBy("haplotype", "deme", "copy")
-    return each.select((F.row_number().over(order) - 1).alias("hap"), "haplotype", "deme")
+    return numbered(each, [], "haplotype", ["deme", "copy"], "hap").select("hap", "haplotype", "deme")
 
 
 def leave_one_out(haps: DataFrame, factor: Column | None = None) -> DataFrame:
@@ -87,19 +86,30 @@ def shuffled(haps: DataFrame, n: int, seed: int) -> DataFrame:
     return each.groupBy("perm").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "hap"))).alias("o")).select("perm", F.col("o.hap").alias("ord"))
 
 
+def shuffled_rows(haps: DataFrame, n: int, seed: int) -> DataFrame:
+    """The permutations of ``shuffled`` as rows (perm, place, hap), for more haps than one row should hold."""
+    each = haps.select("hap", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm").cast("string"), F.col("hap").cast("string")).cast("binary"))
+    each = each.withColumn("_digest", digest).withColumn("_share", F.conv(F.substring("_digest", 1, 12), 16, 10).cast("long"))
+    return numbered(each, ["perm"], "_share", ["_digest", "hap"], "place").select("perm", "place", "hap")
+
+
 def permutations(lines: DataFrame, n: int) -> DataFrame:
     """lines (line_no, value) of numbers as permutations (perm, ord) of 0 to n - 1; any other line is an error."""
     numbers = F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("int"))
     fine = F.array_sort(numbers) == F.sequence(F.lit(0), F.lit(n - 1))
     checked = F.when(F.coalesce(fine, F.lit(False)), numbers).otherwise(F.raise_error(F.lit("a line is no permutation of the sample")).cast("array<int>"))
-    # A row for each permutation of one study.
-    return lines.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("perm"), checked.alias("ord"))
+    return numbered(lines.select("line_no", checked.alias("ord")), [], "line_no", [], "perm").select("perm", "ord")
 
 
 def one_list(csds: DataFrame) -> DataFrame:
     """All permutations' CSDs as one list, whose likelihoods multiply."""
-    number = F.dense_rank().over(Window.partitionBy("kind").orderBy("perm", "csd"))
-    return csds.withColumn("csd", number.cast("int")).withColumn("perm", F.lit(0))
+    names = csds.select("perm", "csd").distinct()
+    # From 1 on, as all numbers of this list.
+    places = numbered(names, [], "perm", ["csd"], "_place").select(F.col("perm").alias("_perm"), F.col("csd").alias("_csd"), F.col("_place") + 1)
+    places = places.toDF("_perm", "_csd", "_place")
+    met = csds.join(places, (F.col("perm") == F.col("_perm")) & (F.col("csd") == F.col("_csd")))
+    return met.withColumn("csd", F.col("_place").cast("int")).withColumn("perm", F.lit(0)).select(*csds.columns)
 
 
 def listed(lines: DataFrame) -> DataFrame:
@@ -108,4 +118,5 @@ def listed(lines: DataFrame) -> DataFrame:
     rows = lines.select("line_no", numbers.alias("n"))
     fine = (F.size(F.array_distinct("n")) == F.size("n")) & ~F.exists("n", lambda x: x.isNull() | (x < 0))
     checked = F.when(fine, F.col("n")).otherwise(F.raise_error(F.lit("a CSD line names a haplotype twice or not at all")).cast("array<int>"))
-    return rows.select(F.lit("file").alias("kind"), F.lit(0).alias("perm"), (F.row_number().over(Window.orderBy("line_no")) - 1).alias("csd"), checked.alias("n")).select("kind", "perm", "csd", F.col("n")[0].alias("add"), F.expr("slice(n, 2, size(n) - 1)").alias("trunk"), F.lit(1.0).alias("factor"))
+    named = numbered(rows.select("line_no", checked.alias("n")), [], "line_no", [], "csd")
+    return named.select(F.lit("file").alias("kind"), F.lit(0).alias("perm"), "csd", "n").select("kind", "perm", "csd", F.col("n")[0].alias("add"), F.expr("slice(n, 2, size(n) - 1)").alias("trunk"), F.lit(1.0).alias("factor"))

@@ -61,3 +61,9 @@ def sum_before(df: DataFrame, keys: list[str], x: str, ties: list[str], value: s
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
     inside = dealt.withColumn("_inside", F.coalesce(F.sum(value).over(order), F.lit(0)))
     return inside.join(carried, same, "left").withColumn(name, F.col("_inside") + F.coalesce("_carried", F.lit(0))).select(*df.columns, name)
+
+
+def numbered(df: DataFrame, keys: list[str], x: str, ties: list[str], name: str, rows: int = ROWS) -> DataFrame:
+    """df with ``name``: how many rows go before each, in the order of x, a number, and then ties, within keys; from 0 on."""
+    counted = sum_before(df.withColumn("_one", F.lit(1).cast("long")), keys, x, ties, "_one", name, rows)
+    return counted.drop("_one").withColumn(name, F.col(name).cast("int"))

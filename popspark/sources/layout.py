@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -46,6 +47,24 @@ def parse_layout(text: str) -> Layout:
     return Layout(loci if loci < 2**31 - 1 else None, alleles, demes, counts)
 
 
+def read_layout_table(spark: SparkSession, path: str) -> DataFrame:
+    """(hap, multiplicity) of a layout file of any length, without passing it through the driver: the first line that is no
+    comment is its header, and another row than one whole number for each deme is an error."""
+    from popspark.operators.ordered import numbered
+    from popspark.sources.text import chunked_lines, is_comment
+
+    lines = chunked_lines(spark, [path]).where(~is_comment(F.col("value"))).select("line_no", F.split(F.trim("value"), r"\s+").alias("c"))
+    head = lines.orderBy("line_no").first()
+    if head is None or len(head["c"]) != 3:
+        raise ValueError("the header has three numbers")
+    demes = int(head["c"][2])
+    counts = F.transform("c", lambda x: x.cast("int"))
+    fine = (F.size("c") == demes) & F.forall(counts, lambda x: x >= 0)
+    checked = F.when(F.coalesce(fine, F.lit(False)), counts).otherwise(F.raise_error(F.lit("a row has a multiplicity for each deme")).cast("array<int>"))
+    rows = lines.where(F.col("line_no") > head["line_no"]).select("line_no", checked.alias("multiplicity"))
+    return numbered(rows, [], "line_no", [], "hap").select("hap", "multiplicity")
+
+
 def per_deme(counts: list[int], n_alleles: int = 2) -> Layout:
     """So many haplotypes in each deme, in order."""
     rows = [tuple(int(d == e) for e in range(len(counts))) for d, n in enumerate(counts) for _ in range(n)]

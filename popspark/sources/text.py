@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from popspark.operators.ordered import numbered
+
 
 def chunked_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(chunk, line_no, value) of one file, or one folder of part files in order of name, for each chunk, in the order of paths.
@@ -30,10 +32,68 @@ def chunked_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
-def write_lines(lines: DataFrame, path: str, *order: str) -> None:
-    """lines (value) as text, in part files whose names follow the order."""
+def letter_pieces(spark: SparkSession, paths: list[str], mark: str = "A") -> DataFrame:
+    """(chunk, line, col, piece) of files whose lines are sequences: a line's letters in pieces, each with the number of its
+    line in the chunk (from 0 on, all lines counted) and the column that it begins at.
+
+    A line may be as long as a contig, so files are not cut at line ends, but behind every ``mark``, one of the sequences'
+    letters: a record is what lies between two of them. Where each record stands comes from the lengths of those before it, summed over a
+    split of the file and over splits; so neither a row nor a task holds a line.
+    """
+    parts = []
+    for chunk, path in enumerate(paths):
+        raw = spark.read.option("lineSep", mark).text(path)
+        names = sorted(f.rsplit("/", 1)[-1] for f in raw.inputFiles())
+        # A row for each file.
+        order = spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, file long")
+        row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("row")
+        raw = raw.select("value", F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("bytes"), row)
+        parts.append(raw.join(F.broadcast(order), "name").drop("name").withColumn("chunk", F.lit(chunk)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    split = ["chunk", "file", "start"]
+    inside = Window.partitionBy(*split).orderBy("row")
+    sums = out.groupBy(*split).agg(F.sum(F.octet_length("value") + 1).alias("n"), F.any_value("bytes").alias("bytes"))
+    # One row for each split of the files.
+    file = Window.partitionBy("chunk", "file").orderBy("start")
+    sums = sums.withColumn("before", F.coalesce(F.sum("n").over(file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    sums = sums.withColumn("open", F.sum("n").over(file.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)) > F.col("bytes")).withColumn("last", F.lead("n").over(file).isNull())
+    ahead = Window.partitionBy("chunk").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = sums.groupBy("chunk", "file").agg(F.any_value("bytes").alias("size")).select("chunk", "file", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("ahead"))
+    sums = sums.join(files, ["chunk", "file"]).select(*split, (F.col("ahead") + F.col("before")).alias("at"), (F.col("open") & F.col("last")).alias("open"))
+    rows = out.select(*split, "row", "value").withColumn("inside", F.coalesce(F.sum(F.octet_length("value") + 1).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("ends", F.lead("row").over(inside).isNull()).join(sums, split)
+    # A file that does not end with a mark has none behind its last record.
+    rows = rows.select(*split, "row", (F.col("at") + F.col("inside")).alias("at"), F.when(F.col("open") & F.col("ends"), F.col("value")).otherwise(F.concat("value", F.lit(mark))).alias("whole"))
+    rows = rows.withColumn("breaks", F.length("whole") - F.length(F.translate("whole", "\n", "")))
+    newline = F.col("at") + F.length("whole") - F.locate("\n", F.reverse("whole")) + 1
+    rows = rows.withColumn("begun", F.when(F.col("breaks") > 0, newline))
+    back = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("line", F.coalesce(F.sum("breaks").over(back), F.lit(0))).withColumn("begin", F.max("begun").over(back))
+    whole = rows.groupBy(*split).agg(F.sum("breaks").alias("n"), F.max("begun").alias("begun"))
+    earlier = Window.partitionBy("chunk").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.select(*split, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("lines"), F.max("begun").over(earlier).alias("begun_before"))
+    rows = rows.drop("begun").join(whole, split).withColumn("begin", F.coalesce("begin", "begun_before", F.lit(0).cast("long")))
+    pieces = rows.select("chunk", F.col("line") + F.col("lines"), (F.col("at") - F.col("begin")).alias("first"), F.posexplode(F.split("whole", "\n", -1)).alias("i", "piece")).toDF("chunk", "line", "first", "i", "piece")
+    placed = pieces.select("chunk", (F.col("line") + F.col("i")).alias("line"), F.when(F.col("i") == 0, F.col("first")).otherwise(0).cast("long").alias("col"), F.rtrim("piece").alias("piece"))
+    return placed.where("piece <> ''")
+
+
+def sequence_pieces(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(chunk, row, col, piece): the pieces of lines that are no comments, which number from 0 on in each chunk."""
+    pieces = letter_pieces(spark, paths)
+    begun = pieces.where("col = 0").select("chunk", "line", F.col("piece").startswith("#") | F.col("piece").startswith(">"))
+    begun = begun.toDF("chunk", "line", "comment").where("not comment")
+    # One row for each line.
+    names = begun.withColumn("row", F.row_number().over(Window.partitionBy("chunk").orderBy("line")) - 1)
+    return pieces.join(names.drop("comment"), ["chunk", "line"]).select("chunk", "row", "col", "piece")
+
+
+def write_lines(lines: DataFrame, path: str, *order: str, mark: str = "\n") -> None:
+    """lines (value) as text, in part files whose names follow the order; behind each comes ``mark``."""
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.text(path)
+    lines.repartitionByRange(n, *order).sortWithinPartitions(*order).select("value").write.option("lineSep", mark).text(path)
 
 
 def is_comment(value: Column) -> Column:
@@ -83,8 +143,7 @@ def read_start_points(spark: SparkSession, path: str, dimension: int) -> DataFra
     if rows.count() < 2:
         raise ValueError("a start file has two points at least")
     checked = F.when(F.size("point") == dimension, F.col("point")).otherwise(F.raise_error(F.lit("a start point has another dimension")).cast("array<double>"))
-    # A row for each start point of one search.
-    return rows.select((F.row_number().over(Window.orderBy("line_no")) - 1).alias("particle_id"), checked.alias("point"))
+    return numbered(rows.select("line_no", checked.alias("point")), [], "line_no", [], "particle_id").select("particle_id", "point")
 
 
 def read_points(spark: SparkSession, path: str) -> list[float]:

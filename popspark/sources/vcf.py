@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from popspark.operators import sites as S
 from popspark.operators import variants as V
+from popspark.operators.ordered import numbered
 from popspark.sources.layout import Layout
 from popspark.sources.models import Params, uniform
 from popspark.shared import written
-from popspark.sources.text import chunked_lines, read_mask, read_reference
+from popspark.sources.text import chunked_lines, read_mask, read_reference, sequence_pieces
 
 FIXED = 9
 
@@ -220,20 +221,19 @@ def from_sites(sites: DataFrame, layout: Layout) -> Ingested:
 def sequences(spark: SparkSession, paths: list[str], layout: Layout, alleles: list[str] | None = None) -> DataFrame:
     """Files of one sequence a line (all of one length) as sites (chunk, pos, alleles) of the used haplotypes.
 
-    Letters become their place in ``alleles`` (A, C, G, T); others are missing. Letters travel as (pos, hap, allele) rows.
+    Letters become their place in ``alleles`` (A, C, G, T); others are missing. Lines are read in pieces, and letters travel as
+    (pos, hap, allele) rows, so that no row holds a sequence.
     """
-    from pyspark.sql import Window
-
     letters = alleles or list(V.ALLELES)
-    lines = chunked_lines(spark, paths).where(~(F.col("value").startswith("#") | F.col("value").startswith(">") | (F.trim("value") == "")))
-    # One row for each haplotype.
-    order = Window.partitionBy("chunk").orderBy("line_no")
-    numbered = lines.withColumn("row", F.row_number().over(order) - 1)
-    rows = numbered.select("chunk", "row", F.posexplode(F.split(F.trim("value"), "")).alias("pos", "letter")).where("letter <> ''")
+    return S.site_table(_picked(sequence_pieces(spark, paths), layout, letters), len(layout.used))
+
+
+def _picked(pieces: DataFrame, layout: Layout, letters: list[str]) -> DataFrame:
+    """Pieces (chunk, row, col, piece) as (chunk, pos, hap, allele) of the used haplotypes."""
     places = F.create_map(*[F.lit(x) for i, h in enumerate(layout.used) for x in (h, i)])
     code = F.array_position(F.array(*map(F.lit, letters)), F.upper("letter")) - 1
-    picked = rows.select("chunk", F.col("pos").cast("long").alias("pos"), places[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele")).where("hap is not null")
-    return S.site_table(picked, len(layout.used))
+    rows = pieces.where(places[F.col("row")].isNotNull()).select("chunk", "row", "col", F.posexplode(F.split("piece", "")).alias("i", "letter")).where("letter <> ''")
+    return rows.select("chunk", (F.col("col") + F.col("i")).cast("long").alias("pos"), places[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele"))
 
 
 def line_counters(ingested: Ingested) -> DataFrame:
@@ -249,35 +249,32 @@ def compressed_sequences(spark: SparkSession, path: str, layout: Layout, alleles
     HAPLOTYPES, a line of letters at those sites for each) as sites (chunk, pos, alleles) of the used haplotypes."""
     from pyspark.sql import Window
 
-    letters = alleles or list(V.ALLELES)
-    lines = chunked_lines(spark, [path]).where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    # The lines before the haplotypes are few; a section's name holds for the lines after it.
-    order = Window.partitionBy("chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    name = F.when(F.upper(F.trim("value")).isin(*SECTIONS), F.upper(F.trim("value")))
-    parts = lines.withColumn("title", name).withColumn("section", F.last("title", ignorenulls=True).over(order)).where("title is null")
-    marked = parts.where("section = 'REFERENCE'").select("chunk", F.posexplode(F.split(F.trim("value"), "")).alias("pos", "c")).where("lower(c) = 'x'").select("chunk", F.col("pos").cast("long").alias("pos"))
-    named = parts.where("section = 'SEGREGATING SITES'").select("chunk", F.explode(F.split(F.trim("value"), r"\s+")).alias("p")).select("chunk", F.col("p").cast("long").alias("pos"))
-    places = marked.unionByName(named).withColumn("i", F.row_number().over(Window.partitionBy("chunk").orderBy("pos")) - 1)
-    rows = parts.where("section = 'HAPLOTYPES'").withColumn("row", F.row_number().over(Window.partitionBy("chunk").orderBy("line_no")) - 1)
-    cells = rows.select("chunk", "row", F.posexplode(F.split(F.trim("value"), "")).alias("i", "letter")).where("letter <> ''")
-    haps = F.create_map(*[F.lit(x) for k, h in enumerate(layout.used) for x in (h, k)])
-    code = F.array_position(F.array(*map(F.lit, letters)), F.upper("letter")) - 1
-    picked = cells.join(places, ["chunk", "i"]).select("chunk", "pos", haps[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele")).where("hap is not null")
-    return S.site_table(picked, len(layout.used))
+    pieces = sequence_pieces(spark, [path])
+    # A row for each line: its first letters, which are all of a section's name.
+    first = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("col") < 40, F.struct("col", "piece")))), lambda x: x["piece"]), "")
+    lines = pieces.groupBy("chunk", "row").agg(F.upper(F.trim(first)).alias("name"), F.max(F.col("col") + F.length("piece")).alias("end"))
+    order = Window.partitionBy("chunk").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    title = F.when((F.col("end") <= 40) & F.col("name").isin(*SECTIONS), F.col("name"))
+    lines = lines.withColumn("title", title).withColumn("section", F.last("title", ignorenulls=True).over(order)).where("title is null")
+    rank = F.row_number().over(Window.partitionBy("chunk", "section").orderBy("row")) - 1
+    parts = pieces.join(lines.select("chunk", "row", "section", rank.alias("n")), ["chunk", "row"])
+    marked = parts.where("section = 'REFERENCE'").select("chunk", "col", F.posexplode(F.split("piece", "")).alias("i", "c")).where("lower(c) = 'x'").select("chunk", (F.col("col") + F.col("i")).alias("pos"))
+    # A list of positions has none of the letters that lines are cut behind, so it is one piece.
+    named = parts.where("section = 'SEGREGATING SITES'").select("chunk", F.explode(F.split(F.trim("piece"), r"\s+")).alias("p")).select("chunk", F.col("p").cast("long").alias("pos"))
+    places = numbered(marked.unionByName(named), ["chunk"], "pos", [], "place")
+    return _at_sites(parts.where("section = 'HAPLOTYPES'").select("chunk", F.col("n").alias("row"), "col", "piece"), places, layout, alleles)
+
+
+def _at_sites(pieces: DataFrame, places: DataFrame, layout: Layout, alleles: list[str] | None) -> DataFrame:
+    """Haplotypes' letters at the sites that places (chunk, place, pos) names, as sites (chunk, pos, alleles)."""
+    cells = _picked(pieces, layout, alleles or list(V.ALLELES)).withColumnRenamed("pos", "place")
+    return S.site_table(cells.join(places, ["chunk", "place"]).select("chunk", "pos", "hap", "allele"), len(layout.used))
 
 
 def old_compressed_sequences(spark: SparkSession, path: str, layout: Layout, alleles: list[str] | None = None) -> DataFrame:
     """A file whose first line lists the segregating sites, and whose others are the haplotypes' letters there, as sites
     (chunk, pos, alleles) of the used haplotypes; all other loci have allele 0."""
-    from pyspark.sql import Window
-
-    letters = alleles or list(V.ALLELES)
-    lines = chunked_lines(spark, [path]).where(~(F.col("value").startswith("#") | F.col("value").startswith(">") | (F.trim("value") == "")))
-    # One row for each haplotype.
-    numbered = lines.withColumn("row", F.row_number().over(Window.partitionBy("chunk").orderBy("line_no")) - 2)
-    places = numbered.where("row = -1").select("chunk", F.posexplode(F.split(F.trim("value"), r"\s+")).alias("i", "p")).select("chunk", "i", F.col("p").cast("long").alias("pos"))
-    cells = numbered.where("row >= 0").select("chunk", "row", F.posexplode(F.split(F.trim("value"), "")).alias("i", "letter")).where("letter <> ''")
-    haps = F.create_map(*[F.lit(x) for k, h in enumerate(layout.used) for x in (h, k)])
-    code = F.array_position(F.array(*map(F.lit, letters)), F.upper("letter")) - 1
-    picked = cells.join(places, ["chunk", "i"]).select("chunk", "pos", haps[F.col("row")].alias("hap"), F.when(code >= 0, code.cast("int")).alias("allele")).where("hap is not null")
-    return S.site_table(picked, len(layout.used))
+    pieces = sequence_pieces(spark, [path])
+    # A list of positions has none of the letters that lines are cut behind, so it is one piece.
+    places = pieces.where("row = 0").select("chunk", F.posexplode(F.split(F.trim("piece"), r"\s+")).alias("place", "p")).select("chunk", "place", F.col("p").cast("long").alias("pos"))
+    return _at_sites(pieces.where("row > 0").select("chunk", (F.col("row") - 1).alias("row"), "col", "piece"), places, layout, alleles)

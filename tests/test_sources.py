@@ -326,3 +326,53 @@ def test_skipping_from_the_command_line(spark, study, tmp_path):
 def test_counters(spark, study):
     got = ingest(spark, study, VARIANTS.replace("98 .", "98 low"))
     assert {r.status: r.n for r in VCF.line_counters(got).collect()} == {"usable": 3, "filter_failed": 1}
+
+
+def test_lines_in_pieces(spark, tmp_path, monkeypatch):
+    """Lines of any length come in pieces with their line and column: letters at the ends of files and lines, files that end
+    with a mark or not, comments, empty lines, and a folder whose files break inside a line."""
+    texts = ["ACAA\n#A comment\nTTAAG\n\nAC", "A\nA", "TT\n", ">xA\nGGG\n"]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.txt").write_text(text)
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    (folder / "part-0").write_text("ACGA")
+    (folder / "part-1").write_text("TTA\n#zA\nCA")
+    (folder / "part-2").write_text("AC\n")
+    paths = [*(str(tmp_path / f"{k}.txt") for k in range(len(texts))), str(folder)]
+    want = {}
+    for chunk, text in enumerate([*texts, "ACGATTA\n#zA\nCAAC\n"]):
+        for row, line in enumerate(x for x in text.split("\n") if x and x[0] not in "#>"):
+            want[chunk, row] = line
+    got = {}
+    for r in T.sequence_pieces(spark, paths).orderBy("chunk", "row", "col").collect():
+        assert len(got.get((r.chunk, r.row), "")) == r.col
+        got[r.chunk, r.row] = got.get((r.chunk, r.row), "") + r.piece
+    assert got == want
+    long = "".join("ACGTN"[(i * i + i // 7) % 5] for i in range(5000))
+    (tmp_path / "long.txt").write_text(f"{long}\n{long[::-1]}\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        pieces = T.sequence_pieces(spark, [str(tmp_path / "long.txt")]).orderBy("row", "col").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert ["".join(r.piece for r in pieces if r.row == k) for k in (0, 1)] == [long, long[::-1]] and max(len(r.piece) for r in pieces) < 30
+
+
+def test_numbers_and_layout_tables(spark, study):
+    from popspark.operators.ordered import numbered
+
+    rows = [(k % 3, (k * 37) % 101, k) for k in range(300)]
+    df = spark.createDataFrame(rows, "g int, x int, tie int")
+    for keys in ([], ["g"]):
+        got = {(r.g, r.x, r.tie): r.n for r in numbered(df, keys, "x", ["tie"], "n", rows=40).collect()}
+        for g in [None] if not keys else range(3):
+            own = sorted((r for r in rows if g is None or r[0] == g), key=lambda r: (r[1], r[2], r[0]))
+            assert [got[r] for r in own] == list(range(len(own)))
+    assert numbered(df.limit(0), [], "x", [], "n").count() == 0
+    table = L.read_layout_table(spark, study("t.config", "# c\n9 2 2\n1 0\n\n2 1\n0 0\n"))
+    assert sorted((r.hap, r.multiplicity) for r in table.collect()) == [(0, [1, 0]), (1, [2, 1]), (2, [0, 0])]
+    with pytest.raises(Exception, match="each deme"):
+        L.read_layout_table(spark, study("u.config", "9 2 2\n1 0\n1\n")).collect()
+    same = csd.shuffled(spark.range(40).select(F.col("id").alias("hap")), 3, 9).select("perm", F.posexplode("ord").alias("place", "hap"))
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, csd.shuffled_rows(spark.range(40).select(F.col("id").alias("hap")), 3, 9).collect()))
