@@ -12,7 +12,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.jobs.inference import Model, csds_of, genetic, prepared, random_starts
+from popspark.jobs.inference import Model, csds_of, genetic, prepared_from_sites, random_starts
 from popspark.operators import blocks, csd
 from popspark.operators.likelihood import posteriors, with_posteriors
 from popspark.operators.search import grid
@@ -153,7 +153,7 @@ def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     lengths = got.lengths.select("chunk", F.expr(f"(n_loci + {a.loci_per_step} - 1) div {a.loci_per_step}").alias("n_steps"))
     # Where loci are skipped, those that do not segregate make no rows, but for runs that tell nothing.
     rest = {"skip": True, "missing": blocks.missing_runs(got.blocks, got.sites)} if a.skip_loci else {"still": blocks.still_in_blocks(got.blocks, a.loci_per_step, layout.n_alleles)}
-    data = prepared(blocks.pair_counts(got.sites, a.loci_per_step), _csds(spark, a, members, len(sample)), model, layout.n_alleles, lengths=lengths, together=a.likelihood.lower() == "oldpac", **rest)
+    data = prepared_from_sites(got.sites, _csds(spark, a, members, len(sample)), model, layout.n_alleles, lengths=lengths, together=a.likelihood.lower() == "oldpac", **rest)
     starts = _starts(spark, a, limits, dimension)
     if any(p is None or len(p) != dimension for p in starts):
         raise ValueError(f"a start point has {dimension} coordinates")

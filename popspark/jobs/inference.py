@@ -17,7 +17,7 @@ from popspark.model import hmm
 from popspark.model.cores import made
 from popspark.model.intervals import boundaries
 from popspark.operators import csd as C
-from popspark.operators.likelihood import Key, across_contigs, chunk_likelihood, evaluated, step_tensors, summed_stats, table_key
+from popspark.operators.likelihood import Key, across_contigs, chunk_likelihood, code_tensors, evaluated, step_tensors, summed_stats, table_key
 from popspark.shared import cut
 from popspark.shipping import ship
 from popspark.sources.models import Params, Template, bound, uniform, with_least_migration
@@ -110,11 +110,20 @@ def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int, s
     With ``skip``, counts are those of segregating loci, a locus a step, and all others are jumped over but for ``missing``
     runs (chunk, start, n), which tell nothing.
     """
+    return _kept(step_tensors(counts, csds, still, lengths, model.haps, missing), csds, (lengths or counts).select("chunk"), model, n_alleles, together, skip)
+
+
+def prepared_from_sites(sites: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False, skip: bool = False, missing: DataFrame | None = None) -> Data:
+    """As ``prepared``, from sites (chunk, pos, alleles), whose pairs are counted in tasks: what travels follows the number of
+    haplotypes in the CSDs, not that of their pairs."""
+    return _kept(code_tensors(sites, csds, model.loci, still, lengths, model.haps, missing), csds, (lengths or sites).select("chunk"), model, n_alleles, together, skip)
+
+
+def _kept(tensors: DataFrame, csds: DataFrame, chunks: DataFrame, model: Model, n_alleles: int, together: bool, skip: bool) -> Data:
     if skip and (model.loci != 1 or not uniform(model.params.matrix)):
         raise ValueError("loci can be skipped where a step is one locus and the mutation matrix is uniform")
-    tensors = step_tensors(counts, csds, still, lengths, model.haps, missing)
     # A partition for each CSD, up to a few for each core, so that no task has several of them while cores are idle.
-    parts = max(1, min(csds.count() * (lengths or counts).select("chunk").distinct().count(), 4 * tensors.sparkSession.sparkContext.defaultParallelism))
+    parts = max(1, min(csds.count() * chunks.distinct().count(), 4 * tensors.sparkSession.sparkContext.defaultParallelism))
     tensors = cut(tensors.repartition(parts))
     kinds = tensors.where(F.size("trunk") > 0).select("add", "trunk").distinct()
     # A row for each CSD of the likelihood, none for each locus or contig.

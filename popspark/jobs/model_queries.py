@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from popspark.jobs.inference import Data, Model, csds_of, em, genetic, likelihoods, prepared, random_starts
+from popspark.jobs.inference import Data, Model, csds_of, em, genetic, likelihoods, prepared, prepared_from_sites, random_starts
 from popspark.jobs.table_queries import HAPS, LOCI, PAIRS, _sites, genotypes
 from popspark.model.hmm import Tables
 from popspark.operators import blocks, csd, likelihood, sites
@@ -25,8 +25,7 @@ def _haps(spark: SparkSession) -> DataFrame:
 
 def _data(spark: SparkSession, sf_dir: str, kind: str, demography: str, demes: dict[int, int]) -> tuple[Data, Model]:
     model = Model(parse_demography(demography), parse_params(PARAMS), demes, len(set(demes.values())), loci=LOCI, interval_params=[3, 0.1, 2])
-    counts = blocks.pair_counts(_sites(spark, sf_dir), LOCI)
-    return prepared(counts, csds_of(kind, _haps(spark)), model, 2), model
+    return prepared_from_sites(_sites(spark, sf_dir), csds_of(kind, _haps(spark)), model, 2), model
 
 
 def _two_states() -> Tables:
@@ -41,7 +40,7 @@ def _two_state(tensors: DataFrame, members: int = HAPS, **options: object) -> Da
 
 
 def _pair_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csd.pairwise(_haps(spark)))
+    return likelihood.code_tensors(_sites(spark, sf_dir), csd.pairwise(_haps(spark)), LOCI)
 
 
 def forward_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ def forward_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def forward_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As forward_two_state, with loci that do not segregate: each block's are sent to a CSD once and hold for all its pairs."""
     segregating, still = sites.folded(_sites(spark, sf_dir))
-    tensors = likelihood.step_tensors(blocks.pair_counts(segregating, LOCI), csd.pairwise(_haps(spark)), blocks.still_counts(still, LOCI))
+    tensors = likelihood.code_tensors(segregating, csd.pairwise(_haps(spark)), LOCI, blocks.still_counts(still, LOCI))
     return _two_state(tensors).select("chunk", "csd", F.round("loglik", 5).alias("loglik"))
 
 
@@ -138,7 +137,7 @@ def superpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_sizes(spark: SparkSession, sf_dir: str, one_list: bool = False) -> DataFrame:
     """All CSDs of six seeded permutations, with trunks from none to all other haplotypes."""
     csds = csd.permuted(csd.shuffled(_haps(spark), 6, 11))
-    tensors = likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csd.one_list(csds) if one_list else csds)
+    tensors = likelihood.code_tensors(_sites(spark, sf_dir), csd.one_list(csds) if one_list else csds, LOCI)
     tables = {0: {((k,), 0): _two_states() for k in range(1, HAPS)}}
     return likelihood.evaluated(tensors, tables, dict.fromkeys(range(HAPS), 0), 1, 2, stationary=PI)
 

@@ -76,6 +76,35 @@ class Cells:
         return out
 
 
+@dataclass(frozen=True)
+class CodeCells(Cells):
+    """Pair counts that are made block by block from alleles: those of the additional haplotype, own[site], and of each slot's,
+    others[slot, site], at sites of which step[site] is the step. The arrays of Cells hold the loci that are alike for all."""
+
+    site_step: np.ndarray
+    own: np.ndarray
+    others: np.ndarray
+
+    @staticmethod
+    def at(site_step: np.ndarray, codes: np.ndarray, still: np.ndarray, n_steps: int, n_alleles: int) -> CodeCells:
+        """From codes[member, site], the additional haplotype first, and still, rows of step, allele and number of loci."""
+        still = still[np.argsort(still[:, 0], kind="stable")]
+        return CodeCells(still[:, 0], np.full(len(still), EVERY), still[:, 1], still[:, 1], still[:, 2], n_steps, len(codes) - 1, n_alleles, site_step, codes[0], codes[1:])
+
+    def block(self, low: int, high: int) -> np.ndarray:
+        out = super().block(low, high)
+        at = slice(*np.searchsorted(self.site_step, [low, high]))
+        step, own, others = self.site_step[at] - low, self.own[at], self.others[:, at]
+        np.add.at(out, (step[None], np.arange(self.n_slots)[:, None], own[None], others), 1)
+        return out
+
+    def expanded(self) -> Cells:
+        """The same as plain cells, a row for each site and slot."""
+        slot = np.repeat(np.arange(self.n_slots), len(self.site_step))
+        columns = [(np.tile(self.site_step, self.n_slots), self.step), (slot, self.slot), (np.tile(self.own, self.n_slots), self.a), (self.others.ravel(), self.b), (np.ones(len(slot), np.int64), self.n)]
+        return Cells.of(*(np.concatenate(c).astype(np.int64) for c in columns), self.n_steps, self.n_slots, self.n_alleles)
+
+
 def stationary(matrix: np.ndarray) -> np.ndarray | None:
     """The distribution that a mutation matrix leaves as it is; None where there are several."""
     n = len(matrix)
@@ -576,6 +605,8 @@ class _Skips(_Chain):
 
 
 def _still(cells: Cells, still: float, allele: int, missing: np.ndarray | None) -> StillCells:
+    if isinstance(cells, CodeCells):
+        cells = cells.expanded()
     runs = NO_RUNS if missing is None else np.asarray(missing, np.int64).reshape(-1, 2)
     return StillCells(cells.step, cells.slot, cells.a, cells.b, cells.n, cells.n_steps, cells.n_slots, cells.n_alleles, still, allele, runs)
 

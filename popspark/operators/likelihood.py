@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_sum_exp
-from popspark.model.hmm import EVERY, Cells, Tables, decoded, expected, logliks, skipping, skipping_decoded, skipping_expected
+from popspark.model.hmm import EVERY, Cells, CodeCells, Tables, decoded, expected, logliks, skipping, skipping_decoded, skipping_expected
+from popspark.operators.blocks import with_step
+from popspark.operators.sites import complete
 from popspark.shipping import ship
 
 
@@ -77,11 +79,47 @@ def step_tensors(counts: DataFrame, csds: DataFrame, still: DataFrame | None = N
         every = spark_product(named, lengths.select("chunk"))
         slot = F.when(F.size("trunk") == 0, ALONE).otherwise(EVERY)
         joined = joined.unionByName(every.join(still, "chunk").select(*keys, cell(slot, F.col("allele"), F.col("allele"))))
-    out = joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells")).join(lengths, "chunk")
-    if missing is not None:
-        runs = missing.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n")))).alias("missing"))
-        out = out.join(runs, "chunk", "left")
-    return out
+    return _with_missing(joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells")).join(lengths, "chunk"), missing)
+
+
+def code_tensors(sites: DataFrame, csds: DataFrame, loci: int, still: DataFrame | None = None, lengths: DataFrame | None = None, haps: dict[int, int] | None = None, missing: DataFrame | None = None) -> DataFrame:
+    """As ``step_tensors``, from sites (chunk, pos, alleles): a row holds its own haplotypes' alleles, a character for each site,
+    and the counts of pairs are made where they are read. Sites where a haplotype is missing are left out.
+
+    Each site makes a row for each haplotype, not for each pair of them; then a haplotype's alleles on a contig travel as one
+    string to the CSDs that it is in. Columns: chunk, perm, csd, add, trunk, factor, n_steps, steps (of the sites), codes (a
+    string for each member, the additional one first) and still (step, allele, n).
+    """
+    known = with_step(complete(sites), loci).select("chunk", "pos", F.col("step").cast("int").alias("step"), "alleles")
+    if lengths is None:
+        ends = known.select("chunk", "step") if still is None else known.select("chunk", "step").unionByName(still.select("chunk", "step"))
+        lengths = ends.groupBy("chunk").agg((F.max("step") + 1).alias("n_steps"))
+    lengths = lengths.select("chunk", F.col("n_steps").cast("int").alias("n_steps"))
+    letters = known.select("chunk", "pos", F.posexplode("alleles").alias("hap", "code"))
+    # Put together block by block first, so that no sort buffer holds a contig.
+    in_order = lambda key, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value].cast("string")), "")
+    pieces = letters.groupBy("chunk", "hap", F.expr("pos div 1000000").alias("block")).agg(in_order("pos", "code").alias("codes"))
+    rows = pieces.groupBy("chunk", "hap").agg(in_order("block", "codes").alias("codes"))
+    steps = known.groupBy("chunk").agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    hap = lambda c: F.col(c)
+    if haps is not None:
+        table = F.create_map(*[F.lit(x) for pair in sorted(haps.items()) for x in pair])
+        hap = lambda c: table[F.col(c)]
+    named = csds.select("perm", "csd", "factor", "add", "trunk")
+    slots = named.select("perm", "csd", F.posexplode(F.concat(F.array("add"), "trunk")).alias("slot", "member")).withColumn("hap", hap("member"))
+    met = slots.join(rows, "hap").groupBy("chunk", "perm", "csd").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "codes"))), lambda x: x["codes"]).alias("codes"))
+    out = spark_product(named, lengths.select("chunk")).join(met, ["chunk", "perm", "csd"], "left").join(steps, "chunk", "left").join(lengths, "chunk")
+    if still is not None:
+        each = still.groupBy("chunk").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("step", "allele", "n")])).alias("still"))
+        out = out.join(each, "chunk", "left")
+    return _with_missing(out, missing)
+
+
+def _with_missing(out: DataFrame, missing: DataFrame | None) -> DataFrame:
+    if missing is None:
+        return out
+    runs = missing.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("n").cast("int").alias("n")))).alias("missing"))
+    return out.join(runs, "chunk", "left")
 
 
 def spark_product(csds: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -101,18 +139,30 @@ def table_key(add: int, trunk: list[int], demes: dict[int, int], n_demes: int) -
     return tuple(counts), demes[add]
 
 
-def _cells(cells: pa.Scalar, n_steps: int, n_trunk: int, n_alleles: int) -> Cells:
-    step, slot, a, b, n = (np.asarray(x) for x in cells.values.flatten())
-    return Cells.of(step, slot, a, b, n, n_steps, n_trunk, n_alleles)
+def _cells(batch: pa.RecordBatch, i: int, n_steps: int, n_trunk: int, n_alleles: int) -> Cells:
+    """The i-th row's pair counts, from cells or from codes."""
+    if "codes" not in batch.schema.names:
+        step, slot, a, b, n = (np.asarray(x) for x in batch.column("cells")[i].values.flatten())
+        return Cells.of(step, slot, a, b, n, n_steps, n_trunk, n_alleles)
+    steps, codes = batch.column("steps")[i], batch.column("codes")[i]
+    own = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in codes.values]) - 48 if codes.is_valid else np.empty((n_trunk + 1, 0), np.uint8)
+    at = np.asarray(steps.values, np.int64) if steps.is_valid else np.empty(0, np.int64)
+    still = np.empty((0, 3), np.int64)
+    if "still" in batch.schema.names and batch.column("still")[i].is_valid:
+        still = np.stack([np.asarray(x, np.int64) for x in batch.column("still")[i].values.flatten()], 1)
+    return CodeCells.at(at, own, still, n_steps, n_alleles)
 
 
-def _alone(cells: pa.Scalar, stationary: np.ndarray | None) -> float:
+def _alone(batch: pa.RecordBatch, i: int, n_alleles: int, stationary: np.ndarray | None) -> float:
     """ln of the stationary probability of a haplotype's alleles."""
     if stationary is None:
         raise ValueError("a CSD with an empty trunk needs the mutation matrix's stationary distribution")
-    _, _, a, _, n = (np.asarray(x) for x in cells.values.flatten())
-    with np.errstate(divide="ignore"):
-        return float((n * np.log(np.asarray(stationary)[a])).sum())
+    cells = _cells(batch, i, 0, 0, n_alleles)
+    seen = np.bincount(cells.a, cells.n, n_alleles)
+    if isinstance(cells, CodeCells):
+        seen = seen + np.bincount(cells.own, minlength=n_alleles)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return float(np.where(seen > 0, seen * np.log(np.asarray(stationary)), 0.0).sum())
 
 
 STATS = ("initial", "stay", "move", "emit", "own")
@@ -142,13 +192,12 @@ def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: d
             parts = batch.column("group").to_pylist() if groups > 1 else [0] * len(batch)
             for i, (chunk, perm, csd, factor, add, trunk, n_steps) in enumerate(zip(*single, strict=True)):
                 key = table_key(add, trunk, demes, n_demes)
-                packed = batch.column("cells")[i]
                 particles = ids[parts[i] :: groups]
                 found: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0) for _ in STATS)] * len(particles)
                 if not trunk:
-                    values = [_alone(packed, stationary[p] if isinstance(stationary, dict) else stationary) for p in particles]
+                    values = [_alone(batch, i, n_alleles, stationary[p] if isinstance(stationary, dict) else stationary) for p in particles]
                 else:
-                    cells = _cells(packed, n_steps, len(trunk), n_alleles)
+                    cells = _cells(batch, i, n_steps, len(trunk), n_alleles)
                     own = [tables[p][key] for p in particles]
                     shares = [t.shares([demes[h] for h in trunk]) for t in own]
                     runs = {"missing": _runs(batch.column("missing")[i])} if skip and has_missing else {}
@@ -204,10 +253,10 @@ def posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: dict[int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "add", "trunk", "n_steps")), batch.column("cells"), strict=True)
-            for chunk, perm, number, add, trunk, n_steps, packed in rows:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "add", "trunk", "n_steps")), strict=True)
+            for i, (chunk, perm, number, add, trunk, n_steps) in enumerate(rows):
                 own = tables[table_key(add, trunk, demes, n_demes)]
-                for low, p in decoded(_cells(packed, n_steps, len(trunk), n_alleles), own, own.shares([demes[h] for h in trunk])):
+                for low, p in decoded(_cells(batch, i, n_steps, len(trunk), n_alleles), own, own.shares([demes[h] for h in trunk])):
                     step = np.arange(low, low + len(p), dtype=np.int32)
                     yield _state_rows((chunk, perm, number), step[step % every == 0], p[step % every == 0])
 
@@ -232,7 +281,7 @@ def _skipped_posteriors(tensors: DataFrame, tables: dict[Key, Tables], demes: di
             single = (batch.column(c).to_pylist() for c in ("chunk", "perm", "csd", "add", "trunk", "n_steps"))
             for i, (chunk, perm, number, add, trunk, n_steps) in enumerate(zip(*single, strict=True)):
                 own = tables[table_key(add, trunk, demes, n_demes)]
-                cells = _cells(batch.column("cells")[i], n_steps, len(trunk), n_alleles)
+                cells = _cells(batch, i, n_steps, len(trunk), n_alleles)
                 runs = {"missing": _runs(batch.column("missing")[i])} if has_missing else {}
                 for step, p in skipping_decoded(cells, own, own.shares([demes[h] for h in trunk]), np.asarray(batch.column("places")[i].values, np.int64), **runs):
                     yield _state_rows((chunk, perm, number), step.astype(np.int32), p)

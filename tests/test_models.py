@@ -561,3 +561,54 @@ class TestTrunks:
             of_moving, of_still = (x.piece(a, b, sizes, migration) for x in (moving, still))
             for t in (a, (a + b) / 2, b):
                 assert np.allclose(of_moving(t, 0.0).sum(1), of_still(t, 0.0).sum(1)) and (of_moving(t, 0.0) >= 0).all()
+
+
+def test_rows_follow_the_number_of_haplotypes(spark):
+    """A CSD's row holds its own haplotypes' alleles and gives what pair counts give; 60 haplotypes take rows that are as much longer
+    as there are more of them."""
+    from popspark.operators import blocks
+    from popspark.operators.likelihood import code_tensors
+
+    r = np.random.default_rng(7)
+
+    def sites(n):
+        rows = [(c, int(p), [None if p % 11 == 0 and h == 1 else int(x) for h, x in enumerate(r.integers(0, 2, n))]) for c in range(2) for p in range(0, 400, 3)]
+        return spark.createDataFrame(rows, "chunk int, pos long, alleles array<int>")
+
+    few = sites(4)
+    still = spark.createDataFrame([(c, s, s % 2, 5) for c in range(3) for s in range(10)], "chunk int, step long, allele int, n long")
+    haps = spark.createDataFrame([(h,) for h in range(4)], "hap int")
+    csds = csd.leave_one_out(haps).unionByName(csd.permuted(spark.createDataFrame([(1, [0, 1, 2, 3])], "perm int, ord array<int>")))
+    tables_ = {0: {((k,), 0): random_tables(2, 1, 5) for k in range(1, 4)}}
+    for stats in (False, True):
+        old = step_tensors(blocks.pair_counts(few, 50), csds, still)
+        new = code_tensors(few, csds, 50, still)
+        got = [sorted((x.chunk, x.perm, x.csd, round(x.loglik, 8), *([round(v, 8) for v in x.emit] if stats else [])) for x in evaluated(t, tables_, dict.fromkeys(range(4), 0), 1, 2, with_stats=stats, stationary=np.array([0.6, 0.4])).collect()) for t in (old, new)]
+        assert got[0] == got[1] and len(got[0]) == 3 * 8
+    sizes = {}
+    for n in (6, 60):
+        members = spark.createDataFrame([(h,) for h in range(n)], "hap int")
+        row = code_tensors(sites(n), csd.leave_one_out(members), 50).where("csd = 2 and chunk = 0").first()
+        sizes[n] = sum(map(len, row.codes)) + 4 * len(row.steps)
+        assert len(row.codes) == n and len(set(map(len, row.codes))) == 1
+    assert sizes[60] < 10 * sizes[6]
+
+
+def test_rates_by_interval():
+    """Pieces of one rate are the one rate; others add up along the intervals."""
+    from dataclasses import replace
+
+    from popspark.model.cores import made
+
+    two = bound(parse_demography("[?0]\n{{0},{1}}\n?1 ?2\nnull\n0 ?3\n?3 0\n{{0,1}}\n?4\nnull\n0\n"), [0.3, 1.0, 0.8, 0.5, 1.2])
+    for one_event in (True, False):
+        for core in ("spectral", "adaptive", "steps"):
+            plain = made(core, two, BOUNDS, np.array([2, 3]), 0, PARAMS, 1, "simple", one_event)
+            same = made(core, two, BOUNDS, np.array([2, 3]), 0, replace(PARAMS, thetas=(PARAMS.theta,) * 6), 1, "simple", one_event)
+            assert difference(plain, same) < 1e-8
+        rising = replace(PARAMS, thetas=(0.01, 0.02, 0.04, 0.08, 0.16, 0.32))
+        found = [made(core, two, BOUNDS, np.array([2, 3]), 0, rising, 1, "simple", one_event, **more) for core, more in (("spectral", {}), ("adaptive", {"tolerance": 1e-12}), ("steps", {"per_piece": 100}))]
+        assert difference(found[0], found[1]) < 1e-9 and difference(found[0], found[2]) < 1e-4
+        assert found[0].emit[-1, 0, 1] > plain.emit[-1, 0, 1] and np.allclose(found[0].move, plain.move, atol=1e-3)
+    with pytest.raises(ValueError, match="hidden intervals"):
+        made("spectral", two, BOUNDS, np.array([2, 3]), 0, replace(PARAMS, thetas=(0.1,)), 1, "simple")
