@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from popspark.llm.common import table
 from popspark.llm.tokens import _byte_letters
-from popspark.shared import written
+from popspark.shared import fresh, written
 from popspark.shipping import ship
 
 #: Bytes of text that are handled at once.
@@ -148,7 +148,9 @@ class Pair:
         """Where the chunks of texts that begin at ``starts`` begin, and what place each has in the stores."""
         if len(self.place) > CHUNKS:
             self._reset()
-        begins = np.unique(np.concatenate([starts, cuts(data)]))
+        here = np.zeros(len(data), bool)
+        here[starts] = here[cuts(data)] = True
+        begins = np.flatnonzero(here)
         offsets = np.append(begins, len(data)).astype(np.int64)
         column = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
         coded = column.dictionary_encode()
@@ -435,7 +437,10 @@ def scored_alignment(docs: DataFrame, a_path: str | None = None, b_path: str | N
     that come most often are looked up inside tasks; links of the others, few by their nature, are joined with their counts.
     """
     spark = docs.sparkSession
-    aligned = written(align(docs, a_path, b_path).withColumn("row", F.monotonically_increasing_id()), "aligned")
+    # Small row groups: links are large, and a writer holds a group of them.
+    path = fresh(spark, "aligned")
+    align(docs, a_path, b_path).withColumn("row", F.monotonically_increasing_id()).write.option("parquet.block.size", 8 << 20).parquet(path)
+    aligned = spark.read.parquet(path)
     counts = written(pair_counts(aligned), "counts")
     # At most ``common`` rows.
     top = counts.orderBy(F.desc("n"), "pair").limit(common).toArrow()
