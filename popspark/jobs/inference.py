@@ -17,7 +17,7 @@ from popspark.model import hmm
 from popspark.model.cores import made
 from popspark.model.intervals import boundaries
 from popspark.operators import csd as C
-from popspark.operators.likelihood import Key, across_contigs, chunk_likelihood, code_tensors, evaluated, step_tensors, summed_stats, table_key
+from popspark.operators.likelihood import Key, across_contigs, chunk_likelihood, code_tensors, evaluated, rate_of, rate_runs, step_tensors, summed_stats, table_key, with_rates
 from popspark.shared import cut
 from popspark.shipping import ship
 from popspark.sources.models import Params, Template, bound, uniform, with_least_migration
@@ -72,7 +72,8 @@ class Model:
         out = {}
         for k in keys:
             bounds = boundaries(self.interval_type, self.interval_params, epochs, np.array(k[0]), k[1])
-            out[k] = made(self.core, epochs, bounds, np.array(k[0]), k[1], params, self.loci, self.style, cake=self.cake, per_piece=self.per_piece)
+            own = replace(params, rho=params.rho * rate_of(k[2])) if len(k) > 2 else params
+            out[k] = made(self.core, epochs, bounds, np.array(k[0]), k[1], own, self.loci, self.style, cake=self.cake, per_piece=self.per_piece)
         return out
 
 
@@ -113,10 +114,13 @@ def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int, s
     return _kept(step_tensors(counts, csds, still, lengths, model.haps, missing), csds, (lengths or counts).select("chunk"), model, n_alleles, together, skip)
 
 
-def prepared_from_sites(sites: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False, skip: bool = False, missing: DataFrame | None = None) -> Data:
+def prepared_from_sites(sites: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False, skip: bool = False, missing: DataFrame | None = None, rates: DataFrame | None = None) -> Data:
     """As ``prepared``, from sites (chunk, pos, alleles), whose pairs are counted in tasks: what travels follows the number of
-    haplotypes in the CSDs, not that of their pairs."""
-    return _kept(code_tensors(sites, csds, model.loci, still, lengths, model.haps, missing), csds, (lengths or sites).select("chunk"), model, n_alleles, together, skip)
+    haplotypes in the CSDs, not that of their pairs. rates: a map (chunk, start, end, rate) of factors of the recombination rate
+    along contigs."""
+    tensors = code_tensors(sites, csds, model.loci, still, lengths, model.haps, missing)
+    tensors = tensors if rates is None else with_rates(tensors, rate_runs(rates, model.loci))
+    return _kept(tensors, csds, (lengths or sites).select("chunk"), model, n_alleles, together, skip)
 
 
 def _kept(tensors: DataFrame, csds: DataFrame, chunks: DataFrame, model: Model, n_alleles: int, together: bool, skip: bool) -> Data:
@@ -128,6 +132,10 @@ def _kept(tensors: DataFrame, csds: DataFrame, chunks: DataFrame, model: Model,
     kinds = tensors.where(F.size("trunk") > 0).select("add", "trunk").distinct()
     # A row for each CSD of the likelihood, none for each locus or contig.
     keys = sorted({table_key(r["add"], r["trunk"], model.demes, model.n_demes) for r in kinds.toLocalIterator()})
+    if "rates" in tensors.columns:
+        # A row for each rate that there is, of those that are not alike.
+        ids = [r["id"] for r in tensors.select("rates").distinct().select(F.explode("rates.id").alias("id")).distinct().toLocalIterator()]
+        keys = [(*k, i) for k in keys for i in sorted(ids)]
     return Data(tensors, keys, n_alleles, together, skip, tensors.count())
 
 

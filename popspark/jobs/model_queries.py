@@ -134,6 +134,20 @@ def superpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.chunk_likelihood(found).select("chunk", F.round("loglik", 5).alias("loglik"))
 
 
+def rated_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As forward_two_state, where recombination is twice as frequent in three of seven blocks: the chain changes its tables."""
+    import numpy as np
+
+    one = _two_states()
+    other = Tables(one.initial, np.log([0.4, 0.5]), np.log([[0.4, 0.2], [0.2, 0.3]]), one.emit, one.deme)
+    steps = genotypes(spark, sf_dir).select("chunk", F.expr(f"pos div {LOCI}").alias("step")).distinct()
+    # Ranges of blocks whose number is 1, 2 or 3 modulo 7.
+    rates = steps.where("step % 7 in (1, 2, 3)").select("chunk", (F.col("step") * LOCI).alias("start"), ((F.col("step") + 1) * LOCI).alias("end"), F.lit(2.0).alias("rate"))
+    tensors = likelihood.with_rates(_pair_tensors(spark, sf_dir), likelihood.rate_runs(rates, LOCI))
+    tables = {((1,), 0, 0): one, ((1,), 0, round(float(np.log(2.0)) / likelihood.ALIKE)): other}
+    return likelihood.evaluated(tensors, {0: tables}, dict.fromkeys(range(HAPS), 0), 1, 2).select("chunk", "csd", F.round("loglik", 5).alias("loglik"))
+
+
 def _all_sizes(spark: SparkSession, sf_dir: str, one_list: bool = False) -> DataFrame:
     """All CSDs of six seeded permutations, with trunks from none to all other haplotypes."""
     csds = csd.permuted(csd.shuffled(_haps(spark), 6, 11))
@@ -199,6 +213,16 @@ still as (select chunk, pos // {LOCI} as step, low as allele from site where n_c
 every as (select x.hap as add, y.hap as trunk from h x join h y on x.hap <> y.hap),
 whole as (select chunk, step, add, trunk, a, b, count(*) as n from (select * from seg union all select chunk, step, add, trunk, allele, allele from still cross join every) group by all),
 {_chain('whole')} select chunk, add * 4 + trunk as csd, round(total, 5) as loglik from ends"""
+RATED_SQL = f"""with recursive {PAIRS}, grid_steps as (select chunk, max(step) as last from pairs group by 1), seen as (select distinct chunk, pos // {LOCI} as step from g),
+who as (select distinct chunk, add, trunk from pairs),
+e as (select chunk, add, trunk, step, sum(n * ln(case when a = b then 0.95 else 0.05 end)) as e0, sum(n * ln(case when a = b then 0.6 else 0.4 end)) as e1 from pairs group by 1, 2, 3, 4),
+turns as (select v.chunk, v.step, case when v.step % 7 in (1, 2, 3) and s.step is not null then 0.2 else 0.1 end as p from (select chunk, unnest(range(last + 1)) as step from grid_steps) v left join seen s using (chunk, step)),
+f(chunk, add, trunk, step, f0, f1) as (
+  select w.chunk, w.add, w.trunk, 0, ln(0.6) + coalesce(e.e0, 0), ln(0.4) + coalesce(e.e1, 0) from who w left join e on e.chunk = w.chunk and e.add = w.add and e.trunk = w.trunk and e.step = 0
+  union all
+  select f.chunk, f.add, f.trunk, f.step + 1, {_lse("f.f0 + ln(1 - t.p)", "f.f1 + ln(t.p)")} + coalesce(e.e0, 0), {_lse("f.f0 + ln(t.p)", "f.f1 + ln(1 - t.p)")} + coalesce(e.e1, 0)
+  from f join turns t on t.chunk = f.chunk and t.step = f.step + 1 left join e on e.chunk = f.chunk and e.add = f.add and e.trunk = f.trunk and e.step = f.step + 1)
+select f.chunk, f.add * 4 + f.trunk as csd, round({_lse("f0", "f1")}, 5) as loglik from f join grid_steps g on g.chunk = f.chunk and g.last = f.step"""
 MEMBERS_SQL = f"""with recursive {PAIRS}, m as (select * from (values (0, 0), (1, 0), (2, 1), (3, 2), (4, 3)) t(member, hap)),
 both_pairs as (select * from pairs union all select chunk, pos // {LOCI} as step, hap, hap, allele, allele, count(*) from used group by all),
 whole as (select p.chunk, p.step, x.member as add, y.member as trunk, p.a, p.b, p.n from m x join m y on x.member <> y.member join both_pairs p on p.add = x.hap and p.trunk = y.hap),
@@ -392,7 +416,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         forward_two_state, forward_blocks, forward_members, skipping_two_state, expected_skipping_two_state, posterior_skipping_two_state, expected_two_state, posterior_two_state, pac_two_state, oldpac_two_state, superpac_two_state,
-        pac_csds, pac_trunks, oldpac_trunks, superpac_trunks, seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, closed_form_likelihoods, one_deme_tables, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
+        rated_two_state, pac_csds, pac_trunks, oldpac_trunks, superpac_trunks, seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, closed_form_likelihoods, one_deme_tables, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
     )
 }
 SQL = {
@@ -407,6 +431,7 @@ SQL = {
     "pac_two_state": f"{PERMUTED_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",
     "oldpac_two_state": f"{PERMUTED_SQL} select round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select l, max(l) over () as m from (select perm, sum(l) as l from each_perm group by 1))",
     "superpac_two_state": f"{PERMUTED_SQL} select chunk, round(sum(l), 5) as loglik from each_perm group by 1",
+    "rated_two_state": RATED_SQL,
     "pac_csds": f"{TRUNKS_SQL} select chunk, perm, csd, round(l, 5) as loglik from csds",
     "pac_trunks": f"{TRUNKS_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",
     "oldpac_trunks": f"{TRUNKS_SQL} select round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select l, max(l) over () as m from (select perm, sum(l) as l from each_perm group by 1))",

@@ -137,8 +137,8 @@ class _Chain:
     Steps are gone through in blocks, so that memory does not grow with a contig but for one state a block.
     """
 
-    def __init__(self, cells: Cells, tables: Tables, share: np.ndarray):
-        self.cells, self.tables = cells, tables
+    def __init__(self, cells: Cells, tables: Tables, share: np.ndarray, low: int = 0, high: int | None = None):
+        self.cells, self.tables, self.low, self.high = cells, tables, low, cells.n_steps if high is None else high
         self.initial, self.stay, self.move, self.share = (np.exp(x) for x in (tables.initial, tables.stay, tables.move, share))
         self.stay = self.stay[:, None]
 
@@ -186,12 +186,12 @@ class _Chain:
         return stay, move, np.einsum("tsh,sh,tsh->s", states, self.share, following) * np.diag(self.move)
 
     def blocks(self) -> list[tuple[int, int]]:
-        n = self.cells.n_steps
-        return [(low, min(low + BLOCK, n)) for low in range(0, n, BLOCK)]
+        return [(low, min(low + BLOCK, self.high)) for low in range(self.low, self.high, BLOCK)]
 
-    def forward(self) -> tuple[float, list[np.ndarray | None]]:
-        """The ln likelihood, and the state before each block."""
-        total, state, kept = 0.0, None, []
+    def forward(self, state: np.ndarray | None = None) -> tuple[float, list[np.ndarray | None]]:
+        """The ln likelihood, and the state before each block. ``state`` is that of a chain of which this one is the
+        continuation; its own last one is kept."""
+        total, kept = 0.0, []
         for low, high in self.blocks():
             kept.append(state)
             _, emitted, top = self.emitted(low, high)
@@ -199,12 +199,14 @@ class _Chain:
                 state, scale = self.step(state, emitted[t])
                 total += scale
             total += float(top.sum())
+        self.state = state
         return total, kept
 
-    def backward(self, kept: list[np.ndarray | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def backward(self, kept: list[np.ndarray | None], after: _Chain | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Blocks from the last to the first: (first step, counts, posteriors, states and what follows them). The last two
-        leave out the chain's last step."""
-        following = None
+        leave out the chain's last step. ``after``, if given, is the chain that continues this one and has been gone through; the
+        step onto its first one is ``edge`` then, and happens by its tables."""
+        following, self.edge = None, None
         for (low, high), state in zip(self.blocks()[::-1], kept[::-1], strict=True):
             counts, emitted, _ = self.emitted(low, high)
             states, scales = np.empty_like(emitted), np.empty(high - low)
@@ -214,11 +216,17 @@ class _Chain:
             posterior, next_ = np.empty_like(emitted), np.empty_like(emitted)
             last = following is None
             for t in range(high - low - 1, -1, -1):
-                promise = self.nothing(emitted[t].shape) if following is None else self.promised(following)
                 if following is not None:
+                    promise = self.promised(following)
                     next_[t] = following
+                elif after is not None:
+                    promise = after.promised(after.following)
+                    self.edge = states[t][None], after.following[None]
+                else:
+                    promise = self.nothing(emitted[t].shape)
                 posterior[t] = self.posterior(states[t], promise)
                 following = self.scaled(promise, emitted[t], scales[t])
+            self.following = following
             n = high - low - last
             yield low, counts, posterior, states[:n], next_[:n]
 
@@ -226,8 +234,8 @@ class _Chain:
 class _LogChain(_Chain):
     """The same chain in logarithms, block by block as well, for states that are too far apart for plain numbers."""
 
-    def __init__(self, cells: Cells, tables: Tables, share: np.ndarray):
-        self.cells, self.tables, self.share = cells, tables, share
+    def __init__(self, cells: Cells, tables: Tables, share: np.ndarray, low: int = 0, high: int | None = None):
+        self.cells, self.tables, self.share, self.low, self.high = cells, tables, share, low, cells.n_steps if high is None else high
         self.initial, self.stay, self.move = tables.initial, tables.stay[:, None], tables.move
 
     def emitted(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -346,6 +354,46 @@ def expected(cells: Cells, tables: Tables, share: np.ndarray) -> tuple[float, St
     return _in_plain_or_logs(run, cells, tables, share)
 
 
+def rated(cells: Cells, tables: dict[int, Tables], runs: np.ndarray, share: np.ndarray, with_stats: bool = True) -> tuple[float, dict[int, Stats]]:
+    """As ``expected`` where rates change along the chain: (ln likelihood, expected counts by rate). runs are rows (first step,
+    rate), in order and from step 0 on; the step onto a locus happens by that locus's tables."""
+    s, k = len(next(iter(tables.values())).initial), cells.n_alleles
+    ends = np.append(runs[1:, 0], cells.n_steps).tolist()
+
+    def run(kind: type[_Chain]) -> tuple[float, dict[int, Stats]]:
+        chains = [(int(r), kind(cells, tables[int(r)], share, int(low), int(high))) for (low, r), high in zip(runs.tolist(), ends, strict=True) if high > low]
+        total, state, kept = 0.0, None, []
+        for _, chain in chains:
+            value, blocks = chain.forward(state)
+            total, state = total + value, chain.state
+            kept.append(blocks)
+        found = {r: (np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((s, k * k)), np.zeros(s)) for r, _ in chains}
+        after, rate_after = None, -1
+
+        def add(r: int, parts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+            for whole, part in zip((found[r][1], found[r][2], found[r][4]), parts, strict=True):
+                whole += part
+
+        if with_stats and np.isfinite(total):
+            for (r, chain), blocks in zip(chains[::-1], kept[::-1], strict=True):
+                for low, counts, posterior, states, following in chain.backward(blocks, after):
+                    add(r, chain.counted(states, following))
+                    found[r][3][:] += posterior.transpose(1, 0, 2).reshape(s, -1) @ counts.reshape(-1, k * k)
+                    if low == 0:
+                        found[r][0][:] = posterior[0].sum(1)
+                if after is not None:
+                    add(rate_after, after.counted(*chain.edge))
+                after, rate_after = chain, r
+        return total, {r: (a, b, c, d.reshape(s, k, k).transpose(0, 2, 1), e) for r, (a, b, c, d, e) in found.items()}
+
+    if not cells.n_steps:
+        return 0.0, {}
+    try:
+        return run(_Chain)
+    except _Underflow:
+        return run(_LogChain)
+
+
 def decoded(cells: Cells, tables: Tables, share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """The posterior probability of each state at each step, summed over haplotypes: blocks (first step, [t, s]), the last first."""
     if cells.n_steps:

@@ -8,9 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from popspark.functions.logspace import log_sum_exp
-from popspark.model.hmm import EVERY, Cells, CodeCells, Tables, decoded, expected, logliks, skipping, skipping_decoded, skipping_expected
+from popspark.model.hmm import EVERY, Cells, CodeCells, Tables, decoded, expected, logliks, rated, skipping, skipping_decoded, skipping_expected
 from popspark.operators.blocks import with_step
 from popspark.operators.sites import complete
 from popspark.shipping import ship
@@ -128,7 +129,37 @@ def spark_product(csds: DataFrame, chunks: DataFrame) -> DataFrame:
     return csds.join(F.broadcast(all_chunks)).withColumn("chunk", F.explode("chunks")).drop("chunks")
 
 
-Key = tuple[tuple[int, ...], int]
+#: Rates of recombination within this of each other, relatively, are one.
+ALIKE = 1e-4
+
+
+def rate_runs(rates: DataFrame, loci: int) -> DataFrame:
+    """(chunk, first, id): the runs of steps with one rate of recombination, from step 0 on, of a map (chunk, start, end, rate) of
+    half-open ranges of loci that do not overlap; rates are factors, and loci outside of all ranges have 1. A step has the rate
+    of its first locus. Rates that are alike share an id, whose rate is ``rate_of`` it."""
+    checked = F.when(F.col("rate") > 0, F.col("rate")).otherwise(F.raise_error(F.lit("a rate of recombination is above 0")).cast("double"))
+    first, last = (F.expr(f"({c} + {loci} - 1) div {loci}") for c in ("start", "end"))
+    own = rates.select("chunk", first.alias("first"), last.alias("stop"), F.round(F.ln(checked) / ALIKE).cast("int").alias("id")).where("first < stop")
+    order = Window.partitionBy("chunk").orderBy("first")
+    own = own.withColumn("next", F.lead("first").over(order)).withColumn("before", F.lag("stop").over(order))
+    gaps = own.where("before is null and first > 0").select("chunk", F.lit(0).cast("long").alias("first"), F.lit(0).alias("id"))
+    behind = own.where("next is null or next > stop").select("chunk", F.col("stop").alias("first"), F.lit(0).alias("id"))
+    return own.select("chunk", "first", "id").unionByName(gaps).unionByName(behind)
+
+
+def rate_of(i: int) -> float:
+    return float(np.exp(i * ALIKE))
+
+
+def with_rates(tensors: DataFrame, runs: DataFrame) -> DataFrame:
+    """tensors with ``rates``, the runs (chunk, first, id) of each row's contig; contigs without any have the rate 1."""
+    each = runs.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct(F.col("first").cast("int").alias("first"), F.col("id").cast("int").alias("id")))).alias("rates"))
+    one = F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("id")))
+    return tensors.join(each, "chunk", "left").withColumn("rates", F.coalesce("rates", one))
+
+
+#: How many of the trunk's haplotypes each deme has, the additional one's deme and, where there is a map of rates, a rate's id.
+Key = tuple[tuple[int, ...], int] | tuple[tuple[int, ...], int, int]
 
 
 def table_key(add: int, trunk: list[int], demes: dict[int, int], n_demes: int) -> Key:
@@ -174,7 +205,8 @@ def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: d
 
     One with an empty trunk has the ``stationary`` probability of its haplotype, and no hidden states to count. With
     ``skip``, steps without counts are one locus without differences each, or tell nothing where they are missing, and are
-    jumped over; this needs the same emission of a pair of equal alleles whichever they are.
+    jumped over; this needs the same emission of a pair of equal alleles whichever they are. Where tensors have rates
+    (``with_rates``), the chain changes tables with them, and expected counts come by rate.
     A row holds one CSD's packed counts, so tasks are CSDs and chunks, and with ``groups`` each of so many parts of the
     particles is a task of its own; a row is unpacked once for all its particles, which go through the chain side by side.
     Tables are a few dense matrices for each kind of CSD.
@@ -183,7 +215,9 @@ def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: d
     ids = sorted(tables)
     if groups > 1:
         tensors = tensors.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    has_missing = "missing" in tensors.columns
+    has_missing, has_rates = "missing" in tensors.columns, "rates" in tensors.columns
+    if skip and has_rates:
+        raise ValueError("loci can be skipped where the rate of recombination is one")
     names = ["particle_id", "chunk", "perm", "csd", "factor", "loglik"] + ["key", *STATS] * with_stats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,9 +227,23 @@ def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: d
             for i, (chunk, perm, csd, factor, add, trunk, n_steps) in enumerate(zip(*single, strict=True)):
                 key = table_key(add, trunk, demes, n_demes)
                 particles = ids[parts[i] :: groups]
+                keys = [repr(key)] * len(particles)
                 found: list[tuple[np.ndarray, ...]] = [tuple(np.empty(0) for _ in STATS)] * len(particles)
                 if not trunk:
                     values = [_alone(batch, i, n_alleles, stationary[p] if isinstance(stationary, dict) else stationary) for p in particles]
+                elif has_rates:
+                    cells, runs = _cells(batch, i, n_steps, len(trunk), n_alleles), np.stack([np.asarray(x, np.int64) for x in batch.column("rates")[i].values.flatten()], 1)
+                    runs, keys, found, values, named = runs[runs[:, 0] < max(n_steps, 1)], [], [], [], []
+                    for p in particles:
+                        own = {r: tables[p][(*key, r)] for r in np.unique(runs[:, 1]).tolist()}
+                        value, stats = rated(cells, own, runs, next(iter(own.values())).shares([demes[h] for h in trunk]), with_stats)
+                        # A row for each rate; the likelihood goes with the first.
+                        rows = sorted(stats.items()) if with_stats else [(0, None)]
+                        named += [p] * len(rows)
+                        keys += [repr((*key, r)) for r, _ in rows]
+                        found += [x for _, x in rows]
+                        values += [value] + [0.0] * (len(rows) - 1)
+                    particles = named
                 else:
                     cells = _cells(batch, i, n_steps, len(trunk), n_alleles)
                     own = [tables[p][key] for p in particles]
@@ -209,7 +257,7 @@ def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: d
                 n = len(particles)
                 columns = [pa.array(particles, pa.int64()), *(pa.array([x] * n, k) for x, k in ((chunk, pa.int32()), (perm, pa.int32()), (csd, pa.int32()), (factor, pa.float64()))), pa.array(values, pa.float64())]
                 if with_stats:
-                    columns += [pa.array([repr(key)] * n)] + [pa.array([x[k].ravel() for x in found], pa.list_(pa.float64())) for k in range(len(STATS))]
+                    columns += [pa.array(keys)] + [pa.array([x[k].ravel() for x in found], pa.list_(pa.float64())) for k in range(len(STATS))]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     kinds = "particle_id long, chunk int, perm int, csd int, factor double, loglik double" + "".join(f", {x}" for x in ["key string", *(f"{s} array<double>" for s in STATS)] * with_stats)

@@ -146,6 +146,18 @@ def read_start_points(spark: SparkSession, path: str, dimension: int) -> DataFra
     return numbered(rows.select("line_no", checked.alias("point")), [], "line_no", [], "particle_id").select("particle_id", "point")
 
 
+def read_rates(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Maps of rates, a file for each contig, as (chunk, start, end, rate): half-open ranges of loci, counted from 0. A line of
+    another width is an error, and so are ranges that are empty or overlap."""
+    lines = chunked_lines(spark, paths).where(~is_comment(F.col("value")))
+    cells = F.split(F.trim("value"), r"\s+")
+    c = F.when(F.size(cells) == 3, cells).otherwise(F.raise_error(F.lit("a range of a rate has three columns")).cast("array<string>"))
+    rows = lines.select("chunk", c.alias("c")).select("chunk", F.col("c")[0].cast("long").alias("start"), F.col("c")[1].cast("long").alias("end"), F.col("c")[2].cast("double").alias("rate"))
+    before = F.lag("end").over(Window.partitionBy("chunk").orderBy("start"))
+    fine = (F.col("start") < F.col("end")) & F.coalesce(before <= F.col("start"), F.lit(True))
+    return rows.withColumn("_fine", fine).select("chunk", "start", "end", F.when(F.col("_fine"), F.col("rate")).otherwise(F.raise_error(F.lit("ranges of rates are empty or overlap")).cast("double")).alias("rate"))
+
+
 def read_points(spark: SparkSession, path: str) -> list[float]:
     """Interval boundaries: one line of numbers with commas."""
     lines = [r["value"] for r in chunked_lines(spark, [path]).where(~is_comment(F.col("value"))).limit(2).collect()]

@@ -608,7 +608,46 @@ def test_rates_by_interval():
             assert difference(plain, same) < 1e-8
         rising = replace(PARAMS, thetas=(0.01, 0.02, 0.04, 0.08, 0.16, 0.32))
         found = [made(core, two, BOUNDS, np.array([2, 3]), 0, rising, 1, "simple", one_event, **more) for core, more in (("spectral", {}), ("adaptive", {"tolerance": 1e-12}), ("steps", {"per_piece": 100}))]
-        assert difference(found[0], found[1]) < 1e-9 and difference(found[0], found[2]) < 1e-4
-        assert found[0].emit[-1, 0, 1] > plain.emit[-1, 0, 1] and np.allclose(found[0].move, plain.move, atol=1e-3)
+        assert difference(found[0], found[1]) < 1e-8 and difference(found[0], found[2]) < 1e-4
+        plain = made("spectral", two, BOUNDS, np.array([2, 3]), 0, PARAMS, 1, "simple", one_event)
+        assert found[0].emit[-1, 0, 1] > plain.emit[-1, 0, 1] and np.allclose(found[0].move, plain.move)
     with pytest.raises(ValueError, match="hidden intervals"):
         made("spectral", two, BOUNDS, np.array([2, 3]), 0, replace(PARAMS, thetas=(0.1,)), 1, "simple")
+
+
+@pytest.mark.parametrize("block", [5, 256])
+def test_rates_along_a_contig(monkeypatch, block):
+    """A map of one rate gives what no map gives; of two, what enumeration of all paths gives, with counts that are the slopes of
+    the likelihood in each rate's tables."""
+    monkeypatch.setattr(hmm, "BLOCK", block)
+    one, other = random_tables(2, 1, 3), random_tables(2, 1, 8)
+    other = hmm.Tables(one.initial, other.stay, other.move, one.emit, one.deme)
+    share = one.shares([0, 0])
+    dense = np.random.default_rng(1).integers(0, 3, (9, 2, 2, 2)).astype(float)
+    cells = hmm.Cells.dense(dense)
+    total, want = hmm.expected(cells, one, share)
+    for runs in ([[0, 7]], [[0, 7], [4, 7], [6, 7]]):
+        found, stats = hmm.rated(cells, {7: one}, np.array(runs), share)
+        assert np.isclose(found, total) and all(np.allclose(x, y) for x, y in zip(stats[7], want, strict=True))
+    which = [0, 0, 0, 1, 1, 0, 0, 1, 1]
+    runs = np.array([[0, 0], [3, 1], [5, 0], [7, 1]])
+
+    def likelihood(tables_):
+        e = hmm.emissions(dense, one)
+        f = np.exp(tables_[0].initial[:, None] + share + e[0])
+        for t in range(1, 9):
+            own = tables_[which[t]]
+            f = (np.exp(own.stay)[:, None] * f + (f.sum(1) @ np.exp(own.move))[:, None] * np.exp(share)) * np.exp(e[t])
+        return np.log(f.sum())
+
+    for chain in (hmm._Chain, hmm._LogChain):
+        monkeypatch.setattr(hmm, "_Chain", chain)
+        found, stats = hmm.rated(cells, {0: one, 1: other}, runs, share)
+        assert np.isclose(found, likelihood([one, other])) and np.isclose(hmm.rated(cells, {0: one, 1: other}, runs, share, with_stats=False)[0], found)
+        for r, own in enumerate((one, other)):
+            for s in range(2):
+                slope = hmm.Tables(own.initial, own.stay + 1e-6 * (np.arange(2) == s), own.move, own.emit, own.deme)
+                pair = [slope, other] if r == 0 else [one, slope]
+                assert (likelihood(pair) - found) / 1e-6 == pytest.approx(stats[r][1][s], abs=1e-3)
+            assert stats[r][1].sum() + stats[r][2].sum() == pytest.approx([4, 4][r])
+        assert sum(x[0].sum() for x in stats.values()) == pytest.approx(1)

@@ -302,6 +302,27 @@ def test_study_from_sequences(spark, study, tmp_path):
         main(spark, ["--sequences", full, "--old-compressed", old, "--layout", layout, *rest, "--out", "none"])
 
 
+def test_rate_maps(spark, study, tmp_path):
+    """A map of the rate 1 changes nothing, in likelihoods or EM; three times the rate everywhere is the rate times three."""
+    from popspark.jobs.cli import main
+    from popspark.operators.likelihood import rate_runs
+
+    lines = "".join("".join("AC"[(h * k + k // 5) % 3 % 2] for k in range(60)) + "\n" for h in range(3))
+    base = ["--sequences", study("f.txt", lines), "--num-per-deme", "3", "--demography", study("a.demo", "[0.2]\n{{0}}\n?0\nnull\n0\n{{0}}\n1\nnull\n0\n"), "--interval-params", "2,0.1,1", "--likelihood", "lol", "--start", "1", "--loci-per-step", "5", "--em-iterations", "1", "--m-iterations", "3"]
+    slow, fast = study("a.param", "0.01\n0.01\n0 1\n1 0\n"), study("b.param", "0.01\n0.03\n0 1\n1 0\n")
+    found = {}
+    for name, more in (("plain", [slow]), ("ones", [slow, "--rate-map", study("m.txt", "0 20 1\n31 40 1.00001\n")]), ("threes", [slow, "--rate-map", study("n.txt", "# a map\n0 25 3\n25 60 3\n")]), ("fast", [fast])):
+        main(spark, [*base, "--params", *more, "--out", str(tmp_path / name)])
+        found[name] = [x for r in spark.read.parquet(str(tmp_path / name)).orderBy("em_step").collect() for x in (r.loglik, *r.point)]
+    assert found["ones"] == pytest.approx(found["plain"], rel=1e-7) and found["threes"] == pytest.approx(found["fast"], rel=1e-3)
+    assert found["plain"] != pytest.approx(found["fast"], rel=1e-4)
+    rates = T.read_rates(spark, [study("r.txt", "7 20 2\n20 22 4\n40 50 2\n")])
+    assert sorted((r.first, r.id) for r in rate_runs(rates, 5).collect()) == [(0, 0), (2, 6931), (4, 13863), (5, 0), (8, 6931), (10, 0)]
+    for text, message in (("0 5 1\n3 9 1\n", "overlap"), ("0 5\n", "three columns"), ("0 5 0\n", "above 0")):
+        with pytest.raises(Exception, match=message):
+            rate_runs(T.read_rates(spark, [study("w.txt", text)]), 5).collect()
+
+
 def test_skipping_from_the_command_line(spark, study, tmp_path):
     """Skipping loci gives what steps of one locus give: likelihood, EM path and decoded states, with masked runs and a site that
     lacks an allele."""
