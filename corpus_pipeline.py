@@ -20,13 +20,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, trained on the labels, does not reject. Null and empty texts have the score that
-    the bias alone gives; rows that repeat a doc_id are judged each by its text; an empty table gives no rows."""
+    the bias alone gives; rows that repeat a doc_id are judged each by its text; texts of any length are read whole; an empty
+    table gives no rows. Columns other than those of documents end here."""
     return quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that others keep; n_chars follows the text. A null text becomes an empty one; rows without
-    doc_id keep all lines; rows that repeat one are one document."""
+    doc_id keep all lines; rows that repeat one are one document. Texts of any length are split whole; an empty table gives no
+    rows."""
     return line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
@@ -38,12 +40,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Four fifths of the tokens, in target weights and one epoch; a document that its leaf's prefix reaches stays whole. Null
-    sources and languages are leaves of their own, shown as ''; documents without words give no tokens and go."""
+    sources and languages are leaves of their own, shown as ''; documents without words give no tokens and go. Rows that repeat a
+    doc_id are taken each for itself, ties going by tokens; texts of any length are counted whole; an empty table gives no
+    rows."""
     return mix(docs, per_mille=800, epochs=1).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece of each document in its sequence, with its token ids."""
+    """A row for each piece of each document in its sequence, with its token ids. Null and empty texts are a piece of the end id
+    alone; rows that repeat a doc_id are packed each for itself; a long text fills several sequences; ties among neighbours go
+    to the earlier piece; an empty table gives no rows."""
     return retrieval_pack(docs)
 
 
