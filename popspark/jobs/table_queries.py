@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.functions.logspace import log_add, log_sub, log_sum_exp
-from popspark.operators import blocks, csd, intervals, likelihood, search, sites, variants
+from popspark.operators import blocks, csd, intervals, likelihood, multisets, search, sites, variants
 
 HAPS, LOCI = 4, 50
 Query = Callable[[SparkSession, str], DataFrame]
@@ -372,7 +372,28 @@ def multiset_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("deme"), F.col("c_mktsegment").alias("hap"), "c_custkey")
     one = rows.where("c_custkey % 2 = 0").select("deme", "hap", (F.col("c_custkey") % 3).alias("m"))
     other = rows.where("c_custkey % 2 = 1").select("deme", "hap", (F.col("c_custkey") % 5).alias("m"))
-    return one.unionByName(other).groupBy("deme", "hap").agg(F.sum("m").alias("multiplicity"))
+    return multisets.combined(one.withColumnRenamed("m", "multiplicity"), other.withColumnRenamed("m", "multiplicity"))
+
+
+TAKEN = """all_of as (select c_nationkey as deme, c_mktsegment as hap, cast(sum(1 + c_custkey % 3) - count(*) filter (c_custkey % 2 = 1 or c_custkey % 3 = 0) as bigint) as multiplicity from customer group by 1, 2)"""
+
+
+def _taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("deme"), F.col("c_mktsegment").alias("hap"), "c_custkey")
+    fewer = rows.where("c_custkey % 2 = 1 or c_custkey % 3 = 0").select("deme", "hap", F.lit(-1).cast("long").alias("multiplicity"))
+    return multisets.adjusted(rows.select("deme", "hap", (1 + F.col("c_custkey") % 3).alias("multiplicity")), fewer)
+
+
+@query(f"with {TAKEN} select * from all_of where multiplicity <> 0")
+def multiset_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of haplotypes from which some are taken away."""
+    return _taken(spark, sf_dir)
+
+
+@query(f"with {TAKEN} select deme, count(*) as types, cast(sum(multiplicity) as bigint) as total from all_of where multiplicity > 0 group by 1")
+def multiset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many different haplotypes each deme has, and how many in all."""
+    return multisets.deme_totals(_taken(spark, sf_dir))
 
 
 @query(f"with {G} select chunk, cast(count(distinct pos // {LOCI}) as bigint) as used_steps, cast((max(pos) + 1 + {LOCI - 1}) // {LOCI} as bigint) as steps from g group by 1")

@@ -397,3 +397,17 @@ def test_numbers_and_layout_tables(spark, study):
         L.read_layout_table(spark, study("u.config", "9 2 2\n1 0\n1\n")).collect()
     same = csd.shuffled(spark.range(40).select(F.col("id").alias("hap")), 3, 9).select("perm", F.posexplode("ord").alias("place", "hap"))
     assert sorted(map(tuple, same.collect())) == sorted(map(tuple, csd.shuffled_rows(spark.range(40).select(F.col("id").alias("hap")), 3, 9).collect()))
+
+
+def test_multisets(spark):
+    from popspark.operators import multisets
+
+    kinds = "deme int, hap string, multiplicity long"
+    one = spark.createDataFrame([(0, "a", 2), (0, "b", 1), (1, "a", 3)], kinds)
+    change = spark.createDataFrame([(0, "a", -2), (1, "c", 4), (1, "a", -1)], kinds)
+    left = multisets.adjusted(one, change)
+    assert sorted(map(tuple, left.collect())) == [(0, "b", 1), (1, "a", 2), (1, "c", 4)]
+    assert sorted(map(tuple, multisets.deme_totals(left).collect())) == [(0, 1, 1), (1, 2, 6)]
+    with pytest.raises(Exception, match="more often"):
+        multisets.adjusted(one, spark.createDataFrame([(0, "b", -2)], kinds)).collect()
+    assert multisets.combined(one.limit(0), one).count() == 3
