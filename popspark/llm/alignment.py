@@ -23,17 +23,30 @@ from popspark.shipping import ship
 SLICE = 1 << 19
 #: When a worker's cache holds more chunks than this, it starts anew.
 CHUNKS = 250_000
-#: Ends of the shorter list that search the longer one side by side.
-STRIDE = 2048
+#: Ends of the shorter list that search the longer one side by side, and how far apart those are that gallop.
+STRIDE, ANCHOR = 8192, 32
+#: Chunks that are tokenized as one text.
+TOGETHER = 256
 #: Pairs of ids whose counts go to every task; those of all others are joined.
 COMMON = 1_000_000
 
 
+def _bisected(long: np.ndarray, x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where each x would go among long[low:high], side by side."""
+    while (open_ := low < high).any():
+        middle = (low + high) >> 1
+        less = (long[np.minimum(middle, len(long) - 1)] < x) & open_
+        low = np.where(less, middle + 1, low)
+        high = np.where(open_ & ~less, middle, high)
+    return low
+
+
 def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The places in both sorted lists of what they share.
 
-    Elements of the shorter list drive: from where the stride before ended, steps into the longer one double until they reach the
-    element, and a binary search closes the last step. A stride's elements do so side by side.
+    Elements of the shorter list drive, a stride of them at a time: every ANCHOR-th and the last one gallop, from where the
+    stride before ended, in steps into the longer list that double until they reach the element, and a binary search closes the
+    last step. Those in between search the stretch that their neighbours leave.
     """
     in_short, in_long = [], []
     at = 0
@@ -41,20 +54,19 @@ def gallop(short: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if at >= len(long):
             break
         x = short[first : first + STRIDE]
-        low, step = np.full(len(x), at), np.ones(len(x), np.int64)
+        which = np.append(np.arange(0, len(x) - 1, ANCHOR), len(x) - 1)
+        goal = x[which]
+        low, step = np.full(len(goal), at), np.ones(len(goal), np.int64)
         while True:
             reach = np.minimum(at + step, len(long)) - 1
-            behind = (long[reach] < x) & (at + step < len(long))
+            behind = (long[reach] < goal) & (at + step < len(long))
             if not behind.any():
                 break
             low[behind] = reach[behind] + 1
             step[behind] *= 2
-        high = np.minimum(at + step, len(long))
-        while (open_ := low < high).any():
-            middle = (low + high) >> 1
-            less = (long[np.minimum(middle, len(long) - 1)] < x) & open_
-            low = np.where(less, middle + 1, low)
-            high = np.where(open_ & ~less, middle, high)
+        found = _bisected(long, goal, low, np.minimum(at + step, len(long)))
+        between = np.minimum(np.arange(len(x)) // ANCHOR, len(which) - 1)
+        low = _bisected(long, x, found[between], found[np.minimum(between + 1, len(which) - 1)])
         met = (low < len(long)) & (long[np.minimum(low, len(long) - 1)] == x)
         in_short.append(first + np.flatnonzero(met))
         in_long.append(low[met])
@@ -131,18 +143,39 @@ class Pair:
         self.in_a, self.in_b = _Store(), _Store()
 
     def _learn(self, chunks: list[bytes]) -> None:
+        """Chunks that may stand side by side go through the tokenizers together; others, and all where a token crosses two of
+        them, one by one."""
+        plain = [c for c in chunks if _stands(c)]
+        rest = [c for c in chunks if not _stands(c)]
+        for part, together in ((plain, TOGETHER), (rest, 1)):
+            if part and not self._taken(part, together):
+                self._taken(part, 1)
+
+    def _taken(self, chunks: list[bytes], together: int) -> bool:
+        texts = [b"".join(chunks[i : i + together]).decode() for i in range(0, len(chunks), together)]
+        bounds = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        found = []
+        for ids, table, sizes in (([e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)], self.a_bytes, self.a_sizes), (self.b.encode([t[1:] for t in texts], num_threads=1), self.b_bytes, self.b_sizes)):
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
+            tokens = [table[i] for i in flat.tolist()]
+            if together > 1:
+                ends = np.cumsum(sizes[flat], dtype=np.int64)
+                stops = np.searchsorted(ends, bounds)
+                if b"".join(tokens) != b"".join(chunks) or (ends[np.minimum(stops, len(ends) - 1)] != bounds).any():
+                    return False
+                counts, fine = np.diff(stops + 1, prepend=0), np.ones(len(chunks), bool)
+            else:
+                fine = _given_back(chunks, counts, tokens)
+            found.append((flat, sizes[flat], counts, fine))
         n = len(self.place)
-        texts = [c.decode() for c in chunks]
         while n + len(chunks) > len(self.fine):
             self.fine = np.concatenate([self.fine, np.zeros_like(self.fine)])
-        self.fine[n : n + len(chunks)] = True
-        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
-        for store, ids, table, sizes in ((self.in_a, a, self.a_bytes, self.a_sizes), (self.in_b, self.b.encode([t[1:] for t in texts], num_threads=1), self.b_bytes, self.b_sizes)):
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(counts.sum()))
-            store.put(n, flat, sizes[flat], counts)
-            self.fine[n : n + len(chunks)] &= _given_back(chunks, counts, [table[i] for i in flat.tolist()])
+        self.fine[n : n + len(chunks)] = found[0][3] & found[1][3]
+        for store, (flat, size, counts, _) in zip((self.in_a, self.in_b), found, strict=True):
+            store.put(n, flat, size, counts)
         self.place.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        return True
 
     def chunks(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the chunks of texts that begin at ``starts`` begin, and what place each has in the stores."""
@@ -161,6 +194,11 @@ class Pair:
         return begins, np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[np.asarray(coded.indices)]
 
 
+def _stands(chunk: bytes) -> bool:
+    """Whether a chunk begins and ends as a cut asks for, so that others may stand on both sides."""
+    return len(chunk) > 1 and chunk[0] == 32 != chunk[1] and (32 < chunk[-1] < 127 or chunk[-1] >= 128 and 0xC3 <= chunk[-2] <= 0xDF)
+
+
 def _given_back(chunks: list[bytes], counts: np.ndarray, tokens: list[bytes]) -> np.ndarray:
     """Whether the bytes of each chunk's tokens are the chunk's."""
     stops = np.cumsum(counts)
