@@ -71,6 +71,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--scale-recombination", action="store_true", help="a coordinate more: the recombination rate's factor")
     p.add_argument("--estimate-theta", action="store_true", help="a last coordinate: the mutation rate")
+    p.add_argument("--impute", action="store_true", help="sites that lack alleles count; likelihoods only")
     p.add_argument("--rate-map", help="a file for each contig: lines of start, end and the factor of the recombination rate there")
     p.add_argument("--theta-by-interval", type=numbers, help="a mutation rate for each hidden interval")
     p.add_argument("--objective", default="lineage", choices=("lineage", "transition", "marginal"))
@@ -154,6 +155,10 @@ def main(spark: SparkSession, argv: list[str] | None = None) -> None:
     lengths = got.lengths.select("chunk", F.expr(f"(n_loci + {a.loci_per_step} - 1) div {a.loci_per_step}").alias("n_steps"))
     # Where loci are skipped, those that do not segregate make no rows, but for runs that tell nothing.
     rest = {"skip": True, "missing": blocks.missing_runs(got.blocks, got.sites)} if a.skip_loci else {"still": blocks.still_in_blocks(got.blocks, a.loci_per_step, layout.n_alleles)}
+    if a.impute:
+        if a.skip_loci or a.decode or a.rate_map or a.em_iterations:
+            raise ValueError("missing alleles are put in for likelihoods alone, with one rate and without skipping")
+        rest["impute"] = True
     if a.rate_map:
         if a.skip_loci or a.decode:
             raise ValueError("a map of rates goes neither with skipped loci nor with decoding")

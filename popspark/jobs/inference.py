@@ -88,6 +88,7 @@ class Data:
     together: bool = False
     skip: bool = False
     rows: int = 0
+    impute: bool = False
 
     def groups(self, particles: int, abreast: int) -> int:
         """In how many parts to evaluate so many particles of which ``abreast`` cost little more than one: as many as keep all
@@ -114,13 +115,17 @@ def prepared(counts: DataFrame, csds: DataFrame, model: Model, n_alleles: int, s
     return _kept(step_tensors(counts, csds, still, lengths, model.haps, missing), csds, (lengths or counts).select("chunk"), model, n_alleles, together, skip)
 
 
-def prepared_from_sites(sites: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False, skip: bool = False, missing: DataFrame | None = None, rates: DataFrame | None = None) -> Data:
+def prepared_from_sites(sites: DataFrame, csds: DataFrame, model: Model, n_alleles: int, still: DataFrame | None = None, lengths: DataFrame | None = None, together: bool = False, skip: bool = False, missing: DataFrame | None = None, rates: DataFrame | None = None, impute: bool = False) -> Data:
     """As ``prepared``, from sites (chunk, pos, alleles), whose pairs are counted in tasks: what travels follows the number of
     haplotypes in the CSDs, not that of their pairs. rates: a map (chunk, start, end, rate) of factors of the recombination rate
-    along contigs."""
-    tensors = code_tensors(sites, csds, model.loci, still, lengths, model.haps, missing)
+    along contigs. impute: sites that lack alleles count, with what the other haplotypes make likely in their place; then there
+    are likelihoods only.
+    """
+    if impute and (skip or rates is not None):
+        raise ValueError("missing alleles are put in with one rate and without skipping")
+    tensors = code_tensors(sites, csds, model.loci, still, lengths, model.haps, missing, impute)
     tensors = tensors if rates is None else with_rates(tensors, rate_runs(rates, model.loci))
-    return _kept(tensors, csds, (lengths or sites).select("chunk"), model, n_alleles, together, skip)
+    return replace(_kept(tensors, csds, (lengths or sites).select("chunk"), model, n_alleles, together, skip), impute=impute)
 
 
 def _kept(tensors: DataFrame, csds: DataFrame, chunks: DataFrame, model: Model, n_alleles: int, together: bool, skip: bool) -> Data:
@@ -174,7 +179,19 @@ def made_tables(spark: SparkSession, model: Model, points: dict[int, list[float]
 def _evaluated(data: Data, model: Model, found: dict[int, dict[Key, hmm.Tables]], points: dict[int, list[float]], with_stats: bool = False) -> DataFrame:
     still = {i: hmm.stationary(model.at(points[i])[1].matrix) for i in found}
     groups = data.groups(len(found), 1 if with_stats or data.skip else ABREAST)
-    return evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=with_stats, stationary=still, skip=data.skip, groups=groups)
+    return evaluated(data.tensors, found, model.demes, model.n_demes, data.n_alleles, with_stats=with_stats, stationary=still, skip=data.skip, groups=groups, tables_of=_TablesOf(model, points) if data.impute else None)
+
+
+class _TablesOf:
+    """Tables of a kind of CSD at a particle's point, made once in a task."""
+
+    def __init__(self, model: Model, points: dict[int, list[float]]):
+        self.model, self.points, self.made = model, points, {}
+
+    def __call__(self, particle: int, key: Key) -> hmm.Tables:
+        if (particle, key) not in self.made:
+            self.made[particle, key] = self.model.tables(self.points[particle], [key])[key]
+        return self.made[particle, key]
 
 
 def likelihoods(data: Data, model: Model, points: dict[int, list[float]]) -> DataFrame:

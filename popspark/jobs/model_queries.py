@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from popspark.jobs.inference import Data, Model, csds_of, em, genetic, likelihoods, prepared, prepared_from_sites, random_starts
-from popspark.jobs.table_queries import HAPS, LOCI, PAIRS, _sites, genotypes
+from popspark.jobs.table_queries import GRID, HAPS, LOCI, PAIRS, _sites, genotypes
 from popspark.model.hmm import Tables
 from popspark.operators import blocks, csd, likelihood, sites
 from popspark.shared import fresh
@@ -134,6 +134,18 @@ def superpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return likelihood.chunk_likelihood(found).select("chunk", F.round("loglik", 5).alias("loglik"))
 
 
+def _fixed_tables(particle: int, key: object) -> Tables:
+    return _two_states()
+
+
+def imputed_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each haplotype against the three others, with all sites that lack alleles: what is put in for one follows the alleles that
+    the others of the trunk show there."""
+    tensors = likelihood.code_tensors(_sites(spark, sf_dir), csd.leave_one_out(_haps(spark)), LOCI, impute=True)
+    found = likelihood.evaluated(tensors, {0: {((HAPS - 1,), 0): _two_states()}}, dict.fromkeys(range(HAPS), 0), 1, 2, stationary=PI, tables_of=_fixed_tables)
+    return found.select("chunk", "csd", F.round("loglik", 4).alias("loglik"))
+
+
 def rated_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As forward_two_state, where recombination is twice as frequent in three of seven blocks: the chain changes its tables."""
     import numpy as np
@@ -303,6 +315,30 @@ csds as (select perm, csd, chunk, list_max(f) + ln(list_sum(list_transform(f, la
 each_perm as (select perm, chunk, sum(l) as l from csds group by 1, 2)"""
 
 
+#: Shares of alleles: by the first state's law and emissions, of those that the others show.
+IMPUTED_SQL = f"""with recursive {GRID}, trunks as (select x.hap as csd, y.hap as slot from h x join h y on x.hap <> y.hap),
+cells as (select t.csd, t.slot, x.chunk, x.pos, x.allele as a, y.allele as b from trunks t join full_grid x on x.hap = t.csd join full_grid y on y.hap = t.slot and y.chunk = x.chunk and y.pos = x.pos where x.allele is not null),
+shown as (select csd, chunk, pos, avg(b) as ones from cells group by all),
+filled as (select c.*, case when s.ones is null then {PI[1]} else 0.6 * (s.ones * 0.95 + (1 - s.ones) * 0.05) + 0.4 * (s.ones * 0.6 + (1 - s.ones) * 0.4) end as p from cells c join shown s using (csd, chunk, pos)),
+both_states as (select csd, slot, chunk, pos // {LOCI} as step,
+  case when b is not null then case when a = b then 0.95 else 0.05 end else case when a = 1 then p * 0.95 + (1 - p) * 0.05 else p * 0.05 + (1 - p) * 0.95 end end as q0,
+  case when b is not null then case when a = b then 0.6 else 0.4 end else case when a = 1 then p * 0.6 + (1 - p) * 0.4 else p * 0.4 + (1 - p) * 0.6 end end as q1 from filled),
+e as (select csd, slot, chunk, step, sum(ln(q0)) as e0, sum(ln(q1)) as e1 from both_states group by all),
+grid_steps as (select chunk, max(pos) // {LOCI} as last from full_grid group by 1),
+every as (select chunk, unnest(range(last + 1)) as step from grid_steps),
+es as (select t.csd, v.chunk, v.step, list(coalesce(e.e0, 0) order by t.slot) as x0, list(coalesce(e.e1, 0) order by t.slot) as x1
+  from trunks t cross join every v left join e on e.csd = t.csd and e.slot = t.slot and e.chunk = v.chunk and e.step = v.step group by 1, 2, 3),
+c(csd, chunk, step, f0, f1) as (
+  select csd, chunk, step, list_transform(x0, lambda x: x + ln(0.6) - ln(3)), list_transform(x1, lambda x: x + ln(0.4) - ln(3)) from es where step = 0
+  union all
+  select csd, chunk, step, list_transform(range(1, 4), lambda i: x0[i] + a0 + ln(1 + exp(f0[i] + ln(0.7) - a0))), list_transform(range(1, 4), lambda i: x1[i] + a1 + ln(1 + exp(f1[i] + ln(0.8) - a1)))
+  from (select *, m + ln(s0 * 0.2 + s1 * 0.1) - ln(3) as a0, m + ln(s0 * 0.1 + s1 * 0.1) - ln(3) as a1 from (
+    select *, list_sum(list_transform(f0, lambda x: exp(x - m))) as s0, list_sum(list_transform(f1, lambda x: exp(x - m))) as s1 from (
+      select c.csd, c.chunk, es.step, c.f0, c.f1, es.x0, es.x1, greatest(list_max(c.f0), list_max(c.f1)) as m from c join es on es.csd = c.csd and es.chunk = c.chunk and es.step = c.step + 1)))),
+last_ones as (select c.csd, c.chunk, list_concat(f0, f1) as f from c join grid_steps g on g.chunk = c.chunk and g.last = c.step)
+select chunk, csd, round(list_max(f) + ln(list_sum(list_transform(f, lambda x: exp(x - list_max(f))))), 4) as loglik from last_ones"""
+
+
 def csd_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likelihood of each leave-one-out CSD under two populations with migration."""
     data, model = _data(spark, sf_dir, "lol", TWO, {0: 0, 1: 0, 2: 1, 3: 1})
@@ -416,7 +452,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         forward_two_state, forward_blocks, forward_members, skipping_two_state, expected_skipping_two_state, posterior_skipping_two_state, expected_two_state, posterior_two_state, pac_two_state, oldpac_two_state, superpac_two_state,
-        rated_two_state, pac_csds, pac_trunks, oldpac_trunks, superpac_trunks, seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, closed_form_likelihoods, one_deme_tables, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
+        imputed_two_state, rated_two_state, pac_csds, pac_trunks, oldpac_trunks, superpac_trunks, seeded_permutations, csd_likelihoods, expected_counts, grid_likelihoods, closed_form_likelihoods, one_deme_tables, em_path, genetic_path, posterior_decoding, streamed_counts, contigs_together,
     )
 }
 SQL = {
@@ -431,6 +467,7 @@ SQL = {
     "pac_two_state": f"{PERMUTED_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",
     "oldpac_two_state": f"{PERMUTED_SQL} select round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select l, max(l) over () as m from (select perm, sum(l) as l from each_perm group by 1))",
     "superpac_two_state": f"{PERMUTED_SQL} select chunk, round(sum(l), 5) as loglik from each_perm group by 1",
+    "imputed_two_state": IMPUTED_SQL,
     "rated_two_state": RATED_SQL,
     "pac_csds": f"{TRUNKS_SQL} select chunk, perm, csd, round(l, 5) as loglik from csds",
     "pac_trunks": f"{TRUNKS_SQL} select chunk, round(max(m) + ln(sum(exp(l - m))), 5) as loglik from (select chunk, l, max(l) over (partition by chunk) as m from each_perm) group by 1",

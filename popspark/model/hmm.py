@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
@@ -76,14 +76,40 @@ class Cells:
         return out
 
 
+#: The code of an allele that is missing.
+MISSING = 254
+
+
+@dataclass(frozen=True)
+class Mixtures:
+    """Loci at which a slot's allele is missing: the additional haplotype shows ``allele`` while the slot's alleles have the
+    probabilities ``share`` [locus, b]."""
+
+    step: np.ndarray
+    slot: np.ndarray
+    allele: np.ndarray
+    share: np.ndarray
+
+    def emitted(self, low: int, high: int, tables: Tables, n_slots: int) -> np.ndarray:
+        """ln of what they emit [step, s, slot], in the steps from low to high."""
+        at = slice(*np.searchsorted(self.step, [low, high]))
+        out = np.zeros((high - low, len(tables.emit), n_slots))
+        with np.errstate(divide="ignore"):
+            seen = np.log(np.einsum("nb,sbn->ns", self.share[at], np.exp(tables.emit)[:, :, self.allele[at]]))
+        np.add.at(out.transpose(0, 2, 1), (self.step[at] - low, self.slot[at]), np.maximum(seen, -1e300))
+        return out
+
+
 @dataclass(frozen=True)
 class CodeCells(Cells):
     """Pair counts that are made block by block from alleles: those of the additional haplotype, own[site], and of each slot's,
-    others[slot, site], at sites of which step[site] is the step. The arrays of Cells hold the loci that are alike for all."""
+    others[slot, site], at sites of which step[site] is the step; pairs with a missing one do not count. The arrays of Cells hold
+    the loci that are alike for all, and mixtures what is put in for missing alleles, by one set of tables."""
 
     site_step: np.ndarray
     own: np.ndarray
     others: np.ndarray
+    mixtures: Mixtures | None = None
 
     @staticmethod
     def at(site_step: np.ndarray, codes: np.ndarray, still: np.ndarray, n_steps: int, n_alleles: int) -> CodeCells:
@@ -95,9 +121,29 @@ class CodeCells(Cells):
         out = super().block(low, high)
         at = slice(*np.searchsorted(self.site_step, [low, high]))
         step, own, others = self.site_step[at] - low, self.own[at], self.others[:, at]
-        np.add.at(out, (step[None], np.arange(self.n_slots)[:, None], own[None], others), 1)
+        slot, site = np.nonzero((own != MISSING)[None] & (others != MISSING))
+        np.add.at(out, (step[site], slot, own[site], others[slot, site]), 1)
         return out
 
+    def imputed(self, demes: np.ndarray, n_demes: int, tables_of: Callable[[tuple[tuple[int, ...], int]], Tables], stationary: np.ndarray) -> CodeCells:
+        """With mixtures for the trunk's missing alleles. At a locus, the haplotype that lacks one is seen as an additional one of
+        its deme whose trunk are those that show theirs: the shares of alleles in each deme go through the first state's
+        law and emissions. Without any, the stationary distribution holds. Where the additional haplotype's own is missing,
+        the locus tells nothing."""
+        slot, site = np.nonzero((self.own != MISSING)[None] & (self.others == MISSING))
+        known: dict[tuple, np.ndarray] = {}
+        shares = np.empty((len(slot), self.n_alleles))
+        for i, (h, at) in enumerate(zip(slot.tolist(), site.tolist(), strict=True)):
+            shown = self.others[:, at] != MISSING
+            counts = np.zeros((n_demes, self.n_alleles), int)
+            np.add.at(counts, (demes[shown], self.others[shown, at]), 1)
+            key = (counts.tobytes(), int(demes[h]))
+            if key not in known:
+                known[key] = stationary if not shown.any() else imputed_alleles(counts, tables_of((tuple(counts.sum(1).tolist()), int(demes[h]))))
+            shares[i] = known[key]
+        order = np.argsort(self.site_step[site], kind="stable")
+        return replace(self, mixtures=Mixtures(self.site_step[site][order], slot[order], self.own[site][order].astype(np.int64), shares[order]))
+
     def expanded(self) -> Cells:
         """The same as plain cells, a row for each site and slot."""
         slot = np.repeat(np.arange(self.n_slots), len(self.site_step))
@@ -105,6 +151,14 @@ class CodeCells(Cells):
         return Cells.of(*(np.concatenate(c).astype(np.int64) for c in columns), self.n_steps, self.n_slots, self.n_alleles)
 
 
+def imputed_alleles(counts: np.ndarray, tables: Tables) -> np.ndarray:
+    """The probability of each allele of a haplotype, given counts[deme, allele] of a trunk of which these are the tables."""
+    with np.errstate(invalid="ignore"):
+        shares = np.nan_to_num(counts / counts.sum(1, keepdims=True))
+    found = np.einsum("s,sf,sfb->b", np.exp(tables.initial), shares[tables.deme], np.exp(tables.emit))
+    return found / found.sum()
+
+
 def stationary(matrix: np.ndarray) -> np.ndarray | None:
     """The distribution that a mutation matrix leaves as it is; None where there are several."""
     n = len(matrix)
@@ -127,6 +181,15 @@ def emissions(counts: np.ndarray, tables: Tables) -> np.ndarray:
     return (counts.reshape(t * h, k * k) @ table.T).reshape(t, h, -1).transpose(0, 2, 1)
 
 
+def emitted_by(cells: Cells, low: int, high: int, tables: Tables) -> tuple[np.ndarray, np.ndarray]:
+    """(counts, ln emissions) of the steps from low to high, mixtures for missing alleles included."""
+    counts = cells.block(low, high)
+    e = emissions(counts, tables)
+    if isinstance(cells, CodeCells) and cells.mixtures is not None:
+        e = e + cells.mixtures.emitted(low, high, tables, cells.n_slots)
+    return counts, e
+
+
 class _Underflow(Exception):
     """The states of a step are too far apart for numbers that are not logarithms."""
 
@@ -144,8 +207,7 @@ class _Chain:
 
     def emitted(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(counts, emissions over the step's greatest one, logarithms of these)."""
-        counts = self.cells.block(low, high)
-        e = emissions(counts, self.tables)
+        counts, e = emitted_by(self.cells, low, high, self.tables)
         top = np.where(self.share > 0, e, -np.inf).max((1, 2))
         if not np.isfinite(top).all():
             raise _Underflow
@@ -239,8 +301,7 @@ class _LogChain(_Chain):
         self.initial, self.stay, self.move = tables.initial, tables.stay[:, None], tables.move
 
     def emitted(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        counts = self.cells.block(low, high)
-        return counts, emissions(counts, self.tables), np.zeros(high - low)
+        return *emitted_by(self.cells, low, high, self.tables), np.zeros(high - low)
 
     def step(self, state: np.ndarray | None, emitted: np.ndarray) -> tuple[np.ndarray, float]:
         if state is None:

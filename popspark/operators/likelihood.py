@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from popspark.functions.logspace import log_sum_exp
-from popspark.model.hmm import EVERY, Cells, CodeCells, Tables, decoded, expected, logliks, rated, skipping, skipping_decoded, skipping_expected
+from popspark.model.hmm import EVERY, MISSING, Cells, CodeCells, Tables, decoded, expected, loglik, logliks, rated, skipping, skipping_decoded, skipping_expected
 from popspark.operators.blocks import with_step
 from popspark.operators.sites import complete
 from popspark.shipping import ship
@@ -83,22 +84,23 @@ def step_tensors(counts: DataFrame, csds: DataFrame, still: DataFrame | None = N
     return _with_missing(joined.groupBy(*keys).agg(F.collect_list("cell").alias("cells")).join(lengths, "chunk"), missing)
 
 
-def code_tensors(sites: DataFrame, csds: DataFrame, loci: int, still: DataFrame | None = None, lengths: DataFrame | None = None, haps: dict[int, int] | None = None, missing: DataFrame | None = None) -> DataFrame:
+def code_tensors(sites: DataFrame, csds: DataFrame, loci: int, still: DataFrame | None = None, lengths: DataFrame | None = None, haps: dict[int, int] | None = None, missing: DataFrame | None = None, impute: bool = False) -> DataFrame:
     """As ``step_tensors``, from sites (chunk, pos, alleles): a row holds its own haplotypes' alleles, a character for each site,
-    and the counts of pairs are made where they are read. Sites where a haplotype is missing are left out.
+    and the counts of pairs are made where they are read. Sites where a haplotype is missing are left out or, with ``impute``,
+    kept, the missing allele being a dot.
 
     Each site makes a row for each haplotype, not for each pair of them; then a haplotype's alleles on a contig travel as one
     string to the CSDs that it is in. Columns: chunk, perm, csd, add, trunk, factor, n_steps, steps (of the sites), codes (a
     string for each member, the additional one first) and still (step, allele, n).
     """
-    known = with_step(complete(sites), loci).select("chunk", "pos", F.col("step").cast("int").alias("step"), "alleles")
+    known = with_step(sites if impute else complete(sites), loci).select("chunk", "pos", F.col("step").cast("int").alias("step"), "alleles")
     if lengths is None:
         ends = known.select("chunk", "step") if still is None else known.select("chunk", "step").unionByName(still.select("chunk", "step"))
         lengths = ends.groupBy("chunk").agg((F.max("step") + 1).alias("n_steps"))
     lengths = lengths.select("chunk", F.col("n_steps").cast("int").alias("n_steps"))
     letters = known.select("chunk", "pos", F.posexplode("alleles").alias("hap", "code"))
     # Put together block by block first, so that no sort buffer holds a contig.
-    in_order = lambda key, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: x[value].cast("string")), "")
+    in_order = lambda key, value: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda x: F.coalesce(x[value].cast("string"), F.lit("."))), "")
     pieces = letters.groupBy("chunk", "hap", F.expr("pos div 1000000").alias("block")).agg(in_order("pos", "code").alias("codes"))
     rows = pieces.groupBy("chunk", "hap").agg(in_order("block", "codes").alias("codes"))
     steps = known.groupBy("chunk").agg(F.sort_array(F.collect_list("step")).alias("steps"))
@@ -191,7 +193,7 @@ def _alone(batch: pa.RecordBatch, i: int, n_alleles: int, stationary: np.ndarray
     cells = _cells(batch, i, 0, 0, n_alleles)
     seen = np.bincount(cells.a, cells.n, n_alleles)
     if isinstance(cells, CodeCells):
-        seen = seen + np.bincount(cells.own, minlength=n_alleles)
+        seen = seen + np.bincount(cells.own[cells.own != MISSING], minlength=n_alleles)
     with np.errstate(divide="ignore", invalid="ignore"):
         return float(np.where(seen > 0, seen * np.log(np.asarray(stationary)), 0.0).sum())
 
@@ -199,14 +201,15 @@ def _alone(batch: pa.RecordBatch, i: int, n_alleles: int, stationary: np.ndarray
 STATS = ("initial", "stay", "move", "emit", "own")
 
 
-def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, stationary: dict[int, np.ndarray] | np.ndarray | None = None, skip: bool = False, groups: int = 1) -> DataFrame:
+def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: dict[int, int], n_demes: int, n_alleles: int, with_stats: bool = False, stationary: dict[int, np.ndarray] | np.ndarray | None = None, skip: bool = False, groups: int = 1, tables_of: Callable[[int, Key], Tables] | None = None) -> DataFrame:
     """(particle_id, chunk, perm, csd, factor, loglik) of each CSD under the tables of each particle, and with ``with_stats``
     its key and expected counts, as flat arrays.
 
     One with an empty trunk has the ``stationary`` probability of its haplotype, and no hidden states to count. With
     ``skip``, steps without counts are one locus without differences each, or tell nothing where they are missing, and are
     jumped over; this needs the same emission of a pair of equal alleles whichever they are. Where tensors have rates
-    (``with_rates``), the chain changes tables with them, and expected counts come by rate.
+    (``with_rates``), the chain changes tables with them, and expected counts come by rate. Where alleles are missing,
+    ``tables_of`` a particle and a kind of CSD is asked for what is put in for them; there are no expected counts then.
     A row holds one CSD's packed counts, so tasks are CSDs and chunks, and with ``groups`` each of so many parts of the
     particles is a task of its own; a row is unpacked once for all its particles, which go through the chain side by side.
     Tables are a few dense matrices for each kind of CSD.
@@ -218,6 +221,8 @@ def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: d
     has_missing, has_rates = "missing" in tensors.columns, "rates" in tensors.columns
     if skip and has_rates:
         raise ValueError("loci can be skipped where the rate of recombination is one")
+    if tables_of is not None and (skip or has_rates or with_stats):
+        raise ValueError("missing alleles are put in for likelihoods alone, with one rate and without skipping")
     names = ["particle_id", "chunk", "perm", "csd", "factor", "loglik"] + ["key", *STATS] * with_stats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +254,11 @@ def evaluated(tensors: DataFrame, tables: dict[int, dict[Key, Tables]], demes: d
                     own = [tables[p][key] for p in particles]
                     shares = [t.shares([demes[h] for h in trunk]) for t in own]
                     runs = {"missing": _runs(batch.column("missing")[i])} if skip and has_missing else {}
-                    if with_stats:
+                    if tables_of is not None and isinstance(cells, CodeCells) and (cells.others == MISSING).any():
+                        at = np.array([demes[h] for h in trunk])
+                        filled = [cells.imputed(at, n_demes, partial(tables_of, p), stationary[p] if isinstance(stationary, dict) else stationary) for p in particles]
+                        values = [loglik(*x) for x in zip(filled, own, shares, strict=True)]
+                    elif with_stats:
                         both = [(skipping_expected(cells, *x, **runs) if skip else expected(cells, *x)) for x in zip(own, shares, strict=True)]
                         values, found = [x for x, _ in both], [x for _, x in both]
                     else:

@@ -651,3 +651,32 @@ def test_rates_along_a_contig(monkeypatch, block):
                 assert (likelihood(pair) - found) / 1e-6 == pytest.approx(stats[r][1][s], abs=1e-3)
             assert stats[r][1].sum() + stats[r][2].sum() == pytest.approx([4, 4][r])
         assert sum(x[0].sum() for x in stats.values()) == pytest.approx(1)
+
+
+def test_missing_alleles_are_put_in(spark):
+    """Complete sites give what they gave; where a trunk's haplotype lacks its allele, the other one's allele, seen through its
+    own tables, stands in; where the additional one lacks it, the locus tells nothing."""
+    from popspark.jobs.inference import prepared_from_sites
+    from popspark.operators.likelihood import code_tensors
+
+    kinds = "chunk int, pos long, alleles array<int>"
+    members = spark.createDataFrame([(0,), (1,), (2,)], "hap int")
+    model = Model(parse_demography(ONE), PARAMS, dict.fromkeys(range(3), 0), 1, loci=10, interval_params=[2, 0.1, 1], style="simple")
+    whole = spark.createDataFrame([(0, p, [p % 2, p // 2 % 2, 1]) for p in range(25)], kinds)
+    both = [likelihoods(prepared_from_sites(whole, csd.leave_one_out(members), model, 2, impute=x), model, {0: [1.0, 2.0], 1: [0.5, 0.7]}) for x in (False, True)]
+    plain, same = ({r.particle_id: r.loglik for r in x.collect()} for x in both)
+    assert plain == pytest.approx(same)
+    holes = spark.createDataFrame([(0, 0, [1, 0, None])], kinds)
+    tensors = code_tensors(holes, csd.leave_one_out(members), 10, impute=True)
+    data = prepared_from_sites(holes, csd.leave_one_out(members), model, 2, impute=True)
+    from popspark.jobs.inference import _evaluated, made_tables
+
+    found = made_tables(spark, model, {0: [1.0, 2.0]}, data.keys)
+    got = {r.csd: r.loglik for r in _evaluated(data, model, found, {0: [1.0, 2.0]}).collect()}
+    two, one = model.tables([1.0, 2.0], [((2,), 0), ((1,), 0)]).values()
+    stand_in = lambda b: hmm.imputed_alleles(np.eye(2, dtype=int)[[b]], one)
+    want = lambda a, b: np.exp(two.initial) @ (np.exp(two.emit)[:, b, a] + np.exp(two.emit)[:, :, a] @ stand_in(b)) / 2
+    assert got == pytest.approx({0: np.log(want(1, 0)), 1: np.log(want(0, 1)), 2: 0.0})
+    assert stand_in(0).sum() == pytest.approx(1) and stand_in(0)[0] > 0.5 and tensors.first().codes is not None
+    with pytest.raises(ValueError, match="likelihoods alone"):
+        e_step(data, model, [1.0, 2.0])
