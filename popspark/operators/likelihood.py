@@ -108,10 +108,11 @@ def code_tensors(sites: DataFrame, csds: DataFrame, loci: int, still: DataFrame
     if haps is not None:
         table = F.create_map(*[F.lit(x) for pair in sorted(haps.items()) for x in pair])
         hap = lambda c: table[F.col(c)]
-    named = csds.select("perm", "csd", "factor", "add", "trunk")
-    slots = named.select("perm", "csd", F.posexplode(F.concat(F.array("add"), "trunk")).alias("slot", "member")).withColumn("hap", hap("member"))
-    met = slots.join(rows, "hap").groupBy("chunk", "perm", "csd").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "codes"))), lambda x: x["codes"]).alias("codes"))
-    out = spark_product(named, lengths.select("chunk")).join(met, ["chunk", "perm", "csd"], "left").join(steps, "chunk", "left").join(lengths, "chunk")
+    # Lists of two kinds may use one number twice, so a CSD is told by its members, too.
+    named = csds.select("perm", "csd", "factor", "add", "trunk", F.xxhash64("add", "trunk").alias("_who"))
+    slots = named.select("perm", "csd", "_who", F.posexplode(F.concat(F.array("add"), "trunk")).alias("slot", "member")).withColumn("hap", hap("member"))
+    met = slots.join(rows, "hap").groupBy("chunk", "perm", "csd", "_who").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "codes"))), lambda x: x["codes"]).alias("codes"))
+    out = spark_product(named, lengths.select("chunk")).join(met, ["chunk", "perm", "csd", "_who"], "left").drop("_who").join(steps, "chunk", "left").join(lengths, "chunk")
     if still is not None:
         each = still.groupBy("chunk").agg(F.collect_list(F.struct(*[F.col(c).cast("int").alias(c) for c in ("step", "allele", "n")])).alias("still"))
         out = out.join(each, "chunk", "left")

@@ -578,13 +578,13 @@ def test_rows_follow_the_number_of_haplotypes(spark):
     few = sites(4)
     still = spark.createDataFrame([(c, s, s % 2, 5) for c in range(3) for s in range(10)], "chunk int, step long, allele int, n long")
     haps = spark.createDataFrame([(h,) for h in range(4)], "hap int")
-    csds = csd.leave_one_out(haps).unionByName(csd.permuted(spark.createDataFrame([(1, [0, 1, 2, 3])], "perm int, ord array<int>")))
+    csds = csd.pairwise_and_leave_one_out(haps).unionByName(csd.permuted(spark.createDataFrame([(1, [0, 1, 2, 3])], "perm int, ord array<int>")))
     tables_ = {0: {((k,), 0): random_tables(2, 1, 5) for k in range(1, 4)}}
     for stats in (False, True):
         old = step_tensors(blocks.pair_counts(few, 50), csds, still)
         new = code_tensors(few, csds, 50, still)
         got = [sorted((x.chunk, x.perm, x.csd, round(x.loglik, 8), *([round(v, 8) for v in x.emit] if stats else [])) for x in evaluated(t, tables_, dict.fromkeys(range(4), 0), 1, 2, with_stats=stats, stationary=np.array([0.6, 0.4])).collect()) for t in (old, new)]
-        assert got[0] == got[1] and len(got[0]) == 3 * 8
+        assert got[0] == got[1] and len(got[0]) == 3 * 20
     sizes = {}
     for n in (6, 60):
         members = spark.createDataFrame([(h,) for h in range(n)], "hap int")
