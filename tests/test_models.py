@@ -421,7 +421,7 @@ def test_particles_in_tasks(spark, monkeypatch):
 
 BOUNDS = [0.0, 0.05, 0.2, 0.31, 0.9, 2.0, float("inf")]
 #: Two demes with migration, a pulse, and one deme before; one deme that grows; two demes apart, of which the trunk is in one.
-PULSED = "[0.1, ?0]\n{{0},{1}}\n?1 0.7\nnull\n0 0.4\n0.2 0\n{{0},{1}}\nnull\n0.8 0.2\n0 1\nnull\n{{0,1}}\n1.5\nnull\n0\n"
+PULSED = "[0.1, ?0]\n{{0},{1}}\n?1 0.7\nnull\n0 0.4\n0.2 0\n{{0},{1}}\n0.9 0.6\n0 0.2\n0 0\n0 0.3\n0.5 0\n{{0,1}}\n1.5\nnull\n0\n"
 
 
 def difference(x, y):
@@ -441,7 +441,9 @@ class TestCores:
             for one_event, params in ((True, PARAMS), (False, three)):
                 same = (two, BOUNDS, np.array([2, 3]), 0, params, 5, style, one_event)
                 exact = made("spectral", *same)
-                assert difference(exact, made("adaptive", *same, tolerance=1e-12)) < 1e-9
+                # Rows of rare states divide by their mass, 2e-4 here, so a tolerance is met that much less.
+                assert difference(exact, made("adaptive", *same, tolerance=1e-13)) < 1e-9
+                assert difference(exact, made("adaptive", *same, tolerance=1e-11)) < 1e-7
                 assert difference(exact, made("steps", *same)) < 1e-3
                 assert difference(exact, made("auto", *same)) == 0
         moving = (two, BOUNDS, np.array([2, 3]), 1, PARAMS, 5, "migratingethan")
@@ -476,12 +478,12 @@ class TestCores:
             for deme in (0, 1):
                 same = (pulsed, BOUNDS, np.array([3, 2]), deme, PARAMS, 3, style)
                 assert difference(made("adaptive", *same, tolerance=1e-11), made("steps", *same, per_piece=150)) < 1e-5
-        assert difference(made("spectral", pulsed, BOUNDS, np.array([3, 2]), 0, PARAMS, 3, "simple"), made("adaptive", pulsed, BOUNDS, np.array([3, 2]), 0, PARAMS, 3, "simple", tolerance=1e-12)) < 1e-9
+        assert difference(made("spectral", pulsed, BOUNDS, np.array([3, 2]), 0, PARAMS, 3, "simple"), made("adaptive", pulsed, BOUNDS, np.array([3, 2]), 0, PARAMS, 3, "simple", tolerance=1e-13)) < 1e-9
         # A deme without trunk that nothing leaves until the demes merge: an eigenvalue of 0.
         apart = self.epochs("[0.4]\n{{0},{1}}\n1 1\nnull\n0 0\n0 0\n{{0,1}}\n1\nnull\n0\n", [])
         same = (apart, BOUNDS, np.array([3, 0]), 1, PARAMS, 3, "simple")
         got = made("spectral", *same)
-        assert difference(got, made("adaptive", *same, tolerance=1e-12)) < 1e-9
+        assert difference(got, made("adaptive", *same, tolerance=1e-13)) < 1e-9
         assert np.isclose(np.exp(got.initial[0::2])[:3].sum(), 0) and np.isclose(np.exp(got.initial).sum(), 1)
 
     def test_growth(self):
@@ -490,10 +492,11 @@ class TestCores:
 
         grown = self.epochs("[0.5]\n{{0}}\n1.0\nnull\n0\n{{0}}\n0.6\nnull\n0\n", [], rates="1.3\n0\n")
         same = (grown, BOUNDS, np.array([3]), 0, PARAMS, 3, "simple")
-        best = made("adaptive", *same, tolerance=1e-12)
+        best = made("adaptive", *same, tolerance=3e-14)
         errors = [difference(best, made("steps", *same, per_piece=n)) for n in (20, 40, 80, 160)]
         assert errors[-1] < 2e-5 and all(a > 3 * b for a, b in zip(errors, errors[1:], strict=False))
-        assert difference(best, made("adaptive", *same, tolerance=1e-10)) < 1e-8 and difference(best, made("auto", *same)) < 1e-6
+        assert difference(best, made("adaptive", *same, tolerance=1e-13)) < 1e-9 and difference(best, made("adaptive", *same, tolerance=1e-10)) < 1e-7
+        assert difference(best, made("auto", *same)) < 1e-6
         with pytest.raises(ValueError, match="growth"):
             made("spectral", *same)
 
