@@ -64,7 +64,7 @@ class Bm25:
     """An inverted index over the pieces of one shard, with the weights that all pieces of the corpus give.
 
     Terms that an eighth of the pieces have are kept as rows with a weight for every piece, as many as take 32 MB; the
-    others as postings.
+    others as postings. Pieces that are used up can be left out of both.
     """
 
     def __init__(self, pieces: list[Piece], corpus: Corpus):
@@ -75,7 +75,8 @@ class Bm25:
         self.docs, self.weights = docs[order].astype(np.int32), weight[order]
         self.ends = np.concatenate([[0], np.cumsum(df)])
         self.df, self.local = df, local
-        self.own = np.searchsorted(docs, np.arange(self.n + 1))
+        own = np.searchsorted(docs, np.arange(self.n + 1))
+        self.first, self.last = own[:-1], own[1:]
         common = np.flatnonzero(df >= max(2, self.n // 8))
         common = common[np.argsort(-df[common], kind="stable")][: max(1, (32 << 20) // (8 * self.n))]
         self.row = np.full(len(df), -1)
@@ -85,21 +86,39 @@ class Bm25:
             at = slice(self.ends[t], self.ends[t + 1])
             self.rows[i, self.docs[at]] = self.weights[at]
 
+    def keep(self, kept: np.ndarray) -> None:
+        """Leave out the other pieces; those kept are numbered anew, in their order, and their scores stay the same."""
+        left = kept[self.docs]
+        self.docs, self.weights = (np.cumsum(kept, dtype=np.int32) - 1)[self.docs[left]], self.weights[left]
+        self.ends = np.concatenate([[0], np.cumsum(left)])[self.ends]
+        self.df = np.diff(self.ends)
+        self.first, self.last = self.first[kept], self.last[kept]
+        self.rows = np.compress(kept, self.rows, 1)
+        self.n = len(self.first)
+
     def scores(self, piece: int) -> np.ndarray:
-        """The score of each piece of the shard for all different terms of one of them."""
-        terms = self.local[self.own[piece] : self.own[piece + 1]]
+        """The score of each piece for all different terms of one of them."""
+        terms = self.local[self.first[piece] : self.last[piece]]
         row = self.row[terms]
-        out = self.rows[row[row >= 0]].sum(0)
+        out = np.zeros(self.n)
+        for r in row[row >= 0].tolist():
+            out += self.rows[r]
         few = terms[(row < 0) & (self.df[terms] > 1)]
-        for low, high in zip(self.ends[few].tolist(), self.ends[few + 1].tolist(), strict=True):
-            out[self.docs[low:high]] += self.weights[low:high]
+        df = self.df[few]
+        at = np.repeat(self.ends[few] - np.cumsum(df) + df, df) + np.arange(df.sum())
+        np.add.at(out, self.docs[at], self.weights[at])
         return out
 
-    def neighbours(self, piece: int, unused: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a term with the seed, best first; ties to the earlier piece."""
+    def neighbours(self, piece: int, unused: np.ndarray) -> Iterator[int]:
+        """Unused pieces that share a term with the seed, best first; ties to the earlier piece.
+
+        The best are sorted alone, as a window seldom takes more, and the others only where it does.
+        """
         scores = np.where(unused, self.scores(piece), 0)
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        few = min(16, self.n)
+        least = np.partition(scores, self.n - few)[self.n - few]
+        for found in (np.flatnonzero((scores >= least) & (scores > 0)), np.flatnonzero((scores < least) & (scores > 0))):
+            yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
 
 def pack_shard(pieces: list[Piece], window: int, corpus: Corpus) -> tuple[list[list[Piece]], list[Piece]]:
@@ -115,6 +134,11 @@ def pack_shard(pieces: list[Piece], window: int, corpus: Corpus) -> tuple[list[l
     left = sum(len(p.ids) for p in pieces)
     first = 0
     while left >= window:
+        if unused.sum() * 8 < 7 * len(unused):
+            index.keep(unused)
+            rest = [rest[i] for i in np.flatnonzero(unused)]
+            unused = np.ones(len(rest), bool)
+            first = 0
         while not unused[first]:
             first += 1
         filled, space = [rest[first]], window - len(rest[first].ids)
@@ -229,10 +253,8 @@ def _frequencies(kind: str) -> Callable:
         for batch in batches:
             if batch.num_rows:
                 sizes, ids = _flat(batch, kind)
-                order = np.argsort(ids, kind="stable")
-                docs, terms = np.repeat(np.arange(len(sizes)), sizes)[order], ids[order]
-                first = np.concatenate([[True], (terms[1:] != terms[:-1]) | (docs[1:] != docs[:-1])])
-                found = np.bincount(terms[first])
+                pairs = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | ids)
+                found = np.bincount(pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])] & 0xFFFFFFFF)
                 df = np.pad(df, (0, max(0, len(found) - len(df))))
                 df[: len(found)] += found
         terms = np.flatnonzero(df)

@@ -12,9 +12,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once, so that memory does not grow with a batch or a text.
-SLICE = 4 << 20
-#: When the cache of a worker holds more runs than this, it starts anew.
-WORDS = 500_000
+SLICE = 8 << 20
+#: When the cache of a worker holds more runs than this, or as many bytes of them as 16 each, it starts anew.
+WORDS = 1_000_000
+#: White space as spaces, byte by byte.
+SPACED = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 SIGNS = r"!-&(-/:;=?-@\[-`{-~"
 PLAIN = rf"^(?P<w>[{LETTERS}]*)(?P<p>[{SIGNS}]*)$"
@@ -27,6 +29,21 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _spaced(texts: pa.StringArray) -> pa.StringArray:
+    """Texts without nulls, with a space for each white space."""
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = data[ends[0] : ends[-1]].to_pybytes().translate(SPACED) if data else b""
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(ends - ends[0]), pa.py_buffer(data))
+
+
+def _strung(flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of flat, one behind the other, and where each begins and the last ends."""
+    stops = np.concatenate([[0], np.cumsum(length)])
+    kind = np.int32 if max(len(flat), stops[-1]) < 1 << 31 else np.int64
+    return flat[np.repeat((begin - stops[:-1]).astype(kind), length) + np.arange(stops[-1], dtype=kind)], stops
+
+
 class WordTokens:
     """Each white-space chunk of a text has ids of its own, and so has each run of letters or signs in it: runs are looked up in a cache and tokenized once."""
 
@@ -41,14 +58,14 @@ class WordTokens:
         self._reset()
 
     def _reset(self) -> None:
-        self.place: dict[str, int] = {"": 0}
+        self.known = pa.array([""], pa.string())
         self.flat = np.empty(1 << 20, np.uint32)
         self.begin = np.zeros(1 << 18, np.int64)
         self.length = np.zeros(1 << 18, np.int64)
         self.used = 0
 
-    def _learn(self, keys: list[str], ids: list[list[int]]) -> None:
-        n = len(self.place)
+    def _learn(self, keys: pa.Array, ids: list[list[int]]) -> None:
+        n = len(self.known)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(lengths.sum())
         while self.used + total > len(self.flat):
@@ -60,47 +77,58 @@ class WordTokens:
         self.begin[n : n + len(keys)] = self.used + np.cumsum(lengths) - lengths
         self.length[n : n + len(keys)] = lengths
         self.used += total
-        self.place.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.known = pa.concat_arrays([self.known, keys])
 
-    def _runs(self, column: pa.Array) -> np.ndarray:
-        """The places of runs of letters or of signs; new ones are tokenized by the model alone. Null has place 0."""
-        coded = column.dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        new = [x for x in runs if x not in self.place]
+    def _runs(self, runs: list[str]) -> list[list[int]]:
+        """The ids of runs of letters or of signs, by the model alone."""
         tokenize, to_bytes = self.model.tokenize, self.to_bytes
-        self._learn(new, [[t.id for t in tokenize(x if x.isascii() else x.translate(to_bytes))] for x in new])
-        places = np.fromiter(map(self.place.__getitem__, runs), np.int64, len(runs))
-        return np.append(places, 0)[np.asarray(pc.fill_null(coded.indices, len(runs)))]
+        return [[t.id for t in tokenize(x if x.isascii() else x.translate(to_bytes))] for x in runs]
+
+    def _whole(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def _places(self, runs: pa.Array, words: pa.Array) -> np.ndarray:
+        """The places of different runs and of different words that go through the whole tokenizer; new ones are tokenized."""
+        keys = pa.concat_arrays([runs, pc.binary_join_element_wise("\0", words, "")])
+        found = pc.index_in(keys, value_set=self.known)
+        new = np.flatnonzero(~np.asarray(found.is_valid()))
+        places = np.array(pc.fill_null(found, 0), np.int64)
+        if len(new):
+            places[new] = len(self.known) + np.arange(len(new))
+            mine = pa.array(new[new < len(runs)])
+            ids = self._runs(runs.take(mine).to_pylist()) + self._whole(words.take(pa.array(new[len(mine) :] - len(runs))).to_pylist())
+            self._learn(keys.take(pa.array(new)), ids)
+        return places
 
     def _chunks(self, chunks: pa.Array) -> np.ndarray:
         """Two places for each chunk. Chunks with digits, apostrophes, < or rarer letters go through the whole tokenizer."""
         found = pc.extract_regex(chunks, PLAIN)
-        letters, signs = pc.utf8_lower(pc.struct_field(found, "w")), pc.struct_field(found, "p")
-        places = np.stack([self._runs(letters), self._runs(signs)], 1)
+        # Null where the pattern does not match; place 0 has no ids.
+        letters, signs = (pc.fill_null(x, "").dictionary_encode() for x in (pc.utf8_lower(pc.struct_field(found, "w")), pc.struct_field(found, "p")))
         odd = np.flatnonzero(~np.asarray(found.is_valid()))
-        if len(odd):
-            words = chunks.take(pa.array(odd)).to_pylist()
-            keys = ["\0" + w for w in words]
-            new = [(k, w) for k, w in zip(keys, words, strict=True) if k not in self.place]
-            self._learn([k for k, _ in new], [e.ids for e in self.tokenizer.encode_batch([w for _, w in new], add_special_tokens=False)])
-            places[odd, 0] = [self.place[k] for k in keys]
-            places[odd, 1] = 0
+        # Letters and signs have only the empty run in common.
+        signed = signs.dictionary.filter(pc.not_equal(signs.dictionary, ""))
+        at = self._places(pa.concat_arrays([letters.dictionary, signed]), chunks.take(pa.array(odd)))
+        lettered, tail = len(letters.dictionary), len(letters.dictionary) + len(signed)
+        of_signs = np.zeros(len(signs.dictionary), np.int64)
+        of_signs[np.asarray(pc.not_equal(signs.dictionary, ""))] = at[lettered:tail]
+        places = np.stack([at[:lettered][np.asarray(letters.indices)], of_signs[np.asarray(signs.indices)]], 1)
+        places[odd, 0] = at[tail:]
         return places
 
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        for c in "\t\n\x0b\x0c\r":
-            texts = pc.replace_substring(texts, c, " ")
-        chunks = pc.split_pattern(texts, " ")
+        chunks = pc.split_pattern(_spaced(texts), " ")
         ends = np.asarray(chunks.offsets).astype(np.int64)
         coded = chunks.flatten().dictionary_encode()
-        if len(self.place) > WORDS:
+        if len(self.known) > WORDS or max(self.known.nbytes, self.used) > 16 * WORDS:
             self._reset()
-        places = self._chunks(coded.dictionary)[np.asarray(coded.indices)].ravel()
-        lengths = self.length[places]
-        stops = np.concatenate([[0], np.cumsum(lengths)])
-        where = np.repeat(self.begin[places] - stops[:-1], lengths) + np.arange(stops[-1])
-        stops = stops[2 * (ends - ends[0])]
-        return self.flat[where], stops[1:] - stops[:-1]
+        # The ids of different chunks first, then those of all.
+        places = self._chunks(coded.dictionary).ravel()
+        flat, begin = _strung(self.flat, self.begin[places], self.length[places])
+        begin = begin[::2]
+        at = np.asarray(coded.indices)
+        ids, stops = _strung(flat, begin[at], np.diff(begin)[at])
+        return ids, np.diff(stops[ends - ends[0]])
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order; null counts as empty."""

@@ -379,6 +379,97 @@ class TestPacking:
                 want.append(score)
             assert np.allclose(index.scores(k), want)
 
+    def shard(self, n=400, seed=1):
+        """Pieces of two subjects, some of them alike, and their corpus."""
+        from popspark.llm.packing import Corpus, Piece
+
+        r = np.random.default_rng(seed)
+        pieces = [Piece(i, 0, (r.zipf(1.3, r.integers(1, 90)) % 300 + 100 * (i % 2)).astype(np.uint32), 0) for i in range(n)]
+        pieces += [Piece(n + i, 0, pieces[i].ids, 0) for i in range(20)]
+        df = np.bincount(np.concatenate([np.unique(p.ids) for p in pieces]), minlength=400)
+        return pieces, Corpus(df, len(pieces), sum(len(p.ids) for p in pieces) / len(pieces))
+
+    def test_scores_without_used_pieces(self):
+        from popspark.llm.packing import Bm25
+
+        pieces, corpus = self.shard()
+        whole, index = Bm25(pieces, corpus), Bm25(pieces, corpus)
+        left = np.arange(len(pieces))
+        for seed in range(3):
+            kept = np.random.default_rng(seed).random(len(left)) < 0.6
+            index.keep(kept)
+            left = left[kept]
+            for k in range(0, len(left), 5):
+                others = np.arange(len(left)) != k
+                assert (index.scores(k) == whole.scores(left[k])[left])[others].all()
+
+    def test_shard_is_packed_greedily(self, monkeypatch):
+        """The windows of a plain greedy search over all scores, for less work: used pieces are not scored again and again."""
+        from popspark.llm.packing import Bm25, pack_shard
+
+        for window in (100, 300):
+            pieces, corpus = self.shard(seed=window)
+            index, rest, want = Bm25(pieces, corpus), list(pieces), []
+            while sum(len(p.ids) for p in rest if p) >= window:
+                seed = next(i for i, p in enumerate(rest) if p)
+                scores, space = index.scores(seed), window
+                order = [seed, *sorted((i for i in range(len(rest)) if i != seed), key=lambda i: (-scores[i], i))]
+                want.append([])
+                for i in (i for i in order if rest[i]):
+                    n = len(rest[i].ids)
+                    part, tail = rest[i].split(space)
+                    want[-1].append((part.doc_id, part.start, len(part.ids)))
+                    rest[i] = tail if n > space else None
+                    space -= len(part.ids)
+                    if not space:
+                        break
+            work, score = [], Bm25.scores
+            monkeypatch.setattr(Bm25, "scores", lambda *a: (work.append(out := score(*a)), out)[1])
+            windows, tail = pack_shard(pieces, window, corpus)
+            monkeypatch.undo()
+            assert [[(p.doc_id, p.start, len(p.ids)) for p in w] for w in windows] == want
+            assert sorted((p.doc_id, p.start) for p in tail) == sorted((p.doc_id, p.start) for p in rest if p)
+            assert sum(map(len, work)) < 0.7 * len(windows) * len(pieces)
+
+    def test_words_are_tokenized_once(self):
+        """600,000 different words, read twice."""
+        import pyarrow as pa
+
+        from popspark.llm.tokens import WordTokens
+
+        encoder, seen = WordTokens(default_tokenizer()), []
+        tokenize = encoder.model.tokenize
+
+        class Model:
+            def tokenize(self, word):
+                seen.append(word)
+                return tokenize(word)
+
+        encoder.model = Model()
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        words = ["".join(letters[i // 26**k % 26] for k in range(5)) for i in range(600_000)]
+        texts = pa.array([" ".join(words[at : at + 1000]) for at in range(0, len(words), 1000)])
+        first = [x.tolist() for x in encoder.encode(texts)]
+        assert [x.tolist() for x in encoder.encode(texts)] == first
+        assert len(seen) == len(set(seen)) == len(words)
+        assert first[0] == encoder.tokenizer.encode(texts[0].as_py(), add_special_tokens=False).ids
+
+    def test_cache_that_starts_anew(self, monkeypatch):
+        import pyarrow as pa
+
+        import popspark.llm.tokens as T
+
+        texts = TRICKY[:-1] + prose(60, 8) + [None, "", "\t", "ÀB'c 12 .. a.b A1"]
+        want = [ids[:-1] for ids in self.want(texts)]
+        for words, size in ((1, 8), (20, 300), (1_000_000, 1 << 24)):
+            monkeypatch.setattr(T, "WORDS", words)
+            monkeypatch.setattr(T, "SLICE", size)
+            encoder = T.WordTokens(default_tokenizer())
+            for column in (pa.array(texts), pa.array(["left out", *texts, "x"], pa.large_string()).slice(1, len(texts))):
+                for _ in range(2):
+                    assert [x.tolist() for x in encoder.encode(column)] == want
+        assert [x.tolist() for x in encoder.encode(pa.array([None, ""], pa.string()))] == [[], []]
+
     def test_copies_far_apart_meet(self, spark):
         """Two texts on each of many subjects, read in different partitions, stand in one window."""
         r = random.Random(3)
