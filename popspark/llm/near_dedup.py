@@ -8,11 +8,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from popspark.llm.common import named, spread_join, table
-from popspark.llm.components import components
+from popspark.llm.components import components, hung, nearest
 from popspark.llm.words import mix, shingles, word_hashes
 from popspark.shared import cut
 from popspark.shipping import ship
@@ -28,6 +28,8 @@ ERRORS = 5
 PAIR = ["x", "x_doc", "x_a", "x_b", "y", "y_doc", "y_a", "y_b"]
 #: Documents of a bucket that one task compares with as many others.
 BLOCK = 1024
+#: Pairs of a block whose sketches are compared together.
+PAIRS = 1 << 14
 
 _BUCKET_STARTS = np.arange(REGISTERS + 1, dtype=np.uint64)
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
@@ -128,20 +130,27 @@ def _sketched(ngram: int, num: int, den: int) -> Callable:
                 found = shingles(words, ngram)
                 n.append(len(found))
                 name.append(_digest(found))
-                regs.append((r := registers(found)).tobytes())
+                regs.append(r := registers(found))
                 least.append(bands.least(r, found).view(np.int64))
                 keys.append(np.concatenate([bands.keys(r, len(found)).view(np.int64), least[-1]]))
             a = np.frombuffer(b"".join(name), np.int64)
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a[::2]), pa.array(a[1::2]), pa.array(regs, pa.binary()), _lists(keys), _lists(least)]
+            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a[::2]), pa.array(a[1::2]), _lists([r.view(np.int16) for r in regs], np.int16), _lists(keys), _lists(least)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "a", "b", "regs", "keys", "least"])
 
     return run
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate(arrays) if arrays else np.empty(0, np.int64)
+def _lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+    flat = np.concatenate(arrays) if arrays else np.empty(0, kind)
     ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.from_numpy_dtype(kind)))
+
+
+def _flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and where each list ends; nulls are not expected."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    ends = lists.offsets.to_numpy()
+    return lists.flatten().to_numpy(), ends[1:] - ends[0]
 
 
 def _digest(found: np.ndarray) -> bytes:
@@ -155,24 +164,22 @@ def _sets(ngram: int) -> Callable:
         for batch in batches:
             sets = [shingles(words, ngram) for words in word_hashes(batch.column("text"), lower=True)]
             name = np.frombuffer(b"".join(map(_digest, sets)), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(name[::2]), pa.array(name[1::2]), pa.array([x.tobytes() for x in sets], pa.binary())], ["a", "b", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(name[::2]), pa.array(name[1::2]), _lists([x.view(np.int64) for x in sets])], ["a", "b", "shingles"])
 
     return run
 
 
-def _sketches(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, REGISTERS)
-
+def _sketches(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return _flat(column)[0].view(np.uint16).reshape(-1, REGISTERS)
 
-def _promising(least: float) -> Callable:
-    """Pairs whose sketches come near the threshold."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = pa.array(estimate(_sketches(batch.column("x_regs")), _sketches(batch.column("y_regs"))) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in PAIR], PAIR)
-
-    return run
+def promising(x: Column, y: Column, least: float) -> Column:
+    """Whether two sketches come near the threshold: ``estimate`` as a column."""
+    # A filled register counts 1, one that agrees 1,000 more.
+    code = F.zip_with(x, y, lambda a, b: F.when(a != b, 1).when(a == F.lit(EMPTY - 0x10000), 0).otherwise(1001))
+    both = F.aggregate(code, F.lit(0), lambda total, c: total + c)
+    filled, same = both % 1000, F.floor(both / 1000)
+    return (same - F.lit(CHANCE) * filled) / F.greatest(filled, F.lit(1)) >= F.lit(least)
 
 
 def similar(one: np.ndarray, other: np.ndarray, num: int, den: int) -> bool:
@@ -186,14 +193,11 @@ def similar(one: np.ndarray, other: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(one) + len(other) - both)
 
 
-def _verified(num: int, den: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = zip(batch.column("x_set").to_pylist(), batch.column("y_set").to_pylist(), strict=True)
-            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in pairs], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("x").filter(keep), batch.column("y").filter(keep)], ["a", "b"])
-
-    return run
+def reaching(x: Column, y: Column, num: int, den: int) -> Column:
+    """Whether two sets, as arrays, reach the threshold: ``similar`` as a column."""
+    n, m, both = (F.size(c).cast("long") for c in (x, y, F.array_intersect(x, y)))
+    # Sizes tell first.
+    return F.when(F.least(n, m) * den >= F.greatest(n, m) * num, both * den >= (n + m - both) * num).otherwise(F.lit(False))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -203,14 +207,15 @@ def _runs(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = list(zip(*(batch.column(n).to_pylist() for n in names), strict=True))
-        starts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        keys = np.stack([batch.column(n).to_numpy() for n in names], 1)
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
         for at, stop in zip(starts[:-1], starts[1:], strict=True):
-            if held and keys[at] != last:
+            key = tuple(keys[at].tolist())
+            if held and key != last:
                 yield pa.Table.from_batches(held)
                 held = []
             held.append(batch.slice(at, stop - at))
-            last = keys[at]
+            last = key
     if held:
         yield pa.Table.from_batches(held)
 
@@ -230,12 +235,20 @@ def _open_pairs(group: pa.Table, bands: Bands, least: float) -> Iterator[tuple[i
             below[k] = keys[keys < key]
         return below[k]
 
-    for i in range(len(part)):
-        later = np.arange(i + 1, len(part)) if diagonal else np.flatnonzero(side != side[i]) if side[i] == 0 else np.empty(0, int)
-        later = later[part[later] != part[i]]
-        if len(later):
-            later = later[estimate(regs[i], regs[later]) >= least]
-        if len(later):
+    # Many rows of small blocks, few of large ones, so that the pairs looked at together are no more than PAIRS or so.
+    step = max(1, PAIRS // len(part))
+    for at in range(0, len(part), step):
+        rows = np.arange(at, min(at + step, len(part)))
+        apart = part[rows, None] != part
+        apart &= rows[:, None] < np.arange(len(part)) if diagonal else (side[rows] == 0)[:, None] & (side != 0)
+        one, other = np.nonzero(apart)
+        one += at
+        if len(one):
+            near = estimate(regs[one], regs[other]) >= least
+            one, other = one[near], other[near]
+        for later in np.split(other, np.flatnonzero(one[1:] != one[:-1]) + 1) if len(one) else []:
+            i = int(one[0])
+            one = one[len(later) :]
             theirs = [lower(j) for j in later.tolist()]
             shared = np.isin(np.concatenate(theirs), lower(i))
             met_before = np.bincount(np.repeat(np.arange(len(later)), [len(t) for t in theirs]), shared, len(later)) > 0
@@ -261,7 +274,8 @@ def _linked(num: int, den: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _runs(batches, ("key", "low", "high")):
             ids, part = group.column("node").to_pylist(), group.column("component").to_pylist()
-            sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+            values, ends = _flat(group.column("shingles"))
+            sets = np.split(values.view(np.uint64), ends[:-1])
             root = {c: c for c in part}
 
             def find(c: int, root: dict[int, int] = root) -> int:
@@ -301,7 +315,7 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     """
     spark = docs.sparkSession
     ship(spark)
-    sketches = cut(docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs binary, keys array<long>, least array<long>"))
+    sketches = cut(docs.select("doc_id", "text").mapInArrow(_sketched(ngram, num, den), "doc_id long, n long, a long, b long, regs array<short>, keys array<long>, least array<long>"))
     known = sketches.where("n > 0 and doc_id is not null")
     # Equal sets have equal sketches, so any row of a class will do. Numbers are given once, before the checkpoint is read.
     same = [F.any_value(c).alias(c) for c in ("n", "regs", "keys", "least")]
@@ -309,14 +323,16 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     entries = reps.select(F.explode("keys").alias("key"), "node")
     common = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     met = cut(spread_join(entries, common, "key"))
-    weights = met.groupBy("node").agg(F.sum("size").alias("weight"))
-    centres = met.join(weights, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("c")).select("key", (-F.col("c.least")).alias("centre"))
-    stars = spread_join(met.select("key", "node"), centres, "key").where("node <> centre").select(F.col("node").alias("x"), F.col("centre").alias("y")).distinct()
+    # A node has some fifty keys at most.
+    weighed = met.withColumn("weight", F.sum("size").over(Window.partitionBy("node")))
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("least"))).alias("c")).select("key", (-F.col("c.least")).alias("centre"))
+    stars = spread_join(met.select("key", "node"), centres, "key").where("node <> centre").groupBy(F.col("node").alias("x")).agg(F.collect_set("centre").alias("ys"))
     side = lambda s: reps.select(F.col("node").alias(s), *[F.col(c).alias(f"{s}_{k}") for k, c in (("doc", "doc_id"), ("a", "a"), ("b", "b"), ("regs", "regs"))])
-    both = stars.join(side("x"), "x").join(side("y"), "y")
-    pairs = cut(both.mapInArrow(_promising(floor_of(num, den)), ", ".join(f"{c} long" for c in PAIR)))
+    both = stars.join(side("x"), "x").withColumn("y", F.explode("ys")).join(side("y"), "y")
+    pairs = cut(both.where(promising(F.col("x_regs"), F.col("y_regs"), floor_of(num, den))).select(*PAIR))
     links = cut(_checked(docs, pairs, ngram, num, den).unionByName(_same_id(known, reps)))
-    first = cut(components(links, rounds=1))
+    edges = hung(links, rounds=1)
+    first = cut(nearest(edges))
 
     parts = met.select("key", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = parts.groupBy("key").agg(F.count("*").alias("size"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key", "size")
@@ -328,11 +344,12 @@ def near_groups(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100)
     rows = rows.select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).alias("side"), "node", "component")
     # A block off the diagonal needs the members of both sides; the diagonal block only its own.
     placed = rows.join(reps.select("node", "doc_id", "a", "b", "n", "regs", "least"), "node").repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
-    kinds = "node long, doc_id long, a long, b long, key long, low int, high int, side int, component long, n long, regs binary, least array<long>"
+    kinds = "node long, doc_id long, a long, b long, key long, low int, high int, side int, component long, n long, regs array<short>, least array<long>"
     needed = cut(placed.select(*[x.split()[0] for x in kinds.split(", ")]).mapInArrow(_needed(num, den), kinds))
     sets = _full_sets(docs, needed.select("doc_id"), needed.select("a", "b"), ngram)
     more = needed.join(sets, ["a", "b"]).repartition(spread, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node").mapInArrow(_linked(num, den), "a long, b long")
-    nodes = components(links.unionByName(more))
+    # What the first round has hung stays so.
+    nodes = components(edges.toDF("a", "b").unionByName(more))
 
     placed = reps.select("a", "b", "node", "doc_id").join(nodes, "node", "left").select("a", "b", "doc_id", F.coalesce("component", "node").alias("component"))
     least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -352,7 +369,7 @@ def _same_id(known: DataFrame, reps: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, ids: DataFrame, digests: DataFrame, ngram: int) -> DataFrame:
     """(a, b, shingles) of the wanted digests, from the texts of some doc_ids; each set once."""
-    found = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(ngram), "a long, b long, shingles binary")
+    found = docs.select("doc_id", "text").join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets(ngram), "a long, b long, shingles array<long>")
     return found.groupBy("a", "b").agg(F.any_value("shingles").alias("shingles")).join(digests.distinct(), ["a", "b"], "left_semi")
 
 
@@ -363,13 +380,13 @@ def _checked(docs: DataFrame, pairs: DataFrame, ngram: int, num: int, den: int)
     and Spark can split them.
     """
     x, y = pairs.select(F.col("x_a").alias("a"), F.col("x_b").alias("b")), pairs.select(F.col("y_a").alias("a"), F.col("y_b").alias("b"))
-    sets = _full_sets(docs, pairs.select(F.explode(F.array("x_doc", "y_doc")).alias("doc_id")), x.unionByName(y), ngram)
+    # Kept, since plans over the same Python step are not shared, and the sets would be made twice.
+    sets = cut(_full_sets(docs, pairs.select(F.explode(F.array("x_doc", "y_doc")).alias("doc_id")), x.unionByName(y), ngram))
     members = pairs.select("x", "y", F.col("x_a").alias("a"), F.col("x_b").alias("b"), F.col("y_a").alias("k"), F.col("y_b").alias("l")).join(sets, ["a", "b"])
     members = members.select("x", "y", "k", "l", F.col("shingles").alias("x_set"))
-    # Not a semi-join, which Spark would move below the aggregate, so that the sets would be made twice.
     centres = sets.join(y.distinct(), ["a", "b"]).select(F.col("a").alias("k"), F.col("b").alias("other"), F.col("shingles").alias("y_set"))
     both = spread_join(members, centres, "k").where(F.col("l").bitwiseXOR(F.col("other")) == 0)
-    return both.select("x", "y", "x_set", "y_set").mapInArrow(_verified(num, den), "a long, b long")
+    return both.where(reaching(F.col("x_set"), F.col("y_set"), num, den)).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def near_dedup(docs: DataFrame, ngram: int = 5, num: int = 80, den: int = 100) -> DataFrame:
