@@ -441,7 +441,7 @@ def csds_of(kind: str, members: DataFrame, perms: DataFrame | None = None, sizes
         case "pac" | "oldpac":
             return C.permuted(perms, wanted=sizes)
         case "superpac":
-            return C.one_list(C.permuted(perms, wanted=sizes))
+            return C.one_list(perms, wanted=sizes)
         case "file" if lists is not None:
             return C.listed(lists)
     raise ValueError(f"no composite likelihood of these data is called {kind}")

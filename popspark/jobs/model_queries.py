@@ -129,7 +129,7 @@ def oldpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def superpac_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As pac_two_state, with all permutations in one list, whose likelihoods multiply."""
-    csds = csd.one_list(csd.permuted(csd.shuffled(_haps(spark), 6, 11), sizes=[0, 1]))
+    csds = csd.one_list(csd.shuffled(_haps(spark), 6, 11), sizes=[0, 1])
     found = _two_state(likelihood.step_tensors(blocks.pair_counts(_sites(spark, sf_dir), LOCI), csds), stationary=PI)
     return likelihood.chunk_likelihood(found).select("chunk", F.round("loglik", 5).alias("loglik"))
 
@@ -162,8 +162,8 @@ def rated_two_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all_sizes(spark: SparkSession, sf_dir: str, one_list: bool = False) -> DataFrame:
     """All CSDs of six seeded permutations, with trunks from none to all other haplotypes."""
-    csds = csd.permuted(csd.shuffled(_haps(spark), 6, 11))
-    tensors = likelihood.code_tensors(_sites(spark, sf_dir), csd.one_list(csds) if one_list else csds, LOCI)
+    csds = (csd.one_list if one_list else csd.permuted)(csd.shuffled(_haps(spark), 6, 11))
+    tensors = likelihood.code_tensors(_sites(spark, sf_dir), csds, LOCI)
     tables = {0: {((k,), 0): _two_states() for k in range(1, HAPS)}}
     return likelihood.evaluated(tensors, tables, dict.fromkeys(range(HAPS), 0), 1, 2, stationary=PI)
 

@@ -191,7 +191,7 @@ def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _text(trunk: str = "trunk") -> Column:
-    return F.array_join(F.transform(trunk, lambda x: x.cast("string")), " ").alias("trunk")
+    return F.array_join(F.col(trunk).cast("array<string>"), " ").alias("trunk")
 
 
 S = "s as (select s_nationkey as chunk, s_suppkey as hap, s_suppkey % 3 + 1 as m from supplier)"
@@ -246,7 +246,7 @@ def csd_pac_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {PERMS} select 0 as perm, cast(dense_rank() over (order by perm, csd) as integer) as csd, add, trunk, factor from pac")
 def csd_superpac(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All permutations in one list."""
-    return csd.one_list(csd.permuted(_perms(spark, sf_dir))).select("perm", "csd", "add", _text(), "factor")
+    return csd.one_list(_perms(spark, sf_dir)).select("perm", "csd", "add", _text(), "factor")
 
 
 @query("""select o_custkey % 11 as k, round(max(x) + ln(sum(exp(x - m))), 6) as total from (

@@ -5,9 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from popspark.operators.ordered import numbered
+from popspark.operators.ordered import numbered, sum_before
 
 COLUMNS = ("kind", "perm", "csd", "add", "trunk", "factor")
+#: CSDs of a piece that is dealt out as a whole, and haplotypes in the trunks of a task, about.
+PIECE, TASK = 256, 4_000_000
+
+
+def _tasks(df: DataFrame, haps: Column) -> int:
+    """How many tasks trunks need that hold so many haplotypes for each row of df."""
+    return max(1, -(-(df.agg(F.sum(haps)).first()[0] or 0) // TASK))
 
 
 def members(layout: DataFrame) -> DataFrame:
@@ -57,26 +64,37 @@ def pairs_by_group(haps: DataFrame, group: str, factor: Column | None = None) ->
     return met.select(group, "add", F.array("other").alias("trunk"), (factor if factor is not None else F.lit(1.0)).alias("factor"))
 
 
-def permuted(perms: DataFrame, sizes: list[int] | None = None, wanted: int | None = None) -> DataFrame:
-    """perms (perm, ord, an array of haplotypes): read from the last to the first, each against those already placed.
-
-    ``sizes`` keeps the CSDs with these trunk sizes only; ``wanted`` keeps so many sizes of each permutation, spread evenly:
-    the largest; it and 1; or from 1 to the largest.
-    """
-    placed = perms.select("perm", F.reverse("ord").alias("ord")).select("perm", "ord", F.explode(F.sequence(F.lit(0), F.size("ord") - 1)).alias("rank"))
+def _turned(perms: DataFrame, sizes: list[int] | None, wanted: int | None) -> DataFrame:
+    """perms with ord from the last to the first, and the ranks, by which the CSDs that are kept are known."""
     n = F.size("ord")
+    ranks = F.sequence(F.lit(0), n - 1)
     if sizes is not None:
-        placed = placed.where(F.col("rank").isin(sizes))
+        ranks = F.filter(ranks, lambda r: r.isin(sizes))
     if wanted == 1:
-        placed = placed.where(F.col("rank") == n - 1)
+        ranks = F.filter(ranks, lambda r: r == n - 1)
     elif wanted == 2:
-        placed = placed.where((F.col("rank") == n - 1) | (F.col("rank") == 1) | (n <= 2))
+        ranks = F.filter(ranks, lambda r: (r == n - 1) | (r == 1) | (n <= 2))
     elif wanted is not None:
         step = (n - 2).cast("float") / F.lit(wanted - 1).cast("float")
-        even = F.exists(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: (F.lit(1).cast("float") + i.cast("float") * step.cast("float")).cast("int") == F.col("rank"))
-        placed = placed.where((n <= wanted) | even)
+        even = F.transform(F.sequence(F.lit(0), F.lit(wanted - 1)), lambda i: (F.lit(1).cast("float") + i.cast("float") * step.cast("float")).cast("int"))
+        ranks = F.filter(ranks, lambda r: (n <= wanted) | F.array_contains(even, r))
+    return perms.select("perm", F.reverse("ord").alias("ord"), ranks.alias("ranks"))
+
+
+def _grown(placed: DataFrame, perm: Column, number: Column) -> DataFrame:
+    """placed (ord, rank) as CSDs: the haplotype of that rank against all before it."""
     trunk = F.slice("ord", 1, F.col("rank"))
-    return placed.select(F.lit("pac").alias("kind"), "perm", F.col("rank").alias("csd"), F.col("ord")[F.col("rank")].alias("add"), trunk.alias("trunk"), F.lit(1.0).alias("factor"))
+    return placed.select(F.lit("pac").alias("kind"), perm.alias("perm"), number.alias("csd"), F.col("ord")[F.col("rank")].alias("add"), trunk.alias("trunk"), F.lit(1.0).alias("factor"))
+
+
+def permuted(perms: DataFrame, sizes: list[int] | None = None, wanted: int | None = None) -> DataFrame:
+    """perms (perm, ord, an array of haplotypes): read from the last to the first, each against those already placed.
+
+    ``sizes`` keeps the CSDs with these trunk sizes only; ``wanted`` keeps so many sizes of each permutation, spread evenly:
+    the largest; it and 1; or from 1 to the largest.
+    """
+    placed = _turned(perms, sizes, wanted).select("perm", "ord", F.explode("ranks").alias("rank"))
+    return _grown(placed, F.col("perm"), F.col("rank"))
 
 
 def shuffled(haps: DataFrame, n: int, seed: int) -> DataFrame:
@@ -102,14 +120,22 @@ def permutations(lines: DataFrame, n: int) -> DataFrame:
     return numbered(lines.select("line_no", checked.alias("ord")), [], "line_no", [], "perm").select("perm", "ord")
 
 
-def one_list(csds: DataFrame) -> DataFrame:
-    """All permutations' CSDs as one list, whose likelihoods multiply."""
-    names = csds.select("perm", "csd").distinct()
+def one_list(perms: DataFrame, sizes: list[int] | None = None, wanted: int | None = None) -> DataFrame:
+    """The CSDs of ``permuted`` as one list over all permutations, whose likelihoods multiply.
+
+    What is numbered, joined and dealt out are permutations and pieces of them; trunks grow in the tasks that give them out.
+    """
+    turned = _turned(perms, sizes, wanted).where(F.size("ranks") > 0)
+    before = sum_before(turned.select("perm", F.size("ranks").alias("n")), [], "perm", [], "n", "_before")
+    placed = turned.join(before.select(F.col("perm").alias("_perm"), "_before"), F.col("perm") == F.col("_perm"))
+    n = F.size("ranks")
+    pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.ceil(n / PIECE).cast("int") - 1)))
+    part = F.slice("ranks", F.col("_piece") * PIECE + 1, F.lit(PIECE))
+    pieces = pieces.select("perm", "_piece", "_before", part.alias("ranks"), F.slice("ord", 1, F.element_at(part, -1) + 1).alias("ord"))
+    dealt = pieces.repartition(_tasks(turned, n.cast("long") * F.size("ord")), "perm", "_piece")
+    each = dealt.select("ord", "_piece", "_before", F.posexplode("ranks").alias("_place", "rank"))
     # From 1 on, as all numbers of this list.
-    places = numbered(names, [], "perm", ["csd"], "_place").select(F.col("perm").alias("_perm"), F.col("csd").alias("_csd"), F.col("_place") + 1)
-    places = places.toDF("_perm", "_csd", "_place")
-    met = csds.join(places, (F.col("perm") == F.col("_perm")) & (F.col("csd") == F.col("_csd")))
-    return met.withColumn("csd", F.col("_place").cast("int")).withColumn("perm", F.lit(0)).select(*csds.columns)
+    return _grown(each, F.lit(0), (F.col("_before") + F.col("_piece") * PIECE + F.col("_place") + 1).cast("int"))
 
 
 def listed(lines: DataFrame) -> DataFrame:
