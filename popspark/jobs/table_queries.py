@@ -202,8 +202,7 @@ LOL = """select x.chunk, x.hap as add, x.m as csds, string_agg((y.hap || ':' ||
 @query(f"with {S} {LOL}")
 def csd_lol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each haplotype of a contig against all others and the other copies of itself, as often as it has copies."""
-    found = csd.left_out_by_group(_suppliers(spark, sf_dir), "chunk")
-    return found.select("chunk", "add", "csds", F.array_join(F.transform("trunk", lambda x: F.concat_ws(":", x["other"], x["m"])), " ").alias("trunk"), "trunk_size")
+    return csd.left_out_by_group(_suppliers(spark, sf_dir), "chunk")
 
 
 @query(f"with {S} select x.chunk, x.hap as add, cast(y.hap as varchar) as trunk, 1.0::double as factor from s x join s y on x.chunk = y.chunk and x.hap <> y.hap")

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from popspark.operators.ordered import numbered, sum_before
 
 COLUMNS = ("kind", "perm", "csd", "add", "trunk", "factor")
-#: CSDs of a piece that is dealt out as a whole, and haplotypes in the trunks of a task, about.
-PIECE, TASK = 256, 4_000_000
+#: CSDs of a piece that is dealt out as a whole, at most; haplotypes in a piece's trunks and in those of a task, about.
+PIECE, HELD, TASK = 256, 2_000_000, 4_000_000
+
+
+def _piece(n: Column) -> Column:
+    """How many CSDs a piece has where trunks have up to n haplotypes: a task holds all rows of one piece at a time."""
+    return F.greatest(F.least(F.lit(PIECE), (F.lit(HELD) / n).cast("int")), F.lit(1))
 
 
 def _tasks(df: DataFrame, haps: Column) -> int:
@@ -42,13 +48,33 @@ def pairwise(haps: DataFrame, factor: Column | None = None) -> DataFrame:
 
 def left_out_by_group(haps: DataFrame, group: str) -> DataFrame:
     """haps (group, hap, multiplicity): for each group, each haplotype against the others and the rest of its own copies:
-    (group, add, csds, trunk, trunk_size). csds is how many equal ones there are, one for each copy; trunk has the haplotypes
-    with what is left of their multiplicities. An equi-join by group, so no group is held in one row but for its own trunks."""
-    other = haps.select(F.col(group).alias("_group"), F.col("hap").alias("other"), F.col("multiplicity").alias("m"))
-    pairs = haps.where("multiplicity > 0").join(other, F.col(group) == F.col("_group"))
-    pairs = pairs.withColumn("m", F.col("m") - F.when(F.col("other") == F.col("hap"), 1).otherwise(0)).where("m > 0")
-    trunk = F.sort_array(F.collect_list(F.struct("other", "m")))
-    return pairs.groupBy(group, F.col("hap").alias("add"), F.col("multiplicity").alias("csds")).agg(trunk.alias("trunk"), F.sum("m").alias("trunk_size"))
+    (group, add, csds, trunk, trunk_size). csds is how many equal ones there are, one for each copy; trunk is a text, the
+    haplotypes with what is left of their multiplicities. Rows that repeat a haplotype and its multiplicity count one by one,
+    on both sides.
+
+    A group's text is written once; a trunk is what comes before its haplotype in it, the rest of that, and what comes after.
+    """
+    entry = lambda m: F.concat(F.lit(" "), F.col("hap").cast("string"), F.lit(":"), m.cast("string"))
+    there = haps.where(F.col(group).isNotNull() & F.col("hap").isNotNull() & (F.col("multiplicity") > 0))
+    each = there.groupBy(group, "hap").agg(F.sort_array(F.collect_list("multiplicity")).alias("ms"))
+    text = F.array_join(F.transform("ms", entry), "").cast("binary").alias("text")
+    rest = F.array_join(F.transform(F.filter("ms", lambda m: m > 1), lambda m: entry(m - 1)), "").cast("binary").alias("rest")
+    each = each.select(group, "hap", "ms", text, rest, F.aggregate("ms", F.lit(0).cast("long"), lambda n, m: n + m).alias("n"))
+    before = Window.partitionBy(group).orderBy("hap").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("start", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)).cast("int"))
+    member = F.struct("hap", "ms", "rest", "start", (F.col("start") + F.octet_length("text")).alias("end"))
+    whole = each.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("hap", "text"))).alias("texts"), F.sort_array(F.collect_list(member)).alias("members"), F.sum("n").alias("n"))
+    whole = whole.select(group, F.array_join(F.col("texts.text").cast("array<string>"), "").cast("binary").alias("text"), "members", "n", _piece(F.size("members")).alias("_rows"))
+    pieces = whole.withColumn("_start", F.explode(F.expr("sequence(0, size(members) - 1, _rows)")))
+    pieces = pieces.select(group, "_start", "text", F.slice("members", F.col("_start") + 1, F.col("_rows")).alias("members"), "n")
+    sizes = there.groupBy(group).agg(F.count("*").alias("n"))
+    dealt = pieces.repartition(_tasks(sizes, F.col("n") * F.col("n")), group, "_start")
+    rows = dealt.select(group, "text", "n", F.explode("members").alias("x")).select(group, "text", "n", "x", F.explode(F.array_distinct("x.ms")).alias("csds"))
+    equal = F.size(F.filter("x.ms", lambda m: m == F.col("csds")))
+    rows = rows.select(group, F.col("x.hap").alias("add"), "csds", "text", "x", equal.alias("equal"), (equal * (F.col("n") - F.size("x.ms"))).alias("trunk_size")).where("trunk_size > 0")
+    trunk = F.expr("cast(substring(concat(substring(text, 1, x.start), x.rest, substring(text, x.end + 1)), 2) as string)")
+    again = F.when(F.col("equal") == 1, trunk).otherwise(F.regexp_replace(trunk, F.lit("[^ ]+"), F.concat(F.lit("$0"), F.repeat(F.lit(" $0"), F.col("equal") - 1))))
+    return rows.select(group, "add", "csds", again.alias("trunk"), "trunk_size")
 
 
 def pairwise_and_leave_one_out(haps: DataFrame) -> DataFrame:
@@ -129,13 +155,14 @@ def one_list(perms: DataFrame, sizes: list[int] | None = None, wanted: int | Non
     before = sum_before(turned.select("perm", F.size("ranks").alias("n")), [], "perm", [], "n", "_before")
     placed = turned.join(before.select(F.col("perm").alias("_perm"), "_before"), F.col("perm") == F.col("_perm"))
     n = F.size("ranks")
-    pieces = placed.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.ceil(n / PIECE).cast("int") - 1)))
-    part = F.slice("ranks", F.col("_piece") * PIECE + 1, F.lit(PIECE))
-    pieces = pieces.select("perm", "_piece", "_before", part.alias("ranks"), F.slice("ord", 1, F.element_at(part, -1) + 1).alias("ord"))
-    dealt = pieces.repartition(_tasks(turned, n.cast("long") * F.size("ord")), "perm", "_piece")
-    each = dealt.select("ord", "_piece", "_before", F.posexplode("ranks").alias("_place", "rank"))
+    placed = placed.withColumn("_rows", _piece(F.size("ord")))
+    pieces = placed.withColumn("_start", F.explode(F.expr("sequence(0, size(ranks) - 1, _rows)")))
+    part = F.slice("ranks", F.col("_start") + 1, F.col("_rows"))
+    pieces = pieces.select("perm", "_start", "_before", part.alias("ranks"), F.slice("ord", 1, F.element_at(part, -1) + 1).alias("ord"))
+    dealt = pieces.repartition(_tasks(turned, n.cast("long") * F.size("ord")), "perm", "_start")
+    each = dealt.select("ord", "_start", "_before", F.posexplode("ranks").alias("_place", "rank"))
     # From 1 on, as all numbers of this list.
-    return _grown(each, F.lit(0), (F.col("_before") + F.col("_piece") * PIECE + F.col("_place") + 1).cast("int"))
+    return _grown(each, F.lit(0), (F.col("_before") + F.col("_start") + F.col("_place") + 1).cast("int"))
 
 
 def listed(lines: DataFrame) -> DataFrame:

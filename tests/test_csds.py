@@ -30,3 +30,33 @@ def test_superpac_in_pieces(spark, monkeypatch):
             monkeypatch.setattr(csd, "PIECE", piece)
             monkeypatch.setattr(csd, "TASK", 10)
             assert sorted((r.perm, r.csd, r["add"], r.trunk) for r in csd.one_list(perms, sizes=sizes).collect()) == want
+
+
+def left_out(rows):
+    """What left_out_by_group gives, by the definition: every row against every row of its group."""
+    found = {}
+    for g, hap, m in rows:
+        if g is None or hap is None or not m or m < 1:
+            continue
+        for g2, other, n in rows:
+            if g2 == g and other is not None and n and n - (other == hap) > 0:
+                found.setdefault((g, hap, m), []).append((other, n - (other == hap)))
+    return sorted((*k, " ".join(f"{o}:{n}" for o, n in sorted(v)), sum(n for _, n in v)) for k, v in found.items())
+
+
+def test_left_out_is_shared_out(spark, monkeypatch):
+    """No row for each pair is made, and trunks are made by several tasks."""
+    monkeypatch.setattr(csd, "TASK", 1_000, raising=False)
+    monkeypatch.setattr(csd, "PIECE", 8, raising=False)
+    rows = [(1, h, h % 3 + 1) for h in range(-40, 60)] + [(2, 7, 1), (3, 7, 2), (4, 1, 1), (4, 10, 2)]
+    got = csd.left_out_by_group(spark.createDataFrame(rows, "chunk int, hap long, multiplicity long").coalesce(1), "chunk")
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 60
+    assert sorted(map(tuple, got.collect())) == left_out(rows)
+
+
+def test_left_out_with_repeats(spark):
+    """Rows that repeat a haplotype count one by one on both sides; those without a group, haplotype or copies do not."""
+    rows = [(1, 5, 2), (1, 5, 2), (1, 6, 1), (1, 6, 1), (1, 6, 3), (1, 12, 4), (1, 70, 0), (None, 5, 2), (1, None, 2), (1, 80, None), (2, 5, 1), (2, 5, 1), (3, 9, 1)]
+    got = csd.left_out_by_group(spark.createDataFrame(rows, "chunk int, hap long, multiplicity long"), "chunk")
+    assert sorted(map(tuple, got.collect())) == left_out(rows)
