@@ -208,7 +208,8 @@ def csd_lol(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {S} select x.chunk, x.hap as add, cast(y.hap as varchar) as trunk, 1.0::double as factor from s x join s y on x.chunk = y.chunk and x.hap <> y.hap")
 def csd_pcl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each ordered pair of haplotypes of a contig."""
-    return csd.pairs_by_group(_suppliers(spark, sf_dir), "chunk").select("chunk", "add", _text(), "factor")
+    pairs = csd.pairs_by_group(_suppliers(spark, sf_dir), "chunk", shown=F.col("hap").cast("string"))
+    return pairs.select("chunk", "add", F.col("trunk")[0].alias("trunk"), "factor")
 
 
 @query("""with n as (select count(*) as n from nation) select 'pcl' as kind, x.n_nationkey as add, cast(y.n_nationkey as varchar) as trunk, round(1.0::double / (n * (n - 1)), 12) as factor from nation x join nation y on x.n_nationkey <> y.n_nationkey cross join n

@@ -11,6 +11,8 @@ from popspark.operators.ordered import numbered, sum_before
 COLUMNS = ("kind", "perm", "csd", "add", "trunk", "factor")
 #: CSDs of a piece that is dealt out as a whole, at most; haplotypes in a piece's trunks and in those of a task, about.
 PIECE, HELD, TASK = 256, 2_000_000, 4_000_000
+#: Haplotypes of a block of which all meet all of another.
+BLOCK = 256
 
 
 def _piece(n: Column) -> Column:
@@ -83,11 +85,22 @@ def pairwise_and_leave_one_out(haps: DataFrame) -> DataFrame:
     return pairwise(haps, 1.0 / (n * (n - 1))).unionByName(leave_one_out(haps, 1.0 / n))
 
 
-def pairs_by_group(haps: DataFrame, group: str, factor: Column | None = None) -> DataFrame:
-    """haps (group, hap): each ordered pair of different haplotypes of one group: (group, add, trunk, factor)."""
-    other = haps.select(F.col(group).alias("_group"), F.col("hap").alias("other"))
-    met = haps.select(group, F.col("hap").alias("add")).join(other, (F.col(group) == F.col("_group")) & (F.col("add") != F.col("other")))
-    return met.select(group, "add", F.array("other").alias("trunk"), (factor if factor is not None else F.lit(1.0)).alias("factor"))
+def pairs_by_group(haps: DataFrame, group: str, factor: Column | None = None, shown: Column | None = None) -> DataFrame:
+    """haps (group, hap, a number): each ordered pair of different haplotypes of one group: (group, add, trunk, factor). ``shown``,
+    a column of haps that tells haplotypes apart, stands for them in the trunks.
+
+    Blocks of haplotypes meet one by one, so all cores share the pairs of a group, and a row holds two blocks.
+    """
+    haps = haps.where(F.col(group).isNotNull() & F.col("hap").isNotNull()).select(group, "hap", (shown if shown is not None else F.col("hap")).alias("shown"))
+    sizes = haps.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_n"))
+    placed = numbered(haps, [group], "hap", [], "_place").withColumn("_block", F.expr(f"_place div {BLOCK}"))
+    block = placed.groupBy(group, "_block").agg(F.sort_array(F.collect_list(F.struct("hap", "shown"))).alias("_haps"))
+    block = block.join(sizes, F.col(group) == F.col("_group")).withColumn("_other", F.explode(F.sequence(F.lit(0), F.expr(f"cast((_n - 1) div {BLOCK} as int)"))))
+    tasks = _tasks(sizes, F.col("_n") * F.col("_n"))
+    adds = block.select(group, F.col("_block").alias("_i"), F.col("_other").cast("long").alias("_j"), F.col("_haps").alias("_adds")).repartition(tasks, group, "_i", "_j")
+    others = block.select(group, F.col("_other").cast("long").alias("_i"), F.col("_block").alias("_j"), F.col("_haps.shown").alias("_others")).repartition(tasks, group, "_i", "_j")
+    met = adds.join(others.hint("merge"), [group, "_i", "_j"]).select(group, F.explode("_adds").alias("_add"), "_others").select(group, "_add", F.explode("_others").alias("other"))
+    return met.where(F.col("_add.shown") != F.col("other")).select(group, F.col("_add.hap").alias("add"), F.array("other").alias("trunk"), (factor if factor is not None else F.lit(1.0)).alias("factor"))
 
 
 def _turned(perms: DataFrame, sizes: list[int] | None, wanted: int | None) -> DataFrame:

@@ -60,3 +60,25 @@ def test_left_out_with_repeats(spark):
     rows = [(1, 5, 2), (1, 5, 2), (1, 6, 1), (1, 6, 1), (1, 6, 3), (1, 12, 4), (1, 70, 0), (None, 5, 2), (1, None, 2), (1, 80, None), (2, 5, 1), (2, 5, 1), (3, 9, 1)]
     got = csd.left_out_by_group(spark.createDataFrame(rows, "chunk int, hap long, multiplicity long"), "chunk")
     assert sorted(map(tuple, got.collect())) == left_out(rows)
+
+
+def test_pairs_are_shared_out(spark, monkeypatch):
+    """The pairs of one large group are made by several tasks, each pair once; repeated haplotypes count one by one."""
+    monkeypatch.setattr(csd, "TASK", 1_000, raising=False)
+    monkeypatch.setattr(csd, "BLOCK", 16, raising=False)
+    rows = [(1, h) for h in range(-30, 70)] + [(1, 5)] * 20 + [(2, 7), (3, 7), (3, 7), (4, 1), (4, 2), (None, 1), (None, 2), (1, None)]
+    haps = spark.createDataFrame(rows, "chunk int, hap long").coalesce(1)
+    got = csd.pairs_by_group(haps, "chunk")
+    assert got.columns == ["chunk", "add", "trunk", "factor"]
+    assert got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 5_000
+    want = sorted((g, a, [b], 1.0) for g, a in rows for h, b in rows if g == h and g is not None and a is not None and b is not None and a != b)
+    assert sorted(map(tuple, got.collect())) == want
+    texts = csd.pairs_by_group(haps, "chunk", F.lit(0.5), F.col("hap").cast("string"))
+    assert sorted(map(tuple, texts.collect())) == sorted((g, a, [str(b)], 0.5) for g, a, (b,), _ in want)
+
+
+def test_no_haplotypes(spark):
+    """Empty tables give empty lists."""
+    none = spark.createDataFrame([], "chunk int, hap long, multiplicity long")
+    assert csd.pairs_by_group(none, "chunk").count() == csd.left_out_by_group(none, "chunk").count() == 0
+    assert csd.one_list(spark.createDataFrame([], "perm int, ord array<long>")).count() == 0
